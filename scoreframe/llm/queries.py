@@ -19,8 +19,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spread(docs), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoreframe.llm import url_filter
+
+    return url_filter.judge(spread(read(spark, sf_dir, "pages").select("page_id", "url")))
+
+
+def op10_avi_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoreframe.llm import media
+
+    return media.features(media.to_avi(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op9_url_filter": op9_url_filter,
+    "op10_avi_columns": op10_avi_columns,
 }
 
 SQL: dict[str, str] = {}
