@@ -189,7 +189,7 @@ def coefficients(jpeg: bytes) -> np.ndarray:
     step = 2 * PER_BLOCK + 2
     full = (len(scan) - 2 * n_blocks) // (step - 2)
     rows = np.frombuffer(scan, np.uint8, full * step).reshape(full, step)
-    if rows[:, :-1:2].any() or (rows[:, -1] != 1).any() or scan[full * step :] != b"\x00\x01" * (n_blocks - full):
+    if rows[:, 0].any() or rows[:, 1:-1:2].any() or (rows[:, -1] != 1).any() or scan[full * step :] != b"\x00\x01" * (n_blocks - full):
         return _by_bits(scan, _tables(jpeg)[0], n_blocks)
     out = np.zeros((n_blocks, 64), np.int32)
     value = rows[:, 2:-1:2].astype(np.int32)
