@@ -19,6 +19,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spread(docs), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoreframe.llm import chat
+
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_turns(rows))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoreframe.llm import html_extract
+
+    return html_extract.extract_text(spread(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoreframe.llm import decontam
+
+    return decontam.overlaps(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoreframe.llm import url_filter
 
@@ -32,7 +52,10 @@ def op10_avi_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_text": op5_html_text,
+    "op6_decontaminate": op6_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_avi_columns": op10_avi_columns,
 }

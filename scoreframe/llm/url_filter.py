@@ -99,11 +99,10 @@ def train(rows: list[tuple[str, str, int]], bits: int = 16, steps: int = 400, pe
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rows: list[tuple[str, str, int]] | None = None, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) for every row."""
     weights, bias = train(labelled_urls() if rows is None else rows)
-    model = pages.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+    w, b = weights.astype(np.float32), bias
 
     @F.pandas_udf("double")
     def unwanted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        w, b = model.value
         for hosts, paths in parts:
             out = []
             for h, p in zip(hosts, paths, strict=True):
