@@ -39,6 +39,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "benchmark"))
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoreframe.llm import hyperminhash
+
+    return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"), n_words=2, percent=80)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoreframe.llm import url_filter
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_decontaminate": op6_decontaminate,
+    "op8_hyperminhash": op8_hyperminhash,
     "op9_url_filter": op9_url_filter,
     "op10_avi_columns": op10_avi_columns,
 }
