@@ -39,6 +39,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoreframe.llm import suffix_dedup
+
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), least=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoreframe.llm import hyperminhash
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_decontaminate": op6_decontaminate,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_hyperminhash": op8_hyperminhash,
     "op9_url_filter": op9_url_filter,
     "op10_avi_columns": op10_avi_columns,
