@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreframe.llm import mixing
 from scoreframe.llm.common import read, spread
 
 
@@ -19,12 +20,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spread(docs), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"), ordered=True)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoreframe.llm import chat
 
     own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digests(chat.format_turns(rows))
+    return chat.digests(chat.format_turns(rows)).drop("n_tokens")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +70,7 @@ def op10_avi_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pfair_mix": op2_pfair_mix,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
@@ -75,4 +81,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_avi_columns": op10_avi_columns,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_pfair_mix": mixing.SQL,
+    "op3_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(length(role) + length(text) + 23 + len(regexp_extract_all(role || chr(10) || text,
+         '[<\[]\\*(?:\|role\|>|\|text\|>|\|end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+""",
+}
