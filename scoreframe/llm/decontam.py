@@ -117,15 +117,9 @@ class Seeds:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: float = 0.8, least: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_matched, n_aligned, first_token, similarity) of each contaminated document and its item."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    chars = items.agg(F.coalesce(F.sum(F.length("t") + 16), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-chars // block_chars))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
 
-    def scan(block: int) -> DataFrame:
-        rows = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block)
-        s = Seeds([(r.i, r.t) for r in rows.collect()], least, window, share)
-
+    def scan(s: Seeds) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, texts, at = batch.column(0), batch.column(1), 0
@@ -144,10 +138,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
         return docs.select(id_col, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_matched long, n_aligned long, first_token long, similarity double")
 
-    return reduce(DataFrame.unionByName, (scan(b) for b in range(n_blocks)))
+    return reduce(DataFrame.unionByName, (scan(s) for s in _blocks(benchmark, item_col, block_chars, least, window, share)))
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: float = 0.8, least: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that hold no passage of the benchmark; one pass per block of items, without a shuffle."""
+    at = docs.columns.index(text_col)
+    for s in _blocks(benchmark, item_col, block_chars, least, window, share):
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no passage of the benchmark."""
-    found = overlaps(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+        def run(batches: Iterator[pa.RecordBatch], s: Seeds = s) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                texts, k = batch.column(at), 0
+                while k < len(texts):
+                    part, size, first = [], 0, k
+                    while k < len(texts) and (not part or size < CHUNK_CHARS):
+                        part.append(texts[k].as_py() or "")
+                        size += len(part[-1])
+                        k += 1
+                    keep[[first + m[0] for m in s.matches(part)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, block_chars: int, least: int, window: int, share: float) -> list[Seeds]:
+    items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    chars = items.agg(F.coalesce(F.sum(F.length("t") + 16), F.lit(0))).first()[0]
+    n = max(1, -(-chars // block_chars))
+    parts = [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
+    return [Seeds([(r.i, r.t) for r in part.collect()], least, window, share) for part in parts]

@@ -28,12 +28,15 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of statistics per input row; expressions only."""
+def statistics(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """One row of statistics per input row; expressions only. With carry the input row follows as the struct _row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")] if carry else []
+    base = df.select(F.col(id_col).alias("doc_id"), text.alias("t"), *row)
+    row = ["_row"] * carry
     base = base.select(
         "doc_id",
+        *row,
         F.length("t").cast("double").alias("n_chars"),
         _count(F.col("t"), r"[^\p{Lu}]+").alias("_upper"),
         _count(F.col("t"), r"[^\p{L}]+").alias("_letters"),
@@ -50,6 +53,7 @@ def statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     letters = F.greatest(F.col("_letters").cast("double"), F.lit(1.0))
     return base.select(
         "doc_id",
+        *row,
         "n_chars",
         words.alias("n_words"),
         (F.col("_letters") / n_words).alias("mean_word"),
@@ -170,3 +174,8 @@ def score(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataF
     """(doc_id, score, predicted) for every row of docs."""
     out = statistics(docs, "doc_id", "text").select("doc_id", model.column().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with their columns."""
+    return statistics(docs, "doc_id", "text", carry=True).filter(model.column() >= threshold).select("_row.*")

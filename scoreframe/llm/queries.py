@@ -20,6 +20,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spread(docs), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoreframe.llm import license_scan
+
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return license_scan.by_document(license_scan.scan(docs, license_scan.train(docs)), docs)
+
+
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"), ordered=True)
 
@@ -70,6 +77,7 @@ def op10_avi_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_pfair_mix": op2_pfair_mix,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,

@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -295,25 +296,28 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, by_doc: DataFrame, least: int) -> DataFrame:
-    """(doc_id, start, stop) from texts (doc_id, bytes); by_doc is the same, dealt out by doc_id."""
+    """(doc_id, start, stop) from texts (doc_id, bytes); by_doc is the same, dealt out by doc_id, maybe with more columns."""
     spots = _anchor_rows(texts, least)
     often = _anchor_rows(texts, least).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
     shared = spots.join(often, "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h", "hot")).alias("spots"))
     # left joins on both uses of by_doc: an inner one would filter its keys first and deal the texts out twice
-    joined = by_doc.join(shared, "doc_id", "left").select("doc_id", "bytes", "spots").sortWithinPartitions("doc_id")
+    joined = by_doc.join(shared, "doc_id", "left").select("doc_id", "bytes", "spots", *by_doc.columns[2:]).sortWithinPartitions("doc_id")
     return _decide(_fragments(joined, least), least)
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) per row; kept are the remaining bytes."""
-    texts = _texts(spread(docs.select(id_col, text_col)), id_col, text_col)
-    by_doc = texts.repartition("doc_id")
+def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) per row; kept are the remaining bytes. Carried columns follow."""
+    rows = spread(docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))))
+    texts = _texts(rows, id_col, text_col)
+    more = [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)]
+    by_doc = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("bytes"), *more).repartition("doc_id")
     spans = repeated_spans(texts, by_doc, least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = by_doc.join(spans, "doc_id", "left").select("doc_id", "bytes", "spans")
+    both = by_doc.join(spans, "doc_id", "left").select("doc_id", "bytes", "spans", *by_doc.columns[2:])
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *by_doc.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            out = []
             for doc, text, found in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 text, merged = text.as_py(), []
                 for s in sorted((x["start"], min(x["stop"], len(text))) for x in found.as_py() or ()):
@@ -326,8 +330,29 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join((*kept, text[at:]))
-                rows.append((doc.as_py(), len(text), len(text) - len(kept), len(merged), kept))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((doc.as_py(), len(text), len(text) - len(kept), len(merged), kept))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), *batch.columns[3:]], names)
+
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *(f"_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))])
+    return both.mapInArrow(run, schema).withColumnsRenamed({f"_{k}": f"carried_{c}" for k, c in enumerate(carry)})
+
+
+def cut_texts(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeats cut out of the text (characters cut in half go as well) and n_chars, if it is there, set
+    anew. Rows of which nothing is left go; rows without text stay."""
+    carry = tuple(c for c in docs.columns if c != text_col)
+    out = remove_repeats(docs, least, id_col, text_col, carry).filter("n_bytes = 0 OR n_removed < n_bytes")
+    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
+    out = out.select(*(F.col(f"`carried_{c}`").alias(c) for c in carry), text.alias(text_col))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def _whole_characters(kept):
+    @F.pandas_udf("string")
+    def decode(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda b: b.decode("utf-8", "ignore"))
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return decode(kept)
