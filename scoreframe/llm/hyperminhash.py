@@ -159,9 +159,7 @@ def _sets(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFram
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = stored(sets.join(wanted, "doc_id", "left_semi"), "sets")
-    both = pairs.join(held.withColumnsRenamed({"doc_id": "a", "hashes": "ha"}), "a").join(held.withColumnsRenamed({"doc_id": "b", "hashes": "hb"}), "b")
+    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "hashes": "hb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +173,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs that their sizes or the estimate rule out."""
-    sig = reps.select("doc_id", "n", "regs")
+def _plausible(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs that their sizes or the estimate rule out. sig: (doc_id, n, regs)."""
     both = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "n": "na", "regs": "ra"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "n": "nb", "regs": "rb"}), "b")
     both = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -246,23 +243,28 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     sig = stored(signatures(docs, n_words, id_col, text_col), "signatures")
     heads = sig.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     members = stored(sig.select("doc_id", "n", "d1", "d2").join(heads, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = sig.join(members.filter("n > 0 AND rep = doc_id").select("doc_id"), "doc_id", "left_semi")
-    bands = reps.select("doc_id", F.explode("bands").alias("key"))
-    ends = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    reps = members.filter("n > 0 AND rep = doc_id").select("doc_id")
+    bands = sig.select("doc_id", "bands").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    ends = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).filter("low < high")
     grouped = stored(bands.join(ends, "key"), "bands")
     star = grouped.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(grouped.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
-    sets = _sets(docs, n_words, id_col, text_col)
-    links = stored(_confirm(stored(_plausible(star, reps, percent), "pairs"), sets, percent), "links")
-    found = links
+    star = stored(star, "star")
+    # registers and sets are fetched only for documents that share a band, and only once
+    near = grouped.select("doc_id").distinct()
+    regs = stored(sig.select("doc_id", "n", "regs").join(near, "doc_id", "left_semi"), "registers")
+    pairs = stored(_plausible(star, regs, percent), "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(grouped.filter("c > 2").select("doc_id")).distinct()
+    texts = docs.withColumn("doc_id", F.col(id_col).cast("long")).join(wanted, "doc_id", "left_semi")
+    sets = stored(_sets(texts, n_words, "doc_id", text_col), "sets")
+    found = stored(_confirm(pairs, sets, percent), "links")
+    label = components(near, found)
     # pairs across what the stars left apart
-    label = components(reps, links)
-    held = grouped.select("key", "doc_id").join(label, "doc_id")
-    apart = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).filter("x < y AND c > 2").select("key")
-    more = _across(held.join(apart, "key", "left_semi").join(reps.select("doc_id", "n", "regs"), "doc_id"), percent)
-    more = stored(more.join(stored(star, "star"), ["a", "b"], "left_anti"), "pairs")
+    held = grouped.filter("c > 2").select("key", "doc_id").join(label, "doc_id")
+    apart = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    more = _across(held.join(apart, "key", "left_semi").join(regs, "doc_id"), percent)
+    more = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        found = found.union(_confirm(more, sets, percent))
-        label = components(reps, stored(found, "links"))
+        label = components(near, stored(found.union(_confirm(more, sets, percent)), "links"))
     label = label.withColumnRenamed("doc_id", "rep")
     out = members.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     # the smallest id of the class: representatives are the smallest of their copies already
