@@ -125,31 +125,47 @@ def _pieces(part: list[bytes], least: int) -> Iterator[tuple[list[tuple[int, int
 
 def _fragments(joined: DataFrame, least: int) -> DataFrame:
     """(key, doc_id, start, stop, fragment) from (doc_id, bytes, spots); a null fragment is a span that is already known
-    to repeat. Rows come by doc_id, so the first fragment of its kind in a task is the earliest there."""
+    to repeat. Rows come by doc_id, so the first fragment of its kind in a task is the earliest there. A spot is an
+    anchor's packed place, doubled, plus 1 if the anchor is dealt out by windows."""
+
+    def digest(piece: bytes, size: int = 16) -> bytes:
+        return hashlib.blake2b(piece, digest_size=size).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text, spots in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for spot in sorted(spots or (), key=lambda s: s["at"]):
-                    at, h = spot["at"], spot["h"]
-                    start = (at >> 16) - ((at >> 8) & 255)
-                    stop = start + (at & 255) + least
+            for doc, text, spots in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if not spots.is_valid:
+                    continue
+                doc, text = doc.as_py(), text.as_py()
+                packed = np.unique(spots.values.to_numpy(zero_copy_only=False))
+                at = packed >> 1
+                starts = (at >> 16) - ((at >> 8) & 255)
+                stops = starts + (at & 255) + least
+                known: list[list[int]] = []  # merged spans of this text that repeat
+
+                def repeat(a: int, b: int) -> None:
+                    if known and a <= known[-1][1]:
+                        known[-1][1] = max(known[-1][1], b)
+                    else:
+                        known.append([a, b])
+
+                for hot, place, start, stop in zip((packed & 1).tolist(), (at >> 16).tolist(), starts.tolist(), stops.tolist(), strict=True):
                     piece = text[start:stop]
-                    mark = hashlib.blake2b(piece, digest_size=16).digest()
-                    known = seen.setdefault(mark, (doc, start))
-                    if known != (doc, start):
-                        rows.append((hash((doc, start)), doc, start, stop, None))
-                    elif not spot["hot"]:
-                        rows.append((h, doc, start, stop, piece))
+                    if seen.setdefault(digest(piece), (doc, start)) != (doc, start):
+                        repeat(start, stop)
+                    elif not hot:
+                        rows.append((int.from_bytes(digest(text[place : place + GRAM], 8), "little", signed=True), doc, start, stop, piece))
                     else:
                         for w in range(start, stop - least + 1):
                             window = text[w : w + least]
-                            mark = hashlib.blake2b(window, digest_size=16, person=b"w").digest()
-                            known = seen.setdefault(mark, (doc, w))
-                            key = int.from_bytes(mark[:8], "little", signed=True)
-                            rows.append((key, doc, w, w + least, window) if known == (doc, w) else (hash((doc, w)), doc, w, w + least, None))
+                            mark = digest(window)
+                            if seen.setdefault(b"w" + mark, (doc, w)) != (doc, w):
+                                repeat(w, w + least)
+                            else:
+                                rows.append((int.from_bytes(mark[:8], "little", signed=True), doc, w, w + least, window))
+                rows += [(hash((doc, a)), doc, a, b, None) for a, b in known]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["key", "doc_id", "start", "stop", "fragment"])
 
@@ -299,7 +315,9 @@ def repeated_spans(texts: DataFrame, by_doc: DataFrame, least: int) -> DataFrame
     """(doc_id, start, stop) from texts (doc_id, bytes); by_doc is the same, dealt out by doc_id, maybe with more columns."""
     spots = _anchor_rows(texts, least)
     often = _anchor_rows(texts, least).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
-    shared = spots.join(often, "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h", "hot")).alias("spots"))
+    shared = spots.join(often, "h").select("doc_id", (F.col("at") * 2 + F.col("hot").cast("int")).alias("at"))
+    # dealt out as plain rows: lists made before the shuffle would be several times as large
+    shared = shared.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
     # left joins on both uses of by_doc: an inner one would filter its keys first and deal the texts out twice
     joined = by_doc.join(shared, "doc_id", "left").select("doc_id", "bytes", "spots", *by_doc.columns[2:]).sortWithinPartitions("doc_id")
     return _decide(_fragments(joined, least), least)
