@@ -6,8 +6,9 @@ first mantissa bits after the leading one. Folded registers are banded to find c
 Jaccard estimate drops the hopeless ones, and the rest are confirmed on the full sets.
 
 Groups of equal sets are collapsed before banding (with map-side combining), so a large group of copies is one row. Of a
-band's members each is first paired with the group's smallest and largest id only; once those links have merged, pairs
-across the groups that are still apart are compared in blocks. So groups of near copies stay linear.
+band's members each is first paired with the group's smallest and largest id only; once those links have merged, rows
+outside a group's largest component are paired with their likeliest partner, and at last with all that remain apart. So
+groups of near copies stay linear.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a text with fewer than n words has
 its whole sequence as one shingle; repeated rows of one doc_id are one document with the text of the smallest set digest
@@ -31,8 +32,8 @@ FOLDED = 66  # registers that are banded, at most
 ROWS = 3  # registers of a band
 BANDS = 22
 MANTISSA = 10
-SLACK = 0.12  # of the estimate, four and a half standard deviations at 256 registers
-BLOCK = 256  # members of a block of a band's group
+SLACK = 0.10  # of the estimate, four standard deviations at 256 registers
+BLOCK = 1024  # rows of a block of a band's group
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -126,7 +127,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def signatures(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, d1, d2, regs, bands): set size, digest of the set, fine registers, band keys."""
+    """(doc_id, n, d1, d2, regs, bands): set size, digest of the set, fine registers, band keys (0 for an empty band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +139,7 @@ def signatures(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> Dat
                 d1.append(int(np.add.reduce(x).view(np.int64)))
                 d2.append(int(np.add.reduce(_mix(x ^ _PRIME)).view(np.int64)))
                 regs.append(registers(h).tobytes())
-                bands.append([k for k in band_keys(h) if k is not None])
+                bands.append([k or 0 for k in band_keys(h)])
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "regs", "bands"])
 
@@ -175,6 +176,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _plausible(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Drops pairs that their sizes or the estimate rule out. sig: (doc_id, n, regs)."""
+    sig = sig.select("doc_id", "n", "regs")
     both = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "n": "na", "regs": "ra"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "n": "nb", "regs": "rb"}), "b")
     both = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -211,30 +213,91 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("doc_id").join(now, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
-def _across(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one band's group that lie in different components, block by block, where the estimate allows a link.
-    groups: (key, doc_id, component, n, regs). Rows are copied once per pair of blocks; no group meets in one task."""
-    count = groups.groupBy("key").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("k"))
-    spreadout = groups.join(count, "key").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    with_pair = spreadout.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    blocks = with_pair.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), (F.col("i") == F.least("i", "j")).alias("left"), "doc_id", "component", "n", "regs")
+def _blocks(groups: DataFrame) -> DataFrame:
+    """Blocks (key, p, q) of the bands' groups: rows outside a group's largest component ask, all rows answer; askers of
+    part p meet answerers of part q, about BLOCK rows each, so no group meets in one task.
+    groups: (key, doc_id, component, n, regs, bands)."""
+    sizes = groups.groupBy("key", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    parts = largest.select("key", "main", (F.floor((F.col("all") - 1) / BLOCK) + 1).cast("int").alias("k"), (F.floor((F.col("all") - F.col("most") - 1) / BLOCK) + 1).cast("int").alias("kl"))
+    rows = groups.join(parts, "key").withColumn("h", F.xxhash64("doc_id"))
+    kept = ["doc_id", "component", "n", "regs", "bands"]
+    answers = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("kl") - 1)).alias("p"), F.pmod("h", "k").cast("int").alias("q"), F.lit(False).alias("asks"), *kept)
+    asking = rows.filter("component <> main").select("key", F.pmod("h", "kl").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"), F.lit(True).alias("asks"), *kept)
+    return answers.unionByName(asking)
+
+
+def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(asking row, rows it may be linked with, their estimates) in one block; a pair counts in its first shared band only."""
+    ids, comp, n, asks = (table.column(c).to_numpy() for c in ("doc_id", "component", "n", "asks"))
+    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, FINE)
+    bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+    key = table.column("key")[0].as_py()
+    there = np.flatnonzero(~asks)
+    for x in np.flatnonzero(asks):
+        rest = there[(comp[there] != comp[x]) & (100 * np.minimum(n[there], n[x]) >= percent * np.maximum(n[there], n[x]))]
+        if len(rest):
+            shared = (bands[rest] == bands[x]) & (bands[x] != 0)
+            rest = rest[bands[x][shared.argmax(axis=1)] == key]
+        if len(rest):
+            a = np.broadcast_to(regs[x], (len(rest), FINE))
+            likely = estimate(a, regs[rest], None, None)
+            hit = likely >= percent / 100 - _slack(a, regs[rest])
+            if hit.any():
+                yield x, rest[hit], likely[hit]
+
+
+def _likeliest(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each asking row's likeliest partner in each block."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "n"))
-        order = np.argsort(ids)
-        ids, comp, n = ids[order], comp[order], n[order]
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, FINE)[order]
-        out_a, out_b = [], []
-        for x in range(len(ids) - 1):
-            rest = np.flatnonzero((comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))) + x + 1
-            if len(rest):
-                a = np.broadcast_to(regs[x], (len(rest), FINE))
-                hit = rest[estimate(a, regs[rest], None, None) >= percent / 100 - _slack(a, regs[rest])]
-                out_a += [ids[x]] * len(hit)
-                out_b += ids[hit].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return blocks.drop("left").distinct().groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+        ids = table.column("doc_id").to_numpy()
+        pairs = [(ids[x], ids[rest[np.argmax(likely)]]) for x, rest, likely in _candidates(table, percent)]
+        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+
+    return blocks.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
+def _confirm_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components among all candidates of the blocks. Candidates stay packed, one list per asking
+    row; the sets of a block's rows come to it once, and it gives one link per asking row and component."""
+
+    def listed(table: pa.Table) -> pa.Table:
+        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        lists = [(int(ids[x]), int(comp[x]), ids[rest], comp[rest]) for x, rest, _ in _candidates(table, percent)]
+        docs = np.unique(np.concatenate([[x[0] for x in lists], *(x[2] for x in lists)]).astype(np.int64)) if lists else np.zeros(0, np.int64)
+        n = len(docs)
+        block = [table.column(c)[0].as_py() for c in ("key", "p", "q")] if table.num_rows else [0, 0, 0]
+        cols = {
+            "key": pa.array([block[0]] * (n + len(lists)), pa.int64()), "p": pa.array([block[1]] * (n + len(lists)), pa.int32()), "q": pa.array([block[2]] * (n + len(lists)), pa.int32()),
+            "doc_id": pa.array([*docs.tolist(), *(x[0] for x in lists)], pa.int64()),
+            "to": pa.array([None] * n + [x[2].tolist() for x in lists], pa.list_(pa.int64())), "of": pa.array([None] * n + [x[3].tolist() for x in lists], pa.list_(pa.int64())),
+        }
+        return pa.table(cols)
+
+    packed = stored(blocks.groupBy("key", "p", "q").applyInArrow(listed, "key long, p int, q int, doc_id long, to array<long>, of array<long>"), "candidates")
+    rows = packed.filter("to IS NULL").join(sets, "doc_id").select("key", "p", "q", "doc_id", "to", "of", "hashes")
+    rows = rows.unionByName(packed.filter("to IS NOT NULL").withColumn("hashes", F.lit(None).cast("binary")).select(*rows.columns))
+
+    def check(table: pa.Table) -> pa.Table:
+        held, lists, out = {}, [], []
+        for doc, to, of, hashes in zip(*(table.column(c) for c in ("doc_id", "to", "of", "hashes")), strict=True):
+            if hashes.is_valid:
+                held[doc.as_py()] = np.frombuffer(hashes.as_py(), np.uint64)
+            else:
+                lists.append((doc.as_py(), to.as_py(), of.as_py()))
+        for x, to, of in lists:
+            p, linked = held[x], set()
+            for y, component in zip(to, of, strict=True):
+                if component not in linked:
+                    q = held[y]
+                    common = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * common >= percent * (len(p) + len(q) - common):
+                        linked.add(component)
+                        out.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+    return rows.groupBy("key", "p", "q").applyInArrow(check, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,27 +307,34 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     heads = sig.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     members = stored(sig.select("doc_id", "n", "d1", "d2").join(heads, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = members.filter("n > 0 AND rep = doc_id").select("doc_id")
-    bands = sig.select("doc_id", "bands").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    bands = sig.select("doc_id", "bands").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")).filter("key <> 0")
     ends = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).filter("low < high")
     grouped = stored(bands.join(ends, "key"), "bands")
     star = grouped.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(grouped.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
     star = stored(star, "star")
     # registers and sets are fetched only for documents that share a band, and only once
     near = grouped.select("doc_id").distinct()
-    regs = stored(sig.select("doc_id", "n", "regs").join(near, "doc_id", "left_semi"), "registers")
+    regs = stored(sig.select("doc_id", "n", "regs", "bands").join(near, "doc_id", "left_semi"), "registers")
     pairs = stored(_plausible(star, regs, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(grouped.filter("c > 2").select("doc_id")).distinct()
     texts = docs.withColumn("doc_id", F.col(id_col).cast("long")).join(wanted, "doc_id", "left_semi")
     sets = stored(_sets(texts, n_words, "doc_id", text_col), "sets")
     found = stored(_confirm(pairs, sets, percent), "links")
     label = components(near, found)
-    # pairs across what the stars left apart
-    held = grouped.filter("c > 2").select("key", "doc_id").join(label, "doc_id")
-    apart = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    more = _across(held.join(apart, "key", "left_semi").join(regs, "doc_id"), percent)
-    more = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        label = components(near, stored(found.union(_confirm(more, sets, percent)), "links"))
+    # pairs across what the stars left apart: first each row's likeliest partner, then all that are still apart
+    big = grouped.filter("c > 2").select("key", "doc_id")
+    for last in (False, True):
+        held = big.join(label, "doc_id")
+        apart = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+        blocks = _blocks(stored(held.join(apart, "key", "left_semi").join(regs, "doc_id"), "apart"))
+        if last:
+            new = _confirm_blocks(blocks, sets, percent)
+        else:
+            new = _confirm(stored(_likeliest(blocks, percent).join(star, ["a", "b"], "left_anti"), "pairs"), sets, percent)
+        new = stored(new, "links")
+        if not new.isEmpty():
+            found = found.union(new)
+            label = components(near, found)
     label = label.withColumnRenamed("doc_id", "rep")
     out = members.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     # the smallest id of the class: representatives are the smallest of their copies already
