@@ -4,7 +4,7 @@ Candidates. In each window of ``least`` bytes the smallest hash of its ``GRAM``-
 (leftmost on ties). Equal windows have equal anchors at equal places, so only windows whose anchor's hash occurs more
 than once can repeat; they are cut out as fragments around their anchors and meet by that hash. An anchor that occurs
 more than ``HOT`` times is dealt out window by window, by the window's own hash, so no key grows with a common line.
-Identical fragments fold into their earliest occurrence before and after the shuffle.
+Identical fragments fold into their earliest occurrence, by their hashes, before and after the shuffle.
 
 Decision. Fragments that share an anchor but differ are put into blocks of about ``BLOCK`` bytes. A block's
 Burrows-Wheeler transform is taken, and breadth-first backward extension over its intervals finds the longest common
@@ -123,13 +123,23 @@ def _pieces(part: list[bytes], least: int) -> Iterator[tuple[list[tuple[int, int
             yield [(i, at, t[at : at + CHUNK])], at
 
 
-def _fragments(joined: DataFrame, least: int) -> DataFrame:
-    """(key, doc_id, start, stop, fragment) from (doc_id, bytes, spots); a null fragment is a span that is already known
-    to repeat. Rows come by doc_id, so the first fragment of its kind in a task is the earliest there. A spot is an
-    anchor's packed place, doubled, plus 1 if the anchor is dealt out by windows."""
+def _digest(piece: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(piece, digest_size=size).digest()
 
-    def digest(piece: bytes, size: int = 16) -> bytes:
-        return hashlib.blake2b(piece, digest_size=size).digest()
+
+def _long(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+
+def _marks(joined: DataFrame, least: int) -> DataFrame:
+    """(key, mark, doc_id, start, stop) of the fragments of (doc_id, bytes, spots): the anchor's hash and the fragment's
+    own. A null mark is a span that is already known to repeat. Rows come by doc_id, so the first fragment of its kind
+    in a task is the earliest there. A spot is an anchor's packed place, doubled, plus 1 if it is dealt out by windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}
@@ -152,24 +162,64 @@ def _fragments(joined: DataFrame, least: int) -> DataFrame:
                         known.append([a, b])
 
                 for hot, place, start, stop in zip((packed & 1).tolist(), (at >> 16).tolist(), starts.tolist(), stops.tolist(), strict=True):
-                    piece = text[start:stop]
-                    if seen.setdefault(digest(piece), (doc, start)) != (doc, start):
+                    mark = _digest(text[start:stop])
+                    if seen.setdefault(mark, (doc, start)) != (doc, start):
                         repeat(start, stop)
                     elif not hot:
-                        rows.append((int.from_bytes(digest(text[place : place + GRAM], 8), "little", signed=True), doc, start, stop, piece))
+                        rows.append((_long(_digest(text[place : place + GRAM], 8)), _long(mark), doc, start, stop))
                     else:
                         for w in range(start, stop - least + 1):
-                            window = text[w : w + least]
-                            mark = digest(window)
+                            mark = _digest(text[w : w + least])
                             if seen.setdefault(b"w" + mark, (doc, w)) != (doc, w):
                                 repeat(w, w + least)
                             else:
-                                rows.append((int.from_bytes(mark[:8], "little", signed=True), doc, w, w + least, window))
-                rows += [(hash((doc, a)), doc, a, b, None) for a, b in known]
+                                rows.append((_long(mark), _long(mark[8:]), doc, w, w + least))
+                rows += [(hash((doc, a)), None, doc, a, b) for a, b in known]
+            yield _batch(rows, ["key", "mark", "doc_id", "start", "stop"])
+
+    return joined.mapInArrow(run, "key long, mark long, doc_id long, start long, stop long")
+
+
+def _fold(marks: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, key): null keys are spans that repeat an earlier identical fragment; the earliest fragments
+    of keys that hold unlike ones keep their key, as their bytes have to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mark, first, own = None, None, None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for k, m, doc, start, stop in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if m is None:
+                    out.append((doc, start, stop, None))
+                    continue
+                if k != key:
+                    out += own if len(own) > 1 else ()
+                    key, mark, own = k, None, []
+                if m != mark:
+                    mark, first = m, (doc, start)
+                    own.append((doc, start, stop, k))
+                elif first != (doc, start):
+                    out.append((doc, start, stop, None))
+            yield _batch(out, ["doc_id", "start", "stop", "key"])
+        yield _batch(own if len(own) > 1 else [], ["doc_id", "start", "stop", "key"])
+
+    return marks.repartition("key").sortWithinPartitions("key", "mark", "doc_id", "start").mapInArrow(run, "doc_id long, start long, stop long, key long")
+
+
+def _fragments(listed: DataFrame) -> DataFrame:
+    """(key, doc_id, start, stop, fragment) of the listed fragments with a key, from (doc_id, bytes, spans)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, spans in zip(*(batch.column(k) for k in range(3)), strict=True):
+                for s in spans.as_py() or ():
+                    if s["key"] is not None:
+                        rows.append((s["key"], doc.as_py(), s["start"], s["stop"], text.as_py()[s["start"] : s["stop"]]))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["key", "doc_id", "start", "stop", "fragment"])
 
-    return joined.mapInArrow(run, "key long, doc_id long, start long, stop long, fragment binary")
+    return listed.mapInArrow(run, "key long, doc_id long, start long, stop long, fragment binary")
 
 
 def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
@@ -266,43 +316,21 @@ def _decide(fragments: DataFrame, least: int) -> DataFrame:
     """(doc_id, start, stop) spans that repeat, from fragments sorted by (key, doc_id, start) in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        names = ["doc_id", "start", "stop"]
         block: list[tuple[int, int, bytes]] = []
-        group: dict[bytes, tuple[int, int]] = {}
         size, key = 0, None
-
-        def close() -> None:
-            nonlocal size
-            if len(group) > 1:
-                block.extend((d, s, p) for p, (d, s) in group.items())
-                size += sum(map(len, group))
-            group.clear()
-            if size >= BLOCK:
-                out.extend(repeats(block, least))
-                block.clear()
-                size = 0
-
-        def taken() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "stop"])
-
         for batch in batches:
-            for k, doc, start, stop, piece in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if piece is None:
-                    out.append((doc, start, stop))
-                    continue
-                if k != key:
-                    close()
-                    key = k
-                known = group.setdefault(piece, (doc, start))
-                if known != (doc, start):
-                    out.append((doc, start, stop))
-            yield taken()
-        close()
-        if block:
-            out.extend(repeats(block, least))
-        yield taken()
+            out: list[tuple[int, int, int]] = []
+            for k, doc, start, piece in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                if k != key and size >= BLOCK:
+                    out += repeats(block, least)
+                    block.clear()
+                    size = 0
+                key = k
+                block.append((doc, start, piece))
+                size += len(piece)
+            yield _batch(out, names)
+        yield _batch(repeats(block, least) if block else [], names)
 
     return fragments.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(run, "doc_id long, start long, stop long")
 
@@ -311,16 +339,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("bytes"))
 
 
-def repeated_spans(texts: DataFrame, by_doc: DataFrame, least: int) -> DataFrame:
-    """(doc_id, start, stop) from texts (doc_id, bytes); by_doc is the same, dealt out by doc_id, maybe with more columns."""
+def candidate_spans(texts: DataFrame, by_doc: DataFrame, least: int) -> DataFrame:
+    """(doc_id, found: array of (start, stop, key)) per document with candidates: see _fold.
+    by_doc is texts (doc_id, bytes), maybe with more columns, dealt out by doc_id."""
     spots = _anchor_rows(texts, least)
     often = _anchor_rows(texts, least).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
     shared = spots.join(often, "h").select("doc_id", (F.col("at") * 2 + F.col("hot").cast("int")).alias("at"))
     # dealt out as plain rows: lists made before the shuffle would be several times as large
     shared = shared.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
-    # left joins on both uses of by_doc: an inner one would filter its keys first and deal the texts out twice
+    # left joins on all uses of by_doc: an inner one would filter its keys first and deal the texts out again
     joined = by_doc.join(shared, "doc_id", "left").select("doc_id", "bytes", "spots", *by_doc.columns[2:]).sortWithinPartitions("doc_id")
-    return _decide(_fragments(joined, least), least)
+    return _fold(_marks(joined, least)).repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "key")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -329,16 +358,18 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
     texts = _texts(rows, id_col, text_col)
     more = [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)]
     by_doc = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("bytes"), *more).repartition("doc_id")
-    spans = repeated_spans(texts, by_doc, least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = by_doc.join(spans, "doc_id", "left").select("doc_id", "bytes", "spans", *by_doc.columns[2:])
+    listed = by_doc.join(candidate_spans(texts, by_doc, least), "doc_id", "left").select("doc_id", "bytes", "found", *by_doc.columns[2:])
+    unlike = _decide(_fragments(listed), least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
+    both = listed.join(unlike, "doc_id", "left").select("doc_id", "bytes", "found", "more", *by_doc.columns[2:])
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *by_doc.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, found in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for doc, text, found, more in zip(*(batch.column(k) for k in range(4)), strict=True):
                 text, merged = text.as_py(), []
-                for s in sorted((x["start"], min(x["stop"], len(text))) for x in found.as_py() or ()):
+                spans = [x for x in found.as_py() or () if x["key"] is None] + (more.as_py() or [])
+                for s in sorted((x["start"], min(x["stop"], len(text))) for x in spans):
                     if merged and s[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], s[1])
                     elif s[0] < s[1]:
@@ -350,7 +381,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
                 kept = b"".join((*kept, text[at:]))
                 out.append((doc.as_py(), len(text), len(text) - len(kept), len(merged), kept))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), *batch.columns[3:]], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), *batch.columns[4:]], names)
 
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *(f"_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))])
     return both.mapInArrow(run, schema).withColumnsRenamed({f"_{k}": f"carried_{c}" for k, c in enumerate(carry)})
