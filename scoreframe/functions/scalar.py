@@ -252,7 +252,7 @@ def canonical_url(c: Column) -> Column:
 
 def decode_target(c: Column) -> Column:
     """A base64 link target as text; null if it isn't one."""
-    return F.when(F.length(c) % 4 == 0, F.decode(F.try_to_binary(c, F.lit("base64")), "UTF-8"))
+    return F.when(F.length(c) % 4 == 0, F.try_validate_utf8(F.try_to_binary(c, F.lit("base64")).cast("string")))
 
 
 def number_in(c: Column, low: float, high: float) -> Column:

@@ -54,7 +54,7 @@ def reference_grid(spark: SparkSession, rows: Sequence[tuple], labels: Sequence[
 def document_manifest(df: DataFrame, name: str, content: str) -> DataFrame:
     """One row per document: sha256, length, kind by its first bytes, and a note if it isn't what its name says."""
     c = F.col(content)
-    kind = F.when(F.startswith(c, F.lit(b"%PDF")), "pdf").when(F.startswith(c, F.lit(b"PK")), "zip").when(F.lower(F.decode(F.substring(c, 1, 64), "UTF-8")).rlike(r"^\s*<(!doctype|html)"), "html").otherwise("other")
+    kind = F.when(F.startswith(c, F.lit(b"%PDF")), "pdf").when(F.startswith(c, F.lit(b"PK")), "zip").when(F.lower(F.make_valid_utf8(F.substring(c, 1, 64).cast("string"))).rlike(r"^\s*<(!doctype|html)"), "html").otherwise("other")
     note = F.when(F.col(name).endswith(".pdf") & (kind != "pdf"), "body is not a PDF").otherwise("")
     return df.select(name, F.sha2(c, 256).alias("sha256"), F.length(c).alias("n_bytes"), kind.alias("kind"), note.alias("note"))
 
