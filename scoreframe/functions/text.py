@@ -11,11 +11,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from scoreframe.functions import scalar as S
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type, not its name: names are parsed by a session, which importing has none of
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; 0 if a side is empty."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
