@@ -23,11 +23,22 @@ def two_decimals(x: Column) -> Column:
 def rank_rounded(df: DataFrame, score: str, keys: Sequence[str], excluded: Column | None = None, name: str = "rank") -> DataFrame:
     """Competition rank over scores with few distinct values (fixed decimals): rows per score are counted map-side, the
     counts are summed from the best down, and the rank is joined back. No window holds the rows of a whole key."""
-    fit = F.col(score).isNotNull() & (F.lit(True) if excluded is None else ~F.coalesce(excluded, F.lit(False)))
-    counts = df.filter(fit).groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    better = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*keys, score, (F.coalesce(F.sum("_n").over(better), F.lit(0)) + 1).alias("_r"))
-    return df.join(ranks, [*keys, score], "left").withColumn(name, F.when(fit, F.col("_r"))).drop("_r")
+    return rank_many(df, {name: score}, keys, excluded)
+
+
+def rank_many(df: DataFrame, scores: dict[str, str], keys: Sequence[str], excluded: Column | None = None) -> DataFrame:
+    """rank_rounded for several (rank name, score column) from one count over all of them."""
+    fit = F.lit(True) if excluded is None else ~F.coalesce(excluded, F.lit(False))
+    cells = F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(c).alias("_score")) for n, c in scores.items()]))
+    counts = df.filter(fit).select(*keys, cells).filter("_score IS NOT NULL").groupBy(*keys, "_name", "_score").agg(F.count("*").alias("_n"))
+    better = Window.partitionBy(*keys, "_name").orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("_r", F.coalesce(F.sum("_n").over(better), F.lit(0)) + 1)
+    wide = ranks.groupBy(*keys, "_score").agg(*[F.max(F.when(F.col("_name") == n, F.col("_r"))).alias(f"_{n}") for n in scores])
+    out = df
+    for n, c in scores.items():
+        one = wide.select(*keys, F.col("_score").alias(c), f"_{n}").filter(F.col(f"_{n}").isNotNull())
+        out = out.join(one, [*keys, c], "left").withColumn(n, F.when(fit, F.col(f"_{n}"))).drop(f"_{n}")
+    return out
 
 
 def minmax_all(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -62,8 +73,7 @@ def build_rankings(projection: DataFrame, keys: Sequence[str], groups: dict[str,
     out = out.withColumn("bucket", application_bucket(F.col("tier"), F.col("_attendance"))).withColumn("confidence", S.label_by_threshold(F.col("overall_coverage"), CONFIDENCE_CUTS)).withColumn("positive_drivers", positive).withColumn("negative_drivers", negative)
     for name, weights in scenarios.items():
         out = out.withColumn(f"{name}_score", two_decimals(A.weighted_score(weights)[0]))
-    for name in ("overall", *scenarios):
-        out = rank_rounded(out, f"{name}_score", keys, excluded, f"{name}_rank")
+    out = rank_many(out, {f"{n}_rank": f"{n}_score" for n in ("overall", *scenarios)}, keys, excluded)
     return out.drop(*[f"_{n}" for n in groups])
 
 
