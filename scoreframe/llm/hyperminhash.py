@@ -174,6 +174,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def _alike_in_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs whose set sizes cannot reach the similarity. sizes: (doc_id, n)."""
+    sizes = sizes.distinct()
+    both = pairs.join(sizes.withColumnsRenamed({"doc_id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"doc_id": "b", "n": "nb"}), "b")
+    return both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+
+
 def _plausible(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Drops pairs that their sizes or the estimate rule out. sig: (doc_id, n, regs)."""
     sig = sig.select("doc_id", "n", "regs")
@@ -311,7 +318,8 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     ends = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).filter("low < high")
     grouped = stored(bands.join(ends, "key"), "bands")
     star = grouped.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(grouped.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
-    star = stored(star, "star")
+    # sizes alone rule out many pairs before any registers are sent
+    star = stored(_alike_in_size(star, members.select("doc_id", "n"), percent), "star")
     # registers and sets are fetched only for documents that share a band, and only once
     near = grouped.select("doc_id").distinct()
     regs = stored(sig.select("doc_id", "n", "regs", "bands").join(near, "doc_id", "left_semi"), "registers")
