@@ -101,3 +101,36 @@ def workflow_step(research: Column, decision: Column, missing: Column) -> Column
 def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], most: int) -> DataFrame:
     """The feature cap of user lists: the first rows of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+
+
+def workflow_rows(df: DataFrame, key: str, status: str, research: str, kept: Sequence[tuple[Column, Column]], cut: Sequence[tuple[Column, Column]], missing: Sequence[tuple[str, Column]]) -> DataFrame:
+    """(key, status, why_kept, why_cut, missing, step): reasons in order, only for the side that the status is on."""
+    s = F.lower(S.clean(F.col(status)))
+    out = s.isin(*EXCLUDED)
+    reasons = lambda tests: F.array_join(F.array_compact(F.array(*[F.when(t, x) for t, x in tests])), "; ")
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in missing]))
+    return df.select(
+        key, s.alias(status), F.when(out, "").otherwise(reasons(kept)).alias("why_kept"), F.when(out, reasons(cut)).otherwise("").alias("why_cut"),
+        F.array_join(names, ",").alias("missing"), workflow_step(F.col(research), s, names).alias("step"),
+    )
+
+
+def status_counts(df: DataFrame, area: str, label: str) -> DataFrame:
+    """(area, label, n, share): rows by label within each area, partially aggregated; null areas and labels count as 'unknown'."""
+    df = df.withColumn(area, F.coalesce(F.col(area).cast("string"), F.lit("unknown")))
+    n = df.groupBy(area, F.coalesce(F.col(label), F.lit("unknown")).alias(label)).agg(F.count("*").alias("n"))
+    return n.join(n.groupBy(area).agg(F.sum("n").alias("_all")), area).withColumn("share", F.bround(F.col("n") / F.col("_all") * 100, 1)).drop("_all")
+
+
+def export_state(df: DataFrame, owner: str, item: str, scope: str) -> DataFrame:
+    """(owner, record): one JSON record of each owner with its distinct items in order; nulls are no items."""
+    items = df.filter(F.col(item).isNotNull()).select(owner, item).distinct()
+    return items.groupBy(owner).agg(F.array_sort(F.collect_list(item)).alias("ids")).select(owner, F.to_json(F.struct(F.lit(scope).alias("scope"), "ids")).alias("record"))
+
+
+def assumptions(prefs: DataFrame, key: str, inputs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(key, input, value, weight, note): one row per input (name, value column, weight column); the note says when a
+    missing input or a zero weight turns it off."""
+    rows = F.array(*[F.struct(F.lit(n).alias("input"), F.col(v).cast("double").alias("value"), F.coalesce(F.col(w).cast("double"), F.lit(0.0)).alias("weight")) for n, v, w in inputs])
+    note = F.when(F.col("value").isNull(), "missing input").when(F.col("weight") == 0, "zero weight").otherwise("")
+    return prefs.select(key, F.explode(rows).alias("_r")).select(key, "_r.*").withColumn("note", note)

@@ -145,3 +145,66 @@ def d27(spark, d):
 def d31(spark, d):
     why = W.why_bullets([(F.col("p_size") > 25, F.lit("large")), (F.col("p_retailprice") < 1200, F.lit("cheap")), (F.col("p_size") % 2 == 0, F.lit("even"))], 2)
     return table(spark, d, "part").select("p_partkey", F.array_join(why, "; ").alias("why"))
+
+
+HOST = r"regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '')"
+
+
+@query("d13_classify_source", rf"""
+WITH h AS (SELECT page_id, url, {HOST} AS host, contains(url, 'utm_source') AS named FROM pages),
+  x AS (SELECT page_id, CASE WHEN starts_with(url, 'http://') OR host = '' THEN 'unsafe' WHEN host = 'example.org' THEN 'exact_host' WHEN same AND named THEN 'same_domain_named' WHEN same THEN 'same_domain'
+          WHEN ends_with(host, '.edu') AND named THEN 'edu_named' WHEN ends_with(host, '.edu') THEN 'edu' WHEN named THEN 'named' ELSE 'other' END AS label
+        FROM (SELECT *, regexp_matches(host, '(^|\.)example\.org$') AS same FROM h))
+SELECT page_id, label, score, score >= 0.9 AS auto FROM x JOIN (VALUES ('unsafe', 0.0::DOUBLE), ('exact_host', 1.0), ('same_domain_named', 0.95), ('same_domain', 0.9), ('edu_named', 0.9), ('edu', 0.7), ('named', 0.55), ('other', 0.25)) v(label, score) USING (label)""")
+def d13(spark, d):
+    found = W.classify_source(F.col("url"), F.lit("https://www.example.org/"), F.col("url").contains("utm_source"), F.col("url").startswith("http://"))
+    return table(spark, d, "pages").select("page_id", found.alias("f")).select("page_id", "f.*")
+
+
+@query("d16_probe_urls", r"""
+SELECT DISTINCT url AS seed, o || s AS probe FROM (SELECT url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1) AS o FROM pages), (VALUES ('/admissions'), ('/class-profile'), ('/sitemap.xml')) v(s) WHERE o || s <> url""")
+def d16(spark, d):
+    return W.probe_urls(table(spark, d, "pages"), "url", ["/admissions", "/class-profile", "/sitemap.xml"])
+
+
+@query("d21_workflow_rows", f"""
+WITH c AS (SELECT c_custkey, lower({D20}) AS status, c_acctbal, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 'researched' ELSE '' END AS research FROM customer),
+  m AS (SELECT *, list_filter([CASE WHEN c_acctbal <= 0 THEN 'balance' END, CASE WHEN c_nationkey < 5 THEN 'nation' END], lambda x: x IS NOT NULL) AS m,
+          CASE WHEN status = 'rejected' THEN '' ELSE concat_ws('; ', CASE WHEN c_acctbal > 5000 THEN 'high balance' END, CASE WHEN c_nationkey = 7 THEN 'home' END) END AS why_kept,
+          CASE WHEN status = 'rejected' THEN concat_ws('; ', CASE WHEN c_acctbal < 1000 THEN 'low balance' END, CASE WHEN c_nationkey > 20 THEN 'far' END) ELSE '' END AS why_cut FROM c)
+SELECT c_custkey, status, why_kept, why_cut, array_to_string(m, ',') AS missing,
+  CASE WHEN status = 'rejected' THEN 'closed' WHEN len(m) > 0 THEN 'find ' || array_to_string(m, ', ') WHEN research = 'researched' THEN 'decide' ELSE 'research' END AS step FROM m""")
+def d21(spark, d):
+    c = table(spark, d, "customer").withColumn("status", F.expr(D20.replace("c_custkey % 5", "CAST(c_custkey % 5 AS INT)"))).withColumn("research", F.when(F.col("c_custkey") % 2 == 0, "researched").otherwise(""))
+    kept = [(F.col("c_acctbal") > 5000, F.lit("high balance")), (F.col("c_nationkey") == 7, F.lit("home"))]
+    cut = [(F.col("c_acctbal") < 1000, F.lit("low balance")), (F.col("c_nationkey") > 20, F.lit("far"))]
+    return W.workflow_rows(c, "c_custkey", "status", "research", kept, cut, [("balance", F.col("c_acctbal") <= 0), ("nation", F.col("c_nationkey") < 5)])
+
+
+@query("d28_status_node", """
+SELECT c_mktsegment, label, n, round_even(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY c_mktsegment) * 100, 1) AS share
+FROM (SELECT c_mktsegment, CASE WHEN c_acctbal <= 0 THEN 'provisional' ELSE 'ready' END AS label, count(*) AS n FROM customer GROUP BY 1, 2)""")
+def d28(spark, d):
+    return W.status_counts(table(spark, d, "customer").withColumn("label", F.when(F.col("c_acctbal") <= 0, "provisional").otherwise("ready")), "c_mktsegment", "label")
+
+
+@query("d32_compare_table", """
+SELECT field, max(CASE WHEN p_partkey = 1 THEN value END) AS "1", max(CASE WHEN p_partkey = 2 THEN value END) AS "2", max(CASE WHEN p_partkey = 3 THEN value END) AS "3", max(CASE WHEN p_partkey = 4 THEN value END) AS "4"
+FROM (SELECT p_partkey, 'p_brand' AS field, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR) FROM part) GROUP BY 1""")
+def d32(spark, d):
+    return W.compare_table(table(spark, d, "part"), "p_partkey", [1, 2, 3, 4], ["p_brand", "p_type", "p_size"])
+
+
+@query("d33_export_state", """
+SELECT user_id, '{"scope":"events","ids":["' || string_agg(event_type, '","' ORDER BY event_type) || '"]}' AS record FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL) GROUP BY 1""")
+def d33(spark, d):
+    return W.export_state(table(spark, d, "events"), "user_id", "event_type", "events")
+
+
+@query("d34_assumptions", """
+SELECT *, CASE WHEN value IS NULL THEN 'missing input' WHEN weight = 0 THEN 'zero weight' ELSE '' END AS note FROM (
+  SELECT p_partkey, 'size' AS input, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS value, CAST(p_size % 3 * 10 AS DOUBLE) AS weight FROM part
+  UNION ALL SELECT p_partkey, 'price', p_retailprice, 25.0::DOUBLE FROM part)""")
+def d34(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("size"), (F.col("p_size") % 3 * 10).alias("w_size"), F.col("p_retailprice").alias("price"), F.lit(25.0).alias("w_price"))
+    return W.assumptions(p, "p_partkey", [("size", "size", "w_size"), ("price", "price", "w_price")])
