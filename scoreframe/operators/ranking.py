@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scoreframe.functions import scalar as S
 from scoreframe.functions.fixed import CONFIDENCE_CUTS, TIER_CUTS
 from scoreframe.operators import aggregates as A
+from scoreframe.operators import joins as J
 from scoreframe.operators import sorting as T
 
 Weights = Sequence[tuple[str, float]]
@@ -98,3 +99,14 @@ def merge_overrides(global_weights: Column, overrides: Column, aliases: dict[str
     named = overrides if table is None else F.map_from_entries(F.array_distinct(F.transform(F.map_entries(overrides), lambda e: F.struct(F.coalesce(F.element_at(table, e["key"]), e["key"]).alias("key"), e["value"].alias("value")))))
     sound = F.map_filter(named, lambda k, v: v.between(0, 100))
     return F.map_zip_with(global_weights, sound, lambda k, g, o: F.coalesce(o, g))
+
+
+def selector_rank(entities: DataFrame, selections: DataFrame, selection: str, fits: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """Every entity under every selection of bands: the midpoint ``mid_<c>`` of a band replaces the profile's value of
+    component c, and fits lists (component, spread, weight). The mean over the present components is ranked on four decimals."""
+    rows = J.cross_profiles(selections, entities)
+    fit = {c: S.fit_score(F.col(f"mid_{c}"), F.col(c), spread) for c, spread, _ in fits}
+    present = sum((F.when(fit[c].isNotNull(), w).otherwise(0.0) for c, _, w in fits), F.lit(0.0))
+    total = sum((F.coalesce(fit[c] * w, F.lit(0.0)) for c, _, w in fits), F.lit(0.0))
+    scored = rows.withColumn("score", F.when(present > 0, F.rint(total / present * 10000) / 10000))
+    return rank_rounded(scored, "score", [selection])

@@ -208,3 +208,16 @@ SELECT *, CASE WHEN value IS NULL THEN 'missing input' WHEN weight = 0 THEN 'zer
 def d34(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("size"), (F.col("p_size") % 3 * 10).alias("w_size"), F.col("p_retailprice").alias("price"), F.lit(25.0).alias("w_price"))
     return W.assumptions(p, "p_partkey", [("size", "size", "w_size"), ("price", "price", "w_price")])
+
+
+@query("d22_selector_rank", """
+WITH s AS (SELECT p_brand AS brand, CAST(min(p_size) + max(p_size) AS DOUBLE) / 2 AS mid_p_size, (min(p_retailprice) + max(p_retailprice)) / 2 AS mid_p_retailprice FROM part GROUP BY 1),
+  x AS (SELECT brand, p_partkey, CASE WHEN p_size % 4 <> 0 THEN greatest(1, least(10, 7 + (mid_p_size - p_size) / 8.0)) END AS a, greatest(1, least(10, 7 + (mid_p_retailprice - p_retailprice) / 200.0)) AS b FROM s CROSS JOIN part),
+  y AS (SELECT brand, p_partkey, round_even((coalesce(a * 60.0, 0) + b * 40.0) / CAST(CASE WHEN a IS NULL THEN 40 ELSE 100 END AS DOUBLE) * 10000, 0) / 10000 AS score FROM x)
+SELECT brand, p_partkey, score, rank() OVER (PARTITION BY brand ORDER BY score DESC) AS rank FROM y""")
+def d22(spark, d):
+    part = table(spark, d, "part")
+    mid = lambda c: ((F.min(c) + F.max(c)) / 2).alias(f"mid_{c}")
+    bands = part.groupBy(F.col("p_brand").alias("brand")).agg(mid("p_size"), mid("p_retailprice"))
+    parts = part.select("p_partkey", F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("p_size"), "p_retailprice")
+    return K.selector_rank(parts, bands, "brand", [("p_size", 8, 60.0), ("p_retailprice", 200, 40.0)]).select("brand", "p_partkey", "score", "rank")

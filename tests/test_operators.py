@@ -57,3 +57,13 @@ def test_upsert_skips_blank_and_foreign_rows(spark):
     export = spark.createDataFrame([(1, "x", 1, 2), (1, "y", 2, 2), (2, " ", 3, 2), (3, "z", 4, 1), (4, "n", 5, 2)], "id int, s string, pos int, v int")
     got = {r["id"]: (r["s"], r["change"]) for r in W.upsert_state(stored, export, ["id"], ["s"], "pos", "v", 2).collect()}
     assert got == {1: ("y", "replaced"), 2: ("b", "kept"), 4: ("n", "added")}
+
+
+def test_workflow_tables_with_nulls(spark):
+    df = spark.createDataFrame([(1, None, "x"), (1, None, None), (2, "b", "x")], "id int, area string, label string")
+    counts = {(r["area"], r["label"]): (r["n"], r["share"]) for r in W.status_counts(df, "area", "label").collect()}
+    assert counts == {("unknown", "x"): (1, 50.0), ("unknown", "unknown"): (1, 50.0), ("b", "x"): (1, 100.0)}
+    assert {r["id"]: r["record"] for r in W.export_state(df, "id", "label", "all").collect()} == {1: '{"scope":"all","ids":["x"]}', 2: '{"scope":"all","ids":["x"]}'}
+    notes = W.assumptions(spark.createDataFrame([(1, None, 5.0, 2.0, None)], "id int, a double, wa double, b double, wb double"), "id", [("a", "a", "wa"), ("b", "b", "wb")])
+    assert [r["note"] for r in notes.orderBy("input").collect()] == ["missing input", "zero weight"]
+    assert W.status_counts(df.limit(0), "area", "label").count() == 0
