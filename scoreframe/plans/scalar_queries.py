@@ -141,6 +141,13 @@ def p20(spark, d):
     return table(spark, d, "documents").filter(~F.col("text").contains("&")).select("doc_id", S.compact_text(F.col("text")).alias("compact"))
 
 
+@query("p20_compact_all", """SELECT doc_id, trim(regexp_replace(translate(replace(replace(replace(replace(replace(replace(coalesce(text, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+ '\u2010\u2011\u2012\u2013\u2014\u2212\u00a0', '------ '), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS compact FROM documents""")
+def p20a(spark, d):
+    """p20 over the whole table, with the rows that have something to decode."""
+    return table(spark, d, "documents").select("doc_id", S.compact_text(F.col("text")).alias("compact"))
+
+
 @query("p21_html_title", "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def p21(spark, d):
     return table(spark, d, "pages").select("page_id", S.html_title(F.col("html")).alias("title"))
