@@ -57,6 +57,16 @@ def j7(spark, d):
     return J.match_entities(s, m, "source_id", "master_id", "p_name", ["p_brand"]).select("source_id", "best", "label")
 
 
+@query("j7_match_misspelt")
+def j7m(spark, d):
+    """Names with a letter doubled or without blanks; every third source has no brand, every seventh a null one."""
+    m = table(spark, d, "part").select("p_brand", "p_name").distinct().withColumn("master_id", F.concat_ws("|", "p_brand", "p_name"))
+    k = F.crc32("master_id")
+    name = F.when(k % 2 == 0, F.regexp_replace("p_name", "^(..)(.)", "$1$2$2")).otherwise(F.regexp_replace("p_name", " ", ""))
+    s = m.select(F.col("master_id").alias("source_id"), F.when(k % 3 == 0, "").when(k % 7 == 0, None).otherwise(F.col("p_brand")).alias("p_brand"), name.alias("p_name"))
+    return J.match_entities(s, m, "source_id", "master_id", "p_name", ["p_brand"])
+
+
 @query("j8_match_with_geo")
 def j8(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.initcap("n_name").alias("city"))
@@ -70,7 +80,7 @@ def j9(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     names = table(spark, d, "supplier").join(n, "s_nationkey").select("s_suppkey", F.concat_ws(" ", "n_name", "s_name").alias("name"), F.col("s_name").alias("alias"), F.col("s_nationkey").cast("string").alias("state"), F.lower("n_name").alias("city"))
     src = names.select(F.col("s_suppkey").alias("source_id"), F.col("alias").alias("name"), "state", "city")
-    return J.match_profiles(src, names, "source_id", "s_suppkey", "name", ["name", "alias"], "state", "city")
+    return J.match_profiles(src, names, "source_id", "s_suppkey", "name", ["name", "alias"], "state", "city", ["alias"])
 
 
 @query("j10_unique_targets", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) = 1) UNION ALL SELECT o_orderkey, CAST(o_custkey AS INTEGER) FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1)")
