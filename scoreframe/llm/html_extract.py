@@ -1,8 +1,9 @@
 """HTML extraction by tree scoring.
 
-A lenient parser builds the element tree; boilerplate elements are cut; every paragraph passes points for its length
-and commas to its ancestors, discounted by its link density; the best container is kept with the siblings that score
-near it. Its text is written as one line per block.
+A lenient parser builds the element tree; every paragraph passes points for its length and commas to its ancestors,
+discounted by its link density; boilerplate elements are cut, those marked by class, id or role only if they don't hold
+most of the page's points; the best container is kept with the siblings that score near it. Its text is written as one
+line per block.
 
 Defined cases: null and empty pages give an empty text; repeated rows stay; an empty table gives no rows; a page
 without any scoring paragraph gives the text of its article, main or body. Other columns of the input are ignored.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ P_SCOPE = frozenset("table td th caption button html body".split())
 #: Words of class, id and role that mark boilerplate, whole and as beginnings.
 MARKED = frozenset("ad ads nav menu sidebar side footer header masthead cookie cookies consent notice notices banner promo promos promoted share sharing social related popup modal overlay toolbar subscribe signup login search breadcrumb breadcrumbs pagination pager widget comment comments disqus respond replies reply discussion sponsor sponsored outbrain taboola newsletter navigation complementary contentinfo alert gdpr skip".split())
 MARKED_START = ("advert", "comment", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor", "navbar", "topbar", "navig")
-KEPT = frozenset(("html", "body", "article", "main"))
+KEPT = frozenset(("html", "body", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S)
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -42,10 +43,11 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "parent", "children", "score")
+    __slots__ = ("tag", "marks", "parent", "children", "score", "total", "named", "saved")
 
     def __init__(self, tag: str, marks: str, parent: Node | None):
         self.tag, self.marks, self.parent, self.children, self.score = tag, marks, parent, [], 0.0
+        self.total, self.named, self.saved = 0.0, 0.0, False  # points of the subtree, those in article or main; marked, but kept
 
 
 def parse(page: str) -> Node:
@@ -98,16 +100,22 @@ def parse(page: str) -> Node:
     return root
 
 
-def is_boilerplate(node: Node) -> bool:
-    if node.tag in DROPPED:
-        return True
+def is_marked(node: Node) -> bool:
     if not node.marks or node.tag in KEPT:
         return False
     return any(w in MARKED or w.startswith(MARKED_START) for w in _WORD.findall(node.marks))
 
 
-def _walk(node: Node) -> Iterator[tuple[str, object]]:
-    """("open", node), ("text", str), ("close", node) in page order, without boilerplate; no recursion."""
+def is_dropped(node: Node) -> bool:
+    return node.tag in DROPPED
+
+
+def is_boilerplate(node: Node) -> bool:
+    return node.tag in DROPPED or (not node.saved and is_marked(node))
+
+
+def _walk(node: Node, cut: Callable[[Node], bool] = is_boilerplate) -> Iterator[tuple[str, object]]:
+    """("open", node), ("text", str), ("close", node) in page order, without what is cut; no recursion."""
     stack: list[tuple[Node, int]] = [(node, 0)]
     yield "open", node
     while stack:
@@ -119,15 +127,16 @@ def _walk(node: Node) -> Iterator[tuple[str, object]]:
         child = here.children[k]
         if isinstance(child, str):
             yield "text", child
-        elif not is_boilerplate(child):
+        elif not cut(child):
             yield "open", child
             stack.append((child, 0))
 
 
-def _scored(root: Node) -> list[Node]:
-    """Passes points up: all to the parent, half to the next, a third of the level's share beyond, four levels."""
+def _scored(root: Node, cut: Callable[[Node], bool] = is_boilerplate) -> list[Node]:
+    """Passes points up: all to the parent, half to the next, a third of the level's share beyond, four levels. Sums them
+    over each subtree as well."""
     candidates, open_paragraphs, links = {}, [], 0
-    for kind, what in _walk(root):
+    for kind, what in _walk(root, cut):
         if kind == "text" and open_paragraphs:
             words = html.unescape(what)
             box = open_paragraphs[-1]
@@ -136,6 +145,7 @@ def _scored(root: Node) -> list[Node]:
             box[2] += words.count(",")
             box[3] += n if links else 0
         elif kind == "open":
+            what.score = what.total = what.named = 0.0
             links += what.tag == "a"
             if what.tag in PARAGRAPHS:
                 open_paragraphs.append([what, 0, 0, 0])
@@ -143,18 +153,40 @@ def _scored(root: Node) -> list[Node]:
             links -= what.tag == "a"
             if open_paragraphs and open_paragraphs[-1][0] is what:
                 _, n, commas, linked = open_paragraphs.pop()
-                if n < 2:
-                    continue
-                points = (1 + commas + min(n / 100, 3)) * (1 - linked / n)
-                up, level = what.parent, 0
-                while up is not None and level < 4:
-                    up.score += points / (1, 2, 6, 9)[level]
-                    candidates[id(up)] = up
-                    up, level = up.parent, level + 1
+                if n >= 2:
+                    points = (1 + commas + min(n / 100, 3)) * (1 - linked / n)
+                    what.total += points
+                    up, level = what.parent, 0
+                    while up is not None and level < 4:
+                        up.score += points / (1, 2, 6, 9)[level]
+                        candidates[id(up)] = up
+                        up, level = up.parent, level + 1
+            if what.tag in ("article", "main") and not is_marked(what):
+                what.named = what.total
+            if what.parent is not None:
+                what.parent.total += what.total
+                what.parent.named += what.named
     return list(candidates.values())
 
 
+def _save(root: Node) -> None:
+    """Saves marked elements from the cut: those with more than half of the page's points, or with more than half of the
+    points in unmarked article and main and a quarter of all; every one if the page had no points without them."""
+    marked = [w for k, w in _walk(root, is_dropped) if k == "open" and is_marked(w)]
+    if not marked:
+        return
+    _scored(root, is_dropped)
+    for node in marked:
+        node.saved = node.total > 0.5 * root.total or (node.named > 0.5 * root.named and node.total >= 0.25 * root.total)
+    if root.total > 0:
+        _scored(root)
+        if root.total == 0:
+            for node in marked:
+                node.saved = True
+
+
 def _main(root: Node) -> list[Node]:
+    _save(root)
     candidates = [n for n in _scored(root) if n.parent is not None]
     if not candidates:
         named = [w for k, w in _walk(root) if k == "open" and w.tag in ("article", "main", "body")]
@@ -164,7 +196,8 @@ def _main(root: Node) -> list[Node]:
     while up is not None and up.tag not in ("article", "main", "body"):
         up = up.parent
     if up is not None and up.tag in ("article", "main"):
-        return [up]  # a semantic container around the best one holds its siblings as well
+        # a semantic container around the best one holds its siblings as well; an article may be one of several
+        return [n for n in up.parent.children if n is up or (isinstance(n, Node) and n.tag == up.tag == "article" and not is_boilerplate(n) and n.total >= max(3.0, 0.2 * up.total))]
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
     kept = []
