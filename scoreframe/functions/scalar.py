@@ -178,12 +178,17 @@ def row_key(*cols: Column, length: int = 180) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws("_", *[clean(c) for c in cols])), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, length)
 
 
+def fold_text(text: Column) -> Column:
+    """Dashes unified, white space folded."""
+    return F.trim(F.regexp_replace(F.translate(text, "‐‑‒–—− ", "------ "), r"\s+", " "))
+
+
 def compact_text(c: Column) -> Column:
     """XML entities decoded, dashes unified, white space folded."""
     text = F.coalesce(c, F.lit(""))
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(F.translate(text, "‐‑‒–—− ", "------ "), r"\s+", " "))
+    return fold_text(text)
 
 
 def html_title(c: Column) -> Column:
@@ -197,10 +202,12 @@ def html_to_text(c: Column) -> Column:
 
 
 def html_to_lines(c: Column) -> Column:
-    """Array of non-blank lines; ends of blocks break lines."""
+    """Array of non-blank lines with all entities decoded; ends of blocks break lines."""
+    from scoreframe.functions.text import unescape
+
     text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?i)<br[^>]*>|</(p|div|li|tr|h[1-6]|title|td|ul|table)>", "\n")
-    lines = F.transform(F.split(F.regexp_replace(text, r"<[^>]*>", " "), "\n"), compact_text)
+    lines = F.transform(F.split(unescape(F.regexp_replace(text, r"<[^>]*>", " ")), "\n"), fold_text)
     return F.filter(lines, lambda x: x != "")
 
 

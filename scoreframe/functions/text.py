@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
@@ -11,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from scoreframe.functions import scalar as S
 
@@ -22,6 +23,12 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(StringType())
+def unescape(c: pd.Series) -> pd.Series:
+    """All HTML entities decoded."""
+    return c.map(html.unescape, na_action="ignore")
+
+
 def pair_score(a: Column, b: Column) -> Column:
     """The largest of sequence ratio, ratio of the sorted tokens and Jaccard; 1 if equal, 0 if a side is empty."""
     x, y = S.tokens(a), S.tokens(b)

@@ -289,6 +289,13 @@ def u5(spark, d):
     return T.set_ops(e.filter("event_type = 'purchase'").select("user_id").distinct(), e.filter("event_type = 'click'").select("user_id").distinct())
 
 
+@query("u5_set_ops_all", "WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'a' WHEN a.user_id IS NULL THEN 'b' ELSE 'both' END AS side FROM a FULL JOIN b ON a.user_id = b.user_id")
+def u5a(spark, d):
+    """u5 over the events of any value."""
+    e = table(spark, d, "events")
+    return T.set_ops(e.filter("event_type = 'purchase'").select("user_id").distinct(), e.filter("event_type = 'click'").select("user_id").distinct())
+
+
 @query("u6_exclusive_lists", "SELECT user_id, max_by(event_type, struct_pack(a := ts, b := event_id)) AS event_type FROM events GROUP BY 1")
 def u6(spark, d):
     return T.exclusive_lists(table(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])

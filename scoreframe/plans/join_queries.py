@@ -119,6 +119,19 @@ def j14(spark, d):
     return J.overlap_join(cells, rows, "page", "cell", "row_id", 8.0)
 
 
+@query("j14_overlap_all", """WITH c AS (SELECT l_suppkey AS page, concat_ws('|', l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) AS cell, l_quantity AS start, l_quantity + 3 AS stop FROM lineitem),
+r AS (SELECT s_suppkey AS page, CAST(k AS INTEGER) AS row_id, k * 8.0 AS top, k * 8.0 + 6 AS bottom FROM supplier, range(7) t(k)),
+p AS (SELECT c.page, cell, row_id, CAST(least(stop, bottom) - greatest(start, top) AS DOUBLE) AS overlap FROM c JOIN r ON c.page = r.page AND start <= bottom AND top <= stop)
+SELECT page, cell, row_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY page, cell ORDER BY overlap DESC, row_id) AS rn FROM p) WHERE rn = 1""")
+def j14a(spark, d):
+    """j14 over every row; order and line number alone don't tell the rows apart."""
+    q = F.col("l_quantity")
+    cell = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", q.cast("int"))
+    cells = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), cell.alias("cell"), q.alias("start"), (q + 3).alias("stop"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("row_id")).select("page", "row_id", (F.col("row_id") * 8.0).alias("top"), (F.col("row_id") * 8.0 + 6).alias("bottom"))
+    return J.overlap_join(cells, rows, "page", "cell", "row_id", 8.0)
+
+
 @query("j15_nearest_column", "SELECT p_partkey, CASE WHEN least(abs(p_retailprice - 950), abs(p_retailprice - 1250), abs(p_retailprice - 1700)) <= 100 THEN CASE WHEN abs(p_retailprice - 950) <= least(abs(p_retailprice - 1250), abs(p_retailprice - 1700)) THEN 'a' WHEN abs(p_retailprice - 1250) <= abs(p_retailprice - 1700) THEN 'b' ELSE 'c' END END AS nearest FROM part")
 def j15(spark, d):
     return J.nearest_column(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", (("a", 950.0), ("b", 1250.0), ("c", 1700.0)), 100.0).select("p_partkey", "nearest")

@@ -159,6 +159,12 @@ def p21l(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(lines).cast("long").alias("n_links"))
 
 
+@query("p21_html_all_lines")
+def p21a(spark, d):
+    """The lines of whole pages."""
+    return table(spark, d, "pages").select("page_id", S.html_to_lines(F.col("html")).alias("lines"))
+
+
 @query("p22_url_parts", """SELECT page_id, h AS host, regexp_extract(h, '([^.]+\\.[^.]+)$', 1) AS domain, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path
 FROM (SELECT page_id, url, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS h FROM pages)""")
 def p22(spark, d):

@@ -1,5 +1,8 @@
 """Queries over whole tables, on planted rows that a smaller job leaves out."""
 
+import re
+from html import unescape
+
 import compare
 
 from scoreframe.plans import catalog
@@ -21,3 +24,35 @@ def test_compact_text_decodes_entities_on_every_row(spark, tmp_path):
     df = catalog.QUERIES["p20_compact_all"](spark, str(tmp_path))
     assert {r["doc_id"]: r["compact"] for r in df.collect()} == {0: 'a <b> &amp; "c"', 1: "'d' - e -", 2: "", 3: "plain text", 4: "AT&T", 5: ""}
     assert compare.difference(df, con, catalog.SQL["p20_compact_all"]) == ""
+
+
+def test_overlaps_of_every_line_item(spark, tmp_path):
+    lines = [(1, 1, 7, 3, 4.0), (1, 2, 7, 3, 17.0), (1, 2, 8, 3, 33.0), (2, 3, 7, 4, 50.0)]
+    planted(spark, tmp_path, lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double", "lineitem")
+    planted(spark, tmp_path, [(3,), (4,)], "s_suppkey long", "supplier")
+    got = {(r["page"], r["cell"]): (r["row_id"], r["overlap"]) for r in catalog.QUERIES["j14_overlap_all"](spark, str(tmp_path)).collect()}
+    assert got == {(3, "1|1|7|4"): (0, 2.0), (3, "1|2|7|17"): (2, 3.0), (3, "1|2|8|33"): (4, 3.0), (4, "2|3|7|50"): (6, 3.0)}
+
+
+def test_sets_of_events_of_any_value(spark, tmp_path):
+    rows = [(1, "purchase", 5.0), (1, "click", 90.0), (2, "purchase", 60.0), (3, "click", None), (4, "view", 70.0)]
+    con = planted(spark, tmp_path, rows, "user_id long, event_type string, value double", "events")
+    df = catalog.QUERIES["u5_set_ops_all"](spark, str(tmp_path))
+    assert {r["user_id"]: r["side"] for r in df.collect()} == {1: "both", 2: "a", 3: "b"}
+    assert compare.difference(df, con, catalog.SQL["u5_set_ops_all"]) == ""
+
+
+def lines_by_brute_force(page):
+    text = re.sub(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ", page)
+    text = re.sub(r"(?i)<br\s*/?>|</(?:h[1-6]|p|div|li|tr|td|title|ul|table)>", "\n", text)
+    found = [" ".join(unescape(x).translate(dict.fromkeys(map(ord, "‐‑‒–—−"), "-")).split()) for x in re.sub(r"<[^>]+>", " ", text).split("\n")]
+    return [x for x in found if x]
+
+
+def test_lines_of_whole_pages(spark, sf_dir):
+    from scoreframe.plans.registry import table
+
+    pages = {r["page_id"]: r["html"] for r in table(spark, sf_dir, "pages").select("page_id", "html").collect()}
+    got = {r["page_id"]: list(r["lines"]) for r in catalog.QUERIES["p21_html_all_lines"](spark, sf_dir).collect()}
+    assert got == {k: lines_by_brute_force(v) for k, v in pages.items()}
+    assert max(map(len, got.values())) > 8
