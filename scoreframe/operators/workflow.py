@@ -17,6 +17,9 @@ ACTIVE = ("accepted", "interview", "applied", "applying")
 # Outcomes of a source with their scores.
 SOURCE_SCORES = {"exact_host": 1.0, "same_domain_named": 0.95, "same_domain": 0.9, "edu_named": 0.9, "edu": 0.7, "named": 0.55, "other": 0.25, "unsafe": 0.0}
 
+#: A href attribute with its value, quoted or not.
+HREF = r"""(?i)(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
 
 def classify_source(url: Column, official: Column, named: Column, unsafe: Column) -> Column:
     """struct (label, score, auto) of a url against an entity's official url; named: the text names the entity."""
@@ -31,8 +34,10 @@ def classify_source(url: Column, official: Column, named: Column, unsafe: Column
 
 
 def harvest_links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, href, n): the distinct link targets of each page with their counts."""
-    found = pages.select(id_col, F.explode(F.regexp_extract_all(html_col, F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    """(id, href, n): the distinct link targets of each page with their counts; quoted either way or not at all."""
+    forms = F.regexp_extract_all(html_col, F.lit(HREF), F.lit(1))
+    target = F.regexp_replace(F.col("form"), r"^([\"'])(?s:(.*))\1$", "$2")
+    found = pages.select(id_col, F.explode(forms).alias("form")).select(id_col, F.trim(target).alias("href"))
     return found.filter(F.col("href") != "").groupBy(id_col, "href").agg(F.count("*").alias("n"))
 
 
@@ -66,7 +71,7 @@ def upsert_state(stored: DataFrame, export: DataFrame, keys: Sequence[str], fiel
 
 
 def final_list(entities: DataFrame, key: str, status: str, visibility: str, rank: str) -> DataFrame:
-    """Visible entities with an including status, their priority and next action."""
+    """Visible entities with an including status and their priority."""
     s, r = F.lower(S.clean(F.col(status))), F.coalesce(F.col(rank), F.lit(9999))
     kept = entities.filter((F.lower(S.clean(F.col(visibility))) != "hidden") & s.isin(*INCLUDED) & ~s.isin(*EXCLUDED))
     priority = F.when(s.isin(*ACTIVE), F.when(r <= 40, "highest").otherwise("high")).when(r <= 25, "highest").when(r <= 40, "high").when(r <= 75, "medium").otherwise("low")
