@@ -2,17 +2,21 @@
 
 Candidates. In each window of ``least`` bytes the smallest hash of its ``GRAM``-byte grams is the window's anchor
 (leftmost on ties). Equal windows have equal anchors at equal places, so only windows whose anchor's hash occurs more
-than once can repeat; they are cut out as fragments around their anchors and meet by that hash. An anchor that occurs
-more than ``HOT`` times is dealt out window by window, by the window's own hash, so no key grows with a common line.
-Identical fragments fold into their earliest occurrence, by their hashes, before and after the shuffle.
-
-Decision. Fragments that share an anchor but differ are put into blocks of about ``BLOCK`` bytes. A block's
-Burrows-Wheeler transform is taken, and breadth-first backward extension over its intervals finds the longest common
-prefixes of neighbouring suffixes by increasing value; it stops at ``least``, so boundaries still unset then separate
-nothing: the suffixes between two set boundaries begin with the same ``least`` bytes. All but the earliest repeat.
-
-Defined cases: null is the empty text; texts shorter than ``least`` bytes stay whole; rows that repeat a doc_id are one
-document (it never repeats itself at the same place); an empty table gives no rows. Other columns are ignored.
+than once can repeat; they are cut out as fragments around their anchors and meet by that hash. Each task combines its
+own rows first: of an anchor that it sees several times it sends one row to the others, and of equal fragments the
+earliest, so no key receives more rows than there are tasks, however common a line is. Fragments of an anchor that is
+frequent in a sample of documents (at most ``HEAVY`` of them) are dealt out by the bytes that ``STEP`` neighbouring
+windows have in common. That only chooses where fragments meet; all are decided alike.
+
+Decision. Fragments are first trimmed to what they share with another one on either side of their anchor, and those too
+short for a window go. Equal ones become one string with its owners. The Burrows-Wheeler transform of a block of these
+strings is taken, and breadth-first backward extension over its intervals finds the longest common prefixes of
+neighbouring suffixes by increasing value; it stops at ``least``, so boundaries still unset then separate nothing: the
+suffixes between two set boundaries begin with the same ``least`` bytes. All of their owners but the earliest repeat.
+
+Defined cases: null is the empty text; texts shorter than ``least`` bytes stay whole; an empty table gives no rows. Rows
+with a null doc_id, or a doc_id that other rows have, are documents of their own: nulls come first, rows of one id in
+the order of a hash of their texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +29,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from scoreframe.llm.common import spread
+from scoreframe.llm.common import spread, stored
 
 GRAM = 24
-HOT = 4096
-BLOCK = 1 << 20
+STEP = 10  # windows that are dealt out together where an anchor is frequent
+HEAVY = 1 << 16  # frequent anchors that are told apart, at most: 512 KB in every task
+FREQUENT = 512  # times that such an anchor occurs in the sample
+SAMPLE = 32  # one document in so many is in the sample
+BLOCK = 1 << 21  # bytes of fragments that are decided together
 CHUNK = 1 << 22  # bytes that are hashed at once; below 2**24, as places have 24 bits
+COMBINE = 1 << 19  # anchors that a task combines at once
+SEEN = 1 << 17  # fragments that a task remembers
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,60 +99,111 @@ def anchors(texts: list[bytes], least: int, powers: tuple[np.ndarray, np.ndarray
     return text, at - off, h[at].view(np.int64), a - off, b - off
 
 
-def _anchor_rows(texts: DataFrame, least: int) -> DataFrame:
-    """(h, doc_id, at): at packs the place, the distance back to the first window, and the number of windows less one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
-        for batch in batches:
-            ids, column, k = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), 0
-            while k < len(column):
-                part, size, first = [], 0, k
-                while k < len(column) and (not part or size < CHUNK // 2):
-                    part.append(column[k].as_py())
-                    size += len(part[-1])
-                    k += 1
-                for piece, base in _pieces(part, least):
-                    text, place, h, a, b = anchors([t for _, _, t in piece], least, powers)
+def _pieces(part: list[bytes], least: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts as (index, offset, bytes), those beyond a chunk in pieces that overlap by one window less a byte."""
+    if sum(map(len, part)) <= CHUNK:
+        yield [(i, 0, t) for i, t in enumerate(part)]
+        return
+    for i, t in enumerate(part):
+        for at in range(0, max(1, len(t) - least + 1), CHUNK - least + 1):
+            yield [(i, at, t[at : at + CHUNK])]
+
+
+def _anchor_columns(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(h, doc_id, at) of the anchors in batches of (doc_id, bytes); at packs the place, the distance back to the first
+    window and the number of windows less one."""
+    powers = _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
+    for batch in batches:
+        ids, column, k = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), 0
+        while k < len(column):
+            part, size, first = [], 0, k
+            while k < len(column) and (not part or size < CHUNK // 2):
+                part.append(column[k].as_py())
+                size += len(part[-1])
+                k += 1
+            for piece in _pieces(part, least):
+                text, place, h, a, b = anchors([t for _, _, t in piece], least, powers)
+                if len(text):
                     shift = np.array([s for _, s, _ in piece], np.int64)
                     owner = np.array([i for i, _, _ in piece], np.int64)
-                    at = ((place + shift[text]) << 16) | ((place - a) << 8) | (b - a) if len(text) else text
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids[first + owner[text]] if len(text) else text, pa.int64()), pa.array(at, pa.int64())], ["h", "doc_id", "at"])
+                    yield h, ids[first + owner[text]].astype(np.int64), ((place + shift[text]) << 16) | ((place - a) << 8) | (b - a)
 
-    return texts.mapInArrow(run, "h long, doc_id long, at long")
 
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
-def _pieces(part: list[bytes], least: int) -> Iterator[tuple[list[tuple[int, int, bytes]], int]]:
-    """Texts as (index, offset, bytes), those beyond a chunk in pieces that overlap by one window less a byte."""
-    if sum(map(len, part)) <= CHUNK:
-        yield [(i, 0, t) for i, t in enumerate(part)], 0
-        return
-    for i, t in enumerate(part):
-        step = CHUNK - least + 1
-        for at in range(0, max(1, len(t) - least + 1), step):
-            yield [(i, at, t[at : at + CHUNK])], at
 
+def _frequent(texts: DataFrame, least: int) -> np.ndarray:
+    """Sorted hashes of the anchors that occur ``FREQUENT`` times in the sample, the ``HEAVY`` most frequent."""
 
-def _digest(piece: bytes, size: int = 16) -> bytes:
-    return hashlib.blake2b(piece, digest_size=size).digest()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, _, _ in _anchor_columns(batches, least):
+            yield _batch({"h": h})
+
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= FREQUENT)
+    return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("c"), "h").limit(HEAVY).collect()], np.int64))
+
+
+def _shared_spots(texts: DataFrame, least: int, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, at) of the anchors whose hash occurs more than once; at is doubled, plus 1 for a frequent anchor."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """State 0: alone here; 1: the first of several here; 2: another of these, which asks nobody."""
+
+        def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            h, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, doc, at = h[order], doc[order], at[order]
+            again = np.concatenate(([False], h[1:] == h[:-1]))
+            state = np.where(again, 2, np.where(np.append(again[1:], False), 1, 0)).astype(np.int8)
+            at = (at << 1) | np.isin(h, frequent)
+            elsewhere = _mix((doc ^ (at << 20)).view(np.uint64)).view(np.int64)
+            return _batch({"h": np.where(again, elsewhere, h), "doc_id": doc, "at": at, "state": state})
+
+        held, n = [], 0
+        for columns in _anchor_columns(batches, least):
+            held.append(columns)
+            n += len(columns[0])
+            if n >= COMBINE:
+                yield combined(held)
+                held, n = [], 0
+        if held:
+            yield combined(held)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int8)]  # rows of the last hash
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            known = columns[3] == 2
+            yield _batch({"doc_id": columns[1][known], "at": columns[2][known]})
+            h, doc, at, state = (np.concatenate((x, c[~known])) for x, c in zip(left, columns, strict=True))
+            last = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            left = [c[last:] for c in (h, doc, at, state)]
+            yield _several(h[:last], doc[:last], at[:last], state[:last])
+        yield _several(*left)
 
+    spots = texts.mapInArrow(send, "h long, doc_id long, at long, state byte")
+    return spots.repartition("h").sortWithinPartitions("h").mapInArrow(shared, "doc_id long, at long")
 
-def _long(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
 
+def _several(h: np.ndarray, doc: np.ndarray, at: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+    same = h[1:] == h[:-1]
+    keep = (state == 1) | np.concatenate(([False], same))[: len(h)] | np.append(same, False)[: len(h)]
+    return _batch({"doc_id": doc[keep], "at": at[keep]})
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
+def _key(piece: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
 
-def _marks(joined: DataFrame, least: int) -> DataFrame:
-    """(key, mark, doc_id, start, stop) of the fragments of (doc_id, bytes, spots): the anchor's hash and the fragment's
-    own. A null mark is a span that is already known to repeat. Rows come by doc_id, so the first fragment of its kind
-    in a task is the earliest there. A spot is an anchor's packed place, doubled, plus 1 if it is dealt out by windows."""
+
+def _fragments(joined: DataFrame, least: int) -> DataFrame:
+    """(key, doc_id, start, stop, core, fragment) from (doc_id, bytes, spots), in which rows come by doc_id. core packs the
+    place and the size of the bytes that fragments of one key have in common. A null fragment is a span that equals an
+    earlier fragment of its task, which stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: set[bytes] = set()
         for batch in batches:
             rows: list[tuple] = []
             for doc, text, spots in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -151,91 +212,93 @@ def _marks(joined: DataFrame, least: int) -> DataFrame:
                 doc, text = doc.as_py(), text.as_py()
                 packed = np.unique(spots.values.to_numpy(zero_copy_only=False))
                 at = packed >> 1
-                starts = (at >> 16) - ((at >> 8) & 255)
-                stops = starts + (at & 255) + least
+                places = at >> 16
+                starts = places - ((at >> 8) & 255)
+                lasts = starts + (at & 255)
                 known: list[list[int]] = []  # merged spans of this text that repeat
 
-                def repeat(a: int, b: int) -> None:
+                def repeats(a: int, b: int) -> bool:
+                    if text[a:b] not in seen:
+                        return False
                     if known and a <= known[-1][1]:
-                        known[-1][1] = max(known[-1][1], b)
+                        known[-1][:] = min(known[-1][0], a), max(known[-1][1], b)
                     else:
                         known.append([a, b])
-
-                for hot, place, start, stop in zip((packed & 1).tolist(), (at >> 16).tolist(), starts.tolist(), stops.tolist(), strict=True):
-                    mark = _digest(text[start:stop])
-                    if seen.setdefault(mark, (doc, start)) != (doc, start):
-                        repeat(start, stop)
-                    elif not hot:
-                        rows.append((_long(_digest(text[place : place + GRAM], 8)), _long(mark), doc, start, stop))
-                    else:
-                        for w in range(start, stop - least + 1):
-                            mark = _digest(text[w : w + least])
-                            if seen.setdefault(b"w" + mark, (doc, w)) != (doc, w):
-                                repeat(w, w + least)
-                            else:
-                                rows.append((_long(mark), _long(mark[8:]), doc, w, w + least))
-                rows += [(hash((doc, a)), None, doc, a, b) for a, b in known]
-            yield _batch(rows, ["key", "mark", "doc_id", "start", "stop"])
-
-    return joined.mapInArrow(run, "key long, mark long, doc_id long, start long, stop long")
-
-
-def _fold(marks: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, key): null keys are spans that repeat an earlier identical fragment; the earliest fragments
-    of keys that hold unlike ones keep their key, as their bytes have to be compared."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, mark, first, own = None, None, None, []
-        for batch in batches:
-            out: list[tuple] = []
-            for k, m, doc, start, stop in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if m is None:
-                    out.append((doc, start, stop, None))
-                    continue
-                if k != key:
-                    out += own if len(own) > 1 else ()
-                    key, mark, own = k, None, []
-                if m != mark:
-                    mark, first = m, (doc, start)
-                    own.append((doc, start, stop, k))
-                elif first != (doc, start):
-                    out.append((doc, start, stop, None))
-            yield _batch(out, ["doc_id", "start", "stop", "key"])
-        yield _batch(own if len(own) > 1 else [], ["doc_id", "start", "stop", "key"])
-
-    return marks.repartition("key").sortWithinPartitions("key", "mark", "doc_id", "start").mapInArrow(run, "doc_id long, start long, stop long, key long")
-
-
-def _fragments(listed: DataFrame) -> DataFrame:
-    """(key, doc_id, start, stop, fragment) of the listed fragments with a key, from (doc_id, bytes, spans)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text, spans in zip(*(batch.column(k) for k in range(3)), strict=True):
-                for s in spans.as_py() or ():
-                    if s["key"] is not None:
-                        rows.append((s["key"], doc.as_py(), s["start"], s["stop"], text.as_py()[s["start"] : s["stop"]]))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["key", "doc_id", "start", "stop", "fragment"])
-
-    return listed.mapInArrow(run, "key long, doc_id long, start long, stop long, fragment binary")
+                    return True
+
+                for often, place, start, last in zip((packed & 1).tolist(), places.tolist(), starts.tolist(), lasts.tolist(), strict=True):
+                    if repeats(start, last + least):
+                        continue
+                    if not often:
+                        seen.add(text[start : last + least])
+                        rows.append((_key(text[place : place + GRAM]), doc, start, last + least, (place - start) << 9 | GRAM, text[start : last + least]))
+                        continue
+                    for back in range((place - last) // STEP * STEP, place - start + 1, STEP):
+                        # windows that start back to back + STEP - 1 bytes before the anchor share what lies between
+                        a, b = max(start, place - back - STEP + 1), min(last, place - back)
+                        core = text[place - back : place - back - STEP + 1 + least]
+                        if len(core) == least - STEP + 1 and not repeats(a, b + least):
+                            rows.append((_key(core), doc, a, b + least, (place - back - a) << 9 | len(core), text[a : b + least]))
+                            seen.add(text[a : b + least])
+                    seen.add(text[start : last + least])
+                rows += [(hash((doc, a)), doc, a, b, 0, None) for a, b in known]
+                if len(seen) > SEEN:
+                    seen.clear()
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], ["key", "doc_id", "start", "stop", "core", "fragment"])
+
+    return joined.mapInArrow(run, "key long, doc_id long, start long, stop long, core int, fragment binary")
+
+
+def shared_extents(key: np.ndarray, raw: np.ndarray, off: np.ndarray, size: np.ndarray, back: np.ndarray, core: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most bytes before and after its core that a fragment shares with another one of its key, -1 if it has none."""
+    out = []
+    for room, at, way in ((back, off + back - 1, -1), (size - back - core, off + back + core, 1)):
+        room = np.minimum(room, width)
+        place = np.clip(at[:, None] + way * np.arange(width), 0, len(raw) - 1)
+        side = np.where(np.arange(width) < room[:, None], raw[place], 0).astype(np.uint8)
+        order = np.argsort(np.concatenate([key.astype(">i8").view(np.uint8).reshape(-1, 8), side], axis=1).view(f"S{8 + width}").ravel())
+        side, room, by = side[order], room[order], key[order]
+        unlike = side[1:] != side[:-1]
+        common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
+        common = np.where(by[1:] == by[:-1], np.minimum(common, np.minimum(room[1:], room[:-1])), -1)
+        best = np.maximum(np.append(-1, common), np.append(common, -1))
+        found = np.empty(len(key), np.int64)
+        found[order] = best
+        out.append(found)
+    return out[0], out[1]
+
+
+def _gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces' bytes one after the other, each plus 1 and followed by a 0; where each piece begins in them)."""
+    to = np.cumsum(size + 1) - size - 1
+    out = np.zeros(int((size + 1).sum()), np.int64)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(to, size) + inside] = raw[np.repeat(begin, size) + inside].astype(np.int64) + 1
+    return out, to
 
 
 def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the cyclic suffixes, sorted by at least ``depth`` symbols (below 512) by prefix doubling."""
     n, width = len(text), 7
+    bits = n.bit_length()
     key = np.zeros(n, np.int64)
     for k in range(width):
         key = (key << 9) | np.roll(text, -k)
+    order = np.argsort(key)
+    ranked = key[order]
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
         if width >= depth or rank[order[-1]] == n - 1:
             return order
-        key = rank * n + np.roll(rank, -width)
+        key = (rank << bits) | np.roll(rank, -width)
+        if bits <= 21:  # ranks and place fit in one number
+            key = np.sort((key << bits) | np.arange(n))
+            order, ranked = key & ((1 << bits) - 1), key >> bits
+        else:
+            order = np.argsort(key)
+            ranked = key[order]
         width *= 2
 
 
@@ -246,7 +309,7 @@ def equal_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     such an interval has a longest common prefix of l, if no smaller one was found before."""
     n = len(text)
     order = sorted_rotations(text, least)
-    bwt = text[order - 1]
+    bwt = text[order - 1].astype(np.uint16)
     by_char = np.argsort(bwt, kind="stable")
     step = np.empty(n, np.int64)  # last-to-first mapping
     step[by_char] = np.arange(n)
@@ -282,109 +345,165 @@ def equal_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     return order, cut[:n]
 
 
-def repeats(pieces: list[tuple[int, int, bytes]], least: int) -> list[tuple[int, int, int]]:
-    """Spans (doc, start, stop) of the windows in these fragments that begin with the same bytes as an earlier window."""
-    lengths = np.array([len(p) for _, _, p in pieces])
-    raw = np.frombuffer(b"\x00".join(p for _, _, p in pieces) + b"\x00", np.uint8).astype(np.int64) + 1
-    ends = np.cumsum(lengths + 1)
-    raw[ends - 1] = 0
-    order, cut = equal_prefixes(raw, least)
-    piece = np.searchsorted(ends, order, "right")
-    inside = order + least <= ends[piece] - 1
-    group = np.cumsum(cut)[inside]
-    piece, order = piece[inside], order[inside]
-    doc = np.array([d for d, _, _ in pieces], np.int64)[piece]
-    start = order - (ends - lengths - 1)[piece] + np.array([s for _, s, _ in pieces], np.int64)[piece]
-    by = np.lexsort((start, doc, group))
-    group, doc, start = group[by], doc[by], start[by]
-    again = np.concatenate(([False], group[1:] == group[:-1]))
-    # the same place may come twice (rows that repeat a doc_id): it isn't earlier than itself
-    lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(group))))
-    again &= (doc != doc[lead]) | (start != start[lead])
-    doc, start = doc[again], start[again]
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _runs(doc: np.ndarray, start: np.ndarray, least: int) -> Spans:
+    """Windows (doc, start) as merged spans (doc, start, stop)."""
     if not len(doc):
-        return []
+        return doc, start, start
     by = np.lexsort((start, doc))
     doc, start = doc[by], start[by]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))[: len(doc)])
     last = np.append(at[1:], len(doc)) - 1
-    return list(zip(doc[at].tolist(), start[at].tolist(), (start[last] + least).tolist(), strict=True))
+    return doc[at], start[at], start[last] + least
+
+
+def _later(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, least: int) -> Spans:
+    """Spans of these distinct strings' windows that begin with the same bytes as an earlier window."""
+    if not len(begin):
+        return begin, begin, begin
+    text, to = _gather(raw, begin, size)
+    order, cut = equal_prefixes(text, least)
+    piece = np.searchsorted(to, order, "right") - 1
+    inside = order + least <= (to + size)[piece]
+    group = np.cumsum(cut)[inside]
+    piece, order = piece[inside], order[inside]
+    where, place = doc[piece], order - to[piece] + start[piece]
+    by = np.lexsort((place, where, group))
+    again = np.concatenate(([False], group[by][1:] == group[by][:-1]))[: len(by)]
+    return _runs(where[by][again], place[by][again], least)
+
+
+def _by_window(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The strings' windows as (string, offset) in parts by the windows' hashes: equal ones are in one part."""
+    string = np.repeat(np.arange(len(size)), size - least + 1)
+    offset = np.arange(len(string)) - np.repeat(np.cumsum(size - least + 1) - size + least - 1, size - least + 1)
+    h = np.zeros(len(string), np.uint64)
+    for k in range(least):
+        h = _mix(h + raw[begin[string] + offset + k].astype(np.uint64) + np.uint64(_BASE))
+    part = (h % np.uint64(parts)).astype(np.int64)
+    for p in range(parts):
+        yield string[part == p], offset[part == p]
+
+
+def repeats(key: np.ndarray, doc: np.ndarray, start: np.ndarray, back: np.ndarray, core: np.ndarray, size: np.ndarray, raw: np.ndarray, least: int) -> Iterator[Spans]:
+    """Spans (doc, start, stop) of the windows of these fragments that begin with the same bytes as an earlier window.
+    Fragments lie one after the other in raw; back and core tell what those of one key have in common."""
+    off = np.cumsum(size) - size
+    left, right = shared_extents(key, raw, off, size, back, core, least - GRAM)
+    keep = (left >= 0) & (left + core + right >= least)
+    key, doc = key[keep], doc[keep]
+    begin, start, size = (off + back - left)[keep], (start + back - left)[keep], (left + core + right)[keep]
+    if not len(key):
+        return
+    # equal strings of a key become one, with its owners
+    width = int(size.max())
+    inside = np.arange(width) < size[:, None]
+    wide = np.where(inside, raw[np.minimum(begin[:, None] + np.arange(width), len(raw) - 1)], 0).astype(np.uint8)
+    wide = np.concatenate([key.astype(">i8").view(np.uint8).reshape(-1, 8), size.astype(">i4").view(np.uint8).reshape(-1, 4), wide], axis=1)
+    order = np.argsort(wide.view(f"S{12 + width}").ravel())
+    string = np.empty(len(key), np.int64)
+    string[order] = np.cumsum(np.concatenate(([False], (wide[order][1:] != wide[order][:-1]).any(axis=1))))
+    by = np.lexsort((start, doc, string))
+    first = np.concatenate(([True], string[by][1:] != string[by][:-1]))
+    others = by[~first]
+    yield doc[others], start[others], (start + size)[others]
+    lead = by[first]
+    begin, size, doc, start = begin[lead], size[lead], doc[lead], start[lead]
+    if size.sum() <= 4 * BLOCK:
+        yield _later(raw, begin, size, doc, start, least)
+        return
+    for s, o in _by_window(raw, begin, size, least, int((size - least + 1).sum()) * least // BLOCK + 1):
+        yield _later(raw, begin[s] + o, np.full(len(s), least), doc[s], start[s] + o, least)
 
 
 def _decide(fragments: DataFrame, least: int) -> DataFrame:
-    """(doc_id, start, stop) spans that repeat, from fragments sorted by (key, doc_id, start) in each task."""
+    """(doc_id, start, stop) spans that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "stop"]
-        block: list[tuple[int, int, bytes]] = []
-        size, key = 0, None
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def decided(last: bool) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = len(columns[0]) if last else int(np.searchsorted(columns[0], columns[0][-1]))
+            ends = int(columns[5][:cut].sum())
+            held.clear()
+            if cut < len(columns[0]):
+                held.append((*(c[cut:] for c in columns[:6]), columns[6][ends:]))
+            if cut:
+                for spans in repeats(*(c[:cut] for c in columns[:6]), columns[6][:ends], least):
+                    yield _batch(dict(zip(("doc_id", "start", "stop"), spans, strict=True)))
+
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for k, doc, start, piece in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                if k != key and size >= BLOCK:
-                    out += repeats(block, least)
-                    block.clear()
-                    size = 0
-                key = k
-                block.append((doc, start, piece))
-                size += len(piece)
-            yield _batch(out, names)
-        yield _batch(repeats(block, least) if block else [], names)
-
-    return fragments.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(run, "doc_id long, start long, stop long")
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("bytes"))
-
-
-def candidate_spans(texts: DataFrame, by_doc: DataFrame, least: int) -> DataFrame:
-    """(doc_id, found: array of (start, stop, key)) per document with candidates: see _fold.
-    by_doc is texts (doc_id, bytes), maybe with more columns, dealt out by doc_id."""
-    spots = _anchor_rows(texts, least)
-    often = _anchor_rows(texts, least).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
-    shared = spots.join(often, "h").select("doc_id", (F.col("at") * 2 + F.col("hot").cast("int")).alias("at"))
-    # dealt out as plain rows: lists made before the shuffle would be several times as large
-    shared = shared.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
-    # left joins on all uses of by_doc: an inner one would filter its keys first and deal the texts out again
-    joined = by_doc.join(shared, "doc_id", "left").select("doc_id", "bytes", "spots", *by_doc.columns[2:]).sortWithinPartitions("doc_id")
-    return _fold(_marks(joined, least)).repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "key")).alias("found"))
+            known = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+            key, doc, start, stop, core = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            yield _batch({"doc_id": doc[known], "start": start[known], "stop": stop[known]})
+            raw = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint8)
+            held.append((key[~known], doc[~known], start[~known], (core >> 9)[~known].astype(np.int64), (core & 511)[~known].astype(np.int64), (stop - start)[~known], raw))
+            size += len(raw)
+            if size >= BLOCK:
+                yield from decided(False)
+                size = sum(len(h[6]) for h in held)
+                size = size if size < BLOCK else 0  # a key beyond a block is looked at again after another block
+        if held:
+            yield from decided(True)
+
+    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start long, stop long")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(doc_id, bytes, id, carried columns): doc_id is the row's number in order where ids are null, not unique or no integers."""
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("c"))
+    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("bytes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, F.col(id_col).alias("id"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
+    if isinstance(docs.schema[id_col].dataType, IntegralType) and ids.filter("c > 1 OR id IS NULL").isEmpty():
+        return rows
+    ordered = rows.orderBy(F.asc_nulls_first("id"), F.xxhash64("bytes"), F.length("bytes"))
+    return stored(ordered.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
 
 
 def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) per row; kept are the remaining bytes. Carried columns follow."""
-    rows = spread(docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))))
-    texts = _texts(rows, id_col, text_col)
-    more = [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)]
-    by_doc = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("bytes"), *more).repartition("doc_id")
-    listed = by_doc.join(candidate_spans(texts, by_doc, least), "doc_id", "left").select("doc_id", "bytes", "found", *by_doc.columns[2:])
-    unlike = _decide(_fragments(listed), least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
-    both = listed.join(unlike, "doc_id", "left").select("doc_id", "bytes", "found", "more", *by_doc.columns[2:])
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *by_doc.columns[2:]]
+    if not GRAM + STEP <= least <= 256:
+        raise ValueError(f"least must lie between {GRAM + STEP} and 256")
+    rows = spread(_rows(docs, id_col, text_col, carry))
+    more = [c for c in rows.columns if c not in ("doc_id", "bytes")]
+    texts = rows.select("doc_id", "bytes")
+    by_doc = rows.repartition("doc_id")
+    shared = _shared_spots(texts, least, _frequent(texts, least))
+    # dealt out as plain rows: lists made before the shuffle would be several times as large
+    shared = shared.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
+    # left joins on all uses of by_doc: an inner one would filter its keys first and deal the texts out again
+    joined = by_doc.join(shared, "doc_id", "left").select("doc_id", "bytes", "spots", *more).sortWithinPartitions("doc_id")
+    found = _decide(_fragments(joined, least), least).repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    both = by_doc.join(found, "doc_id", "left").select("doc_id", "bytes", "found", *more)
+    names = ["n_bytes", "n_removed", "n_spans", "kept", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, found, more in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 text, merged = text.as_py(), []
-                spans = [x for x in found.as_py() or () if x["key"] is None] + (more.as_py() or [])
-                for s in sorted((x["start"], min(x["stop"], len(text))) for x in spans):
+                for s in sorted((x["start"], x["stop"]) for x in found.as_py() or ()):
                     if merged and s[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], s[1])
-                    elif s[0] < s[1]:
+                    else:
                         merged.append(list(s))
                 kept, at = [], 0
                 for a, b in merged:
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join((*kept, text[at:]))
-                out.append((doc.as_py(), len(text), len(text) - len(kept), len(merged), kept))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), *batch.columns[4:]], names)
-
-    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *(f"_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))])
-    return both.mapInArrow(run, schema).withColumnsRenamed({f"_{k}": f"carried_{c}" for k, c in enumerate(carry)})
+                out.append((len(text), len(text) - len(kept), len(merged), kept))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), *batch.columns[3:]], names)
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(["n_bytes long, n_removed long, n_spans long, kept binary", *(f"{c} {types[c]}" for c in more)])
+    out = both.mapInArrow(run, schema)
+    return out.select(F.col("id").alias("doc_id"), *names[:4], *(F.col(f"_{k}").alias(f"carried_{c}") for k, c in enumerate(carry)))
 
 
 def cut_texts(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
