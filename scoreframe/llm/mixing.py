@@ -1,10 +1,12 @@
 """Mixing sources to target weights by proportionate-fair scheduling, in DataFrame operations only.
 
-A source of quota p in a period of Q slots gets its k-th block (from 0) released at slot floor(k Q / p) and due by
-ceil((k + 1) Q / p); in every slot the released block with the earliest deadline is taken. The quotas of a period add up
-to Q, so some block is always released, no deadline is missed, and at any slot each source is within less than one block
-of its share. One period is scheduled inside one row by a fold; it repeats for ever, so a document's slot follows from
-its place in its source alone.
+A source of quota p in a period of Q slots has the weight p / Q. It gets its k-th block (from 0) released at slot
+floor(k Q / p) and due by ceil((k + 1) Q / p); in every slot the released block with the earliest deadline is taken. The
+quotas of a period add up to Q, so some block is always released, no deadline is missed, and at any slot each source is
+within less than one block of its share. One period is scheduled inside one row by a fold; it repeats for ever, so a
+document's slot follows from its place in its source alone. Given weights are exact to a millionth: 0.6004 and 0.3996
+have quotas of 1501 and 999. Weights that need a longer period are rounded to millionths of their sum, which shifts a
+source by at most one block in a million slots.
 
 Places come from a fixed pseudo-random order (md5 of the id) in buckets: sizes of (source, bucket) are aggregated first,
 their running sums give each bucket's offset, and rows are only numbered inside their bucket. A source with a third of
@@ -12,8 +14,9 @@ all rows is spread over all buckets. Every document is kept: when a source runs
 before the first such slot have ``in_target`` set.
 
 Defined cases: a null source is the source ""; null ids sort first; repeated rows take places of their own; an empty
-table gives no rows. A period holds at least one block of every source, so Q grows if there are more sources than
-``slots``. Extra columns pass through; columns named like the new ones are replaced.
+table gives no rows. A source without a weight, or with one that is null, not above 0 or not finite, gets no slot: its
+documents have a null slot and come last. Without weights a period holds at least one block of every source, so Q grows
+if there are more sources than ``slots``. Extra columns pass through; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,16 +25,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEW = ("block", "slot", "place", "in_target")
+UNIT = 1_000_000  # parts of one in which given weights are counted, and the longest period
 
 
-def quotas(sizes: DataFrame, weights: DataFrame | None, slots: int, power: float = 0.5) -> DataFrame:
-    """(source, n, p): blocks of each source in a period. Without weights (source, weight), they are n ** power."""
+def quotas(sizes: DataFrame, weights: DataFrame | None, slots: int) -> DataFrame:
+    """(source, n, p): blocks of each source in a period; sources of weight 0 are left out. Weights (source, weight) are
+    counted in ``UNIT`` parts of one and divided by their greatest common divisor; without weights the target is the
+    square root of a source's size in whole parts of ``slots``, one at least."""
+    whole = Window.partitionBy(F.lit(1))
     if weights is None:
-        weighed = sizes.withColumn("w", F.sqrt("n") if power == 0.5 else F.pow(F.col("n").cast("double"), F.lit(power)))
-    else:
-        weighed = sizes.join(weights.select(F.coalesce("source", F.lit("")).alias("source"), F.col("weight").cast("double").alias("w")), "source", "left").fillna(0.0, ["w"])
-    share = F.lit(slots) * F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1)))
-    return weighed.select("source", "n", F.greatest(F.lit(1), F.floor(F.coalesce(share, F.lit(0.0)))).cast("long").alias("p"))
+        share = F.lit(slots) * F.sqrt("n") / F.sum(F.sqrt("n")).over(whole)
+        return sizes.select("source", "n", F.greatest(F.lit(1), F.floor(share)).cast("long").alias("p"))
+    weight = F.col("weight").cast("double")
+    given = weights.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(F.when((weight > 0) & (weight < float("inf")), weight)).alias("w"))
+    parts = F.round(F.col("w") * UNIT).cast("long")
+    found = sizes.join(given, "source").withColumn("u", parts).filter("u > 0")
+    # weights whose sum exceeds one, or that add up to no round number, are parts of their sum: the largest remainders get
+    # the parts that rounding down leaves over
+    every = found.withColumn("all", F.sum("u").over(whole)).withColumn("g", F.aggregate(F.collect_list("u").over(whole), F.lit(0).cast("long"), _divisor))
+    exact = F.col("all") / F.col("g") <= UNIT
+    down = every.withColumn("q", F.floor(F.col("u").cast("decimal(20,0)") * UNIT / F.col("all")).cast("long")).withColumn("r", F.row_number().over(whole.orderBy(F.desc(F.col("u") / F.col("all") * UNIT - F.col("q")), "source")))
+    scaled = F.col("q") + (F.col("r") <= UNIT - F.sum("q").over(whole)).cast("long")
+    return down.select("source", "n", F.when(exact, F.col("u") / F.col("g")).otherwise(scaled).cast("long").alias("p")).filter("p > 0")
+
+
+def _divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two longs by Euclid's steps, 90 at most."""
+    pair = F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).alias("b"))))
+    return pair["a"]
 
 
 def _pick(counts: Column, p: Column, period: Column, t: Column) -> Column:
@@ -45,14 +66,22 @@ def _pick(counts: Column, p: Column, period: Column, t: Column) -> Column:
 def schedule(quota: DataFrame) -> DataFrame:
     """(source, n, p, period, k, slot): the slot of every block of one period."""
     row = quota.agg(F.array_sort(F.collect_list(F.struct("source", "p", "n"))).alias("s"), F.sum("p").alias("period")).filter(F.col("period").isNotNull())
-    row = row.withColumn("p", F.col("s.p"))
-    start = F.struct(F.transform("p", lambda _: F.lit(0).cast("long")).alias("c"), F.array().cast("array<long>").alias("picks"))
+    row = row.withColumn("p", F.col("s.p")).withColumn("part", F.ceil(F.sqrt("period")).cast("long"))
+    none = F.array().cast("array<long>")
+    start = F.struct(F.transform("p", lambda _: F.lit(0).cast("long")).alias("c"), none.alias("picks"))
 
     def step(state: Column, t: Column) -> Column:
         i = _pick(state["c"], F.col("p"), F.col("period"), t)
         return F.struct(F.transform(state["c"], lambda c, j: F.when(j == i, c + 1).otherwise(c)).alias("c"), F.concat(state["picks"], F.array(i)).alias("picks"))
 
-    folded = row.withColumn("picks", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step, lambda s: s["picks"]))
+    def part(state: Column, at: Column) -> Column:
+        """The slots of one part; parts are as many as a part has slots, so that no long list is copied for each slot."""
+        own = F.struct(state["c"].alias("c"), none.alias("picks"))
+        done = F.aggregate(F.sequence(at, F.least(at + F.col("part"), F.col("period")) - 1), own, step)
+        return F.struct(done["c"].alias("c"), F.concat(state["parts"], F.array(done["picks"])).alias("parts"))
+
+    first = F.struct(start["c"].alias("c"), F.array().cast("array<array<long>>").alias("parts"))
+    folded = row.withColumn("picks", F.flatten(F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1, F.col("part")), first, part, lambda s: s["parts"])))
     slots = folded.select("s", "period", F.posexplode("picks").alias("slot", "i")).select(F.get("s", F.col("i").cast("int")).alias("s"), "period", F.col("slot").cast("long").alias("slot"))
     number = F.row_number().over(Window.partitionBy("s.source").orderBy("slot")) - 1
     return slots.select("s.source", "s.n", "s.p", "period", number.cast("long").alias("k"), "slot")
@@ -62,25 +91,26 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, slot
     """docs with block, slot, place and in_target; the mixture is their order by (slot, place)."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     kept = [c for c in docs.columns if c.lower() not in NEW]
-    base = docs.select(*kept, F.coalesce(F.col(source_col), F.lit("")).alias("_source"), key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, 3))
-    counts = base.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    table = schedule(quotas(counts.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("n")), weights, slots))
+    # the caller's columns travel in one struct, so that no name of theirs can clash
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), key.alias("key"))
+    base = base.withColumn("bucket", F.substring("key", 1, 3))
+    counts = base.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    table = schedule(quotas(counts.groupBy("source").agg(F.sum("n").alias("n")), weights, slots))
     # the slot of the first block that a source lacks; the smallest ends the part that is on target
     blocks = F.ceil(F.col("n") / block)
     lacks = F.when(blocks % F.col("p") == F.col("k"), F.floor(blocks / F.col("p")) * F.col("period") + F.col("slot"))
-    table = table.withColumn("horizon", F.min(lacks).over(Window.partitionBy("period"))).select(F.col("source").alias("_source"), F.col("k").alias("_k"), F.col("slot").alias("_at"), "p", "period", "horizon")
-    ranked = base.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_key", id_col)))
-    sized = table.select("_source", F.col("p").alias("_p")).distinct()
-    placed = ranked.join(offsets.join(F.broadcast(sized), "_source").select("_source", "_bucket", "_before", "_p"), ["_source", "_bucket"])
-    placed = placed.withColumn("_place", F.col("_before") + F.col("_rank") - 1).withColumn("block", F.floor(F.col("_place") / block))
-    placed = placed.withColumn("_k", F.col("block") % F.col("_p"))
-    # one row per slot of the period: bounded by the period
-    placed = placed.join(F.broadcast(table), ["_source", "_k"])
-    slot = F.floor(F.col("block") / F.col("p")) * F.col("period") + F.col("_at")
-    out = placed.select(*kept, "block", slot.alias("slot"), (F.col("_place") % block).alias("place"), (slot < F.col("horizon")).alias("in_target"))
-    return out.orderBy("slot", "place") if ordered else out
+    table = table.withColumn("horizon", F.min(lacks).over(Window.partitionBy("period"))).select("source", "k", F.col("slot").alias("at"), "p", "period", "horizon")
+    ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id")))
+    # one row per slot of the period: UNIT, slots or the number of sources at most
+    sized = table.filter("k = 0").select("source", "p")
+    placed = ranked.join(offsets.join(F.broadcast(sized), "source", "left"), ["source", "bucket"]).withColumn("nth", F.col("before") + F.col("rank") - 1)
+    placed = placed.select("row", "source", F.floor(F.col("nth") / block).alias("block"), (F.col("nth") % block).alias("place"), (F.floor(F.col("nth") / block) % F.col("p")).alias("k"))
+    placed = placed.join(F.broadcast(table), ["source", "k"], "left")
+    slot = F.floor(F.col("block") / F.col("p")) * F.col("period") + F.col("at")
+    out = placed.select(*(F.col("row").getField(c).alias(c) for c in kept), "block", slot.alias("slot"), "place", F.coalesce(slot < F.col("horizon"), F.lit(False)).alias("in_target"))
+    return out.orderBy(F.asc_nulls_last("slot"), "place") if ordered else out
 
 
 #: DuckDB SQL for mix(documents)'s doc_id, source and new columns.
