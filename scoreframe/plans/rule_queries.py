@@ -147,7 +147,7 @@ def v10(spark, d):
     return V.rule_coverage(rows, "part", "p_partkey", ["a", "b", "c", "e"]).select("row_id")
 
 
-@query("v11_outputs", "SELECT 'url' AS field, count(*) AS n FROM pages WHERE contains(url, 'casino') UNION ALL SELECT 'score', count(*) FROM pages WHERE page_id % 2 = 0 AND page_id % 10 < 9 UNION ALL SELECT 'a', count(*) FROM pages WHERE page_id % 2 = 0 AND page_id % 3 = 0")
+@query("v11_outputs", "SELECT 'url' AS field, count(*) AS n FROM pages WHERE contains(url, 'casino') HAVING count(*) > 0 UNION ALL SELECT 'score', count(*) FROM pages WHERE page_id % 2 = 0 AND page_id % 10 < 9 HAVING count(*) > 0 UNION ALL SELECT 'a', count(*) FROM pages WHERE page_id % 2 = 0 AND page_id % 3 = 0 HAVING count(*) > 0")
 def v11(spark, d):
     k = F.col("page_id")
     p = table(spark, d, "pages").select("page_id", "url", ((k % 10) / 10).alias("score"), F.when(k % 2 == 0, "accepted").otherwise("review").alias("status"), F.when(k % 3 != 0, k).alias("a"), k.alias("b"), F.col("html").alias("evidence"))
