@@ -52,7 +52,7 @@ def flag(c: Column) -> Column:
 
 def state_code(c: Column, strict: bool = True, table: dict[str, str] | None = None) -> Column:
     """Two-letter code from a code or a full name; not strict lets any two letters through. Empty if unknown."""
-    names = {k.replace("_", " "): v for k, v in (table or STATES).items()}
+    names = table or STATES
     text, upper = F.lower(clean(c)), F.upper(clean(c))
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     known = upper.isin(*sorted(set(names.values()))) if strict else upper.rlike("^[A-Z]{2}$")
@@ -98,7 +98,7 @@ def label_by_threshold(x: Column, cuts: Sequence[tuple[float | None, str]], miss
 
 def fmt(x: Column, digits: int = 2) -> Column:
     """Fixed digits, ties to even; empty for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", F.bround(x, digits)), F.lit(""))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(x, digits))).otherwise("")
 
 
 def fmt_trimmed(x: Column, digits: int = 2) -> Column:
@@ -183,12 +183,16 @@ def fold_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, "‐‑‒–—− ", "------ "), r"\s+", " "))
 
 
-def compact_text(c: Column) -> Column:
-    """XML entities decoded, dashes unified, white space folded."""
-    text = F.coalesce(c, F.lit(""))
+def xml_entities(text: Column) -> Column:
+    """The entities that markup itself needs, decoded."""
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    return fold_text(text)
+    return text
+
+
+def compact_text(c: Column) -> Column:
+    """XML entities decoded, dashes unified, white space folded."""
+    return fold_text(xml_entities(F.coalesce(c, F.lit(""))))
 
 
 def html_title(c: Column) -> Column:
