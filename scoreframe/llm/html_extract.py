@@ -28,22 +28,32 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("head nav header footer aside form script style noscript iframe template svg canvas button select textarea input object embed video audio title menu dialog".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
-CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements whose end may be left out: the tags that end (the nearest of them), and the tags that hide them.
+OPEN_ENDS = (
+    (frozenset(("p",)), frozenset("table td th caption button html body".split())), (frozenset(("li",)), frozenset(("ul", "ol", "menu"))), (frozenset(("dt", "dd")), frozenset(("dl",))),
+    (frozenset(("tr", "td", "th")), frozenset(("table",))), (frozenset(("td", "th")), frozenset(("tr", "table"))), (frozenset(("option",)), frozenset(("select",))),
+)
+CLOSED_BY = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
 CLOSE_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "p"} | {"p"}
-P_SCOPE = frozenset("table td th caption button html body".split())
 
-#: Words of class, id and role that mark boilerplate, whole and as beginnings.
+TOUCHED = frozenset().union(*(tags for pair in OPEN_ENDS for tags in pair))
+
+#: Words of class, id and role that mark boilerplate, whole and as beginnings; weak ones only as a whole name or its end,
+#: and the weakest only as a whole name.
 MARKED = frozenset("ad ads nav menu sidebar side footer header masthead cookie cookies consent notice notices banner promo promos promoted share sharing social related popup modal overlay toolbar subscribe signup login search breadcrumb breadcrumbs pagination pager widget comment comments disqus respond replies reply discussion sponsor sponsored outbrain taboola newsletter navigation complementary contentinfo alert gdpr skip".split())
+WEAK = frozenset("header notice notices alert discussion search reply replies respond skip overlay login banner modal toolbar complementary".split())
+WEAKEST = frozenset(("side", "widget"))
 MARKED_START = ("advert", "comment", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor", "navbar", "topbar", "navig")
 KEPT = frozenset(("html", "body", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S)
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"\S+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "parent", "children", "score", "total", "named", "saved")
+    __slots__ = ("tag", "marks", "parent", "children", "score", "total", "named", "saved", "ends")
 
     def __init__(self, tag: str, marks: str, parent: Node | None):
         self.tag, self.marks, self.parent, self.children, self.score = tag, marks, parent, [], 0.0
@@ -51,25 +61,23 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The element tree; comments, declarations and raw elements leave no text."""
+    """The element tree; comments, declarations and raw elements leave no text. Every step is paid for by the characters
+    that it passes or the elements that it closes, so broken pages take linear time too."""
     root = Node("#root", "", None)
+    root.ends = (None,) * len(OPEN_ENDS)  # the nearest element of each kind whose end may be left out
     at, here, opened = 0, root, Counter()
+    size, last = len(page), page.rfind(">")
 
-    def close_to(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
+    def close(node: Node) -> None:
         nonlocal here
-        node = here
-        while node.parent is not None and node.tag not in tags and node.tag not in scope:
-            node = node.parent
-        if node.parent is not None and node.tag in tags:
-            while here is not node:
-                opened[here.tag] -= 1
-                here = here.parent
-            opened[here.tag] -= 1
-            here = here.parent
-
-    size = len(page)
+        while True:
+            gone, here = here, here.parent
+            opened[gone.tag] -= 1
+            if gone is node:
+                return
+
     while at < size:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(page, at) if at <= last or page.find("<!", at) >= 0 or page.find("<?", at) >= 0 else None
         if found is None:
             here.children.append(page[at:])
             break
@@ -81,18 +89,24 @@ def parse(page: str) -> Node:
         tag = found[2].lower()
         if found[1]:
             if opened[tag] > 0:
-                close_to({tag}, ())
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                close(node)
             continue
-        if tag in CLOSE_P and opened["p"] > 0:
-            close_to({"p"}, P_SCOPE)
-        if tag in CLOSED_BY and any(opened[t] > 0 for t in CLOSED_BY[tag][0]):
-            close_to(*CLOSED_BY[tag])
+        if tag in CLOSE_P and here.ends[0] is not None:
+            close(here.ends[0])
+        if tag in CLOSED_BY and here.ends[CLOSED_BY[tag]] is not None:
+            close(here.ends[CLOSED_BY[tag]])
         attributes = found[3]
         marks = " ".join((m[2] or m[3] or m[4] or "").lower() for m in _MARK.finditer(attributes)) if "=" in attributes else ""
         node = Node(tag, marks, here)
+        node.ends = here.ends
+        if tag in TOUCHED:
+            node.ends = tuple(node if tag in own else None if tag in hiding else near for near, (own, hiding) in zip(here.ends, OPEN_ENDS, strict=True))
         here.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if at <= last else None
             at = end.end() if end else size
         elif tag not in VOID and not attributes.endswith("/"):
             here = node
@@ -103,7 +117,18 @@ def parse(page: str) -> Node:
 def is_marked(node: Node) -> bool:
     if not node.marks or node.tag in KEPT:
         return False
-    return any(w in MARKED or w.startswith(MARKED_START) for w in _WORD.findall(node.marks))
+    for name in _NAME.findall(node.marks):
+        words = _WORD.findall(name)
+        for i, w in enumerate(words):
+            if w in WEAKEST:
+                if len(words) == 1:
+                    return True
+            elif w in WEAK:
+                if i == len(words) - 1:
+                    return True
+            elif w in MARKED or w.startswith(MARKED_START):
+                return True
+    return False
 
 
 def is_dropped(node: Node) -> bool:
