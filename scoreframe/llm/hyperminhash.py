@@ -2,42 +2,47 @@
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; a text's set holds its distinct n-word shingles
 as 64-bit hashes. A HyperMinHash register of a bucket keeps the leading-zero count of the bucket's smallest hash and the
-first mantissa bits after the leading one. Folded registers are banded to find candidates, the collision-corrected
-Jaccard estimate drops the hopeless ones, and the rest are confirmed on the full sets.
+first mantissa bits after the leading one: 4 and 4 bits in the registers of the estimate, 6 and 10 in the folded ones,
+which are banded to find candidates. The collision-corrected Jaccard estimate drops the hopeless ones, and the rest are
+confirmed on the full sets.
 
-At a similarity of exactly 0.80, by the binomial law with all registers occupied, the bands miss a pair once in seven
-million and the estimate drops one once in 85 million; more alike pairs are safer. So about 1.5 in ten million such
-pairs are lost, unless another path links them.
+At a similarity of exactly 0.80, by the binomial law with all registers occupied, the bands miss a pair once in twelve
+million and the estimate drops one once in 85 million; more alike pairs are safer. So about one in ten million such
+pairs is lost, unless another path links them. Other similarities get bands and a slack of the same safety (``banding``).
 
 Groups of equal sets are collapsed before banding (with map-side combining), so a large group of copies is one row. Of a
-band's members each is first paired with the group's smallest and largest id only; once those links have merged, rows
-outside a group's largest component are paired with their likeliest partner, and at last with all that remain apart. So
-groups of near copies stay linear.
+band's members each is first paired with the group's smallest and largest id only. Once those links have merged, the
+rows outside a group's largest component are paired with those of other components: with all of them if at most ``FEW``
+are outside, else first with their likeliest partner, and at last with all that remain apart, in blocks. So groups of
+near copies stay linear.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a text with fewer than n words has
-its whole sequence as one shingle; repeated rows of one doc_id are one document with the text of the smallest set digest
-and give one row; an empty table gives no rows. Other columns of the input are ignored.
+its whole sequence as one shingle; rows that repeat a doc_id are one document, which is linked through each of its texts,
+has the smallest of their set sizes and gives one row; rows with a null doc_id are linked with nothing and kept, one row
+each; an empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import spread, stored
+from scoreframe.llm.common import discard, spread, stored
 
 FINE = 256  # registers of the estimate
-FOLDED = 66  # registers that are banded, at most
-ROWS = 3  # registers of a band
-BANDS = 22
-MANTISSA = 10
-SLACK = 0.15  # of the estimate, six standard deviations at 256 registers and a similarity of 0.80
+ROWS = 5  # registers of a band at a similarity of 0.80
+BANDS = 41
+MANTISSA = 4  # bits of a register of the estimate
+FOLDED_MANTISSA = 10
+SLACK = 0.155  # of the estimate, six standard deviations at 256 registers and a similarity of 0.80
+FEW = 16  # rows of a group that are paired with all others at once
 BLOCK = 1024  # rows of a block of a band's group
+CHUNK = 1 << 20  # bytes of texts that are hashed at once
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,69 +63,88 @@ def _powers(n: int) -> np.ndarray:
         return np.cumprod(np.full(n, _PRIME, np.uint64))
 
 
-def shingle_hashes(text: bytes, n_words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; each word is hashed as a polynomial over its bytes, each shingle
-    as a mix of its words' hashes in order. No Python step per word."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    raw = _LOWER[np.frombuffer(text, np.uint8)]
+def banding(percent: int) -> tuple[int, int]:
+    """(registers of a band, bands) that miss a pair of this similarity once in ten million; the longest bands that need
+    no more than 64 keys, or single registers."""
+    share = percent / 100
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(1e-7) / math.log1p(-(share**rows))) if share < 1 else 1
+        if bands <= 64 or rows == 1:
+            return rows, bands
+    raise AssertionError
+
+
+def shingle_sets(texts: list[bytes], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): the sorted distinct 64-bit shingle hashes of each text, one text after the other. Each word is
+    hashed as a polynomial over its bytes, each shingle as a mix of its words' hashes in order. No Python step per word."""
+    raw = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     word = ~_SPACE[raw]
-    edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
+    edge = np.diff(np.concatenate(([0], word.view(np.int8))))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     # a word's hash: sum of its bytes' codes times the powers of the prime by place in the word
     length = end - begin
-    keep = np.flatnonzero(word)
-    place = np.arange(len(keep)) - np.repeat(np.cumsum(length) - length, length)
-    longest = int(length.max())
-    terms = _BYTE[raw[keep]] * _powers(longest)[place]
-    sums = np.add.reduceat(terms, np.cumsum(length) - length)
-    h = _mix(sums ^ (length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    size = min(n_words, len(h))
-    total = np.zeros(len(h) - size + 1, np.uint64)
-    for k in range(size):
-        total = _mix(total * _PRIME + h[k : len(h) - size + 1 + k])
-    return np.unique(total + np.uint64(size))
-
-
-def registers(hashes: np.ndarray, size: int = FINE, mantissa: int = MANTISSA) -> np.ndarray:
-    """One uint16 per bucket, 0 if it is empty: leading zeros + 1, then the mantissa bits, inverted so that the smallest hash has the largest register."""
-    out = np.zeros(size, np.uint16)
-    if not len(hashes):
-        return out
-    bits = int(size).bit_length() - 1
-    mixed = _mix(hashes)
-    bucket = (mixed >> np.uint64(64 - bits)).astype(np.int64)
-    rest = mixed << np.uint64(bits)
-    top = 63 - bits - mantissa
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    h = np.add.reduceat(_BYTE[raw[word]] * _powers(int(length.max()))[place], first)
+    h = _mix(h ^ (length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    stops = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))  # words up to each text's end
+    words = np.diff(stops, prepend=0)
+    sizes = np.minimum(words, n_words)
+    counts = words - sizes + (words > 0)
+    ends = np.cumsum(counts)
+    at = np.arange(int(ends[-1])) + np.repeat(stops - words - ends + counts, counts)
+    size = np.repeat(sizes, counts)
+    total = np.zeros(len(at), np.uint64)
+    for k in range(int(sizes.max())):
+        there = k < size
+        total = np.where(there, _mix(total * _PRIME + h[np.where(there, at + k, 0)]), total)
+    total += size.astype(np.uint64)
+    for a, b in zip((ends - counts).tolist(), ends.tolist()):
+        total[a:b].sort()
+    new = np.append(True, total[1:] != total[:-1])
+    new[(ends - counts)[counts > 0]] = True
+    return total[new], np.concatenate(([0], np.cumsum(new)))[ends]
+
+
+def shingle_hashes(text: bytes, n_words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of one text's shingles."""
+    return shingle_sets([text], n_words)[0]
+
+
+def _values(rest: np.ndarray, mantissa: int, most: int) -> np.ndarray:
+    """Leading zeros + 1 (``most`` at most), then the mantissa bits, inverted so that the smallest hash has the largest value."""
     exponent = np.frexp(np.maximum(rest, np.uint64(1)).astype(np.float64))[1]  # floor(log2) + 1, at most one off when rounding, alike for equal hashes
-    zeros = np.minimum(64 - exponent, min(top, 62)).clip(0)
-    tail = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - mantissa)
-    value = ((zeros + 1).astype(np.uint64) << np.uint64(mantissa)) | (np.uint64((1 << mantissa) - 1) - tail)
-    np.maximum.at(out, bucket, value.astype(np.uint16))
-    return out
-
-
-def band_keys(hashes: np.ndarray) -> list[int | None]:
-    """One key per band of folded registers; None where all registers of the band are empty. Folded buckets come from other bits than the fine ones, the registers from the same law."""
-    out = np.zeros(BANDS * ROWS, np.uint64)
-    if len(hashes):
-        other = _mix(hashes ^ np.uint64(0xA0761D6478BD642F))
-        bucket = ((other >> np.uint64(40)) % np.uint64(BANDS * ROWS)).astype(np.int64)
-        rest = _mix(other)
-        exponent = np.frexp(np.maximum(rest, np.uint64(1)).astype(np.float64))[1]
-        zeros = np.minimum(64 - exponent, 50).clip(0)
-        tail = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-        np.maximum.at(out, bucket, ((zeros + 1).astype(np.uint64) << np.uint64(MANTISSA)) | (np.uint64((1 << MANTISSA) - 1) - tail))
-    rows = out.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mix(key * _PRIME + rows[:, k])
-    return [int(x) if any_ else None for x, any_ in zip(key.view(np.int64).tolist(), rows.any(axis=1).tolist(), strict=True)]
-
-
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    zeros = (64 - exponent).clip(0, most - 1).astype(np.uint64)
+    tail = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - mantissa)
+    return ((zeros + np.uint64(1)) << np.uint64(mantissa)) | (np.uint64((1 << mantissa) - 1) - tail)
+
+
+def registers(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A row of FINE registers of one byte per owner, 0 in empty buckets."""
+    out = np.zeros(n * FINE, np.uint8)
+    bits = FINE.bit_length() - 1
+    mixed = _mix(hashes)
+    np.maximum.at(out, owner * FINE + (mixed >> np.uint64(64 - bits)).astype(np.int64), _values(mixed << np.uint64(bits), MANTISSA, 15).astype(np.uint8))
+    return out.reshape(n, FINE)
+
+
+def band_keys(hashes: np.ndarray, owner: np.ndarray, n: int, rows: int, bands: int) -> np.ndarray:
+    """A row of band keys of folded registers per owner; 0 where all registers of the band are empty. Folded buckets come
+    from other bits than the fine ones, the registers from the same law."""
+    out = np.zeros(n * bands * rows, np.uint16)
+    other = _mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+    bucket = ((other >> np.uint64(40)) % np.uint64(bands * rows)).astype(np.int64)
+    np.maximum.at(out, owner * (bands * rows) + bucket, _values(_mix(other), FOLDED_MANTISSA, 51).astype(np.uint16))
+    held = out.reshape(n, bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands))
+    for k in range(rows):
+        key = _mix(key * _PRIME + held[:, :, k])
+    return np.where(held.any(axis=2), key.view(np.int64), 0)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Collision-corrected Jaccard estimates of register rows: equal registers over occupied ones, less the share that
     equal by chance. Two unlike registers equal with probability near (1/3) / 2**mantissa (equal zeros, equal mantissa)."""
     occupied = ((a > 0) | (b > 0)).sum(axis=1)
@@ -130,36 +154,52 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((raw - chance) / (1 - chance), 0, 1)
 
 
-def signatures(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(ids, texts) of about CHUNK bytes each."""
+    ids, column, at = batch.column(0), batch.column(1), 0
+    while at < len(column):
+        part, size, first = [], 0, at
+        while at < len(column) and (not part or size < CHUNK):
+            part.append(column[at].as_py())
+            size += len(part[-1])
+            at += 1
+        yield ids.slice(first, at - first), part
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes that lie one after the other; a chunk is far below 2 GB."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def signatures(docs: DataFrame, n_words: int, id_col: str, text_col: str, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n, d1, d2, regs, bands): set size, digest of the set, fine registers, band keys (0 for an empty band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, regs, bands = [], [], [], [], []
-            for text in batch.column(1):
-                h = shingle_hashes(text.as_py(), n_words)
-                n.append(len(h))
+            for ids, texts in _chunks(batch):
+                h, ends = shingle_sets(texts, n_words)
+                sizes = np.diff(ends, prepend=0)
+                owner = np.repeat(np.arange(len(texts)), sizes)
                 x = _mix(h)
-                d1.append(int(np.add.reduce(x).view(np.int64)))
-                d2.append(int(np.add.reduce(_mix(x ^ _PRIME)).view(np.int64)))
-                regs.append(registers(h).tobytes())
-                bands.append([k or 0 for k in band_keys(h)])
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "regs", "bands"])
+                digests = [np.diff(np.concatenate(([np.uint64(0)], np.cumsum(d)))[ends], prepend=np.uint64(0)).view(np.int64) for d in (x, _mix(x ^ _PRIME))]
+                regs = _binary(registers(h, owner, len(texts)), np.arange(1, len(texts) + 1) * FINE)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(band_keys(h, owner, len(texts), rows, bands).ravel()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *map(pa.array, digests), regs, keys], ["doc_id", "n", "d1", "d2", "regs", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
+    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t.as_py(), n_words).tobytes() for t in part.column(1)], pa.binary())], ["doc_id", "hashes"])
+            for ids, texts in _chunks(batch):
+                h, ends = shingle_sets(texts, n_words)
+                yield pa.RecordBatch.from_arrays([ids, _binary(h, ends * 8)], ["doc_id", "hashes"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, hashes binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
+    return texts.mapInArrow(run, "doc_id long, hashes binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,17 +235,23 @@ def _plausible(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, FINE) for k in (3, 5))
-            keep = estimate(a, b, None, None) >= percent / 100 - _slack(a, b)
+            a, b = (_register_rows(batch.column(k)) for k in (3, 5))
+            keep = estimate(a, b) >= percent / 100 - _slack(a, b, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a long, b long")
 
 
-def _slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _register_rows(column: pa.Array) -> np.ndarray:
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, f"u{len(data) // (FINE * len(column))}").reshape(-1, FINE)
+
+
+def _slack(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Wider where few registers are occupied: small sets."""
     occupied = ((a > 0) | (b > 0)).sum(axis=1)
-    return SLACK * np.sqrt(FINE / np.maximum(occupied, 1))
+    share = percent / 100
+    return SLACK * np.sqrt(share * (1 - share) / 0.16) * np.sqrt(FINE / np.maximum(occupied, 1))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,14 +270,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("doc_id").join(now, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
-def _blocks(groups: DataFrame) -> DataFrame:
-    """Blocks (key, p, q) of the bands' groups: rows outside a group's largest component ask, all rows answer; askers of
-    part p meet answerers of part q, about BLOCK rows each, so no group meets in one task.
-    groups: (key, doc_id, component, n, regs, bands)."""
-    sizes = groups.groupBy("key", "component").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    parts = largest.select("key", "main", (F.floor((F.col("all") - 1) / BLOCK) + 1).cast("int").alias("k"), (F.floor((F.col("all") - F.col("most") - 1) / BLOCK) + 1).cast("int").alias("kl"))
-    rows = groups.join(parts, "key").withColumn("h", F.xxhash64("doc_id"))
+def _apart(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, doc_id, component, main, size, askers) of the rows of a band's groups that hold several components: the
+    largest one, the rows in all, and the rows outside the largest, which ask."""
+    held = groups.join(label, "doc_id")
+    sizes = held.groupBy("key", "component").agg(F.count("*").alias("c"))
+    parts = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).filter("size > most")
+    return held.join(parts.select("key", "main", "size", (F.col("size") - F.col("most")).alias("askers")), "key")
+
+
+def _few(apart: DataFrame) -> DataFrame:
+    """(a, b), once each: every asking row with every row of another component, in groups of at most FEW asking rows, so
+    that no row meets more than FEW others in a group."""
+    rows = apart.filter(F.col("askers") <= FEW)
+    asking = rows.filter("component <> main").select("key", F.col("doc_id").alias("x"), F.col("component").alias("of_x"))
+    both = asking.join(rows.select("key", "doc_id", "component"), "key").filter("component <> of_x")
+    return both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+
+
+def _blocks(apart: DataFrame, regs: DataFrame) -> DataFrame:
+    """Blocks (key, p, q) of groups with more asking rows: askers of part p meet answerers of part q, about BLOCK rows
+    each, so no group meets in one task. regs: (doc_id, n, regs, bands)."""
+    rows = apart.filter(F.col("askers") > FEW).join(regs, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    part = lambda n: (F.floor((F.col(n) - 1) / BLOCK) + 1).cast("int")
+    rows = rows.withColumn("k", part("size")).withColumn("kl", part("askers"))
     kept = ["doc_id", "component", "n", "regs", "bands"]
     answers = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("kl") - 1)).alias("p"), F.pmod("h", "k").cast("int").alias("q"), F.lit(False).alias("asks"), *kept)
     asking = rows.filter("component <> main").select("key", F.pmod("h", "kl").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"), F.lit(True).alias("asks"), *kept)
@@ -241,9 +303,9 @@ def _blocks(groups: DataFrame) -> DataFrame:
 def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(asking row, rows it may be linked with, their estimates) in one block; a pair counts in its first shared band only."""
     ids, comp, n, asks = (table.column(c).to_numpy() for c in ("doc_id", "component", "n", "asks"))
-    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, FINE)
-    bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
-    key = table.column("key")[0].as_py()
+    regs = _register_rows(table.column("regs").combine_chunks())
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    key = np.int64(table.column("key")[0].as_py()).astype(np.int32)
     there = np.flatnonzero(~asks)
     for x in np.flatnonzero(asks):
         rest = there[(comp[there] != comp[x]) & (100 * np.minimum(n[there], n[x]) >= percent * np.maximum(n[there], n[x]))]
@@ -252,8 +314,8 @@ def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray
             rest = rest[bands[x][shared.argmax(axis=1)] == key]
         if len(rest):
             a = np.broadcast_to(regs[x], (len(rest), FINE))
-            likely = estimate(a, regs[rest], None, None)
-            hit = likely >= percent / 100 - _slack(a, regs[rest])
+            likely = estimate(a, regs[rest])
+            hit = likely >= percent / 100 - _slack(a, regs[rest], percent)
             if hit.any():
                 yield x, rest[hit], likely[hit]
 
@@ -313,41 +375,68 @@ def _confirm_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document."""
-    docs = spread(docs.select(id_col, text_col))
-    sig = stored(signatures(docs, n_words, id_col, text_col), "signatures")
-    heads = sig.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    members = stored(sig.select("doc_id", "n", "d1", "d2").join(heads, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    if not 1 <= percent <= 100 or n_words < 1:
+        raise ValueError("percent must lie between 1 and 100 and n_words be positive")
+    docs = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows, bands_of = banding(percent)
+    sig = stored(signatures(docs, n_words, "doc_id", "text", rows, bands_of), "signatures")
+    heads = sig.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    members = stored(sig.select("doc_id", "n", "d1", "d2").join(heads, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
     reps = members.filter("n > 0 AND rep = doc_id").select("doc_id")
     bands = sig.select("doc_id", "bands").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")).filter("key <> 0")
-    ends = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).filter("low < high")
-    grouped = stored(bands.join(ends, "key"), "bands")
+    own = Window.partitionBy("key")
+    grouped = bands.select("key", "doc_id", F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high")).filter("low < high")
+    grouped = stored(grouped, "bands")
     star = grouped.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(grouped.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
     # sizes alone rule out many pairs before any registers are sent
     star = stored(_alike_in_size(star, members.select("doc_id", "n"), percent), "star")
     # registers and sets are fetched only for documents that share a band, and only once
     near = grouped.select("doc_id").distinct()
-    regs = stored(sig.select("doc_id", "n", "regs", "bands").join(near, "doc_id", "left_semi"), "registers")
+    # four bytes of a band key tell bands of two rows apart
+    regs = stored(sig.select("doc_id", "n", "regs", F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("bands")).join(near, "doc_id", "left_semi"), "registers")
+    discard(sig)
     pairs = stored(_plausible(star, regs, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(grouped.filter("c > 2").select("doc_id")).distinct()
-    texts = docs.withColumn("doc_id", F.col(id_col).cast("long")).join(wanted, "doc_id", "left_semi")
-    sets = stored(_sets(texts, n_words, "doc_id", text_col), "sets")
+    # a group of up to three is settled by its star, and so are all pairs with the smallest and largest id of a group
+    large = grouped.groupBy("key").agg(F.count("*").alias("c")).filter("c > 3").select("key")
+    big = stored(grouped.filter("doc_id <> low AND doc_id <> high").select("key", "doc_id").join(large, "key"), "groups")
+    discard(grouped)
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(big.select("doc_id")).distinct()
+    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi"), n_words, "doc_id", "text"), "sets")
     found = stored(_confirm(pairs, sets, percent), "links")
-    label = components(near, found)
-    # pairs across what the stars left apart: first each row's likeliest partner, then all that are still apart
-    big = grouped.filter("c > 2").select("key", "doc_id")
-    for last in (False, True):
-        held = big.join(label, "doc_id")
-        apart = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        blocks = _blocks(stored(held.join(apart, "key", "left_semi").join(regs, "doc_id"), "apart"))
-        if last:
-            new = _confirm_blocks(blocks, sets, percent)
-        else:
-            new = _confirm(stored(_likeliest(blocks, percent).join(star, ["a", "b"], "left_anti"), "pairs"), sets, percent)
-        new = stored(new, "links")
+    discard(pairs)
+    nodes = members.filter("n > 0 AND rep = doc_id").select("doc_id")
+    label = components(nodes, found)
+
+    def linked(new: DataFrame) -> None:
+        nonlocal found, label
         if not new.isEmpty():
             found = found.union(new)
-            label = components(near, found)
+            label = components(nodes, found)
+
+    def checked(candidates: DataFrame) -> DataFrame:
+        likely = stored(_plausible(candidates, regs, percent), "pairs")
+        new = stored(_confirm(likely, sets, percent), "links")
+        discard(likely)
+        return new
+
+    # pairs across what the stars left apart: where few rows of a group are apart, all of theirs; else first each row's
+    # likeliest partner, and then all that are still apart
+    for last in (False, True):
+        apart = stored(_apart(big, label), "apart")
+        pairs = stored(_alike_in_size(_few(apart).join(star, ["a", "b"], "left_anti"), members.select("doc_id", "n"), percent), "few")
+        new = checked(pairs)
+        many = apart.filter(F.col("askers") > FEW)
+        settled = many.isEmpty()
+        if not settled:
+            blocks = _blocks(apart, regs)
+            new = new.union(stored(_confirm_blocks(blocks, sets, percent), "links") if last else checked(_likeliest(blocks, percent).join(star, ["a", "b"], "left_anti")))
+        linked(new)
+        if settled:
+            break
+        star, big = star.union(pairs), big.join(many.select("key").distinct(), "key", "left_semi")
     label = label.withColumnRenamed("doc_id", "rep")
-    out = members.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    out = members.filter("doc_id IS NOT NULL").join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     # the smallest id of the class: representatives are the smallest of their copies already
-    return out.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    unnamed = members.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(unnamed)
