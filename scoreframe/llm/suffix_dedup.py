@@ -38,10 +38,11 @@ STEP = 10  # windows that are dealt out together where an anchor is frequent
 HEAVY = 1 << 16  # frequent anchors that are told apart, at most: 512 KB in every task
 FREQUENT = 512  # times that such an anchor occurs in the sample
 SAMPLE = 32  # one document in so many is in the sample
-BLOCK = 1 << 21  # bytes of fragments that are decided together
-CHUNK = 1 << 22  # bytes that are hashed at once; below 2**24, as places have 24 bits
+BLOCK = 1 << 20  # bytes of fragments that are decided together
+CHUNK = 1 << 20  # bytes that are hashed at once; below 2**24, as places have 24 bits
 COMBINE = 1 << 19  # anchors that a task combines at once
-SEEN = 1 << 17  # fragments that a task remembers
+SEEN = 1 << 18  # fragments that a task remembers
+ROWS = 1 << 14  # fragments of a batch
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -154,12 +155,12 @@ def _shared_spots(texts: DataFrame, least: int, frequent: np.ndarray) -> DataFra
         def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             h, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(h, kind="stable")
-            h, doc, at = h[order], doc[order], at[order]
-            again = np.concatenate(([False], h[1:] == h[:-1]))
-            state = np.where(again, 2, np.where(np.append(again[1:], False), 1, 0)).astype(np.int8)
+            same = h[order][1:] == h[order][:-1]
+            state = np.empty(len(h), np.int8)  # rows stay in their documents' order, which packs better
+            state[order] = np.where(np.append(False, same), 2, np.where(np.append(same, False), 1, 0))
             at = (at << 1) | np.isin(h, frequent)
             elsewhere = _mix((doc ^ (at << 20)).view(np.uint64)).view(np.int64)
-            return _batch({"h": np.where(again, elsewhere, h), "doc_id": doc, "at": at, "state": state})
+            return _batch({"h": np.where(state == 2, elsewhere, h), "doc_id": doc, "at": at, "state": state})
 
         held, n = [], 0
         for columns in _anchor_columns(batches, least):
@@ -198,14 +199,18 @@ def _key(piece: bytes) -> int:
 
 
 def _fragments(joined: DataFrame, least: int) -> DataFrame:
-    """(key, doc_id, start, stop, core, fragment) from (doc_id, bytes, spots), in which rows come by doc_id. core packs the
-    place and the size of the bytes that fragments of one key have in common. A null fragment is a span that equals an
-    earlier fragment of its task, which stands for it."""
+    """(key, doc_id, start, core, fragment) from (doc_id, bytes, spots), in which rows come by doc_id. core packs the place
+    and the size of the bytes that fragments of one key have in common. A null fragment is a span of core bytes that
+    equals an earlier fragment of its task, which stands for it."""
+
+    def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], ["key", "doc_id", "start", "core", "fragment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
             for doc, text, spots in zip(*(batch.column(k) for k in range(3)), strict=True):
                 if not spots.is_valid:
                     continue
@@ -231,23 +236,25 @@ def _fragments(joined: DataFrame, least: int) -> DataFrame:
                         continue
                     if not often:
                         seen.add(text[start : last + least])
-                        rows.append((_key(text[place : place + GRAM]), doc, start, last + least, (place - start) << 9 | GRAM, text[start : last + least]))
+                        rows.append((_key(text[place : place + GRAM]), doc, start, (place - start) << 9 | GRAM, text[start : last + least]))
                         continue
                     for back in range((place - last) // STEP * STEP, place - start + 1, STEP):
                         # windows that start back to back + STEP - 1 bytes before the anchor share what lies between
                         a, b = max(start, place - back - STEP + 1), min(last, place - back)
                         core = text[place - back : place - back - STEP + 1 + least]
                         if len(core) == least - STEP + 1 and not repeats(a, b + least):
-                            rows.append((_key(core), doc, a, b + least, (place - back - a) << 9 | len(core), text[a : b + least]))
+                            rows.append((_key(core), doc, a, (place - back - a) << 9 | len(core), text[a : b + least]))
                             seen.add(text[a : b + least])
                     seen.add(text[start : last + least])
-                rows += [(hash((doc, a)), doc, a, b, 0, None) for a, b in known]
+                rows += [(hash((doc, a)), doc, a, b - a, None) for a, b in known]
                 if len(seen) > SEEN:
                     seen.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], ["key", "doc_id", "start", "stop", "core", "fragment"])
+                if len(rows) >= ROWS:
+                    yield packed_rows(rows)
+                    rows = []
+        yield packed_rows(rows)
 
-    return joined.mapInArrow(run, "key long, doc_id long, start long, stop long, core int, fragment binary")
+    return joined.mapInArrow(run, "key long, doc_id long, start long, core int, fragment binary")
 
 
 def shared_extents(key: np.ndarray, raw: np.ndarray, off: np.ndarray, size: np.ndarray, back: np.ndarray, core: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -437,11 +444,13 @@ def _decide(fragments: DataFrame, least: int) -> DataFrame:
                     yield _batch(dict(zip(("doc_id", "start", "stop"), spans, strict=True)))
 
         for batch in batches:
-            known = batch.column(5).is_null().to_numpy(zero_copy_only=False)
-            key, doc, start, stop, core = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            yield _batch({"doc_id": doc[known], "start": start[known], "stop": stop[known]})
-            raw = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint8)
-            held.append((key[~known], doc[~known], start[~known], (core >> 9)[~known].astype(np.int64), (core & 511)[~known].astype(np.int64), (stop - start)[~known], raw))
+            known = batch.column(4).is_null().to_numpy(zero_copy_only=False)
+            key, doc, start, core = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            yield _batch({"doc_id": doc[known], "start": start[known], "stop": (start + core)[known]})
+            pieces = batch.column(4).drop_null().to_pylist()
+            raw = np.frombuffer(b"".join(pieces), np.uint8)
+            sizes = np.array([len(x) for x in pieces], np.int64)
+            held.append((key[~known], doc[~known], start[~known], (core >> 9)[~known].astype(np.int64), (core & 511)[~known].astype(np.int64), sizes, raw))
             size += len(raw)
             if size >= BLOCK:
                 yield from decided(False)
