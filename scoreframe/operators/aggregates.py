@@ -21,11 +21,12 @@ def weighted_score(weights: Sequence[tuple[str, float]]) -> tuple[Column, Column
 
 def weighted_score_long(values: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same over long rows (keys, component, value) and weights (group, component, weight), for any number of groups.
-    Entities without any present component of a group have a null score there."""
+    Entities without any present component of a group have a null score there. Weights are broadcast up to 100,000 rows."""
     configured = weights.groupBy("group").agg(F.sum("weight").alias("_all"))
     w = weights.filter("weight > 0").join(configured, "group")
     present = F.when(F.col("value").isNotNull(), F.col("weight")).otherwise(0.0)
-    out = values.join(F.broadcast(w), "component").groupBy(*keys, "group").agg(F.sum(F.col("value") * F.col("weight")).alias("_t"), F.sum(present).alias("_p"), F.first("_all").alias("_all"))
+    few = weights.limit(100_001).count() <= 100_000
+    out = values.join(F.broadcast(w) if few else w, "component").groupBy(*keys, "group").agg(F.sum(F.col("value") * F.col("weight")).alias("_t"), F.sum(present).alias("_p"), F.first("_all").alias("_all"))
     return out.select(*keys, "group", F.when(F.col("_p") > 0, F.col("_t") / F.col("_p")).alias("score"), (F.col("_p") / F.col("_all")).alias("coverage"))
 
 

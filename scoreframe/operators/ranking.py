@@ -12,6 +12,7 @@ from scoreframe.functions.fixed import CONFIDENCE_CUTS, TIER_CUTS
 from scoreframe.operators import aggregates as A
 from scoreframe.operators import joins as J
 from scoreframe.operators import sorting as T
+from scoreframe.sources.stages import durable
 
 Weights = Sequence[tuple[str, float]]
 
@@ -28,17 +29,19 @@ def rank_rounded(df: DataFrame, score: str, keys: Sequence[str], excluded: Colum
 
 
 def rank_many(df: DataFrame, scores: dict[str, str], keys: Sequence[str], excluded: Column | None = None) -> DataFrame:
-    """rank_rounded for several (rank name, score column) from one count over all of them."""
+    """rank_rounded for several (rank name, score column) from one count over all of them. The ranks, one row per key and
+    distinct score, are stored and broadcast if they are at most a million."""
     fit = F.lit(True) if excluded is None else ~F.coalesce(excluded, F.lit(False))
     cells = F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(c).alias("_score")) for n, c in scores.items()]))
     counts = df.filter(fit).select(*keys, cells).filter("_score IS NOT NULL").groupBy(*keys, "_name", "_score").agg(F.count("*").alias("_n"))
     better = Window.partitionBy(*keys, "_name").orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("_r", F.coalesce(F.sum("_n").over(better), F.lit(0)) + 1)
-    wide = ranks.groupBy(*keys, "_score").agg(*[F.max(F.when(F.col("_name") == n, F.col("_r"))).alias(f"_{n}") for n in scores])
+    wide = durable(ranks.groupBy(*keys, "_score").agg(*[F.max(F.when(F.col("_name") == n, F.col("_r"))).alias(f"_{n}") for n in scores]))
+    few = wide.limit(1_000_001).count() <= 1_000_000
     out = df
     for n, c in scores.items():
         one = wide.select(*keys, F.col("_score").alias(c), f"_{n}").filter(F.col(f"_{n}").isNotNull())
-        out = out.join(one, [*keys, c], "left").withColumn(n, F.when(fit, F.col(f"_{n}"))).drop(f"_{n}")
+        out = out.join(F.broadcast(one) if few else one, [*keys, c], "left").withColumn(n, F.when(fit, F.col(f"_{n}"))).drop(f"_{n}")
     return out
 
 

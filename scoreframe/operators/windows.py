@@ -10,11 +10,38 @@ from pyspark.sql import functions as F
 from scoreframe.functions import scalar as S
 
 
+PARTS = 64  # parts of a key's values that are ordered apart
+
+
+def in_parts(df: DataFrame, value: Column, keys: Sequence[str]) -> DataFrame:
+    """df with ``_part``: the part of its key's values that the row's value falls into, from the smallest up, nulls last.
+    Bounds are approximate quantiles, combined map-side, so a key with most of the rows is split evenly; equal values
+    share a part. Any bounds give right results, as the parts only follow the order."""
+    bounds = df.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 1000))).alias("_bounds"))
+    rows = df.withColumn("_v", value)
+    rows = rows.join(bounds, list(keys), "left") if keys else rows.crossJoin(F.broadcast(bounds))  # one row
+    part = F.when(F.col("_v").isNull() | F.isnan("_v"), PARTS + 1).otherwise(F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda x: x < F.col("_v"))))
+    return rows.withColumn("_part", part).drop("_bounds", "_v")
+
+
+def places(df: DataFrame, value: Column, keys: Sequence[str], order: Sequence[Column], ties_shared: bool, name: str) -> DataFrame:
+    """Place of each row in the order within its key: order refines ``value`` (a double) ascending. Rows are ordered in
+    their part of the key, and the sizes of the parts before are added, so no task orders a whole key."""
+    rows = in_parts(df, value, keys)
+    sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    # one row per key and part
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*keys, "_part", before.alias("_before"))
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order)
+    placed = rows.withColumn("_place", F.rank().over(inner) if ties_shared else F.row_number().over(inner))
+    out = placed.join(offsets, [*keys, "_part"])
+    return out.select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def rank_scores(df: DataFrame, score: str, keys: Sequence[str], excluded: Column | None = None, name: str = "rank") -> DataFrame:
-    """Competition rank, best first; excluded and unscored rows have none."""
+    """Competition rank, best first; excluded and unscored rows have none. Null keys are a group."""
     fit = F.col(score).isNotNull() & (F.lit(True) if excluded is None else ~F.coalesce(excluded, F.lit(False)))
-    w = Window.partitionBy(*keys, fit).orderBy(F.col(score).desc())
-    return df.withColumn(name, F.when(fit, F.rank().over(w)))
+    return _placed(df.withColumn("_fit", fit), score, keys, [F.col(score).desc()], True, name)
 
 
 def rank_scenarios(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,8 +51,20 @@ def rank_scenarios(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def live_rank(df: DataFrame, score: str, keys: Sequence[str], ties: Sequence[str], name: str = "live_rank") -> DataFrame:
     """Strict places after a total order; unscored rows have none."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties])
-    return df.withColumn(name, F.when(F.col(score).isNotNull(), F.row_number().over(w)))
+    order = [F.col(score).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]]
+    return _placed(df.withColumn("_fit", F.col(score).isNotNull()), score, keys, order, False, name)
+
+
+def _placed(df: DataFrame, score: str, keys: Sequence[str], order: Sequence[Column], ties_shared: bool, name: str) -> DataFrame:
+    """Places of the rows that are _fit; the others have none and aren't ordered. Keys stand in for themselves as structs,
+    so that null keys meet."""
+    columns = [c for c in df.columns if c not in ("_fit", name)]
+    keyed = df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+    number = F.col(score).cast("double")
+    lead = F.when(F.isnan(number), float("-inf")).otherwise(-number)  # NaN is the largest score
+    ranked = places(keyed.filter("_fit"), lead, ["_key"], order, ties_shared, name)
+    rest = keyed.filter("NOT _fit").withColumn(name, F.lit(None).cast("long"))
+    return ranked.select(*columns, F.col(name).cast("long").alias(name)).unionByName(rest.select(*columns, name))
 
 
 def adjusted_rank(df: DataFrame, score: str, override: str, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
@@ -48,8 +87,14 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], po
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def priority_queue(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def priority_queue(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "place", lead: Column | None = None) -> DataFrame:
+    """Places in the order within each key. With ``lead``, a number that the order refines upwards, a key is ordered in
+    parts; without, each key by one task."""
+    if lead is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    columns = [c for c in df.columns if c != name]
+    keyed = df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+    return places(keyed, lead.cast("double"), ["_key"], order, False, name).select(*columns, F.col(name).cast("long").alias(name))
 
 
 def unique_slug(df: DataFrame, text: str, pos: str) -> DataFrame:

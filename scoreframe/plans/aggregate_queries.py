@@ -184,7 +184,8 @@ def w6(spark, d):
 
 @query("w7_priority_queue", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def w7(spark, d):
-    out = W.priority_queue(table(spark, d, "orders"), ["o_orderstatus"], [F.col("o_orderpriority"), F.col("o_totalprice").desc(), F.col("o_orderkey")])
+    lead = F.substring("o_orderpriority", 1, 1).cast("double") * 1e9 - F.col("o_totalprice")  # priorities begin with their digit
+    out = W.priority_queue(table(spark, d, "orders"), ["o_orderstatus"], [F.col("o_orderpriority"), F.col("o_totalprice").desc(), F.col("o_orderkey")], lead=lead)
     return out.select("o_orderkey", F.col("place").cast("long").alias("place"))
 
 
