@@ -1,37 +1,52 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Tokens are lower-cased words. A seed hashes the tokens at the kept positions of a fixed mask, so substitutions at the
-ignored positions do not break it. Training texts are scanned once against the seeds of the test items; every hit fixes
-an alignment, and an alignment is verified token by token: some ``window`` of consecutive aligned tokens (the whole item
-if it is shorter) must agree in ``share`` of its places.
+ignored positions do not break it; items of up to eight tokens have masks that leave out each single position. Training
+texts are scanned once against the seeds of the test items; every hit fixes an alignment, and an alignment is verified
+token by token: some ``window`` of consecutive aligned tokens (the whole item if it is shorter) must agree in ``share``
+of its places.
 
-The test items go to the executors in blocks of at most ``block_chars`` characters, so what is broadcast is bounded and
-a larger benchmark takes more passes instead. No training text is shuffled or cut.
+Test items of at most ``block_chars`` characters go to the executors whole, and no training text is shuffled or cut.
+Beyond that the seeds stay on Spark: training texts are scanned against a bit table of the test seeds (16 MB at most),
+the hits that it lets through are joined with the test seeds, and each training text is verified against the items that
+it shares a seed with. Both ways give the same rows.
 
-Defined cases: null texts are empty and match nothing; items of fewer than ``least`` tokens match nothing, items shorter
-than a mask are matched as whole exact sequences; repeated rows give repeated results, equal items one row each; empty
-tables give no rows. Other columns of the inputs are ignored.
+Defined cases: null texts are empty and match nothing; items of fewer than ``least`` tokens match nothing; repeated rows
+give repeated results, equal items one row each; empty tables give no rows. Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.llm.common import stored
+
 #: Kept positions are 1. Six of eight or nine.
 MASKS = ("11101101", "110101011", "101110011", "111010011")
 BLOCK_CHARS = 2_000_000
 CHUNK_CHARS = 2_000_000
+TABLE_BITS = 27  # of the bit table, at most
 _WORD = re.compile(r"\w+")
 
 
+def masks(sizes: set[int]) -> tuple[list[np.ndarray], list[int]]:
+    """(kept positions, span) of every mask; for items shorter than a mask the whole sequence, and all but one position."""
+    kept, spans = [np.flatnonzero([c == "1" for c in m]) for m in MASKS], [len(m) for m in MASKS]
+    for n in sorted(n for n in sizes if n < max(map(len, MASKS))):
+        for left_out in (n, *range(n)):
+            kept.append(np.array([j for j in range(n) if j != left_out]))
+            spans.append(n)
+    return kept, spans
+
+
 class Seeds:
     """The seeds of one block of items, as sorted arrays."""
 
@@ -45,9 +60,7 @@ class Seeds:
         self.words: dict[str, int] = {}
         self.items = [np.array([self.words.setdefault(w, len(self.words) + 1) for w in t], np.int64) for t in texts]
         self.window, self.share = window, share
-        short = {len(t) for t in self.items if len(t) < max(map(len, MASKS))}
-        self.masks = [np.flatnonzero([c == "1" for c in m]) for m in MASKS] + [np.arange(n) for n in sorted(short)]
-        spans = [len(m) for m in MASKS] + sorted(short)
+        self.masks, spans = masks({len(t) for t in self.items})
         self.span = max(spans)
         rng = np.random.default_rng(20)
         self.mix = rng.integers(1, 1 << 63, self.span + 1, dtype=np.uint64) | np.uint64(1)
@@ -118,54 +131,155 @@ class Seeds:
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: float = 0.8, least: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_matched, n_aligned, first_token, similarity) of each contaminated document and its item."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id {item_kind}, n_matched long, n_aligned long, first_token long, similarity double"
+    names = ["doc_id", "item_id", "n_matched", "n_aligned", "first_token", "similarity"]
+    items = _items(benchmark, item_col)
 
-    def scan(s: Seeds) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(out: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), pa.array(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array(cols[5], pa.float64())], names)
+
+    if _fits(items, block_chars):
+        s = Seeds([(r.i, r.t) for r in items.collect()], least, window, share)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, texts, at = batch.column(0), batch.column(1), 0
+                keys = batch.column(0)
                 out: list[tuple] = []
-                while at < len(texts):
-                    part, chars_, first = [], 0, at
-                    while at < len(texts) and (not part or chars_ < CHUNK_CHARS):
-                        part.append(texts[at].as_py())
-                        chars_ += len(part[-1])
-                        at += 1
+                for first, part in _parts(batch.column(1)):
                     for text, item, matched, n, start in s.matches(part):
                         out += [(keys[first + text].as_py(), key, matched, n, start, matched / n) for key in s.keys[item]]
                 if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], keys.type), pa.array(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array(cols[5], pa.float64())], ["doc_id", "item_id", "n_matched", "n_aligned", "first_token", "similarity"])
+                    yield batch_of(out, keys.type)
+
+        return docs.select(id_col, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(scan, schema)
 
-        return docs.select(id_col, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_matched long, n_aligned long, first_token long, similarity double")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                s = Seeds([(x["i"], x["t"]) for x in shared], least, window, share)
+                out += [(key, k, matched, n, start, matched / n) for _, item, matched, n, start in s.matches([text]) for k in s.keys[item]]
+            if out:
+                yield batch_of(out, batch.schema.field(0).type)
 
-    return reduce(DataFrame.unionByName, (scan(s) for s in _blocks(benchmark, item_col, block_chars, least, window, share)))
+    return _sharing(docs, items, id_col, text_col, least).select("id", "t", "shared").mapInArrow(verify, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: float = 0.8, least: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that hold no passage of the benchmark; one pass per block of items, without a shuffle."""
+    """The rows of docs that hold no passage of the benchmark; without a shuffle where the benchmark fits."""
     at = docs.columns.index(text_col)
-    for s in _blocks(benchmark, item_col, block_chars, least, window, share):
+    items = _items(benchmark, item_col)
+    if _fits(items, block_chars):
+        s = Seeds([(r.i, r.t) for r in items.collect()], least, window, share)
 
-        def run(batches: Iterator[pa.RecordBatch], s: Seeds = s) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                texts, k = batch.column(at), 0
-                while k < len(texts):
-                    part, size, first = [], 0, k
-                    while k < len(texts) and (not part or size < CHUNK_CHARS):
-                        part.append(texts[k].as_py() or "")
-                        size += len(part[-1])
-                        k += 1
+                for first, part in _parts(batch.column(at)):
                     keep[[first + m[0] for m in s.matches(part)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    # rows of one text share their fate
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    bad = overlaps(keyed.select("key", F.col(f"row.{text_col}").alias("t")), benchmark, "key", "t", item_col, window, share, least, block_chars)
+    return keyed.join(bad.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _items(benchmark: DataFrame, item_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+
+
+def _fits(items: DataFrame, block_chars: int) -> bool:
+    return items.agg(F.coalesce(F.sum(F.length("t") + 16), F.lit(0))).first()[0] <= block_chars
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) of about CHUNK_CHARS characters each; null is the empty text."""
+    at = 0
+    while at < len(column):
+        part, size, first = [], 0, at
+        while at < len(column) and (not part or size < CHUNK_CHARS):
+            part.append(column[at].as_py() or "")
+            size += len(part[-1])
+            at += 1
+        yield first, part
+
+
+def _text_key(text: Column) -> Column:
+    return F.md5(F.encode(text, "UTF-8"))
+
+
+class _Seeder:
+    """Seeds of any texts, from hashes of their tokens: for masks that must not know the items' words."""
+
+    def __init__(self, sizes: set[int]):
+        self.masks, self.spans = masks(sizes)
+        self.mix = np.random.default_rng(20).integers(1, 1 << 63, max(self.spans) + 1, dtype=np.uint64) | np.uint64(1)
+        self.known: dict[str, int] = {}
+
+    def tokens(self, text: str) -> np.ndarray:
+        known = self.known
+        if len(known) > 200_000:
+            known.clear()
+        words = _WORD.findall(text.lower())
+        for w in set(words).difference(known):
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return np.fromiter((known[w] for w in words), np.uint64, len(words))
+
+    def seeds(self, ids: np.ndarray, only: int | None = None) -> Iterator[np.ndarray]:
+        """The hashes of each mask; with the item's size only of masks that apply to it."""
+        for k, (mask, span) in enumerate(zip(self.masks, self.spans, strict=True)):
+            n = len(ids) - span + 1
+            if n <= 0 or (only is not None and k >= len(MASKS) and span != only):
+                continue
+            total = np.full(n, k + 1, np.uint64)
+            for j in mask:
+                total += ids[j : j + n] * self.mix[j]
+                total ^= total >> np.uint64(29)
+                total *= np.uint64(0x9E3779B97F4A7C15)
+            yield total.view(np.int64)
+
+
+def _sharing(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(id, t, shared): documents with the items, as structs (i, t), that share a seed with them."""
+    items = items.withColumn("n", F.size(F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)\w+"), F.lit(0)))).filter(F.col("n") >= least).withColumn("item", _text_key(F.col("t")))
+    longest = max(map(len, MASKS))
+    # sizes below the longest mask's: a handful
+    seeder = _Seeder({r.n for r in items.filter(F.col("n") < longest).select("n").distinct().collect()})
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = seeder.tokens(text)
+                h = np.unique(np.concatenate([np.zeros(0, np.int64), *seeder.seeds(ids, len(ids))]))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([key] * len(h), pa.string())], ["h", "item"])
+
+    seeds = stored(items.select("item", "t").distinct().mapInArrow(of_items, "h long, item string"), "seeds")
+    bits = int(min(TABLE_BITS, max(16, np.ceil(np.log2(32 * max(1, seeds.count()))))))
+    mask = (1 << bits) - 1
+    places = F.explode(F.array(*[F.shiftrightunsigned("h", n).bitwiseAND(F.lit(mask)) for n in (0, 64 - bits)]))
+    words = seeds.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b"))
+    # one row per 64 bits of the table: 2**21 at most
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for r in words.collect():
+        table[r["w"]] = r["b"]
+    table = table.view(np.uint8)
 
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = []
+                for h in seeder.seeds(seeder.tokens(text)):
+                    low, high = h & mask, (h.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+                    found.append(h[((table[low >> 3] >> (low & 7)) & (table[high >> 3] >> (high & 7)) & 1).astype(bool)])
+                h = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([key] * len(h), pa.string())], ["h", "key"])
 
-def _blocks(benchmark: DataFrame, item_col: str, block_chars: int, least: int, window: int, share: float) -> list[Seeds]:
-    items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    chars = items.agg(F.coalesce(F.sum(F.length("t") + 16), F.lit(0))).first()[0]
-    n = max(1, -(-chars // block_chars))
-    parts = [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
-    return [Seeds([(r.i, r.t) for r in part.collect()], least, window, share) for part in parts]
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = texts.withColumn("key", _text_key(F.col("t")))
+    pairs = texts.select("key", "t").mapInArrow(hits, "h long, key string").join(seeds, "h").select("key", "item").distinct()
+    shared = pairs.join(items.select("item", "i", "t"), "item").groupBy("key").agg(F.collect_list(F.struct("i", "t")).alias("shared"))
+    return texts.join(shared, "key")
