@@ -270,11 +270,14 @@ def to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [x.as_py() or b"" for x in part.column(1)]
-                media = [write_avi(padded(x)) for x in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+            sizes, media, first = [], [], 0
+            for k, text in enumerate(batch.column(1)):
+                text = text.as_py() or b""
+                sizes.append(len(text))
+                media.append(write_avi(padded(text)))
+                if len(media) == 256 or len(media[-1]) > 1 << 20 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(media)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+                    sizes, media, first = [], [], k + 1
 
     return docs.select(id_col, F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).mapInArrow(encode, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
@@ -290,7 +293,8 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, n, avi in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for key, n, avi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                avi = avi.as_py()  # one file at a time
                 fps, blocks, histograms = _decoded(avi)
                 payload = b"".join(payload_of(x) for x in blocks)
                 spans = _clips(fps, histograms)
