@@ -2,11 +2,11 @@
 
 Shallow boosted trees are grown on text statistics; every path from a root to a node becomes a conjunctive rule, a
 lasso logistic regression weighs the rules, and the rules that keep a weight are written out as Column expressions. The
-fit sees at most ``max_rows`` labelled rows (those with the smallest hash of their id); scoring is one scan without
-shuffle or Python.
+fit sees at most ``max_rows`` labelled rows (those with the smallest hash of their id), repeated rows included; scoring is
+one scan without shuffle or Python.
 
 Defined cases: null and empty texts have the statistics of "" and are scored by the same rules; repeated rows and ids
-are scored row by row; an empty table gives no rows; without two classes among the labels the score is the smoothed
+are scored row by row, null ids like any other (they are never labelled, and held out like the empty id); an empty table gives no rows; without two classes among the labels the score is the smoothed
 share of label 1. Other columns of the input are ignored.
 """
 
@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     marked = marked.filter(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     table = statistics(docs.join(F.broadcast(marked), "doc_id"), "doc_id", "text").join(F.broadcast(marked), "doc_id")
-    got = table.orderBy("doc_id", *STATS).toPandas()
+    # rows that repeat an id are within the bound as well
+    got = table.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(max_rows).toPandas().sort_values(["doc_id", *STATS], kind="stable")
     if not len(got):
         return RuleEnsemble([], [], 0.0)
     return fit_rules(got[list(STATS)].to_numpy(float), got["y"].to_numpy(float))

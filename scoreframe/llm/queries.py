@@ -16,7 +16,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     return quality.score(spread(docs), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
