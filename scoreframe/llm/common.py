@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a new one set for this session (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets a new folder; a
+    cluster without one is an error, as every machine would write its own."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-ckpt-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
