@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreframe.functions import scalar as S
-from scoreframe.functions.fixed import CONFIDENCE_CUTS, TIER_CUTS
+from scoreframe.functions.fixed import CONFIDENCE_CUTS, FUNNEL_CUTS, RANK_CUTS, TIER_CUTS
 from scoreframe.operators import aggregates as A
 from scoreframe.operators import joins as J
 from scoreframe.operators import sorting as T
@@ -61,6 +61,37 @@ def application_bucket(tier: Column, attendance: Column) -> Column:
     return F.when(hard & (attendance >= 8), "Dream").when(tier == "Very High Risk", "Reach").otherwise(tier)
 
 
+def driver_label(column: str) -> str:
+    """Name of a component as drivers show it."""
+    return column.removeprefix("admissions_").removeprefix("attendance_").replace("_score", "").replace("_", " ").title()
+
+
+def rank_details(built: DataFrame, components: Sequence[str], rank: str, coverage: str, excluded: Column, reason: Column) -> DataFrame:
+    """built with funnel, rank_band, rank_confidence and summary: bands of the rank, confidence by coverage, excluded rows
+    apart, and a sentence from the two strongest and weakest drivers."""
+    out = F.coalesce(excluded, F.lit(False))
+    r = F.col(rank)
+    funnel = S.label_by_threshold(r, FUNNEL_CUTS)
+    band = F.when(out, "Excluded by hard-no").otherwise(S.label_by_threshold(r, RANK_CUTS, "Incomplete data"))
+    confidence = F.when(out, "excluded").otherwise(S.label_by_threshold(F.coalesce(F.col(coverage), F.lit(0.0)), CONFIDENCE_CUTS))
+    plus, minus = (F.slice(F.filter(F.split(side, "; "), lambda x: x != ""), 1, 2) for side in T.top_drivers([(driver_label(c), F.col(c)) for c in components], names_only=True))
+    names = lambda side: F.array_join(side, " and ")
+    parts = F.array(
+        F.when(F.size(plus) > 0, F.concat(names(plus), F.when(F.size(plus) == 1, " helps").otherwise(" help"), F.lit(" this entity"))),
+        F.when(F.size(minus) > 0, F.concat(names(minus), F.when(F.size(minus) == 1, " is a weaker driver").otherwise(" are weaker drivers"))),
+        F.when((F.size(plus) == 0) & (F.size(minus) == 0), "The Decision Rank is driven by available scored components"),
+        F.when(confidence.isin("partial", "provisional"), F.concat(F.lit("Rank confidence is "), confidence, F.lit(" because scored input coverage is limited"))),
+    )
+    said = F.concat(F.array_join(F.array_compact(parts), ". "), F.lit("."))
+    why = F.concat(F.lit("Excluded from Decision Rank because of a hard-no flag"), F.coalesce(F.concat(F.lit(": "), S.missing(reason)), F.lit(".")))
+    return built.withColumn("funnel", funnel).withColumn("rank_band", band).withColumn("rank_confidence", confidence).withColumn("summary", F.when(out, why).otherwise(said))
+
+
+def low_confidence_drivers(missing: Column, warnings: Column, band: Column) -> Column:
+    """What a rank lacks: missing inputs, warnings, low quality of the statistics."""
+    return F.array_join(F.array_compact(F.array(F.concat(F.lit("missing: "), S.missing(missing)), F.concat(F.lit("warnings: "), S.missing(warnings)), F.when(F.lower(S.clean(band)) == "low", "low admissions stats data quality"))), "; ")
+
+
 def build_rankings(projection: DataFrame, keys: Sequence[str], groups: dict[str, Weights], overall: Weights, scenarios: dict[str, Weights], excluded: Column | None = None) -> DataFrame:
     """projection (keys, components): group scores and coverage, overall score, completeness, tier, bucket, drivers, one
     rank per scenario and overall. ``admissions`` sets the tier and ``attendance`` the bucket. Scores have two decimals;
@@ -73,7 +104,7 @@ def build_rankings(projection: DataFrame, keys: Sequence[str], groups: dict[str,
     score, coverage = A.weighted_score(overall)
     out = out.withColumn("overall_score", two_decimals(score)).withColumn("overall_coverage", F.bround(coverage * 100, 0))
     out = out.withColumn("completeness", F.bround(A.completeness(components), 2)).withColumn("tier", S.label_by_threshold(F.col("_admissions"), TIER_CUTS, "Unscored"))
-    positive, negative = T.top_drivers([(c, F.col(c)) for c in components])
+    positive, negative = T.top_drivers([(driver_label(c), F.col(c)) for c in components])
     out = out.withColumn("bucket", application_bucket(F.col("tier"), F.col("_attendance"))).withColumn("confidence", S.label_by_threshold(F.col("overall_coverage"), CONFIDENCE_CUTS)).withColumn("positive_drivers", positive).withColumn("negative_drivers", negative)
     for name, weights in scenarios.items():
         out = out.withColumn(f"{name}_score", two_decimals(A.weighted_score(weights)[0]))

@@ -74,6 +74,37 @@ def d2(spark, d):
     return built.select("profile", "s_suppkey", *[f"{n}_score" for n in ("admissions", "attendance", "overall", "price_first", "safe")], *[f"{n}_coverage" for n in ("admissions", "attendance", "overall")], "tier", "bucket", *[f"{n}_rank" for n in ("overall", "price_first", "safe")])
 
 
+_LABELS = (("price_fit", "Price Fit"), ("discount_score", "Discount"), ("returns_score", "Returns"), ("quantity_score", "Quantity"), ("balance_score", "Balance"))
+
+
+def _names(sign: str, keep: str) -> str:
+    cells = ", ".join(f"{{'v': {sign}{c}, 'i': {i}, 'l': '{label}'}}" for i, (c, label) in enumerate(_LABELS))
+    return f"list_transform(list_filter(list_sort(list_filter([{cells}], lambda x: x.v IS NOT NULL))[:3], lambda x: {keep}), lambda x: x.l)[:2]"
+
+
+@query("d2_rank_details", f"""
+WITH d AS ({D2_SQL.replace("SELECT profile, s_suppkey, admissions_score", "SELECT profile, s_suppkey, s_acctbal, ok, price_fit, discount_score, returns_score, quantity_score, balance_score, admissions_score")}),
+  n AS (SELECT *, {_names("-", "x.v <= -7")} AS plus, {_names("", "x.v <= 5")} AS minus, CASE WHEN overall_coverage >= 80 THEN 'high' WHEN overall_coverage >= 60 THEN 'medium' WHEN overall_coverage >= 40 THEN 'partial' ELSE 'provisional' END AS confidence FROM d)
+SELECT profile, s_suppkey, CASE WHEN overall_rank IS NULL THEN '' WHEN overall_rank <= 35 THEN '25-35 application pool' WHEN overall_rank <= 40 THEN '40 researched schools' WHEN overall_rank <= 75 THEN '75 serious candidates' ELSE 'full universe' END AS funnel,
+  CASE WHEN NOT ok THEN 'Excluded by hard-no' WHEN overall_rank IS NULL THEN 'Incomplete data' WHEN overall_rank <= 35 THEN 'Top application candidate' WHEN overall_rank <= 75 THEN 'Research seriously' WHEN overall_rank <= 125 THEN 'Watchlist' ELSE 'Low priority' END AS rank_band,
+  CASE WHEN NOT ok THEN 'excluded' ELSE confidence END AS rank_confidence,
+  CASE WHEN NOT ok THEN 'Excluded from Decision Rank because of a hard-no flag' || CASE WHEN s_suppkey % 2 = 0 THEN ': deep in debt' ELSE '.' END ELSE concat_ws('. ', CASE WHEN len(plus) > 0 THEN array_to_string(plus, ' and ') || CASE WHEN len(plus) = 1 THEN ' helps' ELSE ' help' END || ' this entity' END,
+    CASE WHEN len(minus) > 0 THEN array_to_string(minus, ' and ') || CASE WHEN len(minus) = 1 THEN ' is a weaker driver' ELSE ' are weaker drivers' END END, CASE WHEN len(plus) = 0 AND len(minus) = 0 THEN 'The Decision Rank is driven by available scored components' END,
+    CASE WHEN confidence IN ('partial', 'provisional') THEN 'Rank confidence is ' || confidence || ' because scored input coverage is limited' END) || '.' END AS summary FROM n""")
+def d2_details(spark, d):
+    gone = F.col("s_acctbal") < -900
+    built = K.build_rankings(supplier_projection(spark, d), ["profile"], GROUPS, OVERALL, SCENARIOS, gone)
+    out = K.rank_details(built, [c for w in GROUPS.values() for c, _ in w], "overall_rank", "overall_coverage", gone, F.when(F.col("s_suppkey") % 2 == 0, "deep in debt"))
+    return out.select("profile", "s_suppkey", "funnel", "rank_band", "rank_confidence", "summary")
+
+
+@query("d2_low_confidence", """SELECT c_custkey, concat_ws('; ', CASE WHEN c_custkey % 3 = 0 THEN 'missing: mcat' END, CASE WHEN c_custkey % 4 = 0 THEN 'warnings: w' END, CASE WHEN c_custkey % 5 = 0 THEN 'low admissions stats data quality' END) AS drivers FROM customer""")
+def d2_low(spark, d):
+    k = F.col("c_custkey")
+    drivers = K.low_confidence_drivers(F.when(k % 3 == 0, "mcat").otherwise(" "), F.when(k % 4 == 0, "w"), F.when(k % 5 == 0, "Low").otherwise("high"))
+    return table(spark, d, "customer").select("c_custkey", drivers.alias("drivers"))
+
+
 @query("d12_review_queue", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'partial pair' ELSE 'unknown status' END AS reason, CASE o_orderstatus WHEN 'O' THEN 'wait' WHEN 'P' THEN 'find the other value' ELSE 'check by hand' END AS action FROM orders")
 def d12(spark, d):
     return W.review_queue(table(spark, d, "orders"), "o_orderstatus", {"O": ("open", "wait"), "P": ("partial pair", "find the other value")}, ("unknown status", "check by hand")).select("o_orderkey", "reason", "action")

@@ -91,3 +91,46 @@ def test_profiles_follow_place_alias_and_fallback(spark):
         want[key] = (scored[0][1], pytest.approx(-scored[0][0]))
     assert {k: (r["best"], r["best_score"]) for k, r in found.items()} == want
     assert (found[3]["best"], found[4]["best"], found[5]["best"]) == (3, 1, 2)
+
+
+def test_geo_query_equals_brute_force(spark, sf_dir):
+    nations = {r["n_nationkey"]: r["n_name"].title() for r in table(spark, sf_dir, "nation").collect()}
+    suppliers = [(r["s_suppkey"], r["s_name"], r["s_nationkey"]) for r in table(spark, sf_dir, "supplier").collect()]
+    normal = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    want = {}
+    for key, name, nation in suppliers:
+        source, scored = normal(f"{name} {nations[nation]}"), []
+        for other, n, k in suppliers:
+            if k == nation:
+                city, m = nations[k].lower(), normal(n)
+                x, y = set(source.split()), set(m.split())
+                base = (2 * len(x & y) / (len(x) + len(y)) + ratio(source, m)) / 2 + (0.25 if city in source else 0.0)
+                scored.append((-min(1.0, base if x & y - set(city.split()) else min(0.87, base)), other))
+        scored.sort()
+        want[key] = (scored[0][1], pytest.approx(-scored[0][0]), scored[1][1] if len(scored) > 1 else None)
+    found = {r["source_id"]: (r["best"], r["best_score"], r["second"]) for r in catalog.QUERIES["j8_match_with_geo"](spark, sf_dir).collect()}
+    assert found == want
+
+
+def test_profile_query_equals_brute_force(spark, sf_dir):
+    nations = {r["n_nationkey"]: r["n_name"] for r in table(spark, sf_dir, "nation").collect()}
+    normal = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    rows = [(r["s_suppkey"], normal(r["s_name"]), normal(f"{nations[r['s_nationkey']]} {r['s_name']}"), r["s_nationkey"]) for r in table(spark, sf_dir, "supplier").collect()]
+    want = {}
+    for key, name, _, nation in rows:
+        scored = []
+        for other, alias, full, k in rows:
+            if k == nation:
+                bonus = 0.04 + 0.04 * min(4, len(alias.split())) if set(alias.split()) <= set(name.split()) else 0.0
+                scored.append((-(max(name_score(name, full), name_score(name, alias)) + 0.14 + 0.28 + bonus), other))
+        scored.sort()
+        want[key] = (scored[0][1], pytest.approx(-scored[0][0]))
+    found = {r["source_id"]: (r["best"], r["best_score"]) for r in catalog.QUERIES["j9_match_profiles"](spark, sf_dir).collect()}
+    assert found == want
+
+
+def test_sequence_ratio_query_equals_difflib(spark, sf_dir):
+    rows = catalog.QUERIES["p18_sequence_ratio"](spark, sf_dir).collect()
+    names = sorted({r["p_name"] for r in table(spark, sf_dir, "part").collect()})
+    assert {(r["a"], r["b"]) for r in rows} == {(a, b) for a in names for b in names if a < b and a.lower().split()[0] == b.lower().split()[0]}
+    assert all(r["ratio"] == pytest.approx(ratio(r["a"], r["b"])) and r["score"] == pytest.approx(name_score(r["a"], r["b"])) for r in rows)
