@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.llm.common import discard, spread, stored
@@ -384,9 +384,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     members = stored(sig.select("doc_id", "n", "d1", "d2").join(heads, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
     reps = members.filter("n > 0 AND rep = doc_id").select("doc_id")
     bands = sig.select("doc_id", "bands").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")).filter("key <> 0")
-    own = Window.partitionBy("key")
-    grouped = bands.select("key", "doc_id", F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high")).filter("low < high")
-    grouped = stored(grouped, "bands")
+    # ends are combined map-side, and a join with a hot key can be split by adaptive execution, which a window can't
+    ends = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).filter("low < high")
+    grouped = stored(bands.join(ends, "key"), "bands")
     star = grouped.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(grouped.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
     # sizes alone rule out many pairs before any registers are sent
     star = stored(_alike_in_size(star, members.select("doc_id", "n"), percent), "star")
@@ -397,8 +397,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     discard(sig)
     pairs = stored(_plausible(star, regs, percent), "pairs")
     # a group of up to three is settled by its star, and so are all pairs with the smallest and largest id of a group
-    large = grouped.groupBy("key").agg(F.count("*").alias("c")).filter("c > 3").select("key")
-    big = stored(grouped.filter("doc_id <> low AND doc_id <> high").select("key", "doc_id").join(large, "key"), "groups")
+    big = stored(grouped.filter("c > 3 AND doc_id <> low AND doc_id <> high").select("key", "doc_id"), "groups")
     discard(grouped)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(big.select("doc_id")).distinct()
     sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi"), n_words, "doc_id", "text"), "sets")

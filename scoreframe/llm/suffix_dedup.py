@@ -25,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,8 @@ BLOCK = 1 << 20  # bytes of fragments that are decided together
 CHUNK = 1 << 20  # bytes that are hashed at once; below 2**24, as places have 24 bits
 COMBINE = 1 << 19  # anchors that a task combines at once
 SEEN = 1 << 18  # fragments that a task remembers
-ROWS = 1 << 14  # fragments of a batch
+ROWS = 1 << 13  # fragments of a batch
+APPLIED = 1 << 22  # bytes of texts of a batch of results
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -473,8 +473,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -
     return stored(ordered.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) per row; kept are the remaining bytes. Carried columns follow."""
+def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) per row; kept are the remaining bytes, with ``whole`` without characters
+    that were cut in half. Carried columns follow."""
     if not GRAM + STEP <= least <= 256:
         raise ValueError(f"least must lie between {GRAM + STEP} and 256")
     rows = spread(_rows(docs, id_col, text_col, carry))
@@ -490,9 +491,13 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
     both = by_doc.join(found, "doc_id", "left").select("doc_id", "bytes", "found", *more)
     names = ["n_bytes", "n_removed", "n_spans", "kept", *more]
 
+    def packed(out: list[tuple], batch: pa.RecordBatch, done: int) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), *(c.slice(done, len(out)) for c in batch.columns[3:])], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, size, done = [], 0, 0
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 text, merged = text.as_py(), []
                 for s in sorted((x["start"], x["stop"]) for x in found.as_py() or ()):
@@ -505,9 +510,13 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join((*kept, text[at:]))
-                out.append((len(text), len(text) - len(kept), len(merged), kept))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), *batch.columns[3:]], names)
+                gone = len(text) - len(kept)
+                out.append((len(text), gone, len(merged), kept.decode("utf-8", "ignore").encode() if whole and gone else kept))
+                size += len(text)
+                if size >= APPLIED:
+                    yield packed(out, batch, done)
+                    done, out, size = done + len(out), [], 0
+            yield packed(out, batch, done)
 
     types = dict(rows.dtypes)
     schema = ", ".join(["n_bytes long, n_removed long, n_spans long, kept binary", *(f"{c} {types[c]}" for c in more)])
@@ -519,17 +528,8 @@ def cut_texts(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_co
     """docs with the repeats cut out of the text (characters cut in half go as well) and n_chars, if it is there, set
     anew. Rows of which nothing is left go; rows without text stay."""
     carry = tuple(c for c in docs.columns if c != text_col)
-    out = remove_repeats(docs, least, id_col, text_col, carry).filter("n_bytes = 0 OR n_removed < n_bytes")
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
-    out = out.select(*(F.col(f"`carried_{c}`").alias(c) for c in carry), text.alias(text_col))
+    out = remove_repeats(docs, least, id_col, text_col, carry, whole=True).filter("n_bytes = 0 OR n_removed < n_bytes")
+    out = out.select(*(F.col(f"`carried_{c}`").alias(c) for c in carry), F.decode("kept", "UTF-8").alias(text_col))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
-
-
-def _whole_characters(kept):
-    @F.pandas_udf("string")
-    def decode(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda b: b.decode("utf-8", "ignore"))
-
-    return decode(kept)
