@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.llm.common import smallest
+
 BITS = 18
 WINDOWS = (4, 8, 20, 48)  # words; windows of a size begin a quarter of it apart
 CHUNK = 1 << 18  # bytes of texts that are scored at once
@@ -317,7 +319,7 @@ def train(docs: DataFrame, text_col: str = "text", max_negative: int = 400) -> M
     """``max_negative`` bounds the corpus lines that reach the driver; lines that look like notices aren't taken."""
     lines = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("l")).filter("length(l) between 20 and 600")
     plain = lines.filter(~F.col("l").rlike(r"(?i)licen[cs]|copyright|spdx|permission|public domain|rights reserved|warrant"))
-    return Model([r.l for r in plain.select("l").orderBy(F.xxhash64("l"), "l").limit(max_negative).collect()])
+    return Model([r.l for r in smallest(plain.select("l"), max_negative, F.xxhash64("l"), F.col("l")).collect()])
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.llm.common import smallest
+
 STATS = (
     "n_chars", "n_words", "mean_word", "upper_share", "digit_share", "symbol_share",
     "space_share", "distinct_share", "repeat_share", "line_words",
@@ -162,10 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     """Fits on labelled rows whose crc32(doc_id) mod folds is not 0. ``max_rows`` bounds what reaches the driver."""
     marked = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("y"))
     marked = marked.filter(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    marked = smallest(marked, max_rows, F.xxhash64("doc_id"), F.col("doc_id"))
     table = statistics(docs.join(F.broadcast(marked), "doc_id"), "doc_id", "text").join(F.broadcast(marked), "doc_id")
     # rows that repeat an id are within the bound as well
-    got = table.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(max_rows).toPandas().sort_values(["doc_id", *STATS], kind="stable")
+    got = smallest(table, max_rows, F.xxhash64("doc_id"), F.col("doc_id"), *map(F.col, STATS)).toPandas().sort_values(["doc_id", *STATS], kind="stable")
     if not len(got):
         return RuleEnsemble([], [], 0.0)
     return fit_rules(got[list(STATS)].to_numpy(float), got["y"].to_numpy(float))
