@@ -83,7 +83,7 @@ def _names(sign: str, keep: str) -> str:
 
 
 @query("d2_rank_details", f"""
-WITH d AS ({D2_SQL.replace("SELECT profile, s_suppkey, admissions_score", "SELECT profile, s_suppkey, s_acctbal, ok, price_fit, discount_score, returns_score, quantity_score, balance_score, admissions_score")}),
+WITH d AS ({D2_SQL.replace("SELECT profile, s_suppkey, admissions_score", "SELECT profile, s_suppkey, ok, price_fit, discount_score, returns_score, quantity_score, balance_score, admissions_score")}),
   n AS (SELECT *, {_names("-", "x.v <= -7")} AS plus, {_names("", "x.v <= 5")} AS minus, CASE WHEN overall_coverage >= 80 THEN 'high' WHEN overall_coverage >= 60 THEN 'medium' WHEN overall_coverage >= 40 THEN 'partial' ELSE 'provisional' END AS confidence FROM d)
 SELECT profile, s_suppkey, CASE WHEN overall_rank IS NULL THEN '' WHEN overall_rank <= 35 THEN '25-35 application pool' WHEN overall_rank <= 40 THEN '40 researched schools' WHEN overall_rank <= 75 THEN '75 serious candidates' ELSE 'full universe' END AS funnel,
   CASE WHEN NOT ok THEN 'Excluded by hard-no' WHEN overall_rank IS NULL THEN 'Incomplete data' WHEN overall_rank <= 35 THEN 'Top application candidate' WHEN overall_rank <= 75 THEN 'Research seriously' WHEN overall_rank <= 125 THEN 'Watchlist' ELSE 'Low priority' END AS rank_band,
