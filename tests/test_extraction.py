@@ -8,7 +8,7 @@ from scoreframe.operators import extraction as E
 CASES = {
     # text: (status, mcat, gpa, science gpa, metric type, year)
     "Profile of the entering class of 2027: matriculants have a median MCAT score of 511 and a median GPA of 3.77.": ("accepted", 511, 3.77, None, "median", 2027),
-    "Entering Class of 2021 with 99 matriculated: Average GPA 3.51; Science GPA average 3.40; Average MCAT 504. Entering Class of 2023 with 97 matriculated: Average GPA 3.62; Science GPA average 3.47; Average MCAT 507.": ("accepted", 507, 3.62, 3.47, "mean", 2023),
+    "Entering Class of 2021 with 99 matriculated: Average GPA 3.51 Average MCAT 504. Entering Class of 2023 with 97 matriculated: Average GPA 3.62 Average MCAT 507.": ("accepted", 507, 3.62, None, "mean", 2023),
     "We do not have a minimum GPA or MCAT score, but average GPA and MCAT scores for accepted students are 3.6-3.66 and 508, respectively.": ("accepted", 508, 3.63, None, "range_midpoint", None),
     "Class profile for the class of 2030. Matriculants had MCAT score range 506-512 and cumulative GPA range 3.60-3.80.": ("accepted", 509, 3.7, None, "range_midpoint", 2030),
     "Class of 2028 Class Profile 512 Median MCAT 3.84 Mean GPA 3.80 Mean BCPM GPA": ("accepted", 512, 3.84, 3.8, "median", 2028),
