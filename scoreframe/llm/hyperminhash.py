@@ -6,9 +6,9 @@ first mantissa bits after the leading one: 4 and 4 bits in the registers of the
 which are banded to find candidates. The collision-corrected Jaccard estimate drops the hopeless ones, and the rest are
 confirmed on the full sets.
 
-At a similarity of exactly 0.80, by the binomial law with all registers occupied, the bands miss a pair once in twelve
-million and the estimate drops one once in 85 million; more alike pairs are safer. So about one in ten million such
-pairs is lost, unless another path links them. Other similarities get bands and a slack of the same safety (``banding``).
+At a similarity of exactly 0.80, by the binomial law with all registers occupied, the bands miss a pair once in seven
+million and the estimate drops one once in 85 million; more alike pairs are safer. So about 1.5 in ten million such
+pairs are lost, unless another path links them. Other similarities get bands and a slack of the same safety (``banding``).
 
 Groups of equal sets are collapsed before banding (with map-side combining), so a large group of copies is one row. Of a
 band's members each is first paired with the group's smallest and largest id only. Once those links have merged, the
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from scoreframe.llm.common import discard, spread, stored
 
 FINE = 256  # registers of the estimate
-ROWS = 5  # registers of a band at a similarity of 0.80
-BANDS = 41
+ROWS = 3  # registers of a band at a similarity of 0.80
+BANDS = 22
 MANTISSA = 4  # bits of a register of the estimate
 FOLDED_MANTISSA = 10
 SLACK = 0.155  # of the estimate, six standard deviations at 256 registers and a similarity of 0.80
-FEW = 16  # rows of a group that are paired with all others at once
+FEW = 2  # rows of a group that are paired with all others at once
 BLOCK = 1024  # rows of a block of a band's group
 CHUNK = 1 << 20  # bytes of texts that are hashed at once
 
@@ -64,11 +64,11 @@ def _powers(n: int) -> np.ndarray:
 
 
 def banding(percent: int) -> tuple[int, int]:
-    """(registers of a band, bands) that miss a pair of this similarity once in ten million; the longest bands that need
-    no more than 64 keys, or single registers."""
+    """(registers of a band, bands) that miss a pair of this similarity once in seven million; bands of ``ROWS`` registers,
+    or the longest that need no more than 64 keys, or single registers."""
     share = percent / 100
     for rows in range(ROWS, 0, -1):
-        bands = math.ceil(math.log(1e-7) / math.log1p(-(share**rows))) if share < 1 else 1
+        bands = math.ceil(math.log(1.5e-7) / math.log1p(-(share**rows))) if share < 1 else 1
         if bands <= 64 or rows == 1:
             return rows, bands
     raise AssertionError
