@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1 to op10 and the pipeline, with SQL where DuckDB can express them."""
+"""The registered queries of this subpackage, op1 to op13, with SQL where DuckDB can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm import mixing
+from scoreframe.llm import line_dedup, mixing
 from scoreframe.llm.common import read, spread
 
 
@@ -76,6 +76,11 @@ def op10_avi_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.to_avi(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_frequent_lines(docs, least=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pfair_mix": op2_pfair_mix,
@@ -87,10 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_url_filter": op9_url_filter,
     "op10_avi_columns": op10_avi_columns,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 SQL: dict[str, str] = {
     "op2_pfair_mix": mixing.SQL,
+    "op11_line_dedup": line_dedup.SQL,
     "op3_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
