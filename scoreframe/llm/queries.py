@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm import line_dedup, mixing
+from scoreframe.llm import collocations, lexical_search, line_dedup, mixing
 from scoreframe.llm.common import read, spread
 
 
@@ -81,6 +81,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_frequent_lines(docs, least=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_bloom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"), least=30, longest=4, first=2000, share=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pfair_mix": op2_pfair_mix,
@@ -93,11 +101,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_avi_columns": op10_avi_columns,
     "op11_line_dedup": op11_line_dedup,
+    "op12_bloom_search": op12_bloom_search,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
     "op2_pfair_mix": mixing.SQL,
     "op11_line_dedup": line_dedup.SQL,
+    "op12_bloom_search": lexical_search.SQL,
+    "op13_collocations": collocations.SQL,
     "op3_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
