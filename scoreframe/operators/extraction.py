@@ -1,14 +1,16 @@
 """Published statistics from text: spans of the pattern table, their contexts and years, the best pair, labelled
 profiles, the program gate, and canonical rows of accepted extractions.
 
-Patterns run once over the texts in Arrow batches and give one row per value found; everything after that is column
-expressions, one window per document and two groupings of the few rows found. Texts are never shuffled.
+Patterns run in Arrow batches and give one row per value found; everything after that is column expressions, one window
+per document and two groupings of the few rows found. A pattern has a bounded reach and needs a number of its kind, so it
+runs only around such numbers, as far as it reaches; years are sought only where a value may follow them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from re import _parser  # the only part of Python that knows how much text a pattern can match
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from scoreframe.functions import scalar as S
 from scoreframe.functions import stat_patterns as P
 from scoreframe.functions.fixed import GRADE_BANDS, RATE_CUTS, SCORE_BANDS
+from scoreframe.sources.stages import spread
 
 NAMES = tuple(p[0] for p in (*P.VALUE_PATTERNS, *P.RANGE_PATTERNS, *P.PAIR_PATTERNS))
 FOLLOWED_YEARS = 2500  # characters over which a year holds
@@ -25,49 +28,99 @@ _KINDS = ("mcat", "gpa", "science_gpa")
 _FIELDS = "name string, form string, kind string, start long, low double, high double, whole string, around string, label string, follow string, precede string, metric string, year string"
 
 
-def stat_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per value that a pattern finds, and one named "year" per year of a class: place, numbers, the match, the
-    text around it, and what stands right before and after the number."""
+def reach(pattern: str) -> int | None:
+    """The longest match in characters where blanks stand alone and numbers have 20 digits at most, None without a bound."""
+    longest = _parser.parse(pattern.replace(r"\s+", r"\s").replace(r"\s*", r"\s?").replace(r"\d+", r"\d{1,20}"), re.I).getwidth()[1]
+    return longest if longest < 100_000 else None
+
+
+def merged(places: Sequence[tuple[int, int]], before: int, after: int, end: int) -> list[tuple[int, int]]:
+    """Intervals around ordered places, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in places:
+        a, b = max(0, a - before), min(end, b + after)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class _Finder:
+    """A pattern and where it is tried: around the numbers that a match must hold, as far as the pattern reaches. No match
+    crosses the end of such an interval, and what stands before it still counts for word boundaries."""
+
+    def __init__(self, pattern: str, number: str, windowed: bool):
+        self.pattern, self.number, self.reach = re.compile(pattern, re.I), number, reach(pattern) if windowed else None
+
+    def hits(self, text: str, numbers: dict[str, list[tuple[int, int]]] | None) -> Iterator[re.Match]:
+        if numbers is None or self.reach is None:
+            yield from self.pattern.finditer(text)
+            return
+        for a, b in merged(numbers[self.number], self.reach, self.reach + 2, len(text)):
+            yield from self.pattern.finditer(text, a, b)
+
+
+def stat_spans(docs: DataFrame, id_col: str, text_col: str, windowed: bool = True) -> DataFrame:
+    """One row per value that a pattern finds, and one named "year" per year of a class that a value may follow: place,
+    numbers, the match, the text around it, and what stands right before and after the number. A text with runs of
+    blanks or digits, which leave a pattern without a bound, is read whole, as are all without ``windowed``; the rows are
+    the same, but for years before a value's reach."""
     kind = docs.schema[id_col].dataType.simpleString()
-    values = [(n, k, re.compile(p, re.I)) for n, k, p in P.VALUE_PATTERNS]
-    ranges = [(n, k, re.compile(p, re.I)) for n, k, p in P.RANGE_PATTERNS]
-    pairs = [(n, re.compile(p, re.I), wide) for n, p, _, _, _, wide in P.PAIR_PATTERNS]
+    of_kind = lambda k: "mcat" if k == "mcat" else "graded"
+    values = [(n, k, _Finder(p, of_kind(k), windowed)) for n, k, p in P.VALUE_PATTERNS]
+    ranges = [(n, k, _Finder(p, of_kind(k), windowed)) for n, k, p in P.RANGE_PATTERNS]
+    pairs = [(n, _Finder(p, "graded" if "?P<gpa" in p else "mcat", windowed), wide) for n, p, _, _, _, wide in P.PAIR_PATTERNS]
     years = [re.compile(p, re.I) for p in P.YEAR_PATTERNS]
+    year_reach = max(filter(None, map(reach, P.YEAR_PATTERNS)))
     header = re.compile(P.TABLE_HEADER, re.I)
+    number = {"mcat": re.compile(r"\b(?:47[2-9]|48\d|49\d|50\d|51\d|52[0-8])"), "graded": re.compile(r"\b[2345]\.\d")}
+    runs = re.compile(r"\s\s|\d{21}")
     gate = re.compile(r"m\s*cat|g\s*pa|science|bcpm", re.I)  # every pattern needs one of these
 
     def around(text: str, start: int, stop: int, width: int = 180) -> tuple[str, str, str]:
         return text[start:stop], text[max(0, start - width) : stop + width], text[max(0, start - 45) : stop].lower()
 
-    def found(text: str) -> Iterator[tuple]:
-        for name, kind, pattern in values:
-            for m in pattern.finditer(text):
+    def found(text: str, numbers: dict | None) -> Iterator[tuple]:
+        for name, kind, finder in values:
+            for m in finder.hits(text, numbers):
                 group = next((g for g in ("after", "before", "after_short", "after_label", "after_ocr") if m.groupdict().get(g)), None)
                 if group:
                     a, b = m.span(group)
                     yield name, "value", kind, m.start(), float(m[group]), float(m[group]), *around(text, *m.span()), text[b : b + 16], text[max(0, a - 16) : a], None, None
-        for name, kind, pattern in ranges:
-            for m in pattern.finditer(text):
+        for name, kind, finder in ranges:
+            for m in finder.hits(text, numbers):
                 low, high = sorted((float(m["low"]), float(m["high"])))
                 yield name, "range", kind, m.start(), low, high, *around(text, *m.span()), "", "", None, None
-        for name, pattern, wide in pairs:
+        for name, finder, wide in pairs:
             if name == "table":
-                hits = ((h.start(), h.start() + m.end(), m) for h in header.finditer(text) for m in pattern.finditer(text[h.start() : h.start() + P.TABLE_REACH]))
+                hits = ((h.start(), h.start() + m.end(), m) for h in header.finditer(text) for m in finder.pattern.finditer(text[h.start() : h.start() + P.TABLE_REACH]))
             else:
-                hits = ((m.start(), m.end(), m) for m in pattern.finditer(text))
+                hits = ((m.start(), m.end(), m) for m in finder.hits(text, numbers))
             for start, stop, m in hits:
                 got = m.groupdict()
                 for kind in _KINDS:
                     low = got.get(kind) or got.get(f"{kind}_low")
                     if low:
                         yield name, "pair", kind, start, float(low), float(got.get(f"{kind}_high") or low), *around(text, start, stop, wide), "", "", got.get("metric"), got.get("year")
-        for pattern in years:
-            for m in pattern.finditer(text):
-                yield "year", "year", "", m.start(), 0.0, 0.0, "", "", "", "", "", None, m[1]
+
+    def dated(text: str, rows: list[tuple], whole: bool) -> Iterator[tuple]:
+        starts = sorted((r[3], r[3]) for r in rows)
+        for a, b in [(0, len(text))] * bool(rows) if whole else merged(starts, FOLLOWED_YEARS + year_reach, year_reach + 2, len(text)):
+            for pattern in years:
+                for m in pattern.finditer(text, a, b):
+                    yield "year", "year", "", m.start(), 0.0, 0.0, "", "", "", "", "", None, m[1]
+
+    def read(text: str) -> list[tuple]:
+        numbers = None if not windowed or runs.search(text) else {k: [m.span() for m in p.finditer(text)] for k, p in number.items()}
+        if numbers is not None and not any(numbers.values()):
+            return []
+        rows = list(found(text, numbers))
+        return rows + list(dated(text, rows, numbers is None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, *row) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text and gate.search(text) for row in found(text)]
+            rows = [(key, *row) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text and gate.search(text) for row in read(text)]
             cols = list(zip(*rows, strict=True)) or [()] * 14
             types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), *[pa.string()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", *(f.split()[0] for f in _FIELDS.split(", "))])
@@ -194,7 +247,7 @@ def extract_stats(docs: DataFrame, id_col: str, text_col: str, url_col: str, sco
     is_image = F.lit(False)
     for end in P.IMAGE_SUFFIXES:
         is_image = is_image | url.endswith(end)
-    text = S.compact_text(F.col(text_col))
+    docs, text = spread(docs), S.compact_text(F.col(text_col))
     every_year = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)) for p in P.YEAR_PATTERNS]))
     heads = docs.select(F.col(id_col).alias("id"), F.col(score_col).cast("double").alias("official"), F.array_max(every_year).cast("int").alias("any_year"))
     spans = stat_spans(docs.select(id_col, text.alias("text")), id_col, "text")

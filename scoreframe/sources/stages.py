@@ -24,3 +24,9 @@ def durable(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least one partition per core: a table of one file is else read by one task. Split inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scoreframe.functions import scalar as S
+from scoreframe.functions import stat_patterns as P
 from scoreframe.operators import extraction as E
 
 CASES = {
@@ -66,3 +68,20 @@ def test_gate_names_other_programs(spark):
     df = spark.createDataFrame(rows, "id long, extraction_status string, degree string, url string, title string").withColumn("review_status", F.lit("approved"))
     got = {r["id"]: (r["extraction_status"], r["review_status"], r["confidence"] != "") for r in E.gate_extractions(df, F.col("degree"), F.col("url"), F.col("title")).collect()}
     assert got == {1: ("accepted", "approved", True), 2: ("rejected_other_degree", "needs_review", False), 3: ("rejected_other_program", "needs_review", False), 4: ("rejected_other_program", "needs_review", False), 5: ("no_relevant_stats_found", "needs_review", False)}
+
+
+def test_windows_give_the_rows_of_whole_texts(spark, sf_dir):
+    """On every document with lines of statistics at its start, middle and end, and on texts that leave patterns unbounded."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.compact_text("text").alias("text"))
+    forms = F.array(*[F.lit(" ".join(t.split())) for t in CASES])
+    line = lambda k: F.element_at(forms, (F.col("doc_id") % len(CASES) + k).cast("int") % len(CASES) + 1)
+    half = F.floor(F.length("text") / 2).cast("int")
+    mixed = F.concat_ws(" ", line(0), F.substring("text", F.lit(1), half), line(3), F.expr("substring(text, int(length(text) / 2) + 1)"), line(7))
+    odd = [(-1, "mcat  \n\t 510 median of the class", ), (-2, "science " + "7" * 30 + " gpa 3.5"), (-3, "510" + "x" * 400 + " mcat"), (-4, "class of 2020 " + "y " * 1300 + "median gpa 3.7 mcat 510"), (-5, "3.5 3.6 gpa 3.7 mcat 510.5-512.25 GPA RANGE 3.1 to 3.9")]
+    docs = docs.select("doc_id", mixed.alias("text")).union(spark.createDataFrame(odd, "doc_id long, text string"))
+    rows = [E.stat_spans(docs, "doc_id", "text", w).filter("form <> 'year'").exceptAll(E.stat_spans(docs, "doc_id", "text", not w).filter("form <> 'year'")).count() for w in (True, False)]
+    assert rows == [0, 0]
+    flags = docs.select(F.col("doc_id").alias("id"), F.lit(False).alias("is_image"))
+    found = [E.stat_candidates(E.stat_spans(docs, "doc_id", "text", w), flags) for w in (True, False)]
+    assert found[0].exceptAll(found[1]).count() == 0 and found[1].exceptAll(found[0]).count() == 0 and found[0].count() > 500
+    assert all(E.reach(p) for p in (*(p for *_, p in (*P.VALUE_PATTERNS, *P.RANGE_PATTERNS)), *(p[1] for p in P.PAIR_PATTERNS)))
