@@ -10,9 +10,10 @@ bitmap of fixed size (``BITS``), which goes to the tasks. A window is padded fro
 a word whose bit is not set is counted for its language only. Unlike hashes that share a bit only keep a window longer
 than needed, so a crowded bitmap costs shuffled bytes and never a count.
 
-Cuts, containment and ranks are joins and windows over the frequent phrases. Hot words: all counts combine map-side; the
-joins on parts of phrases are between stored tables, so that adaptive execution can split a part that very many phrases
-share; ranks are cut in each task first by Spark's group limit.
+Windows are dealt by their first two words, so that the prefixes which ROLLUP sums combine in one task before they are
+shuffled. A pair with more than one in ``HOT`` of the counts is dealt by its third word as well. Cuts, containment and
+ranks are joins and windows over the frequent phrases: the joins on parts of phrases are between stored tables, so that
+adaptive execution can split a part that very many phrases share; ranks are cut in each task first by Spark's group limit.
 
 Defined cases: null and empty texts have no words; a null language is ``und``; repeated rows count as often as they
 stand; blanks and separators are ASCII only; a language without frequent phrases gives no rows; an empty table gives none;
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from scoreframe.llm.common import spread, stored, text_of
+from scoreframe.llm.common import discard, spread, stored, text_of
 
 BITS = 27  # the bitmap has 2**BITS bits, 16 MB
-CHUNK = 4 << 20  # bytes of texts that are cut into windows at once
+HOT = 1024
+CHUNK = 2 << 20  # bytes of texts that are cut into windows at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -72,21 +74,21 @@ class _Words:
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         offsets = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int32)
         flat = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])]).dictionary_encode()
-        self.ids, self.words = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+        self.ids, self.words = flat.indices.to_numpy(), flat.dictionary
         self.langs, of_text = np.unique(np.array(langs, object), return_inverse=True)
         self.lang = of_text[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, side="right")]
         piece = np.cumsum(ends, dtype=np.int32)[begin]
         self.follows = np.append(piece[1:] == piece[:-1], False) if len(begin) else np.zeros(0, bool)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word and of each pair with the next word (0 at the end of a piece), both with the language."""
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word, of it and of each pair with the next word (0 at the end of a piece) with the language."""
         if not len(self.ids):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return (np.zeros(0, np.uint64),) * 3
         with np.errstate(over="ignore"):
             own = _hashes(self.words)[self.ids]
             one = _mix(own * _PRIME + _hashes(pa.array([x + b"\0" for x in self.langs], pa.binary()))[self.lang])
             two = _mix(one * _PRIME + np.append(own[1:], np.uint64(0)))
-        return one, np.where(self.follows, two, 0)
+        return own, one, np.where(self.follows, two, np.uint64(0))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
@@ -104,21 +106,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
         yield _Words(texts, langs)
 
 
-def _bitmap(texts: DataFrame, least: int) -> np.ndarray:
-    """Bits of the hashes of words and pairs that occur ``least`` times; the driver gets at most 2**BITS / 64 numbers."""
+def _frequent(texts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of the hashes of words and pairs that occur ``least`` times, and the sorted hashes of hot ones. The driver
+    gets at most 2**BITS / 64 numbers and HOT hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            one, two = chunk.hashes()
+            _, one, two = chunk.hashes()
             h, c = np.unique(np.concatenate((one, two[two != 0])), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    counted = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    bit = F.col("h").bitwiseAND((1 << BITS) - 1)
-    slots = counted.groupBy(F.shiftright(bit, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << BITS) - 1}) & 63 as int))")).alias("bits")).toArrow()
+    counted = stored(texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least), "frequent")
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    hot = counted.filter(F.col("c") > total / HOT).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    bit = F.expr(f"h & {(1 << BITS) - 1}")
+    slots = counted.groupBy(F.shiftright(bit, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & {(1 << BITS) - 1} & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().view(np.uint64)
-    return out
+    discard(counted)
+    return out, np.sort(hot)
 
 
 def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -127,35 +133,53 @@ def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def windows(texts: DataFrame, least: int, longest: int) -> DataFrame:
-    """(lang, w1 .. w{longest}, c): the padded longest windows, counted within each chunk."""
-    sc = texts.sparkSession.sparkContext
-    sent = sc.broadcast(_bitmap(texts, least))
+    """(deal, lang, w1 .. w{longest}, c): the padded longest windows, counted within each chunk."""
+    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, least))
     names = [f"w{k + 1}" for k in range(longest)]
 
+    def counted(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
+        """(a row of each distinct combination, how often it occurs), by dense ranks of ever longer prefixes."""
+        key = columns[0].astype(np.int64)
+        for column in columns[1:]:
+            key = np.unique(key * base + column, return_inverse=True)[1]
+        c = np.bincount(key)
+        at = np.empty(len(c), np.int64)
+        at[key] = np.arange(len(key))
+        return at, c
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, hot = sent.value
         for chunk in _chunks(batches):
-            one, two = chunk.hashes()
+            own, one, two = chunk.hashes()
             if not len(one):
                 continue
-            n = len(chunk.words)  # the id of the padding
-            size, pad = len(one), np.zeros(longest, np.int64)
-            ids, joined = np.append(chunk.ids, pad), np.append(_held(sent.value, two) & (two != 0), pad.astype(bool))
-            lead, on = [np.where(_held(sent.value, one), chunk.ids, n)], np.ones(size, bool)
-            for k in range(1, longest):
-                on = on & joined[k - 1 : k - 1 + size]
-                lead.append(np.where(on, ids[k : k + size], n))
-            key = chunk.lang.astype(np.int64)
-            for column in lead:  # dense ranks of ever longer prefixes: exact, and never past 64 bits
-                key = np.unique(key * (n + 1) + column, return_inverse=True)[1]
-            c = np.bincount(key)
-            at = np.empty(len(c), np.int64)
-            at[key] = np.arange(len(key))
+            n, size = np.int32(len(chunk.words)), len(one)  # n: the id of the padding
+            pair = _held(bitmap, two) & (two != 0)
             padded = pa.concat_arrays([chunk.words, pa.array([b""], pa.binary())])
-            columns = [padded.take(pa.array(x[at])).cast(pa.string()) for x in lead]
-            langs = pa.array([x.decode() for x in chunk.langs], pa.string()).take(pa.array(chunk.lang[at]))
-            yield pa.RecordBatch.from_arrays([langs, *columns, pa.array(c.astype(np.int64))], ["lang", *names, "c"])
+            langs = pa.array([x.decode() for x in chunk.langs], pa.string())
+
+            def batch(where: np.ndarray, lead: list[np.ndarray], deal: np.ndarray) -> pa.RecordBatch:
+                at, c = counted([chunk.lang[where], *lead], int(n) + 1)
+                words = [padded.take(pa.array(x[at])).cast(pa.string()) for x in lead]
+                words += [pa.array([""] * len(at), pa.string())] * (longest - len(words))
+                return pa.RecordBatch.from_arrays([pa.array((deal[at] >> np.uint64(44)).astype(np.int32)), langs.take(pa.array(chunk.lang[where][at])), *words, pa.array(c.astype(np.int64))], ["deal", "lang", *names, "c"])
+
+            alone = np.flatnonzero(~pair)
+            if len(alone):
+                yield batch(alone, [np.where(_held(bitmap, one[alone]), chunk.ids[alone], n)], one[alone])
+            begin = np.flatnonzero(pair)
+            if not len(begin):
+                continue
+            pad = np.zeros(longest, np.int32)
+            ids, joined, hashes = np.append(chunk.ids, pad), np.append(pair, pad.astype(bool)), np.append(own, pad.astype(np.uint64))
+            lead, on = [chunk.ids[begin]], np.ones(len(begin), bool)
+            for k in range(1, longest):
+                on &= joined[begin + k - 1]
+                lead.append(np.where(on, ids[begin + k], n))
+            third = np.isin(two[begin], hot) & joined[begin + 1] & (longest > 2)
+            yield batch(begin, lead, _mix(two[begin] ^ np.where(third, hashes[begin + 2], np.uint64(0))))
 
-    return texts.mapInArrow(run, f"lang string, {', '.join(f'{n} string' for n in names)}, c long")
+    return texts.mapInArrow(run, f"deal int, lang string, {', '.join(f'{n} string' for n in names)}, c long")
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int = 4, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -163,11 +187,12 @@ def phrase_counts(docs: DataFrame, least: int, longest: int = 4, text_col: str =
     with all its words in f."""
     texts = spread(docs.select(F.encode(text_of(text_col), "UTF-8").alias("t"), F.encode(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), "UTF-8").alias("lang")))
     names = [f"w{k + 1}" for k in range(longest)]
-    rolled = windows(texts, least, longest).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("gid"))
-    k = longest - F.expr("bit_count(gid)").cast("int")  # bits of a rollup: one per column that is summed over
-    held = rolled.withColumn("k", k).filter("k >= 0").withColumn("words", F.slice(F.array(*names), 1, F.col("k")))
-    held = held.filter((F.col("k") == 0) | ((F.col("f") >= least) & (F.get("words", F.col("k") - 1) != "")))
-    return held.select("lang", "k", "words", F.array_join("words", " ").alias("phrase"), "f")
+    top = windows(texts, least, longest).repartition("deal").groupBy("deal", "lang", *names).agg(F.sum("c").alias("f"))
+    k = longest - 1 - F.expr("bit_count(gid)").cast("int")  # a bit of the rollup for each column that is summed over
+    rolled = top.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("gid")).withColumn("k", k).filter("k >= 0")
+    held = rolled.select("lang", "k", F.slice(F.array(*names[:-1]), 1, F.col("k")).alias("words"), "f")
+    held = held.filter((F.col("k") == 0) | (F.get("words", F.col("k") - 1) != "")).unionByName(top.filter(F.col(names[-1]) != "").select("lang", F.lit(longest).alias("k"), F.array(*names).alias("words"), "f"))
+    return held.filter((F.col("k") == 0) | (F.col("f") >= least)).select("lang", "k", "words", F.array_join("words", " ").alias("phrase"), "f")
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 2000, share: int = 80, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
