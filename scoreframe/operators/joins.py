@@ -1,15 +1,18 @@
-"""Joins: lookups by first or last row, fuzzy entity matching, interval, nearest and as-of joins."""
+"""Joins: lookups by first or last row, fuzzy entity matching (see ``matching``), interval, nearest and as-of joins."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scoreframe.functions import scalar as S
-from scoreframe.functions import text as X
+from scoreframe.operators import matching as M
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -67,27 +70,47 @@ def top2(scored: DataFrame, key: Sequence[str], score: str, ident: str) -> DataF
     return out.withColumn("gap", F.col("best_score") - F.coalesce("second_score", F.lit(0.0)))
 
 
-def match_entities(src: DataFrame, master: DataFrame, src_id: str, master_id: str, name: str, blocks: Sequence[str], high: float = 0.92, gap: float = 0.03, low: float = 0.75) -> DataFrame:
-    """Best and second master row for each source row by pair score. Every master row of the source's blocks is scored,
-    whether or not a token is shared; a block that is blank in the source holds every master row. Names are normalised
-    and paired once however often they occur.
+def _best_by_name(src: DataFrame, named: DataFrame, keys: Sequence[str], on: Sequence[str], block: int) -> DataFrame:
+    """(keys, _s, _m, _ids, score): the two best names of each block for each source name."""
+    kind = named.schema["_ids"].dataType.elementType
+    fields = {k: pa.string() for k in (*keys, "_s", "_m")} | {"_ids": pa.list_(to_arrow_type(kind)), "score": pa.float64()}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        others, lists = M.PairScores(right.column("_m").to_pylist()), right.column("_ids").to_pylist()
+        place, rows = M.places([x[0] for x in lists]), []
+        for *at, name in zip(*(left.column(c).to_pylist() for c in (*keys, "_s"))):
+            alike = others.jaccard({w for w in name.split(" ") if w})
+            for score, k in M.two_best(others.bounds(name, alike), place, lambda k: others.score(name, k, alike[k])):
+                rows.append((*at, name, others.plain.names[k], lists[k], score))
+        return M.table_of(rows, fields)
+
+    kept = [c for c in named.columns if c not in (*on, "_m", "_ids")]
+    schema = ", ".join([*(f"{k} string" for k in (*keys, "_s", "_m")), f"_ids array<{kind.simpleString()}>", "score double"])
+    return M.paired(src, named.drop(*kept), on, ("_s", "_m"), run, schema, block)
+
+
+def match_entities(src: DataFrame, master: DataFrame, src_id: str, master_id: str, name: str, blocks: Sequence[str], high: float = 0.92, gap: float = 0.03, low: float = 0.75, block: int = M.BLOCK) -> DataFrame:
+    """Best and second master row for each source row by pair score, as if every master row of the source's blocks were
+    scored, whether or not a token is shared; a block that is blank in the source holds every master row. Names are
+    normalised and paired once however often they occur, and only pairs whose bound can reach the best two are scored.
 
     Labels: exact (equal names, second below 1), high_confidence, review, no_match."""
     keys = [f"_b{i}" for i in range(len(blocks))]
     of = [S.clean(F.col(b).cast("string")).alias(k) for b, k in zip(blocks, keys, strict=True)]
     s = src.select(src_id, *of, S.normalize_name(F.col(name)).alias("_s"))
     m = master.select(F.col(master_id).alias("_id"), *of, S.normalize_name(F.col(name)).alias("_m"))
-    wanted, pairs = s.select(*keys, "_s").distinct(), None
+    wanted, scored = s.select(*keys, "_s").distinct(), None
     for given in product((True, False), repeat=len(keys)):
-        on = [k for k, g in zip(keys, given, strict=True) if g]
-        part = wanted
-        for k, g in zip(keys, given, strict=True):
-            part = part.filter((F.col(k) != "") == g)
+        on = [f"_on{i}" for i, g in enumerate(given) if g] or ["_all"]
+        part, held = wanted.withColumn("_all", F.lit(0)), m.withColumn("_all", F.lit(0))
+        for i, (k, g) in enumerate(zip(keys, given, strict=True)):
+            part = part.filter((F.col(k) != "") == g).withColumn(f"_on{i}", F.col(k))
+            held = held.withColumn(f"_on{i}", F.col(k))
         first = Window.partitionBy(*on, "_m").orderBy("_id")  # of the rows of one name two can be best and second
-        named = m.withColumn("_rn", F.row_number().over(first)).filter("_rn <= 2").groupBy(*on, "_m").agg(F.collect_list("_id").alias("_ids"))
-        found = (part.join(named, on) if on else part.crossJoin(named)).select(*keys, "_s", "_m", "_ids")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    scored = pairs.withColumn("score", X.pair_score(F.col("_s"), F.col("_m"))).withColumn("_id", F.explode("_ids")).withColumn("_row", F.struct("_id", "_m"))
+        named = held.withColumn("_rn", F.row_number().over(first)).filter("_rn <= 2").groupBy(*on, "_m").agg(F.array_sort(F.collect_list("_id")).alias("_ids"))
+        found = _best_by_name(part.select(*keys, "_s", *on), named, keys, on, block)
+        scored = found if scored is None else scored.unionByName(found)
+    scored = scored.withColumn("_id", F.explode("_ids")).withColumn("_row", F.struct("_id", "_m"))
     best = top2(scored, [*keys, "_s"], "score", "_row")
     out = s.join(best, [*keys, "_s"], "left")
     exact = (F.col("best._m") == F.col("_s")) & (F.coalesce("second_score", F.lit(0.0)) < 1.0)
@@ -95,41 +118,90 @@ def match_entities(src: DataFrame, master: DataFrame, src_id: str, master_id: st
     return out.select(src_id, F.col("best._id").alias("best"), "best_score", F.col("second._id").alias("second"), "second_score", "gap", label.alias("label"))
 
 
-def match_with_geo(src: DataFrame, master: DataFrame, src_id: str, master_id: str, name: str, state: str, city: str, high: float = 0.88, low: float = 0.72) -> DataFrame:
-    """Every master row of the state: token Dice with sequence ratio, +0.25 if the master's city occurs in the source name, at most
-    0.87 if only geography words are shared."""
-    s = src.select(src_id, state, S.normalize_name(F.col(name)).alias("_s"))
-    m = master.select(master_id, state, S.normalize_name(F.col(name)).alias("_m"), F.lower(city).alias("_city"))
-    ts, tm = S.tokens(F.col("_s")), S.tokens(F.col("_m"))
-    keyed = s.join(m, state)
-    base = (S.dice(ts, tm) + X.seq_ratio("_s", "_m")) / 2 + F.when((F.col("_city") != "") & F.contains("_s", "_city"), 0.25).otherwise(0.0)
-    shared = F.array_except(F.array_intersect(ts, tm), F.split("_city", " "))
-    score = F.least(F.lit(1.0), F.when(F.size(shared) == 0, F.least(F.lit(0.87), base)).otherwise(base))
-    best = top2(keyed.withColumn("score", score), [src_id], "score", master_id)
+def _best_rows(src: DataFrame, master: DataFrame, on: Sequence[str], src_id: str, master_id: str, scores: Callable[[pa.Table], Callable[[dict], tuple]], block: int) -> DataFrame:
+    """(src_id, master_id, score): the two best master rows of each block for each source row. scores takes a block of the
+    master and gives, for a source row, the bounds of all scores and the score of one."""
+    types = {c: to_arrow_type(df.schema[c].dataType) for df, c in ((src, src_id), (master, master_id))} | {"score": pa.float64()}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        of, idents, rows = scores(right), right.column(master_id).to_pylist(), []
+        place = M.places(idents)
+        for row in left.to_pylist():
+            bounds, score = of(row)
+            rows += [(row[src_id], idents[k], s) for s, k in M.two_best(bounds, place, score)]
+        return M.table_of(rows, types)
+
+    schema = f"{src_id} {src.schema[src_id].dataType.simpleString()}, {master_id} {master.schema[master_id].dataType.simpleString()}, score double"
+    return M.paired(src, master, on, (src_id, master_id), run, schema, block)
+
+
+def match_with_geo(src: DataFrame, master: DataFrame, src_id: str, master_id: str, name: str, state: str, city: str, high: float = 0.88, low: float = 0.72, block: int = M.BLOCK) -> DataFrame:
+    """Best two rows of the state by the mean of token Dice and sequence ratio, +0.25 if the master's city occurs in the
+    source name, at most 0.87 if only geography words are shared; the ratio is computed where its bound leaves a chance."""
+    s = src.select(src_id, F.col(state).alias("_at"), S.normalize_name(F.col(name)).alias("_s")).filter("_at IS NOT NULL")
+    m = master.select(master_id, F.col(state).alias("_at"), S.normalize_name(F.col(name)).alias("_m"), F.lower(city).alias("_city"))
+
+    def scores(rows: pa.Table) -> Callable[[dict], tuple]:
+        others, cities = M.Names(rows.column("_m").to_pylist()), [c or "" for c in rows.column("_city").to_pylist()]
+        own = [set(n.split(" ")) - {""} for n in others.names]
+        local = [set(c.split(" ")) for c in cities]
+
+        def of(row: dict) -> tuple:
+            words = {w for w in row["_s"].split(" ") if w}
+            dice = 2.0 * others.shared(words) / np.maximum(others.size + len(words), 1)
+            there = {c: bool(c) and c in row["_s"] for c in set(cities)}
+            more = np.array([0.25 if there[c] else 0.0 for c in cities])
+            general = np.array([bool((words & a) - b) for a, b in zip(own, local)], bool)
+
+            def moved(ratio, k=slice(None)):
+                base = (dice[k] + ratio) / 2 + more[k]
+                return np.minimum(1.0, np.where(general[k], base, np.minimum(0.87, base)))
+
+            return moved(others.ratio_bound(row["_s"])), lambda k: float(moved(others.ratio(row["_s"], k), k))
+
+        return of
+
+    best = top2(_best_rows(s, m, ["_at"], src_id, master_id, scores, block), [src_id], "score", master_id)
     label = F.when(F.coalesce("best_score", F.lit(0.0)) < low, "no_match").when(F.col("best_score") >= high, "high_confidence").otherwise("review")
     return src.select(src_id).join(best, src_id, "left").withColumn("label", label)
 
 
-def match_profiles(src: DataFrame, master: DataFrame, src_id: str, master_id: str, name: str, master_names: Sequence[str], state: str, city: str, aliases: Sequence[str] = ()) -> DataFrame:
-    """Best of several name columns among the master rows of the source's state, or among all if it has none there.
+def match_profiles(src: DataFrame, master: DataFrame, src_id: str, master_id: str, name: str, master_names: Sequence[str], state: str, city: str, aliases: Sequence[str] = (), block: int = M.BLOCK) -> DataFrame:
+    """Best two of several name columns among the master rows of the source's state, or among all if it has none there.
     Moved by location: state +0.14 or -0.35, city +0.28 or -0.10, nothing where the source names none; an alias column
     whose tokens all occur in the name adds 0.04 and 0.04 a token, four at most. Labels by cuts and gap: 0.92/0.02
-    matched, 0.80/0.08 likely, 0.70 review."""
+    matched, 0.80/0.08 likely, 0.70 review. Place and alias count in the bounds by which pairs are scored."""
     place_of = (F.upper(S.missing(F.col(state))), F.nullif(S.normalize_name(F.col(city)), F.lit("")))
     s = src.select(src_id, place_of[0].alias("_ss"), place_of[1].alias("_sc"), S.normalize_name(F.col(name)).alias("_s"))
     m = master.select(master_id, place_of[0].alias("_ms"), place_of[1].alias("_mc"), *[S.normalize_name(F.col(c)).alias(f"_m{i}") for i, c in enumerate(master_names)], *[S.normalize_name(F.col(c)).alias(f"_a{i}") for i, c in enumerate(aliases)])
-    states = m.select(F.col("_ms").alias("_ss")).filter("_ss IS NOT NULL").distinct()
-    keyed = s.join(m, F.col("_ss") == F.col("_ms")).unionByName(s.join(states, "_ss", "left_anti").crossJoin(m))
-    scores = [X.pair_score(F.col("_s"), F.col(f"_m{i}")) for i in range(len(master_names))]
-    base = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    moved = lambda a, b, up, down: F.when(F.col(a).isNull(), 0.0).when(F.col(a) == F.col(b), up).otherwise(down)
-    place = moved("_ss", "_ms", 0.14, -0.35) + moved("_sc", "_mc", 0.28, -0.10)
-    alias = F.lit(0.0)
-    for i in range(len(aliases)):
-        t = S.tokens(F.col(f"_a{i}"))
-        whole = (F.size(t) > 0) & (F.size(F.array_except(t, S.tokens(F.col("_s")))) == 0)
-        alias = F.greatest(alias, F.when(whole, 0.04 + F.least(F.size(F.split(F.col(f"_a{i}"), " ")), F.lit(4)) * 0.04).otherwise(0.0))
-    best = top2(keyed.withColumn("score", F.greatest(F.lit(0.0), base + place + alias)), [src_id], "score", master_id)
+
+    def scores(rows: pa.Table) -> Callable[[dict], tuple]:
+        forms = [M.PairScores(rows.column(f"_m{i}").to_pylist()) for i in range(len(master_names))]
+        short = [M.Names(rows.column(f"_a{i}").to_pylist()) for i in range(len(aliases))]
+        counts = [np.array([min(len(n.split(" ")), 4) for n in a.names]) for a in short]
+        states, cities = (np.array(rows.column(c).to_pylist(), object) for c in ("_ms", "_mc"))
+
+        def of(row: dict) -> tuple:
+            words = {w for w in row["_s"].split(" ") if w}
+            moved = lambda own, other, up, down: np.zeros(len(other)) if own is None else np.where(other == own, up, down)
+            place = moved(row["_ss"], states, 0.14, -0.35) + moved(row["_sc"], cities, 0.28, -0.10)
+            alias = np.zeros(len(states))
+            for a, n in zip(short, counts):
+                alias = np.maximum(alias, np.where((a.size > 0) & (a.shared(words) == a.size), 0.04 + n * 0.04, 0.0))
+            alike = [f.jaccard(words) for f in forms]
+            bound = np.maximum.reduce([f.bounds(row["_s"], j) for f, j in zip(forms, alike)])
+
+            def score(k: int) -> float:
+                return float(max(0.0, max(f.score(row["_s"], k, j[k]) for f, j in zip(forms, alike)) + place[k] + alias[k]))
+
+            return np.maximum(0.0, bound + place + alias), score
+
+        return of
+
+    known = m.select(F.col("_ms").alias("_ss")).filter("_ss IS NOT NULL").distinct()
+    inside = _best_rows(s.withColumn("_at", F.col("_ss")).filter("_at IS NOT NULL"), m.withColumn("_at", F.col("_ms")).filter("_at IS NOT NULL"), ["_at"], src_id, master_id, scores, block)
+    others = _best_rows(s.join(known, "_ss", "left_anti").withColumn("_at", F.lit(0)), m.withColumn("_at", F.lit(0)), ["_at"], src_id, master_id, scores, block)
+    best = top2(inside.unionByName(others), [src_id], "score", master_id)
     b = F.coalesce("best_score", F.lit(0.0))
     label = F.when((b >= 0.92) & (F.col("gap") >= 0.02), "matched").when((b >= 0.80) & (F.col("gap") >= 0.08), "likely").when(b >= 0.70, "review").otherwise("no_match")
     return src.select(src_id).join(best, src_id, "left").withColumn("label", label)
