@@ -242,9 +242,20 @@ class _Seeder:
             yield total.view(np.int64)
 
 
+def _counted(items: DataFrame) -> DataFrame:
+    """items with their number of tokens n, by the one rule of what a token is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(_WORD.findall(t.as_py().lower())) for t in batch.column("t")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, "n"])
+
+    return items.mapInArrow(run, f"i {items.schema['i'].dataType.simpleString()}, t string, n long")
+
+
 def _sharing(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(id, t, shared): documents with the items, as structs (i, t), that share a seed with them."""
-    items = items.withColumn("n", F.size(F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)\w+"), F.lit(0)))).filter(F.col("n") >= least).withColumn("item", _text_key(F.col("t")))
+    items = _counted(items).filter(F.col("n") >= least).withColumn("item", _text_key(F.col("t")))
     longest = max(map(len, MASKS))
     # sizes below the longest mask's: a handful
     seeder = _Seeder({r.n for r in items.filter(F.col("n") < longest).select("n").distinct().collect()})
@@ -261,10 +272,9 @@ def _sharing(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, leas
     mask = (1 << bits) - 1
     places = F.explode(F.array(*[F.shiftrightunsigned("h", n).bitwiseAND(F.lit(mask)) for n in (0, 64 - bits)]))
     words = seeds.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b"))
-    # one row per 64 bits of the table: 2**21 at most
+    found = words.toArrow()  # two numbers for 64 bits of the table: 32 MB at most
     table = np.zeros(1 << (bits - 6), np.int64)
-    for r in words.collect():
-        table[r["w"]] = r["b"]
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy()
     table = table.view(np.uint8)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; a text's set holds its distinct n-word shingles
 as 64-bit hashes. A HyperMinHash register of a bucket keeps the leading-zero count of the bucket's smallest hash and the
-first mantissa bits after the leading one: 4 and 4 bits in the registers of the estimate, 6 and 10 in the folded ones,
+first mantissa bits after the leading one: 4 and 4 bits in the registers of the estimate, 6 and 26 in the folded ones,
 which are banded to find candidates. The collision-corrected Jaccard estimate drops the hopeless ones, and the rest are
 confirmed on the full sets.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ FINE = 256  # registers of the estimate
 ROWS = 3  # registers of a band at a similarity of 0.80
 BANDS = 22
 MANTISSA = 4  # bits of a register of the estimate
-FOLDED_MANTISSA = 10
+FOLDED_MANTISSA = 26  # so that sets which share nothing hardly ever share a band, even with one register of it occupied
 SLACK = 0.155  # of the estimate, six standard deviations at 256 registers and a similarity of 0.80
 FEW = 2  # rows of a group that are paired with all others at once
 BLOCK = 1024  # rows of a block of a band's group
@@ -133,10 +134,10 @@ def registers(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 def band_keys(hashes: np.ndarray, owner: np.ndarray, n: int, rows: int, bands: int) -> np.ndarray:
     """A row of band keys of folded registers per owner; 0 where all registers of the band are empty. Folded buckets come
     from other bits than the fine ones, the registers from the same law."""
-    out = np.zeros(n * bands * rows, np.uint16)
+    out = np.zeros(n * bands * rows, np.uint32)
     other = _mix(hashes ^ np.uint64(0xA0761D6478BD642F))
     bucket = ((other >> np.uint64(40)) % np.uint64(bands * rows)).astype(np.int64)
-    np.maximum.at(out, owner * (bands * rows) + bucket, _values(_mix(other), FOLDED_MANTISSA, 51).astype(np.uint16))
+    np.maximum.at(out, owner * (bands * rows) + bucket, _values(_mix(other), FOLDED_MANTISSA, 37).astype(np.uint32))
     held = out.reshape(n, bands, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands))
     for k in range(rows):
@@ -255,19 +256,25 @@ def _slack(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, component): the smallest reachable id, by label passing with pointer jumps; one stored table a round."""
+    """(doc_id, component), a stored table: the smallest reachable id, by label passing with pointer jumps. Each round is
+    a stored table that the next one's replaces."""
     links = links.filter("a <> b")
     both = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    now = stored(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    last = stored(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
+        now = last.select("doc_id", "component")
         near = both.join(now.withColumnsRenamed({"doc_id": "b", "component": "c"}), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("c").alias("c"))
         step = now.join(near, "doc_id").select("doc_id", "component", F.least("component", "c").alias("low"))
         jump = now.select(F.col("doc_id").alias("low"), F.col("component").alias("far"))
         new = stored(step.join(jump, "low").select("doc_id", F.col("component").alias("old"), F.least("low", "far").alias("component")), "labels")
+        discard(last)
+        last = new
         if new.filter("old <> component").isEmpty():
             break
-        now = new.select("doc_id", "component")
-    return nodes.select("doc_id").join(now, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    out = stored(nodes.select("doc_id").join(last.select("doc_id", "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "components")
+    discard(both)
+    discard(last)
+    return out
 
 
 def _apart(groups: DataFrame, label: DataFrame) -> DataFrame:
@@ -370,7 +377,9 @@ def _confirm_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFra
                         out.append((min(x, y), max(x, y)))
         return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
 
-    return rows.groupBy("key", "p", "q").applyInArrow(check, "a long, b long").distinct()
+    links = stored(rows.groupBy("key", "p", "q").applyInArrow(check, "a long, b long").distinct(), "links")
+    discard(packed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,16 +410,17 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     discard(grouped)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(big.select("doc_id")).distinct()
     sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi"), n_words, "doc_id", "text"), "sets")
-    found = stored(_confirm(pairs, sets, percent), "links")
+    found = [stored(_confirm(pairs, sets, percent), "links")]
     discard(pairs)
     nodes = members.filter("n > 0 AND rep = doc_id").select("doc_id")
-    label = components(nodes, found)
+    label, done = components(nodes, found[0]), [star, regs, big, sets]
 
     def linked(new: DataFrame) -> None:
-        nonlocal found, label
+        nonlocal label
         if not new.isEmpty():
-            found = found.union(new)
-            label = components(nodes, found)
+            found.append(new)
+            old, label = label, components(nodes, reduce(DataFrame.union, found))
+            discard(old)
 
     def checked(candidates: DataFrame) -> DataFrame:
         likely = stored(_plausible(candidates, regs, percent), "pairs")
@@ -423,16 +433,22 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     for last in (False, True):
         apart = stored(_apart(big, label), "apart")
         pairs = stored(_alike_in_size(_few(apart).join(star, ["a", "b"], "left_anti"), members.select("doc_id", "n"), percent), "few")
-        new = checked(pairs)
+        done += [apart, pairs]
+        fresh = [checked(pairs)]
         many = apart.filter(F.col("askers") > FEW)
         settled = many.isEmpty()
         if not settled:
             blocks = _blocks(apart, regs)
-            new = new.union(stored(_confirm_blocks(blocks, sets, percent), "links") if last else checked(_likeliest(blocks, percent).join(star, ["a", "b"], "left_anti")))
-        linked(new)
+            fresh.append(_confirm_blocks(blocks, sets, percent) if last else checked(_likeliest(blocks, percent).join(star, ["a", "b"], "left_anti")))
+        for new in fresh:
+            linked(new)
+            if new not in found:
+                discard(new)
         if settled:
             break
         star, big = star.union(pairs), big.join(many.select("key").distinct(), "key", "left_semi")
+    for table in [*done, *found]:
+        discard(table)
     label = label.withColumnRenamed("doc_id", "rep")
     out = members.filter("doc_id IS NOT NULL").join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     # the smallest id of the class: representatives are the smallest of their copies already

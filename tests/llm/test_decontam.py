@@ -78,3 +78,12 @@ def test_awkward_rows(spark, block_chars):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 7]
     assert D.overlaps(docs.limit(0), bench, block_chars=block_chars).count() == 0
     assert D.overlaps(docs, bench.limit(0), block_chars=-1).count() == 0 and D.clean(docs, bench.limit(0), block_chars=-1).count() == 8
+
+
+def test_combining_marks_count_alike_in_both_ways(spark):
+    marked = "éab éac éad éaf"
+    items = [(7, marked), (8, "İstanbul İzmir İznik"), (9, "one two three four five six")]
+    docs = [(1, f"before {marked} after"), (2, "İstanbul İzmir İznik"), (3, "one two three four five six"), (4, "e ab")]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    small, large = (sorted(tuple(r) for r in D.overlaps(d, i, block_chars=n).collect()) for n in (D.BLOCK_CHARS, 0))
+    assert small == large and {r[:2] for r in small} == plain(docs, items) >= {(1, 7), (3, 9)}
