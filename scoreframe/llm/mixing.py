@@ -3,8 +3,14 @@
 A source of quota p in a period of Q slots has the weight p / Q. It gets its k-th block (from 0) released at slot
 floor(k Q / p) and due by ceil((k + 1) Q / p); in every slot the released block with the earliest deadline is taken. The
 quotas of a period add up to Q, so some block is always released, no deadline is missed, and at any slot each source is
-within less than one block of its share. One period is scheduled inside one row by a fold; it repeats for ever, so a
-document's slot follows from its place in its source alone. Given weights are exact to a millionth: 0.6004 and 0.3996
+within less than one block of its share. A period repeats for ever, so a document's slot follows from its place in its
+source alone.
+
+One period is scheduled by halving priorities instead of stepping through slots. Deadlines are fixed, so the blocks up to
+any priority keep the same slots busy whatever comes after them, and which slots those are follows from running sums: a
+slot is busy if more of the blocks are released by then than slots were busy before. Three bits of the priority split
+blocks and slots into eight parts, each a problem of its own, until a part is one block and its slot.
+ Given weights are exact to a millionth: 0.6004 and 0.3996
 have quotas of 1501 and 999. Weights that need a longer period are rounded to millionths of their sum, which shifts a
 source by at most one block in a million slots.
 
@@ -16,7 +22,8 @@ before the first such slot have ``in_target`` set.
 Defined cases: a null source is the source ""; null ids sort first; repeated rows take places of their own; an empty
 table gives no rows. A source without a weight, or with one that is null, not above 0 or not finite, gets no slot: its
 documents have a null slot and come last. Without weights a period holds at least one block of every source, so Q grows
-if there are more sources than ``slots``. Extra columns pass through; columns named like the new ones are replaced.
+if there are more sources than ``slots``. The first splits of a period are one task's work, of ``UNIT`` rows at most unless
+there are more sources than that. Extra columns pass through; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +31,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreframe.llm.common import stored
+
+FEW = 10_000  # slots of a period up to which its table is sent to all tasks
 NEW = ("block", "slot", "place", "in_target")
 UNIT = 1_000_000  # parts of one in which given weights are counted, and the longest period
 
@@ -42,7 +52,8 @@ def quotas(sizes: DataFrame, weights: DataFrame | None, slots: int) -> DataFrame
     found = sizes.join(given, "source").withColumn("u", parts).filter("u > 0")
     # weights whose sum exceeds one, or that add up to no round number, are parts of their sum: the largest remainders get
     # the parts that rounding down leaves over
-    every = found.withColumn("all", F.sum("u").over(whole)).withColumn("g", F.aggregate(F.collect_list("u").over(whole), F.lit(0).cast("long"), _divisor))
+    parts_of_all = found.agg(F.sum("u").alias("all"), F.aggregate(F.collect_list("u"), F.lit(0).cast("long"), _divisor).alias("g"))
+    every = found.crossJoin(F.broadcast(parts_of_all))  # one row
     exact = F.col("all") / F.col("g") <= UNIT
     down = every.withColumn("q", F.floor(F.col("u").cast("decimal(20,0)") * UNIT / F.col("all")).cast("long")).withColumn("r", F.row_number().over(whole.orderBy(F.desc(F.col("u") / F.col("all") * UNIT - F.col("q")), "source")))
     scaled = F.col("q") + (F.col("r") <= UNIT - F.sum("q").over(whole)).cast("long")
@@ -55,36 +66,32 @@ def _divisor(a: Column, b: Column) -> Column:
     return pair["a"]
 
 
-def _pick(counts: Column, p: Column, period: Column, t: Column) -> Column:
-    """The released source with the earliest deadline, as deadline * sources + index."""
-    n = F.size(p).cast("long")
-    due = lambda c, k: F.ceil((c + 1) * period / k).cast("long")
-    held = F.transform(p, lambda k, i: F.when(F.floor(F.get(counts, i) * period / k) <= t, due(F.get(counts, i), k) * n + i))
-    return F.array_min(held) % n
-
-
-def schedule(quota: DataFrame) -> DataFrame:
-    """(source, n, p, period, k, slot): the slot of every block of one period."""
-    row = quota.agg(F.array_sort(F.collect_list(F.struct("source", "p", "n"))).alias("s"), F.sum("p").alias("period")).filter(F.col("period").isNotNull())
-    row = row.withColumn("p", F.col("s.p")).withColumn("part", F.ceil(F.sqrt("period")).cast("long"))
-    none = F.array().cast("array<long>")
-    start = F.struct(F.transform("p", lambda _: F.lit(0).cast("long")).alias("c"), none.alias("picks"))
-
-    def step(state: Column, t: Column) -> Column:
-        i = _pick(state["c"], F.col("p"), F.col("period"), t)
-        return F.struct(F.transform(state["c"], lambda c, j: F.when(j == i, c + 1).otherwise(c)).alias("c"), F.concat(state["picks"], F.array(i)).alias("picks"))
-
-    def part(state: Column, at: Column) -> Column:
-        """The slots of one part; parts are as many as a part has slots, so that no long list is copied for each slot."""
-        own = F.struct(state["c"].alias("c"), none.alias("picks"))
-        done = F.aggregate(F.sequence(at, F.least(at + F.col("part"), F.col("period")) - 1), own, step)
-        return F.struct(done["c"].alias("c"), F.concat(state["parts"], F.array(done["picks"])).alias("parts"))
-
-    first = F.struct(start["c"].alias("c"), F.array().cast("array<array<long>>").alias("parts"))
-    folded = row.withColumn("picks", F.flatten(F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1, F.col("part")), first, part, lambda s: s["parts"])))
-    slots = folded.select("s", "period", F.posexplode("picks").alias("slot", "i")).select(F.get("s", F.col("i").cast("int")).alias("s"), "period", F.col("slot").cast("long").alias("slot"))
-    number = F.row_number().over(Window.partitionBy("s.source").orderBy("slot")) - 1
-    return slots.select("s.source", "s.n", "s.p", "period", number.cast("long").alias("k"), "slot")
+SPLIT = 3  # bits of the priority that one step tells apart
+
+
+def schedule(quota: DataFrame, period: int | None = None) -> DataFrame:
+    """(source, n, p, period, k, slot): the slot of every block of one period, the sum of p."""
+    spark = quota.sparkSession
+    period = period or quota.agg(F.sum("p")).first()[0] or 1
+    jobs = quota.select("source", "n", "p", F.lit(period).cast("long").alias("period"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).alias("k"))
+    release, due = F.expr("k * period div p"), F.expr("((k + 1) * period + p - 1) div p")
+    jobs = jobs.withColumn("release", release).withColumn("node", F.row_number().over(Window.orderBy(due, "source")).cast("long") - 1)
+    steps = -(-max(1, (period - 1).bit_length()) // SPLIT)
+    held = jobs.select(F.lit(0).cast("long").alias("part"), F.col("release").alias("at"), F.lit(0).alias("is_slot"), F.col("node").alias("priority"))
+    held = held.unionByName(spark.range(period).select(F.lit(0).cast("long").alias("part"), F.col("id").alias("at"), F.lit(1).alias("is_slot"), F.lit(None).cast("long").alias("priority")))
+    order = Window.partitionBy("part").orderBy("at", "is_slot")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    cuts = range(1, 1 << SPLIT)
+    for step in reversed(range(steps)):
+        held = held.withColumn("digit", F.shiftright("priority", step * SPLIT).bitwiseAND((1 << SPLIT) - 1))
+        # blocks released less slots passed, for the blocks below each cut
+        held = held.withColumns({f"s{c}": F.sum(F.when(F.col("is_slot") == 1, -1).when(F.col("digit") < c, 1).otherwise(0)).over(so_far) for c in cuts})
+        held = held.withColumns({f"m{c}": F.least(F.lit(0), F.coalesce(F.min(F.when(F.col("is_slot") == 1, F.col(f"s{c}"))).over(before), F.lit(0))) for c in cuts})
+        free = sum((F.col(f"s{c}") + 1 <= F.col(f"m{c}")).cast("long") for c in cuts)
+        digit = F.when(F.col("is_slot") == 1, free).otherwise(F.col("digit"))
+        held = held.select((F.col("part") * (1 << SPLIT) + digit).alias("part"), "at", "is_slot", "priority")
+    slots = held.filter("is_slot = 1").select(F.col("part").alias("node"), F.col("at").alias("slot"))
+    return jobs.join(slots, "node").select("source", "n", "p", "period", "k", "slot")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, slots: int = 1000, id_col: str = "doc_id", source_col: str = "source", ordered: bool = False) -> DataFrame:
@@ -94,20 +101,22 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, slot
     # the caller's columns travel in one struct, so that no name of theirs can clash
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), key.alias("key"))
     base = base.withColumn("bucket", F.substring("key", 1, 3))
-    counts = base.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    counts = stored(base.groupBy("source", "bucket").agg(F.count("*").alias("n")), "source-sizes")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    table = schedule(quotas(counts.groupBy("source").agg(F.sum("n").alias("n")), weights, slots))
+    quota = stored(quotas(counts.groupBy("source").agg(F.sum("n").alias("n")), weights, slots), "quotas")
+    period = quota.agg(F.sum("p")).first()[0] or 1  # one number
+    table = stored(schedule(quota, period), "schedule")
+    few = F.broadcast if period <= FEW else lambda df: df  # Spark's own choice beyond, and split hot keys
     # the slot of the first block that a source lacks; the smallest ends the part that is on target
     blocks = F.ceil(F.col("n") / block)
     lacks = F.when(blocks % F.col("p") == F.col("k"), F.floor(blocks / F.col("p")) * F.col("period") + F.col("slot"))
     table = table.withColumn("horizon", F.min(lacks).over(Window.partitionBy("period"))).select("source", "k", F.col("slot").alias("at"), "p", "period", "horizon")
     ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id")))
-    # one row per slot of the period: UNIT, slots or the number of sources at most
-    sized = table.filter("k = 0").select("source", "p")
-    placed = ranked.join(offsets.join(F.broadcast(sized), "source", "left"), ["source", "bucket"]).withColumn("nth", F.col("before") + F.col("rank") - 1)
+    sized = quota.select("source", "p")
+    placed = ranked.join(offsets.join(few(sized), "source", "left"), ["source", "bucket"]).withColumn("nth", F.col("before") + F.col("rank") - 1)
     placed = placed.select("row", "source", F.floor(F.col("nth") / block).alias("block"), (F.col("nth") % block).alias("place"), (F.floor(F.col("nth") / block) % F.col("p")).alias("k"))
-    placed = placed.join(F.broadcast(table), ["source", "k"], "left")
+    placed = placed.join(few(table), ["source", "k"], "left")
     slot = F.floor(F.col("block") / F.col("p")) * F.col("period") + F.col("at")
     out = placed.select(*(F.col("row").getField(c).alias(c) for c in kept), "block", slot.alias("slot"), "place", F.coalesce(slot < F.col("horizon"), F.lit(False)).alias("in_target"))
     return out.orderBy(F.asc_nulls_last("slot"), "place") if ordered else out

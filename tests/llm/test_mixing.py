@@ -53,3 +53,32 @@ def test_clashing_names_and_empty_tables(spark):
     rows = got.collect()
     assert len(rows) == 64 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names[:-1])
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def earliest_deadline_first(quota):
+    """Slot by slot: the released block of the earliest deadline, ties by source."""
+    period, done, out = sum(quota.values()), dict.fromkeys(quota, 0), []
+    for t in range(period):
+        held = [(-(-(done[s] + 1) * period // p), s) for s, p in sorted(quota.items()) if done[s] < p and done[s] * period // p <= t]
+        s = min(held)[1]
+        out.append((t, s, done[s]))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_equals_earliest_deadline_first(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    quota = {f"s{i:02}": rng.choice([1, 1, 2, 3, 7, 50]) for i in range(rng.choice([1, 2, 5, 60]))}
+    rows = mixing.schedule(spark.createDataFrame([(s, 1, p) for s, p in quota.items()], "source string, n long, p long")).collect()
+    assert sorted((r["slot"], r["source"], r["k"]) for r in rows) == earliest_deadline_first(quota)
+
+
+def test_many_sources(spark):
+    """A thousand sources, a period of a million slots: every block inside its window, so each deviation is below one."""
+    sizes = spark.range(1000).select(F.concat(F.lit("s"), F.format_string("%04d", "id")).alias("source"), F.lit(10).cast("long").alias("n"), (F.col("id") * 2 + 1).alias("p"))
+    rows = mixing.schedule(sizes)
+    late = rows.filter("slot < k * period div p OR slot >= ((k + 1) * period + p - 1) div p").count()
+    assert late == 0 and rows.agg(F.count("*"), F.countDistinct("slot"), F.max("slot")).first()[0:3] == (1_000_000, 1_000_000, 999_999)
