@@ -35,6 +35,7 @@ from scoreframe.llm.common import discard, spread, stored, text_of
 BITS = 27  # the bitmap has 2**BITS bits, 16 MB
 HOT = 1024
 CHUNK = 2 << 20  # bytes of texts that are cut into windows at once
+ROWS = 1 << 19  # counted windows that wait in a task to be added up
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,7 +134,7 @@ def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def windows(texts: DataFrame, least: int, longest: int) -> DataFrame:
-    """(deal, lang, w1 .. w{longest}, c): the padded longest windows, counted within each chunk."""
+    """(deal, lang, w1 .. w{longest}, c): the padded longest windows, counted within each task as far as ``ROWS`` allow."""
     sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, least))
     names = [f"w{k + 1}" for k in range(longest)]
 
@@ -148,6 +149,19 @@ def windows(texts: DataFrame, least: int, longest: int) -> DataFrame:
         return at, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, keys = [], 0, ["deal", "lang", *names]
+        for batch in found(batches):
+            held, rows = [*held, batch], rows + batch.num_rows
+            if rows >= ROWS:
+                table = pa.Table.from_batches(held).group_by(keys).aggregate([("c", "sum")]).rename_columns([*keys, "c"])
+                if table.num_rows > ROWS // 2:
+                    yield from table.to_batches(max_chunksize=20_000)
+                    table = table.slice(0, 0)
+                held, rows = table.combine_chunks().to_batches(), table.num_rows
+        for batch in held:
+            yield batch
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hot = sent.value
         for chunk in _chunks(batches):
             own, one, two = chunk.hashes()
@@ -162,7 +176,7 @@ def windows(texts: DataFrame, least: int, longest: int) -> DataFrame:
                 at, c = counted([chunk.lang[where], *lead], int(n) + 1)
                 words = [padded.take(pa.array(x[at])).cast(pa.string()) for x in lead]
                 words += [pa.array([""] * len(at), pa.string())] * (longest - len(words))
-                return pa.RecordBatch.from_arrays([pa.array((deal[at] >> np.uint64(44)).astype(np.int32)), langs.take(pa.array(chunk.lang[where][at])), *words, pa.array(c.astype(np.int64))], ["deal", "lang", *names, "c"])
+                return pa.RecordBatch.from_arrays([pa.array((deal[at] >> np.uint64(48)).astype(np.int32)), langs.take(pa.array(chunk.lang[where][at])), *words, pa.array(c.astype(np.int64))], ["deal", "lang", *names, "c"])
 
             alone = np.flatnonzero(~pair)
             if len(alone):
@@ -191,8 +205,10 @@ def phrase_counts(docs: DataFrame, least: int, longest: int = 4, text_col: str =
     k = longest - 1 - F.expr("bit_count(gid)").cast("int")  # a bit of the rollup for each column that is summed over
     rolled = top.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("gid")).withColumn("k", k).filter("k >= 0")
     held = rolled.select("lang", "k", F.slice(F.array(*names[:-1]), 1, F.col("k")).alias("words"), "f")
-    held = held.filter((F.col("k") == 0) | (F.get("words", F.col("k") - 1) != "")).unionByName(top.filter(F.col(names[-1]) != "").select("lang", F.lit(longest).alias("k"), F.array(*names).alias("words"), "f"))
-    return held.filter((F.col("k") == 0) | (F.col("f") >= least)).select("lang", "k", "words", F.array_join("words", " ").alias("phrase"), "f")
+    held = held.filter((F.col("k") == 0) | (F.get("words", F.col("k") - 1) != ""))
+    # on the sum, so that it can't move below the exchange, which both sides share
+    full = top.filter(F.when(F.col("f") >= least, F.col(names[-1])) != "").select("lang", F.lit(longest).alias("k"), F.array(*names).alias("words"), "f")
+    return held.unionByName(full).filter((F.col("k") == 0) | (F.col("f") >= least)).select("lang", "k", "words", F.array_join("words", " ").alias("phrase"), "f")
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 2000, share: int = 80, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
