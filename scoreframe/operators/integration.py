@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.functions import scalar as S
-from scoreframe.functions import text as X
 from scoreframe.functions.fixed import GRADE_BANDS, RATE_CUTS, SCORE_BANDS
 from scoreframe.operators import aggregates as A
+from scoreframe.operators import graph as G
 from scoreframe.operators import joins as J
+from scoreframe.operators import matching as M
 from scoreframe.operators import ranking as K
-from scoreframe.sources.stages import durable
+from scoreframe.sources.stages import stage
 
 # Columns of a statistics row in the order in which they count, and ratings that replace components.
 SCORE_FIELDS = ("published_mcat_average", "mcat_mean_enrolled", "mcat_median_matriculated", "mcat_median_accepted", "median_mcat")
@@ -27,6 +30,9 @@ RATINGS = {
     "culture_fit_score": "attendance_culture_score", "regret_index_score": "regret_index_score",
 }
 GAP = 0.03
+# Words that don't tell names apart, and the least score of near names.
+STOP_WORDS = ("school", "college", "university", "medicine", "medical", "the", "of")
+NEAR = 0.86
 
 
 def _first(df: DataFrame, fields: Sequence[str]) -> Column:
@@ -187,41 +193,73 @@ def integrate_stats(clusters: DataFrame, rows: DataFrame, cluster_matches: DataF
     return {"canonical": _stats_row(rows_out, grid), "candidates": candidates, "conflicts": conflicts, "review": review}
 
 
-def cluster_names(df: DataFrame, name: str, stop: Sequence[str] = ("school", "college", "university", "medicine", "medical", "the", "of")) -> DataFrame:
+def _near(score: Column, shared: Column, fewest: Column) -> Column:
+    return ((score >= 0.92) & (shared >= 1)) | ((score >= NEAR) & (shared >= 2)) | ((score >= 0.88) & (shared >= 1) & (fewest <= 1))
+
+
+def _alike_by_ratio(words: DataFrame, block: int) -> DataFrame:
+    """(a, b, score, shared, fewest) of names that share a distinctive word and reach NEAR. Names meet by word and by a step
+    of length: a ratio of NEAR bounds the shorter form by 0.754 of the longer, so their steps are at most one apart. Plain
+    and sorted forms may be of unlike lengths, so a name has the steps of both."""
+    step = lambda c: F.floor(F.log(F.length(c).cast("double")) / 0.2824).cast("int")
+    steps = words.withColumn("steps", F.array_distinct(F.array(step("clean"), step(F.array_join(F.array_sort("every"), " ")))))
+    left = steps.select("clean", F.col("words"), F.explode("words").alias("w"), "steps").select("clean", "words", "w", F.explode("steps").alias("step"))
+    reach = F.array_distinct(F.flatten(F.transform("steps", lambda s: F.array(s - 1, s, s + 1))))
+    right = steps.select("clean", "words", F.explode("words").alias("w"), reach.alias("steps")).select(F.col("clean").alias("to"), F.col("words").alias("to_words"), "w", F.explode("steps").alias("step"))
+    fields = {"a": pa.string(), "b": pa.string(), "score": pa.float64(), "shared": pa.int32(), "fewest": pa.int32()}
+
+    def run(names: pa.Table, others: pa.Table) -> pa.Table:
+        held, sets, rows = M.PairScores(others.column("to").to_pylist()), [set(w) for w in others.column("to_words").to_pylist()], []
+        later = np.array(held.plain.names, object)
+        for name, own, word in zip(*(names.column(c).to_pylist() for c in ("clean", "words", "w"))):
+            alike = held.jaccard({w for w in name.split(" ") if w})
+            for k in np.flatnonzero((held.bounds(name, alike) >= NEAR) & (later > name)):
+                both = sets[k].intersection(own)
+                if min(both) == word:  # a pair counts in the group of its first word
+                    score = held.score(name, k, alike[k])
+                    if score >= NEAR:
+                        rows.append((name, held.plain.names[k], score, len(both), min(len(sets[k]), len(own))))
+        return M.table_of(rows, fields)
+
+    return M.paired(left, right, ["w", "step"], ("clean", "to"), run, "a string, b string, score double, shared int, fewest int", block)
+
+
+def alike_by_words(words: DataFrame) -> DataFrame:
+    """(a, b, score, shared, fewest) of names whose Jaccard index over all words is NEAR at least, however unlike their
+    lengths. Of n words a partner must share 0.86 n, so both hold one of each other's rarest n - 0.86 n + 1 words."""
+    every = words.select("clean", F.explode("every").alias("w"))
+    rarity = every.groupBy("w").agg(F.count("*").alias("df"))
+    held = every.join(rarity, "w").groupBy("clean").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("rare"))
+    rare = F.slice("rare", F.lit(1), (F.size("rare") - F.expr("(86 * size(rare) + 99) div 100") + 1).cast("int"))
+    first = words.join(held.select("clean", rare.alias("rare")), "clean").select("clean", "words", "every", F.explode("rare").alias("w"))
+    other = first.select(F.col("clean").alias("b"), F.col("words").alias("to_words"), F.col("every").alias("to_every"), "w")
+    both = first.join(other, "w").filter(F.col("clean") < F.col("b"))
+    score = F.size(F.array_intersect("every", "to_every")) / F.size(F.array_union("every", "to_every"))
+    pairs = both.filter(score >= NEAR).select(F.col("clean").alias("a"), "b", score.alias("score"), F.size(F.array_intersect("words", "to_words")).alias("shared"), F.least(F.size("words"), F.size("to_words")).alias("fewest"))
+    return pairs.distinct()
+
+
+def name_words(df: DataFrame, name: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(clean, words, every): each distinct normalised name with its distinctive words and all its words."""
+    names = df.select(S.normalize_name(F.col(name)).alias("clean")).filter("clean <> ''").distinct()
+    return names.select("clean", F.array_distinct(S.tokens(F.col("clean"), stop)).alias("words"), S.tokens(F.col("clean")).alias("every"))
+
+
+def name_links(df: DataFrame, name: str, stop: Sequence[str] = STOP_WORDS, block: int = M.BLOCK) -> DataFrame:
+    """(a, b), a before b: the near pairs of distinct normalised names, each once."""
+    words = stage(name_words(df, name, stop))
+    pairs = _alike_by_ratio(words, block).unionByName(alike_by_words(words))
+    return pairs.filter(_near(F.col("score"), F.col("shared"), F.col("fewest"))).select("a", "b").distinct()
+
+
+def cluster_names(df: DataFrame, name: str, stop: Sequence[str] = STOP_WORDS, block: int = M.BLOCK) -> DataFrame:
     """(name, cluster): names that are equal once normalised, or near enough, in one cluster, named by its smallest member.
 
-    Near: score 0.92 with a shared distinctive token, 0.86 with two, 0.88 with one if a side has at most one. Clusters are
-    connected components, so they don't depend on the order of rows. Distinct names are paired by a shared token and a
-    length that lets them reach the score; each pair is scored once."""
+    Near: score 0.92 with a shared distinctive word, 0.86 with two, 0.88 with one if a side has at most one. Clusters are
+    connected components, so they don't depend on the order of rows. Pairs come from two joins that together miss none:
+    by shared word and length for sequence ratios, by rarest words for the Jaccard index; see there."""
     names = df.select(S.normalize_name(F.col(name)).alias("clean")).filter("clean <> ''").distinct()
-    words = names.withColumn("words", F.array_distinct(S.tokens(F.col("clean"), stop)))
-    # steps of length by a factor of 0.754, to which a sequence ratio of 0.86 bounds the shorter name; fewer tokens than
-    # 0.86 of the other's may still mean a shorter name, so the Jaccard index has a key of its own
-    size = F.floor(F.log(F.length("clean").cast("double")) / 0.2824).cast("int")
-    each = words.select("clean", "words", F.explode("words").alias("w"), size.alias("size"))
-    each = durable(each)
-    other = each.select(F.col("clean").alias("to"), F.col("words").alias("to_words"), "w", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    near = 2 * F.least(F.length("clean"), F.length("to")) >= 0.86 * (F.length("clean") + F.length("to"))
-    shared = F.array_intersect("words", "to_words")
-    alike = F.size("shared") >= 0.86 * F.size(F.array_union("words", "to_words"))
-    by_size = each.join(other, ["w", "size"]).filter(F.col("clean") < F.col("to")).withColumn("shared", shared).filter(near | alike)
-    tokens = F.array_join(F.array_sort("words"), " ")  # equal token sets of names of unlike lengths
-    same = words.groupBy(tokens.alias("t")).agg(F.min("clean").alias("first")).join(words.withColumn("t", tokens), "t").filter((F.col("first") < F.col("clean")) & (F.col("t") != ""))
-    same = same.select(F.col("first").alias("clean"), "words", F.col("clean").alias("to"), F.col("words").alias("to_words")).withColumn("shared", shared)
-    columns = ["clean", "words", "to", "to_words", "shared"]
-    pairs = by_size.select(*columns).unionByName(same.select(*columns))
-    pairs = pairs.select("clean", "to", F.size("shared").alias("shared"), F.least(F.size("words"), F.size("to_words")).alias("fewest")).distinct()
-    score = X.pair_score(F.col("clean"), F.col("to"))
-    linked = pairs.withColumn("score", score).filter("(score >= 0.92 AND shared >= 1) OR (score >= 0.86 AND shared >= 2) OR (score >= 0.88 AND shared >= 1 AND fewest <= 1)")
-    both = durable(linked.select(F.col("clean").alias("a"), F.col("to").alias("b")).unionByName(linked.select(F.col("to").alias("a"), F.col("clean").alias("b"))))
-    label = durable(names.select("clean", F.col("clean").alias("cluster")))
-    while True:
-        reached = both.join(label.withColumnRenamed("clean", "b"), "b").groupBy(F.col("a").alias("clean")).agg(F.min("cluster").alias("near"))
-        step = durable(label.join(reached, "clean", "left").select("clean", "cluster", F.least("cluster", F.coalesce("near", "cluster")).alias("new")))
-        done = step.filter("new <> cluster").isEmpty()
-        label = step.select("clean", F.col("new").alias("cluster"))
-        if done:
-            break
+    label = G.connected(names, name_links(df, name, stop, block), "clean").withColumnRenamed("component", "cluster")
     return df.select(name).distinct().withColumn("clean", S.normalize_name(F.col(name))).join(label, "clean", "left").select(name, "cluster")
 
 

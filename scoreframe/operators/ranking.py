@@ -12,7 +12,7 @@ from scoreframe.functions.fixed import CONFIDENCE_CUTS, FUNNEL_CUTS, RANK_CUTS,
 from scoreframe.operators import aggregates as A
 from scoreframe.operators import joins as J
 from scoreframe.operators import sorting as T
-from scoreframe.sources.stages import durable
+from scoreframe.sources.stages import stage
 
 Weights = Sequence[tuple[str, float]]
 
@@ -36,7 +36,7 @@ def rank_many(df: DataFrame, scores: dict[str, str], keys: Sequence[str], exclud
     counts = df.filter(fit).select(*keys, cells).filter("_score IS NOT NULL").groupBy(*keys, "_name", "_score").agg(F.count("*").alias("_n"))
     better = Window.partitionBy(*keys, "_name").orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("_r", F.coalesce(F.sum("_n").over(better), F.lit(0)) + 1)
-    wide = durable(ranks.groupBy(*keys, "_score").agg(*[F.max(F.when(F.col("_name") == n, F.col("_r"))).alias(f"_{n}") for n in scores]))
+    wide = stage(ranks.groupBy(*keys, "_score").agg(*[F.max(F.when(F.col("_name") == n, F.col("_r"))).alias(f"_{n}") for n in scores]))
     few = wide.limit(1_000_001).count() <= 1_000_000
     out = df
     for n, c in scores.items():

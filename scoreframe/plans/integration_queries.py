@@ -182,3 +182,15 @@ def d7(spark, d):
     base = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     noisy = base.select(F.concat(F.lit("The "), F.initcap("name")).alias("name")).unionByName(base.select(F.concat("name", F.lit("s")).alias("name")))
     return I.cluster_names(base.unionByName(noisy), "name")
+
+
+@query("d7_alike_by_words", """
+WITH n AS (SELECT DISTINCT unnest([lower(p_name || ' ' || p_type), lower(p_name || ' ' || regexp_replace(p_type, ' [^ ]*$', ''))]) AS name FROM part),
+w AS (SELECT name, list_distinct(string_split(name, ' ')) AS ws FROM n), x AS (SELECT name, len(ws) AS n, unnest(ws) AS w FROM w),
+s AS (SELECT a.name AS a, b.name AS b, a.n + b.n - count(*) AS whole, count(*) AS shared, least(a.n, b.n) AS fewest FROM x a JOIN x b ON a.w = b.w AND a.name < b.name GROUP BY a.name, b.name, a.n, b.n)
+SELECT a, b, shared / whole AS score, CAST(shared AS INTEGER) AS shared, CAST(fewest AS INTEGER) AS fewest FROM s WHERE shared / whole >= 0.86""")
+def d7_words(spark, d):
+    """Part names with their types, whole and without the last word: none of the words is a stop word."""
+    name, kind = F.col("p_name"), F.col("p_type")
+    made = F.array(F.concat_ws(" ", name, kind), F.concat_ws(" ", name, F.regexp_replace(kind, " [^ ]*$", "")))
+    return I.alike_by_words(I.name_words(table(spark, d, "part").select(F.explode(made).alias("name")), "name"))

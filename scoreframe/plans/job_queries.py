@@ -9,7 +9,7 @@ from scoreframe.operators import joins as J
 from scoreframe.operators import ranking as K
 from scoreframe.operators import workflow as W
 from scoreframe.plans.registry import query, table
-from scoreframe.sources.stages import durable
+from scoreframe.sources.stages import stage
 
 #: Group and scenario weights of the flagship query.
 GROUPS = {"admissions": [("price_fit", 25.0), ("discount_score", 20.0), ("returns_score", 15.0)], "attendance": [("quantity_score", 20.0), ("balance_score", 15.0)]}
@@ -63,7 +63,7 @@ def supplier_projection(spark, d):
     )
     orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     profiles = orders.groupBy(F.col("c_mktsegment").alias("profile")).agg((exact("o_totalprice", 14) / F.count("*") / 4).alias("target"))
-    entities, profiles = durable(table(spark, d, "supplier").join(li, "s_suppkey", "left")), durable(profiles)
+    entities, profiles = stage(table(spark, d, "supplier").join(li, "s_suppkey", "left")), stage(profiles)
     scaled = K.minmax_all(entities, {"discount_score": -F.col("discount"), "quantity_score": -F.col("quantity"), "returns_score": F.col("returned"), "balance_score": -S.positive(F.col("s_acctbal"))})
     return J.cross_profiles(profiles, scaled).withColumn("price_fit", F.bround(S.fit_score(F.col("target"), F.col("price"), 2000), 1))
 

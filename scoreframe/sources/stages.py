@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def stage(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read again: cut from its lineage, with sizes that Spark can plan by."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scoreframe-stages/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Deletes a stage that no plan reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

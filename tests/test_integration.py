@@ -42,6 +42,39 @@ def test_clusters_equal_brute_force(spark):
     assert got[""] is None and got[None] is None
 
 
+def test_links_equal_brute_force_on_unlike_lengths(spark):
+    """Names with very long and repeated words, in blocks of a few names, and one whose partner is of another length."""
+    import random
+
+    rng = random.Random(11)
+    short, long = ["aa", "bb", "cc", "dd", "state", "of", "the", "college"], ["x" * 38, "y" * 25, "northwestern", "hofstra", "feinberg"]
+    names = {"aa bb cc dd ee ff gg", "aa bb cc dd ee ff gg " + "z" * 38, "hofstra hofstra hofstra", "hofstra", "state hofstra hofstra"}
+    while len(names) < 500:
+        words = rng.choices(short, k=rng.randint(0, 6)) + rng.choices(long, k=rng.randint(0, 2))
+        rng.shuffle(words)
+        name = " ".join(words)
+        if name and rng.random() < 0.5:
+            k = rng.randrange(len(name))
+            name = name[:k] + rng.choice("abxy") + name[k:]
+        names.add(" ".join(name.split()))
+    names.discard("")
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    clean = sorted({r[0] for r in I.name_words(df, "name").select("clean").collect()})
+    want = {(a, b) for a in clean for b in clean if a < b and near(a, b)}
+    for block in (I.M.BLOCK, 40):
+        got = [tuple(r) for r in I.name_links(df, "name", block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert ("aa bb cc dd ee ff gg", "aa bb cc dd ee ff gg " + "z" * 38) in want and len(want) > 100
+
+
+def test_components_of_a_chain(spark):
+    from scoreframe.operators import graph as G
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(64)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r[0]: r[1] for r in G.connected(spark.range(110), links, "id").collect()}
+    assert got == {i: 0 if i < 65 else 100 if i in (100, 101) else i for i in range(110)}
+
+
 def test_representative(spark):
     df = spark.createDataFrame([(1, "Long Name Here", "b"), (1, "Short", "c"), (1, "Other", "a"), (2, "Same", "x"), (2, "Tiny", "y"), (2, "Longer", "z")], "cluster long, name string, source string")
     assert {r["cluster"]: r["name"] for r in I.representative(df, "cluster", "name", "source", ["a", "b"]).collect()} == {1: "Other", 2: "Same"}
