@@ -73,7 +73,8 @@ def stat_spans(docs: DataFrame, id_col: str, text_col: str, windowed: bool = Tru
     pairs = [(n, _Finder(p, "graded" if "?P<gpa" in p else "mcat", windowed), wide) for n, p, _, _, _, wide in P.PAIR_PATTERNS]
     years = [re.compile(p, re.I) for p in P.YEAR_PATTERNS]
     year_reach = max(filter(None, map(reach, P.YEAR_PATTERNS)))
-    header = re.compile(P.TABLE_HEADER, re.I)
+    header, header_reach = re.compile(P.TABLE_HEADER, re.I), reach(P.TABLE_HEADER)
+    farthest = max(filter(None, (reach(p[-1] if len(p) == 3 else p[1]) for p in (*P.VALUE_PATTERNS, *P.RANGE_PATTERNS, *P.PAIR_PATTERNS))))
     number = {"mcat": re.compile(r"\b(?:47[2-9]|48\d|49\d|50\d|51\d|52[0-8])"), "graded": re.compile(r"\b[2345]\.\d")}
     runs = re.compile(r"\s\s|\d{21}")
     gate = re.compile(r"m\s*cat|g\s*pa|science|bcpm", re.I)  # every pattern needs one of these
@@ -94,7 +95,9 @@ def stat_spans(docs: DataFrame, id_col: str, text_col: str, windowed: bool = Tru
                 yield name, "range", kind, m.start(), low, high, *around(text, *m.span()), "", "", None, None
         for name, finder, wide in pairs:
             if name == "table":
-                hits = ((h.start(), h.start() + m.end(), m) for h in header.finditer(text) for m in finder.pattern.finditer(text[h.start() : h.start() + P.TABLE_REACH]))
+                places = [(0, len(text))] if numbers is None else merged(numbers["graded"], P.TABLE_REACH, header_reach + 2, len(text))
+                heads = [h for a, b in places for h in header.finditer(text, a, b)]
+                hits = ((h.start(), h.start() + m.end(), m) for h in heads for m in finder.pattern.finditer(text[h.start() : h.start() + P.TABLE_REACH]))
             else:
                 hits = ((m.start(), m.end(), m) for m in finder.hits(text, numbers))
             for start, stop, m in hits:
@@ -113,14 +116,15 @@ def stat_spans(docs: DataFrame, id_col: str, text_col: str, windowed: bool = Tru
 
     def read(text: str) -> list[tuple]:
         numbers = None if not windowed or runs.search(text) else {k: [m.span() for m in p.finditer(text)] for k, p in number.items()}
-        if numbers is not None and not any(numbers.values()):
+        near = [(0, len(text))] if numbers is None else merged(sorted(n for ns in numbers.values() for n in ns), max(farthest, P.TABLE_REACH), farthest + 2, len(text))
+        if not any(gate.search(text, a, b) for a, b in near):
             return []
         rows = list(found(text, numbers))
         return rows + list(dated(text, rows, numbers is None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, *row) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text and gate.search(text) for row in read(text)]
+            rows = [(key, *row) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for row in read(text)]
             cols = list(zip(*rows, strict=True)) or [()] * 14
             types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), *[pa.string()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", *(f.split()[0] for f in _FIELDS.split(", "))])

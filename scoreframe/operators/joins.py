@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from scoreframe.functions import scalar as S
 from scoreframe.operators import matching as M
+from scoreframe.operators import windows as W
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -248,15 +249,22 @@ def nearest_column(df: DataFrame, value: str, columns: Sequence[tuple[str, float
 
 
 def asof_anchor(values: DataFrame, anchors: DataFrame, keys: Sequence[str], at: str, most: Column | None = None) -> DataFrame:
-    """The last anchor at or before each value's position, by one window over the union; anchors come first on ties."""
+    """The last anchor at or before each value's position; anchors come first on ties. The union is cut into sampled ranges
+    of (keys, position), each searched by itself; the last anchor of a key in a range is carried to the ranges after it by
+    a table of one row per key and range. So a key with most of the rows is no task of its own."""
     a = anchors.select(*keys, at, F.lit(0).alias("_kind"), F.struct(*anchors.columns).alias("_a")).withColumn("_v", F.lit(None).cast(values.select(F.struct(*values.columns)).schema[0].dataType))
     v = values.select(*keys, at, F.lit(1).alias("_kind"), F.lit(None).cast(a.schema["_a"].dataType).alias("_a"), F.struct(*values.columns).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(v).withColumn("_last", F.last("_a", ignorenulls=True).over(w)).filter("_kind = 1")
-    found = F.col(f"_last.{at}")
+    both = W.in_ranges(a.unionByName(v).select(F.struct(*keys).alias("_key"), F.col(at).alias("_at"), "_kind", "_a", "_v"), ["_key"], [F.col("_at"), F.col("_kind")])
+    inside = Window.partitionBy("_key", "_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_a", ignorenulls=True).over(inside)).filter("_kind = 1")
+    ends = both.groupBy("_key", "_part").agg(F.max_by("_a", F.when(F.col("_kind") == 0, F.struct("_at", F.lit(0)))).alias("_end"))
+    earlier = F.last("_end", ignorenulls=True).over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("_key", "_part", earlier.alias("_carried")).filter("_carried IS NOT NULL")
+    out = found.join(carried, ["_key", "_part"], "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    place = F.col(f"_last.{at}")
     if most is not None:
-        found = F.when(F.col(at) - found <= most, found)
-    return out.select("_v.*", found.alias(f"anchor_{at}"), "_last")
+        place = F.when(F.col(f"_v.{at}") - place <= most, place)
+    return out.select("_v.*", place.alias(f"anchor_{at}"), "_last")
 
 
 def denormalize(master: DataFrame, *dims: tuple[DataFrame, Sequence[str]]) -> DataFrame:

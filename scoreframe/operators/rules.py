@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreframe.functions import scalar as S
+from scoreframe.sources.stages import stage
 
 ISSUE = ("severity", "file", "row_id", "field", "message", "suggested_fix")
 
@@ -31,9 +32,12 @@ def rule_columns(df: DataFrame, file: str, required: Sequence[str]) -> DataFrame
 
 
 def rule_duplicate(df: DataFrame, file: str, key: str, pos: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(pos)
-    twice = df.withColumn("_n", F.row_number().over(w)).withColumn("_first", F.first(pos).over(w)).filter("_n > 1")
-    return _issues(twice, file, key, key, F.concat(F.lit("duplicate of row "), F.col("_first").cast("string")), "remove one of the rows")
+    """Rows whose key stands at an earlier pos (unique; null first). The first rows of repeated keys are counted map-side
+    and stored, so that the join back can split a key that most rows have; a null key is a key."""
+    place = F.struct(F.col(pos).isNotNull(), F.col(pos).alias("pos"))
+    first = df.groupBy(F.struct(key).alias("_key")).agg(F.count("*").alias("_n"), F.min(place).alias("_first")).filter("_n > 1")
+    rows = df.withColumn("_key", F.struct(key)).join(stage(first.select("_key", "_first")), "_key").filter(place > F.col("_first"))
+    return _issues(rows, file, key, key, F.concat(F.lit("duplicate of row "), F.col("_first.pos").cast("string")), "remove one of the rows")
 
 
 def rule_range(df: DataFrame, file: str, row: str, cols: Sequence[str], low: float, high: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreframe.functions import scalar as S
-
+from scoreframe.sources.stages import drop_stage, stage
 
 PARTS = 64  # parts of a key's values that are ordered apart
 
@@ -38,6 +38,25 @@ def places(df: DataFrame, value: Column, keys: Sequence[str], order: Sequence[Co
     return out.select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """A stage of df with ``_part``, which rises with the order inside each key. Spark samples bounds for keys and order
+    together, whatever their types, so a key with most of the rows lies in many parts. Rows equal in key and order share
+    a part. Stored, since bounds are sampled anew whenever a plan runs."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """df with the place of each row in any order within its key. Rows are numbered in the ranges of ``in_ranges``; null
+    keys are a group."""
+    keyed = in_ranges(df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))), ["_key"], order)
+    sizes = keyed.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = keyed.withColumn("_place", F.row_number().over(Window.partitionBy("_key", "_part").orderBy(*order)))
+    out = placed.join(sizes.select("_key", "_part", before.alias("_before")), ["_key", "_part"])
+    return out.select(*[c for c in df.columns if c != name], (F.col("_before") + F.col("_place")).alias(name))
+
+
 def rank_scores(df: DataFrame, score: str, keys: Sequence[str], excluded: Column | None = None, name: str = "rank") -> DataFrame:
     """Competition rank, best first; excluded and unscored rows have none. Null keys are a group."""
     fit = F.col(score).isNotNull() & (F.lit(True) if excluded is None else ~F.coalesce(excluded, F.lit(False)))
@@ -88,22 +107,36 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], po
 
 
 def priority_queue(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "place", lead: Column | None = None) -> DataFrame:
-    """Places in the order within each key. With ``lead``, a number that the order refines upwards, a key is ordered in
-    parts; without, each key by one task."""
+    """Places in the order within each key, which is ordered in parts: by ``lead``, a number that the order refines
+    upwards, or without one by sampled ranges of the order itself, of any types."""
     if lead is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return numbered(df, keys, order, name)
     columns = [c for c in df.columns if c != name]
     keyed = df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
     return places(keyed, lead.cast("double"), ["_key"], order, False, name).select(*columns, F.col(name).cast("long").alias(name))
 
 
 def unique_slug(df: DataFrame, text: str, pos: str) -> DataFrame:
-    """Slugs where repeats get -2, -3 in order of pos; a suffix that meets a real slug moves past it."""
-    base = df.withColumn("_base", S.slugify(F.col(text)))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(pos))
-    first = base.withColumn("_n", n).withColumn("slug", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_n").cast("string"))))
-    again = F.row_number().over(Window.partitionBy("slug").orderBy(F.col("_n"), pos))
-    return first.withColumn("_again", again).withColumn("slug", F.when(F.col("_again") > 1, F.concat("slug", F.lit("-x"), F.col("_again").cast("string"))).otherwise(F.col("slug"))).drop("_base", "_n", "_again")
+    """Slugs in order of pos (unique): each row gets the first of base, base-2, base-3, ... that no earlier row has.
+
+    The n-th row of a base starts at its n-th form. Where a form is also that of another base, the latest row gives way,
+    and with it the later rows of its base, by one form; until no two rows have the same. Each round settles the first
+    such row of every base, and most tables need none."""
+    base = numbered(df.withColumn("_base", S.slugify(F.col(text))), ["_base"], [F.col(pos)], "_nth").withColumn("_form", F.col("_nth"))
+    formed = F.when(F.col("_form") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_form").cast("string")))
+    rows = stage(base.withColumn("slug", formed))
+    while True:
+        held = rows.groupBy("slug").agg(F.count("*").alias("_n"), F.min(pos).alias("_first")).filter("_n > 1")
+        behind = rows.join(held, "slug").filter(F.col(pos) > F.col("_first"))
+        moved = stage(behind.groupBy("_base").agg(F.min("_nth").alias("_from")))
+        if moved.isEmpty():
+            drop_stage(moved)
+            return rows.select(*[c for c in df.columns if c != "slug"], "slug")
+        shifted = rows.join(moved, "_base", "left").withColumn("_form", F.col("_form") + F.coalesce((F.col("_nth") >= F.col("_from")).cast("int"), F.lit(0)))
+        new = stage(shifted.drop("_from").withColumn("slug", formed))
+        drop_stage(rows)
+        drop_stage(moved)
+        rows = new
 
 
 def merge_candidates(df: DataFrame, keys: Sequence[str], texts: Sequence[str], status: str, order: Sequence[str], pos: str) -> DataFrame:

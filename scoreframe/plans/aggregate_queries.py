@@ -189,6 +189,13 @@ def w7(spark, d):
     return out.select("o_orderkey", F.col("place").cast("long").alias("place"))
 
 
+@query("w7_priority_by_text", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey DESC) AS place FROM orders")
+def w7_text(spark, d):
+    """A text leads the order and few values have most of the rows: the ranges go by all its columns."""
+    order = [F.col("o_orderpriority").desc(), F.col("o_orderdate"), F.col("o_orderkey").desc()]
+    return W.priority_queue(table(spark, d, "orders"), ["o_orderstatus"], order).select("o_orderkey", F.col("place").cast("long").alias("place"))
+
+
 @query("w8_top2_gap", "SELECT p_brand, max(CASE WHEN rn = 1 THEN p_partkey END) AS best, max(CASE WHEN rn = 2 THEN p_partkey END) AS second, round(max(CASE WHEN rn = 1 THEN p_retailprice END) - max(CASE WHEN rn = 2 THEN p_retailprice END), 4) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) GROUP BY 1")
 def w8(spark, d):
     from scoreframe.operators.joins import top2
