@@ -344,16 +344,20 @@ def _confirm_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     def listed(table: pa.Table) -> pa.Table:
         ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        lists = [(int(ids[x]), int(comp[x]), ids[rest], comp[rest]) for x, rest, _ in _candidates(table, percent)]
-        docs = np.unique(np.concatenate([[x[0] for x in lists], *(x[2] for x in lists)]).astype(np.int64)) if lists else np.zeros(0, np.int64)
-        n = len(docs)
-        block = [table.column(c)[0].as_py() for c in ("key", "p", "q")] if table.num_rows else [0, 0, 0]
-        cols = {
-            "key": pa.array([block[0]] * (n + len(lists)), pa.int64()), "p": pa.array([block[1]] * (n + len(lists)), pa.int32()), "q": pa.array([block[2]] * (n + len(lists)), pa.int32()),
-            "doc_id": pa.array([*docs.tolist(), *(x[0] for x in lists)], pa.int64()),
-            "to": pa.array([None] * n + [x[2].tolist() for x in lists], pa.list_(pa.int64())), "of": pa.array([None] * n + [x[3].tolist() for x in lists], pa.list_(pa.int64())),
-        }
-        return pa.table(cols)
+        askers, partners = [], []
+        for x, rest, _ in _candidates(table, percent):
+            askers.append(x)
+            partners.append(rest.astype(np.int32))
+        rest = np.concatenate([np.zeros(0, np.int32), *partners])
+        docs = np.unique(np.concatenate([ids[askers], ids[rest]])) if askers else np.zeros(0, np.int64)
+        n, block = len(docs) + len(askers), [table.column(c)[0].as_py() for c in ("key", "p", "q")] if table.num_rows else [0, 0, 0]
+        # rows of documents have no list, rows of asking documents one each
+        ends = np.concatenate((np.zeros(len(docs) + 1, np.int32), np.cumsum([len(x) for x in partners], dtype=np.int32)))
+        absent = pa.array(np.arange(n + 1) < len(docs), pa.bool_())
+        offsets = pa.array(ends, pa.int32(), mask=absent.to_numpy(zero_copy_only=False))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[rest])) for x in (ids, comp)]
+        cols = [pa.array(np.full(n, block[0], np.int64)), *(pa.array(np.full(n, b, np.int32)) for b in block[1:]), pa.array(np.concatenate((docs, ids[askers])).astype(np.int64)), *lists]
+        return pa.table(dict(zip(("key", "p", "q", "doc_id", "to", "of"), cols)))
 
     packed = stored(blocks.groupBy("key", "p", "q").applyInArrow(listed, "key long, p int, q int, doc_id long, to array<long>, of array<long>"), "candidates")
     rows = packed.filter("to IS NULL").join(sets, "doc_id").select("key", "p", "q", "doc_id", "to", "of", "hashes")
@@ -363,9 +367,9 @@ def _confirm_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFra
         held, lists, out = {}, [], []
         for doc, to, of, hashes in zip(*(table.column(c) for c in ("doc_id", "to", "of", "hashes")), strict=True):
             if hashes.is_valid:
-                held[doc.as_py()] = np.frombuffer(hashes.as_py(), np.uint64)
+                held[doc.as_py()] = np.frombuffer(hashes.as_buffer(), np.uint64)
             else:
-                lists.append((doc.as_py(), to.as_py(), of.as_py()))
+                lists.append((doc.as_py(), to.values.to_numpy(), of.values.to_numpy()))
         for x, to, of in lists:
             p, linked = held[x], set()
             for y, component in zip(to, of, strict=True):

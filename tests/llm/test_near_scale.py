@@ -41,3 +41,27 @@ def test_stored_tables_are_deleted(spark):
     before = set(os.listdir(at)) if os.path.isdir(at) else set()
     assert H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n_words=2).count() == 200
     assert sorted(x.split("-")[0] for x in set(os.listdir(at)) - before) == ["components", "members"]
+
+
+def test_groups_that_stay_apart_are_compared_in_blocks(spark, monkeypatch):
+    """Texts near one another but mostly below the threshold share bands; links among them are those of brute force."""
+    rng, passed = random.Random(6), []
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in rng.sample(range(60), rng.choice([2, 4, 6])):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    kept = H._confirm_blocks
+    monkeypatch.setattr(H, "_confirm_blocks", lambda *a: passed.append(1) or kept(*a))
+    monkeypatch.setattr(H, "BLOCK", 32)
+    got = {r.doc_id: r.component_id for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n_words=2).collect()}
+    sets = {i: set(H.shingle_hashes(t.encode(), 2).tolist()) for i, t in rows}
+    label = {i: i for i in sets}
+    for _ in range(20):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == label and len(set(label.values())) > 20 and passed
