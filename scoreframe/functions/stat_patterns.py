@@ -62,7 +62,7 @@ YEAR_PATTERNS = (
     r"(20\d{2})\s+class\s+profile", r"admissions\s+profile\s+(20\d{2})",
 )
 # Words of requirements, words of class profiles, labels of grade averages that count and that don't.
-MINIMUM_WORDS = ("cut-off", "cutoff", "eligibility", "eligible", "minimum", "must have", "required", "requirement", "requirements", "screen", "screening", "threshold")
+MINIMUM_WORDS = ("minimum", "required", "requirement", "requirements", "must have", "eligible", "eligibility", "screen", "screening", "cutoff", "cut-off", "threshold")
 PROFILE_WORDS = ("accepted", "average", "class profile", "class statistics", "enrolled", "entering class", "matriculated", "matriculants", "mean", "median", "profile")
 SCIENCE_WORDS = ("science", "bcpm", "postbac", "post-bac")
 OVERALL_WORDS = ("overall", "cumulative", "undergrad", "undergraduate", "total gpa", "total", "class gpa", "class")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scoreframe.functions import scalar as S
 from scoreframe.operators import workflow as W
@@ -221,13 +224,57 @@ class ValidationError(ValueError):
     """Rows of error severity stop a run."""
 
 
-def run_all(tables: dict[str, DataFrame], validate: Callable[[dict[str, DataFrame]], DataFrame], steps: Sequence[tuple[str, Callable[[dict[str, DataFrame]], dict[str, DataFrame]], bool]]) -> dict[str, DataFrame]:
+Step = tuple[str, Callable[[dict[str, DataFrame]], dict[str, DataFrame]], bool]
+
+
+def run_all(tables: dict[str, DataFrame], validate: Callable[[dict[str, DataFrame]], DataFrame], steps: Sequence[Step], at: str | None = None, stamp: str = "") -> dict[str, DataFrame]:
     """Runs the steps (name, function, whether it is validated before) in order over the tables; each function gives tables
-    that are added or replaced. An issue of error severity before a step stops the run there. Everything stays lazy but the
-    gates, each of which looks for one error only."""
+    that are added or replaced. An issue of error severity before a step stops the run there.
+
+    With ``at``, a folder that driver and executors share, every table of a step is written there once and read again, so
+    that no later step or gate computes an earlier one; a step that is written whole gets an entry in the manifest. A run
+    in the same folder takes up after the last good step whose entry fits: same steps before it, same schemas of the
+    inputs, and the same ``stamp``, by which the caller tells versions of the inputs apart. Without ``at`` all stays lazy
+    but the gates."""
     now = dict(tables)
-    for name, step, gated in steps:
-        if gated and not validate(now).filter(F.col("severity") == "error").isEmpty():
-            raise ValidationError(f"errors before {name}")
-        now.update(step(now))
+    told = hashlib.sha256("\n".join([stamp, *(f"{n} {df.schema.json()}" for n, df in sorted(tables.items()))]).encode())
+    for nth, (name, step, gated) in enumerate(steps):
+        told.update(f"\n{nth} {name} {gated}".encode())
+        entry = f"{at}/{nth:03}-{name}" if at else ""
+        written = _entry(tables, entry, told.hexdigest()) if at else None
+        if written is None:
+            if gated and not validate(now).filter(F.col("severity") == "error").isEmpty():
+                raise ValidationError(f"errors before {name}")
+            made = step(now)
+            if at:
+                made = _written(made, entry, told.hexdigest())
+            now.update(made)
+        else:
+            now.update(written)
     return now
+
+
+_ENTRY = "stamp string, tables array<struct<name:string,schema:string>>"
+
+
+def _written(made: dict[str, DataFrame], entry: str, stamp: str) -> dict[str, DataFrame]:
+    """The tables of a step, written and read again; the manifest entry comes last, so a step that broke off has none."""
+    out = {}
+    for name, df in made.items():
+        df.write.mode("overwrite").parquet(f"{entry}/{name}")
+        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{entry}/{name}")
+    session = next(iter(made.values())).sparkSession if made else SparkSession.active()
+    session.createDataFrame([(stamp, [(n, df.schema.json()) for n, df in out.items()])], _ENTRY).coalesce(1).write.mode("overwrite").json(f"{entry}/_manifest")
+    return out
+
+
+def _entry(tables: dict[str, DataFrame], entry: str, stamp: str) -> dict[str, DataFrame] | None:
+    """The stored tables of a step that was finished under this stamp, else None."""
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{entry}/_manifest/_SUCCESS")
+    if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+        return None
+    row = spark.read.schema(_ENTRY).json(f"{entry}/_manifest").first()
+    if row is None or row.stamp != stamp:
+        return None
+    return {t.name: spark.read.schema(StructType.fromJson(json.loads(t.schema))).parquet(f"{entry}/{t.name}") for t in row.tables}

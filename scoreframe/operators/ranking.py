@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreframe.functions import scalar as S
-from scoreframe.functions.fixed import CONFIDENCE_CUTS, FUNNEL_CUTS, RANK_CUTS, TIER_CUTS
+from scoreframe.functions.fixed import CONFIDENCE_CUTS, FUNNEL_CUTS, GROUP_WEIGHTS, RANK_CUTS, SCENARIO_WEIGHTS, TIER_CUTS
 from scoreframe.operators import aggregates as A
 from scoreframe.operators import joins as J
 from scoreframe.operators import sorting as T
@@ -112,6 +113,33 @@ def build_rankings(projection: DataFrame, keys: Sequence[str], groups: dict[str,
     return out.drop(*[f"_{n}" for n in groups])
 
 
+def configured(rows: Sequence[tuple[str, str, float]]) -> dict[str, list[tuple[str, float]]]:
+    """Weights by name, in order, of rows (name, column, weight)."""
+    out: dict[str, list[tuple[str, float]]] = {}
+    for name, column, weight in rows:
+        out.setdefault(name, []).append((column, weight))
+    return out
+
+
+def scenario_name(label: str) -> str:
+    """Begins the column names of a scenario; a component may be called like its label."""
+    return re.sub("[^a-z]+", "_", label.lower()) + "_scenario"
+
+
+def rank_configured(projection: DataFrame, keys: Sequence[str], excluded: Column) -> DataFrame:
+    """build_rankings under the prescribed group and scenario weights. Components that the projection doesn't have count as
+    absent; completeness stands for the completeness component."""
+    groups, scenarios = configured(GROUP_WEIGHTS), configured(SCENARIO_WEIGHTS)
+    parts = {"admissions": groups["Admissions Score"], "attendance": groups["Attendance Score"]}
+    components = [c for w in parts.values() for c, _ in w]
+    named = {scenario_name(n): w for n, w in scenarios.items()}
+    made = {"admissions_score", "attendance_score", "data_completeness_score"}
+    lacking = {c for w in (*groups.values(), *named.values()) for c, _ in w} - made - set(projection.columns)
+    df = projection.withColumns({c: F.lit(None).cast("double") for c in sorted(lacking)})
+    df = df.withColumn("data_completeness_score", F.bround(A.completeness(components), 2))
+    return build_rankings(df, keys, parts, groups["Overall School Value"], named, excluded).drop(*sorted(lacking))
+
+
 def live_score(entities: DataFrame, prefs: DataFrame, pref_id: str, components: Sequence[str]) -> DataFrame:
     """Every entity under every preference row (columns w_<component>): mean over the present components, and coverage.
     Rows whose weights are all zero have no score. Preference rows are user rows and must number at most 10,000."""

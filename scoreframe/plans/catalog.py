@@ -1,6 +1,6 @@
 """All registered queries of the reference's operators."""
 
-from scoreframe.plans import aggregate_queries, extraction_queries, integration_queries, job_queries, join_queries, publishing_queries, rule_queries, scalar_queries  # noqa: F401
+from scoreframe.plans import aggregate_queries, chain_queries, extraction_queries, integration_queries, job_queries, join_queries, publishing_queries, rule_queries, scalar_queries  # noqa: F401
 from scoreframe.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "d2_build_rankings"

@@ -36,6 +36,11 @@ SELECT profile, s_suppkey, score_used, grade_used, CASE WHEN score_used IS NOT N
     CASE WHEN home_state = '' THEN 'missing home state' WHEN same OR accepts_oos IN ('yes', 'no') OR policy_text LIKE '%does not accept%' THEN NULL WHEN policy_text IS NOT NULL THEN 'policy text not normalized' ELSE 'missing policy' END,
     CASE WHEN basis IS NULL THEN 'missing cost basis' END, CASE WHEN data_quality_band = 'low' THEN 'low stats data quality' END) AS warnings FROM c""".replace("STRING", "VARCHAR"))
 def d1(spark, d):
+    t = d1_tables(spark, d)
+    return I.score_projection(t["profiles"], t["entities"], t["stats"], t["costs"], t["policies"], t["partners"], "profile", "s_suppkey").drop("debt_burden_score")
+
+
+def d1_tables(spark, d):
     s = table(spark, d, "supplier")
     profiles = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("profile")).agg(F.count("*").alias("n"))
     profiles = profiles.select("profile", _f("CAST(500 + n % 20 AS DOUBLE) AS mcat_total"), _f("CAST(3.001 + n % 90 / 100.0 AS DOUBLE) AS overall_gpa"), _f("CASE WHEN profile <> 'MACHINERY' THEN CAST(n % 25 AS STRING) ELSE '' END AS home_state"))
@@ -45,7 +50,7 @@ def d1(spark, d):
     costs = costs.withColumn("out_state", F.col("in_state") + 500).withColumn("scholarship", F.when(F.col("s_suppkey") % 10 == 0, 200.0))
     policies = s.filter("s_suppkey % 6 IN (2, 4)").selectExpr("s_suppkey", "CASE WHEN s_suppkey % 6 = 2 THEN 'The school does not accept outsiders' ELSE 'Outsiders are welcome' END AS policy_value")
     partners = s.filter("s_suppkey % 9 = 0").selectExpr("s_suppkey", "'BUILDING' AS profile", "CAST(1 + s_suppkey % 10 AS DOUBLE) AS could_live_here_4_years_score", "CASE WHEN s_suppkey % 18 = 0 THEN 'yes' ELSE 'no' END AS hard_no")
-    return I.score_projection(profiles, entities, stats, costs, policies, partners, "profile", "s_suppkey").drop("debt_burden_score")
+    return {"profiles": profiles, "entities": entities, "stats": stats, "costs": costs, "policies": policies, "partners": partners}
 
 
 #: Orders as rows of a cost feed that is matched to customers.

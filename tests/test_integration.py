@@ -118,3 +118,31 @@ def test_ranks_in_parts_equal_a_window(spark):
     want = {r["id"]: (r["a"], r["b"]) for r in df.select("id", F.when(F.col("s").isNotNull(), F.row_number().over(w)).alias("a"), F.when(F.col("s").isNotNull(), F.rank().over(Window.partitionBy("k", F.col("s").isNull()).orderBy(F.col("s").desc()))).alias("b")).collect()}
     got = {r["id"]: (r["a"], r["b"]) for r in W.rank_scores(W.live_rank(df, "s", ["k"], ["id"], "a"), "s", ["k"], name="b").collect()}
     assert got == want
+
+
+def test_a_run_takes_up_after_its_last_good_step(spark, tmp_path):
+    """Each step is computed once; a run that broke off resumes; another stamp or another schema starts anew."""
+    ran = []
+
+    def made(name, fail=False):
+        def step(t):
+            ran.append(name)
+            if fail:
+                raise RuntimeError(name)
+            return {name: t["x"].withColumn(name, F.lit(len(t)).cast("long"))}
+
+        return step
+
+    none = lambda t: t["x"].filter("id < 0").select(F.lit("error").alias("severity"))
+    steps = lambda fail: [("a", made("a"), True), ("b", made("b"), False), ("c", made("c", fail), True)]
+    at = str(tmp_path / "run")
+    with pytest.raises(RuntimeError):
+        B.run_all({"x": spark.range(3)}, none, steps(True), at=at, stamp="1")
+    out = B.run_all({"x": spark.range(3)}, none, steps(False), at=at, stamp="1")
+    assert ran == ["a", "b", "c", "c"] and sorted(tuple(r) for r in out["c"].collect()) == [(i, 3) for i in range(3)]
+    assert sorted(out) == ["a", "b", "c", "x"] and out["a"].count() == 3
+    B.run_all({"x": spark.range(3)}, none, steps(False), at=at, stamp="1")
+    assert len(ran) == 4
+    B.run_all({"x": spark.range(3)}, none, steps(False), at=at, stamp="2")
+    B.run_all({"x": spark.range(3).withColumn("y", F.lit(1))}, none, steps(False), at=at, stamp="2")
+    assert ran[4:] == ["a", "b", "c"] * 2
