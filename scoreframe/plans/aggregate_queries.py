@@ -135,9 +135,20 @@ def a18(spark, d):
 
 @query("a19_reconcile", "SELECT l_suppkey, '' AS \"group\", 0.0::DOUBLE AS score, 0.0::DOUBLE AS total FROM lineitem WHERE false")
 def a19(spark, d):
+    return _reconciled(spark, d, F.col("contribution"))
+
+
+@query("a19_broken_groups", f"SELECT l_suppkey, 'y' AS \"group\", round((coalesce(c * 15, 0) + d * 5) / (5 + CASE WHEN c IS NULL THEN 0 ELSE 15 END), 6) AS score, 0.5::DOUBLE AS excess FROM ({METRICS}) WHERE l_suppkey % 4 = 1")
+def a19_broken(spark, d):
+    """One component of every fourth supplier contributes too much."""
+    more = F.when((F.col("l_suppkey") % 4 == 1) & (F.col("component") == "d"), 0.5).otherwise(0.0)
+    return _reconciled(spark, d, F.col("contribution") + more).select("l_suppkey", "group", F.round("score", 6).alias("score"), F.round(F.col("total") - F.col("score"), 2).alias("excess"))
+
+
+def _reconciled(spark, d, contribution):
     weights = [("x", "a", 25.0), ("x", "b", 20.0), ("y", "c", 15.0), ("y", "d", 5.0)]
     m = metrics(spark, d)
-    parts = R.contributions(m, ["l_suppkey"], weights)
+    parts = R.contributions(m, ["l_suppkey"], weights).withColumn("contribution", contribution)
     table_ = spark.createDataFrame(weights, "group string, component string, weight double")
     scores = A.weighted_score_long(m.unpivot(["l_suppkey"], ["a", "b", "c", "d"], "component", "value"), table_, ["l_suppkey"])
     return A.reconcile(parts, scores, ["l_suppkey", "group"])
@@ -291,12 +302,6 @@ def u4(spark, d):
     return T.preserve_merge(new, prior, ["o_orderkey"], ["note"], "status", ["closed"])
 
 
-@query("u5_set_ops", "WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 50), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 50) SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'a' WHEN a.user_id IS NULL THEN 'b' ELSE 'both' END AS side FROM a FULL JOIN b ON a.user_id = b.user_id")
-def u5(spark, d):
-    e = table(spark, d, "events").filter("value > 50")
-    return T.set_ops(e.filter("event_type = 'purchase'").select("user_id").distinct(), e.filter("event_type = 'click'").select("user_id").distinct())
-
-
 @query("u5_set_ops_all", "WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'a' WHEN a.user_id IS NULL THEN 'b' ELSE 'both' END AS side FROM a FULL JOIN b ON a.user_id = b.user_id")
 def u5a(spark, d):
     """u5 over the events of any value."""

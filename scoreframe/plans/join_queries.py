@@ -102,23 +102,20 @@ def j12(spark, d):
     return J.missing_from(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
+@query("j12_orphans", "SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0 OR c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j12_orphans(spark, d):
+    """Every seventh customer's orders are of an unknown customer instead."""
+    k = F.col("o_custkey")
+    orders = table(spark, d, "orders").select(F.when(k % 7 == 0, -k - 1).otherwise(k).alias("c_custkey"))
+    return J.missing_from(table(spark, d, "customer").select("c_custkey"), orders, ["c_custkey"])
+
+
 @query("j13_known_only", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)")
 def j13(spark, d):
     ids = table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
     return J.known_only(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ids, ["l_partkey"]).select("l_orderkey", "l_linenumber")
 
 
-@query("j14_overlap_join", """WITH c AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS cell, l_quantity AS start, l_quantity + 3 AS stop FROM lineitem WHERE l_linenumber = 1),
-r AS (SELECT s_suppkey AS page, CAST(k AS INTEGER) AS row_id, k * 8.0 AS top, k * 8.0 + 6 AS bottom FROM supplier, range(7) t(k)),
-p AS (SELECT c.page, cell, row_id, CAST(least(stop, bottom) - greatest(start, top) AS DOUBLE) AS overlap FROM c JOIN r ON c.page = r.page AND start <= bottom AND top <= stop)
-SELECT page, cell, row_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY page, cell ORDER BY overlap DESC, row_id) AS rn FROM p) WHERE rn = 1""")
-def j14(spark, d):
-    q = F.col("l_quantity")
-    cells = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cell"), q.alias("start"), (q + 3).alias("stop"))
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("row_id")).select("page", "row_id", (F.col("row_id") * 8.0).alias("top"), (F.col("row_id") * 8.0 + 6).alias("bottom"))
-    return J.overlap_join(cells, rows, "page", "cell", "row_id", 8.0)
-
-
 @query("j14_overlap_all", """WITH c AS (SELECT l_suppkey AS page, concat_ws('|', l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) AS cell, l_quantity AS start, l_quantity + 3 AS stop FROM lineitem),
 r AS (SELECT s_suppkey AS page, CAST(k AS INTEGER) AS row_id, k * 8.0 AS top, k * 8.0 + 6 AS bottom FROM supplier, range(7) t(k)),
 p AS (SELECT c.page, cell, row_id, CAST(least(stop, bottom) - greatest(start, top) AS DOUBLE) AS overlap FROM c JOIN r ON c.page = r.page AND start <= bottom AND top <= stop)

@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from scoreframe.operators import discovery as D
+from scoreframe.operators import integration as I
 from scoreframe.operators import publishing as B
 from scoreframe.operators import rules as V
+from scoreframe.plans import job_queries as Q
+from scoreframe.plans.job_queries import D2_SQL
 from scoreframe.plans.registry import query, table
 from scoreframe.sources import stages
 from scoreframe.sources import tables as X
@@ -151,6 +154,26 @@ def d26_other(spark, d):
     return count(nodes["ranking_card"], ready).unionByName(count(nodes["compare_card"].filter("reviewer_state.visibility = 'visible'"), ready)).unionByName(count(nodes["entity"].filter("active AND source_confidence IN ('low', 'missing')"), F.sum(F.lit(0))))
 
 
+@query("d26_ranking_cards", f"""{STATUS_OF} SELECT 'ranking_card:' || c_custkey AS node_id, 'ranking_card' AS node_type, c_custkey, name, decision_rank, rank_band, rank_confidence, overall_score, admissions_score, attendance_score, tier, bucket,
+  positive_drivers, negative_drivers, array_to_string(m, ',') AS missing_fields, readiness FROM r""")
+def d26_ranking_cards(spark, d):
+    return B.entity_nodes(entities(spark, d), "c_custkey", "local")["ranking_card"].withColumn("missing_fields", F.array_join("missing_fields", ","))
+
+
+@query("d26_compare_cards", f"""{STATUS_OF} SELECT 'compare_card:' || c_custkey AS node_id, name, kind, CASE WHEN city = '' THEN state ELSE city || ', ' || state END AS location, '/entities/' || slug AS route, decision_rank, rank_band, tier, bucket, mcat_average, gpa_average, rate_band,
+  cost_in, cost_out, cost_basis, coalesce(policy_count, 0) AS policies, letter_count AS letters, array_to_string(m, ',') AS missing_fields, readiness, 'visible' AS visibility, decision_status FROM r""")
+def d26_compare_cards(spark, d):
+    card = B.entity_nodes(entities(spark, d), "c_custkey", "local")["compare_card"]
+    facts = ("rank_fit.decision_rank", "rank_fit.rank_band", "rank_fit.tier", "rank_fit.bucket", "admissions_facts.*", "cost_facts.*", "requirements.*")
+    return card.select("node_id", "identity.name", "identity.kind", "identity.location", "identity.route", *facts, F.array_join("missing_fields", ",").alias("missing_fields"), "readiness", "reviewer_state.*")
+
+
+@query("d26_entities", f"""{STATUS_OF} SELECT 'entity:' || c_custkey AS node_id, 'entity' AS node_type, c_custkey, name, kind, city, state, '/entities/' || slug AS route, true AS active, coalesce(quality_band, 'missing') AS source_confidence FROM r""")
+def d26_entities(spark, d):
+    entity = B.entity_nodes(entities(spark, d), "c_custkey")["entity"]
+    return entity.select("node_id", "node_type", "c_custkey", "identity.name", "identity.kind", "identity.city", "identity.state", "identity.route", "active", "source_confidence")
+
+
 @query("d28_list_nodes", """
 WITH t AS (SELECT list(p_partkey ORDER BY p_size, p_partkey) AS ids FROM (SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 25))
 SELECT r_regionkey AS list_id, CASE WHEN r_regionkey % 3 = 2 THEN '' ELSE array_to_string(ids, ',') END AS ids, CASE WHEN r_regionkey % 3 = 2 THEN '' ELSE array_to_string(ids[:10], ',') END AS top_ids FROM region, t""")
@@ -241,13 +264,18 @@ def d30(spark, d):
 
 @query("d3_private_rankings", "SELECT c_mktsegment AS profile, count(*) AS n FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) CROSS JOIN supplier GROUP BY 1")
 def d3(spark, d):
-    from scoreframe.operators import integration as I
-    from scoreframe.plans import job_queries as Q
+    return _private(spark, d).groupBy("profile").agg(F.count("*").alias("n"))
 
+
+def _private(spark, d):
     projection = Q.supplier_projection(spark, d)
     profiles = projection.select("profile").distinct().withColumn("private", F.when(F.col("profile").isin("BUILDING", "MACHINERY"), "yes").otherwise("no"))
-    out = I.private_rankings(projection, profiles, "profile", "private", scratch(spark, "private"), groups=Q.GROUPS, overall=Q.OVERALL, scenarios=Q.SCENARIOS)
-    return out.groupBy("profile").agg(F.count("*").alias("n"))
+    return I.private_rankings(projection, profiles, "profile", "private", scratch(spark, "private"), groups=Q.GROUPS, overall=Q.OVERALL, scenarios=Q.SCENARIOS)
+
+
+@query("d3_private_ranks", f"SELECT profile, s_suppkey, overall_score, overall_rank, price_first_rank FROM ({D2_SQL}) WHERE profile IN ('BUILDING', 'MACHINERY')")
+def d3_ranks(spark, d):
+    return _private(spark, d).select("profile", "s_suppkey", "overall_score", "overall_rank", "price_first_rank")
 
 
 @query("s1_s3_csv_tables", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, '' AS absent FROM customer")
@@ -264,3 +292,12 @@ def s4(spark, d):
     at = scratch(spark, "bundle")
     X.write_bundle(B.entity_nodes(entities(spark, d), "c_custkey", "local")["card"], at, "card", "local")
     return spark.read.json(f"{at}/header").select("node_type", "mode", "record_count")
+
+
+@query("s4_bundle_nodes", f"""{STATUS_OF} SELECT 'card:' || c_custkey AS node_id, c_custkey, name, CASE WHEN city = '' THEN state ELSE city || ', ' || state END AS location, decision_rank, tier, mcat_average, cost_in, cost_out, readiness, array_to_string(m, ',') AS missing_fields FROM r""")
+def s4_nodes(spark, d):
+    """The nodes of a bundle, read back from what was written; absent fields of a node are absent in its JSON."""
+    at, nodes = scratch(spark, "bundle"), B.entity_nodes(entities(spark, d), "c_custkey", "local")["card"]
+    X.write_bundle(nodes, at, "card", "local")
+    back = spark.read.schema(nodes.schema).json(f"{at}/nodes")
+    return back.select("node_id", "c_custkey", "identity.name", "identity.location", "rank_summary.decision_rank", "rank_summary.tier", "averages.mcat_average", "costs.cost_in", "costs.cost_out", "readiness", F.array_join("missing_fields", ",").alias("missing_fields"))

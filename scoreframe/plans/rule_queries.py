@@ -178,8 +178,9 @@ def s2(spark, d):
 def s5(spark, d):
     labels = ("1-10", "11-30", "31 and over")
     one = table(spark, d, "part").agg(*[F.count_if(c).cast("int").alias(f"n{i}") for i, c in enumerate((F.col("p_size") <= 10, F.col("p_size").between(11, 30), F.col("p_size") > 30))])
-    n = one.first()
-    return X.reference_grid(spark, [("all", list(n), [2 * x for x in n], [0.5] * 3)], labels).drop("rate")
+    n = F.array(*[F.col(f"n{i}") for i in range(3)])
+    rows = one.select(F.lit("all").alias("row_band"), n.alias("acceptees"), F.transform(n, lambda x: x * 2).alias("applicants"), F.array(*[F.lit(0.5)] * 3).alias("rates"))
+    return X.reference_grid(spark, rows, labels).drop("rate")
 
 
 @query("s6_document_manifest", "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS n_bytes, 'other' AS kind FROM documents UNION ALL SELECT page_id, sha256(html), strlen(html), 'html' FROM pages")

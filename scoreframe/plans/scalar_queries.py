@@ -136,11 +136,6 @@ def p19(spark, d):
     return table(spark, d, "part").select("p_partkey", S.slugify(F.concat(F.col("p_name"), F.lit("!"))).alias("slug"), S.row_key(F.lit("part"), F.col("p_name"), F.col("p_partkey").cast("string")).alias("key"))
 
 
-@query("p20_compact_text", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS compact FROM documents WHERE text NOT LIKE '%&%'")
-def p20(spark, d):
-    return table(spark, d, "documents").filter(~F.col("text").contains("&")).select("doc_id", S.compact_text(F.col("text")).alias("compact"))
-
-
 @query("p20_compact_all", """SELECT doc_id, trim(regexp_replace(translate(replace(replace(replace(replace(replace(replace(coalesce(text, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
  '\u2010\u2011\u2012\u2013\u2014\u2212\u00a0', '------ '), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS compact FROM documents""")
 def p20a(spark, d):

@@ -44,9 +44,9 @@ def write_bundle(nodes: DataFrame, path: str, node_type: str, mode: str = "publi
     return header
 
 
-def reference_grid(spark: SparkSession, rows: Sequence[tuple], labels: Sequence[str]) -> DataFrame:
-    """rows: (band, acceptees[], applicants[], rates[]), one entry per label; one row per cell."""
-    df = spark.createDataFrame(list(rows), "row_band string, acceptees array<int>, applicants array<int>, rates array<double>")
+def reference_grid(spark: SparkSession, rows: Sequence[tuple] | DataFrame, labels: Sequence[str]) -> DataFrame:
+    """rows: (row_band, acceptees[], applicants[], rates[]), one entry per label, as a list or a table; one row per cell."""
+    df = rows if isinstance(rows, DataFrame) else spark.createDataFrame(list(rows), "row_band string, acceptees array<int>, applicants array<int>, rates array<double>")
     cells = F.arrays_zip(F.array(*map(F.lit, labels)).alias("col_band"), "acceptees", "applicants", F.col("rates").alias("rate"))
     return df.select("row_band", F.explode(cells).alias("c")).select("row_band", F.col("c.col_band").alias("col_band"), "c.acceptees", "c.applicants", "c.rate")
 
