@@ -44,6 +44,13 @@ MARKED = frozenset("ad ads nav menu sidebar side footer header masthead cookie c
 WEAK = frozenset("header notice notices alert discussion search reply replies respond skip overlay login banner modal toolbar complementary".split())
 WEAKEST = frozenset(("side", "widget"))
 MARKED_START = ("advert", "comment", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor", "navbar", "topbar", "navig")
+#: Words that only say what kind of box, place or service a marked name stands for. A name with any other word beside the
+#: marked one tells of content: related-posts is a box, related-work a section.
+STRUCTURAL = frozenset(
+    "above area article articles author avatar bar below block body bottom box button buttons card cards col column container content copyright count entry facebook feed field follow form global group head holder horizontal"
+    " icon icons image images inline inner input item items label leaderboard left link links list main media meta message module more outer page panel parent post posts primary rectangle right row secondary section site slot"
+    " skyscraper sticky stories story stream text thread title top twitter unit us user vertical wrap wrapper".split()
+)
 KEPT = frozenset(("html", "body", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S)
@@ -118,7 +125,9 @@ def is_marked(node: Node) -> bool:
     if not node.marks or node.tag in KEPT:
         return False
     for name in _NAME.findall(node.marks):
-        words = _WORD.findall(name)
+        words = [w for w in _WORD.findall(name) if len(w) > 1]
+        if not all(w in MARKED or w in WEAKEST or w in STRUCTURAL or w.startswith(MARKED_START) for w in words):
+            continue
         for i, w in enumerate(words):
             if w in WEAKEST:
                 if len(words) == 1:

@@ -8,7 +8,8 @@ windows are differences of running sums, so every word is hashed and weighed onc
 
 The class unknown is calibrated: on examples held out by template, a logistic curve maps the best score to the
 probability that this family is right; below ``threshold`` a window is unknown. Of overlapping windows the likeliest
-counts, and neighbouring ones of one family are one notice. It is confirmed if it covers enough of the word 2-grams of one template of its family, or is covered by it.
+counts, and neighbouring ones of one family are one notice. It is confirmed if it
+holds 0.6 of the word 2-grams of one template of its family, or shares six with it that are 0.6 of its own.
 
 The model is trained here on sentences derived from short public licence notices and on ordinary ones: fixed ones and at
 most ``max_negative`` lines of the corpus (those with the smallest hash).
@@ -297,8 +298,10 @@ class Model:
             taken.append((at, stop))
             piece = raw[begin[at] : end[stop - 1]].tobytes()
             own = set(_pairs(piece))
-            covered = max((max(len(own & pairs) / len(pairs), len(own & pairs) / max(1, len(own))) for k, pairs in self.pairs if k == family[i]), default=0.0)
-            found.append((t, int(here) - start_of[t], at, stop, FAMILIES[family[i]], float(p[i]), covered >= 0.6))
+            shared = [(len(own & pairs), len(pairs)) for k, pairs in self.pairs if k == family[i]]
+            # common words alone share a few pairs with some template: most of the template, or six that are most of the window
+            sure = any(n >= 0.6 * whole or (n >= 6 and n >= 0.6 * len(own)) for n, whole in shared)
+            found.append((t, int(here) - start_of[t], at, stop, FAMILIES[family[i]], float(p[i]), sure))
         # neighbouring windows of one family are one notice
         merged: list[list] = []
         for t, q, a, b, f, p, sure in sorted((t, q, at, stop, f, p, sure) for t, q, at, stop, f, p, sure in found):

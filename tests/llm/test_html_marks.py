@@ -47,3 +47,12 @@ def test_marked_article_that_is_the_page_stays():
 def test_sibling_articles_stay():
     assert read(f"<div><article>{prose('A')}</article><article>{prose('B', 2)}</article></div>") == [*lines("A"), *lines("B", 2)]
     assert read(f"<main><article>{prose('A', 9)}</article><article>{prose('B', 3)}</article><article><p>Teaser</p></article></main>") == [*lines("A", 9), *lines("B", 3)]
+
+
+def test_sections_named_for_content_stay():
+    long = "The text of this section goes on for a while, with commas, clauses, and enough words to count as a paragraph of its own."
+    names = ("related-work", "social-history", "share-capital", "footer-structures", "comments-on-method")
+    sections = "".join(f"<section class='{n}'><h2>{n}</h2><p>{long} {n}</p></section>" for n in names)
+    boxes = "".join(f"<div class='{n}'><p>{long} BOX</p></div>" for n in ("related-posts", "comment-list", "ad-slot", "social-links", "comments", "sidebar-widget-area", "newsletter-signup"))
+    text = html_extract.extract(f"<html><body><article><p>{long}</p>{sections}{boxes}<p>{long} end</p></article></body></html>")
+    assert all(f"{long} {n}" in text for n in names) and "BOX" not in text and text.endswith("end")

@@ -66,3 +66,8 @@ def test_awkward_rows(spark, model):
     assert {(1, ""), (2, ""), (5, "mit;proprietary"), (7, "mit"), (8, "")} <= out
     assert L.by_document(got, docs).count() == len(rows)
     assert L.scan(docs.limit(0), model).count() == 0 and L.train(docs.limit(0)).threshold > 0
+
+
+def test_common_words_confirm_nothing(model):
+    for text in ("The museum is free and open to the public on the first day of the month.", "He was granted the right to use the road, and to copy the map of it, by the owner of the land.", "All rights of the village are without any kind of limit in this part of the county."):
+        assert not any(ok for _, ok in families(model, text))
