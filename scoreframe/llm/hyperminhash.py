@@ -43,6 +43,7 @@ FOLDED_MANTISSA = 26  # so that sets which share nothing hardly ever share a ban
 SLACK = 0.155  # of the estimate, six standard deviations at 256 registers and a similarity of 0.80
 FEW = 2  # rows of a group that are paired with all others at once
 BLOCK = 1024  # rows of a block of a band's group
+BITS = 27  # of the bitmap of the documents whose sets are compared, 16 MB
 CHUNK = 1 << 20  # bytes of texts that are hashed at once
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -192,14 +193,30 @@ def signatures(docs: DataFrame, n_words: int, id_col: str, text_col: str, rows:
     return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ids, for a first cut without shuffling texts: 2**BITS bits, of which the driver gets at most
+    2**BITS / 64 numbers. A crowded one only lets more documents pass."""
+    bit = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << BITS) - 1))
+    slots = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _sets(docs: DataFrame, n_words: int, wanted: DataFrame) -> DataFrame:
+    """(doc_id, hashes) of the wanted documents, and of a few others."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _chunks(batch):
+            bit = batch.column("bit").to_numpy()
+            held = (sent.value[bit >> 3] >> (bit & 7) & 1).astype(bool)
+            for ids, texts in _chunks(batch.select(["doc_id", "t"]).filter(pa.array(held))):
                 h, ends = shingle_sets(texts, n_words)
                 yield pa.RecordBatch.from_arrays([ids, _binary(h, ends * 8)], ["doc_id", "hashes"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
+    bit = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << BITS) - 1))
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t"), bit.alias("bit"))
     return texts.mapInArrow(run, "doc_id long, hashes binary")
 
 
@@ -413,18 +430,27 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     big = stored(grouped.filter("c > 3 AND doc_id <> low AND doc_id <> high").select("key", "doc_id"), "groups")
     discard(grouped)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(big.select("doc_id")).distinct()
-    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi"), n_words, "doc_id", "text"), "sets")
-    found = [stored(_confirm(pairs, sets, percent), "links")]
+    sets = stored(_sets(docs, n_words, wanted), "sets")
+    links = stored(_confirm(pairs, sets, percent), "links")
     discard(pairs)
     nodes = members.filter("n > 0 AND rep = doc_id").select("doc_id")
-    label, done = components(nodes, found[0]), [star, regs, big, sets]
+    label, done = components(nodes, links), [star, regs, big, sets, links]
 
-    def linked(new: DataFrame) -> None:
+    def linked(fresh: list[DataFrame]) -> None:
+        """Labels anew, if there are new links: components of components, so only links between them are passed on."""
         nonlocal label
-        if not new.isEmpty():
-            found.append(new)
-            old, label = label, components(nodes, reduce(DataFrame.union, found))
+        done.extend(fresh)
+        new = reduce(DataFrame.union, fresh)
+        ends = [label.select(F.col("doc_id").alias(c), F.col("component").alias(f"{c}_of")) for c in "ab"]
+        across = stored(new.join(ends[0], "a").join(ends[1], "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).filter("a <> b").distinct(), "across")
+        if not across.isEmpty():
+            old = label
+            top = components(across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct(), across)
+            merged = old.join(top.select(F.col("doc_id").alias("component"), F.col("component").alias("top")), "component", "left")
+            label = stored(merged.select("doc_id", F.coalesce("top", "component").alias("component")), "components")
             discard(old)
+            discard(top)
+        discard(across)
 
     def checked(candidates: DataFrame) -> DataFrame:
         likely = stored(_plausible(candidates, regs, percent), "pairs")
@@ -444,14 +470,11 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
         if not settled:
             blocks = _blocks(apart, regs)
             fresh.append(_confirm_blocks(blocks, sets, percent) if last else checked(_likeliest(blocks, percent).join(star, ["a", "b"], "left_anti")))
-        for new in fresh:
-            linked(new)
-            if new not in found:
-                discard(new)
+        linked(fresh)
         if settled:
             break
         star, big = star.union(pairs), big.join(many.select("key").distinct(), "key", "left_semi")
-    for table in [*done, *found]:
+    for table in done:
         discard(table)
     label = label.withColumnRenamed("doc_id", "rep")
     out = members.filter("doc_id IS NOT NULL").join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
