@@ -40,6 +40,25 @@ def _first(df: DataFrame, fields: Sequence[str]) -> Column:
     return F.coalesce(*there, F.lit(None)) if there else F.lit(None).cast("double")
 
 
+def _costs(same: Column) -> tuple[Column, Column]:
+    """(basis, basis less the scholarship) of an entity for a profile that is or isn't of its state."""
+    basis = A.applicable_amount(same, [F.col("in_state")], [F.col("out_state")])
+    return basis, F.when(basis.isNotNull(), F.greatest(F.lit(0.0), basis - F.coalesce("scholarship", F.lit(0.0))))
+
+
+def _cost_ends(profiles: DataFrame, entities: DataFrame) -> DataFrame:
+    """(home_state, _lo, _hi): the least and the most that any entity costs a profile of this home, from one row per state:
+    its own entities' costs for insiders, and those of all other states for outsiders, of which the two best states are
+    enough, as only one can be the home itself. The product of profiles and entities isn't needed."""
+    inside, outside = _costs(F.lit(True))[1], _costs(F.lit(False))[1]
+    by_state = entities.groupBy("state").agg(F.min(inside).alias("in_lo"), F.max(inside).alias("in_hi"), F.min(outside).alias("lo"), F.max(outside).alias("hi"))
+    two = lambda value: F.slice(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(value.alias("v"), "state")))), 1, 2)
+    most = by_state.agg(two(F.col("lo")).alias("least"), two(-F.col("hi")).alias("most"))
+    homes = profiles.select("home_state").distinct().join(by_state.select(F.col("state").alias("home_state"), "in_lo", "in_hi"), "home_state", "left").crossJoin(F.broadcast(most))  # one row
+    away = lambda two: F.get(F.transform(F.filter(two, lambda x: ~F.coalesce(x["state"] == F.col("home_state"), F.lit(False))), lambda x: x["v"]), 0)
+    return homes.select("home_state", F.least("in_lo", away(F.col("least"))).alias("_lo"), F.greatest("in_hi", -away(F.col("most"))).alias("_hi"))
+
+
 def score_projection(profiles: DataFrame, entities: DataFrame, stats: DataFrame, costs: DataFrame, policies: DataFrame, partners: DataFrame, profile_id: str, key: str) -> DataFrame:
     """Every profile against every entity: values used, fit scores, policy score, cost basis with its scaled scores,
     partner ratings, warnings and exclusion. Tables: profiles (profile_id, mcat_total, overall_gpa, home_state), entities
@@ -49,18 +68,15 @@ def score_projection(profiles: DataFrame, entities: DataFrame, stats: DataFrame,
     joined with their dimensions before they meet the profiles, of which there are at most 10,000."""
     said = policies.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("policy_value")), " ").alias("policy_text"))
     wide = J.denormalize(entities, (stats, [key]), (costs, [key]), (said, [key]))
-    df = J.cross_profiles(profiles, wide).join(partners, [profile_id, key], "left")
+    ends = _cost_ends(profiles, wide).withColumnRenamed("home_state", "_home")
+    ended = profiles.join(ends, F.col("home_state").eqNullSafe(F.col("_home")), "left").drop("_home")
+    df = J.cross_profiles(ended, wide).join(partners, [profile_id, key], "left")
     score_used, grade_used = _first(df, SCORE_FIELDS), _first(df, GRADE_FIELDS)
     home, state = F.col("home_state"), F.col("state")
     same = F.coalesce(home == state, F.lit(False))
     policy = A.policy_score(home, state, F.col("accepts_oos"), F.coalesce("policy_text", F.lit("")))
-    basis = A.applicable_amount(same, [F.col("in_state")], [F.col("out_state")])
-    df = df.withColumn("score_used", score_used).withColumn("grade_used", grade_used).withColumn("policy", policy).withColumn("cost_basis", basis)
-    df = df.withColumn("cost_adjusted", F.greatest(F.lit(0.0), F.col("cost_basis") - F.coalesce("scholarship", F.lit(0.0))))
-    df = df.withColumn("cost_adjusted", F.when(F.col("cost_basis").isNotNull(), F.col("cost_adjusted")))
-    ends = df.groupBy(profile_id).agg(F.min("cost_adjusted").alias("_lo"), F.max("cost_adjusted").alias("_hi"))
-    # one row per profile, 10,000 at most
-    df = df.join(F.broadcast(ends), profile_id)
+    basis, adjusted = _costs(same)
+    df = df.withColumn("score_used", score_used).withColumn("grade_used", grade_used).withColumn("policy", policy).withColumn("cost_basis", basis).withColumn("cost_adjusted", adjusted)
     scaled = F.when(F.col("_lo") == F.col("_hi"), F.when(F.col("cost_adjusted").isNotNull(), 10.0)).otherwise(F.bround(10 - 9 * F.try_divide(F.col("cost_adjusted") - F.col("_lo"), F.col("_hi") - F.col("_lo")), 1))
     low = F.col("data_quality_band") == "low"
     warnings = [

@@ -57,10 +57,28 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return out.select(*[c for c in df.columns if c != name], (F.col("_before") + F.col("_place")).alias(name))
 
 
+CELLS = 1_000_000  # distinct scores up to which a key's are summed by one task
+
+
 def rank_scores(df: DataFrame, score: str, keys: Sequence[str], excluded: Column | None = None, name: str = "rank") -> DataFrame:
-    """Competition rank, best first; excluded and unscored rows have none. Null keys are a group."""
+    """Competition rank, best first; excluded and unscored rows have none. Null keys are a group. Rows are counted per key
+    and score, map-side first, so that a score which most rows have is one row; the counts are stored, summed from the best
+    down, in parts of their values if there are more than ``CELLS``, and joined back."""
     fit = F.col(score).isNotNull() & (F.lit(True) if excluded is None else ~F.coalesce(excluded, F.lit(False)))
-    return _placed(df.withColumn("_fit", fit), score, keys, [F.col(score).desc()], True, name)
+    keyed = df.withColumns({"_key": F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")), "_fit": fit})
+    cells = stage(keyed.filter("_fit").groupBy("_key", F.col(score).alias("_score")).agg(F.count("*").alias("_n")))
+    above = lambda over: F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if cells.count() <= CELLS:
+        ranks = cells.withColumn("_rank", above(Window.partitionBy("_key").orderBy(F.col("_score").desc())) + 1)
+    else:
+        number = F.col("_score").cast("double")
+        parts = in_parts(cells, F.when(F.isnan(number), float("-inf")).otherwise(-number), ["_key"])
+        sums = parts.groupBy("_key", "_part").agg(F.sum("_n").alias("_n"))
+        before = sums.select("_key", "_part", above(Window.partitionBy("_key").orderBy("_part")).alias("_before"))
+        inside = parts.withColumn("_inside", above(Window.partitionBy("_key", "_part").orderBy(F.col("_score").desc())))
+        ranks = inside.join(before, ["_key", "_part"]).withColumn("_rank", F.col("_before") + F.col("_inside") + 1)
+    ranked = keyed.withColumn("_score", F.col(score)).join(ranks.select("_key", "_score", "_rank"), ["_key", "_score"], "left")
+    return ranked.select(*[c for c in df.columns if c != name], F.when(F.col("_fit"), F.col("_rank")).cast("long").alias(name))
 
 
 def rank_scenarios(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
