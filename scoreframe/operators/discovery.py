@@ -11,7 +11,7 @@ from scoreframe.functions import scalar as S
 from scoreframe.operators import filters as P
 from scoreframe.operators import workflow as W
 
-# Paths under which class profiles are published, names of sitemaps, and source types that are read at once.
+# Paths under which class profiles are published, words of statistics pages and of admissions, and source types that are read at once.
 KNOWN_PATHS = (
     "admissions/class-profile/", "admissions/entering-class-profile/", "admissions/entering-class-statistics/", "admissions/class-statistics/",
     "admissions/statistics/", "admissions/admissions-statistics/", "md-admissions/class-profile/", "md-admissions/entering-class-profile/",
@@ -21,7 +21,6 @@ KNOWN_PATHS = (
     "academics/md-program/admissions/class-profile/", "class-profile/", "entering-class-profile/", "entering-class-statistics/", "class-statistics/",
     "admissions-profile/", "facts-and-figures/", "about/facts-and-figures/", "fast-facts/", "facts/",
 )
-SITEMAPS = ("sitemap.xml", "sitemap_index.xml", "wp-sitemap.xml")
 STATS_WORDS = (
     "class-profile", "class_profile", "classprofile", "student-profile", "student_profile", "entering-class", "entering_class", "incoming-class", "incoming_class",
     "matriculant", "matriculants", "facts-and-figures", "facts_figures", "facts", "figures", "fact-sheet", "fact_sheet", "admissions-statistics", "admissions_statistics",
@@ -121,9 +120,3 @@ def known_path_probes(seeds: DataFrame, url: str, paths: Sequence[str] = KNOWN_P
     others = F.filter(made, lambda p: p != F.trim(u))
     listed = F.slice(others, 1, most) if most else others
     return seeds.select(F.col(url).alias("seed")).distinct().select("seed", F.posexplode(listed).alias("nth", "probe"))
-
-
-def sitemap_probes(seeds: DataFrame, url: str) -> DataFrame:
-    """(origin, probe): where a site's sitemaps are likely to lie."""
-    origins = seeds.select(S.url_origin(F.col(url)).alias("origin")).filter("origin <> ''").distinct()
-    return origins.select("origin", F.explode(F.array(*[F.concat("origin", F.lit(f"/{p}")) for p in SITEMAPS])).alias("probe"))

@@ -134,3 +134,28 @@ def test_sequence_ratio_query_equals_difflib(spark, sf_dir):
     names = sorted({r["p_name"] for r in table(spark, sf_dir, "part").collect()})
     assert {(r["a"], r["b"]) for r in rows} == {(a, b) for a in names for b in names if a < b and a.lower().split()[0] == b.lower().split()[0]}
     assert all(r["ratio"] == pytest.approx(ratio(r["a"], r["b"])) and r["score"] == pytest.approx(name_score(r["a"], r["b"])) for r in rows)
+
+
+def test_bounds_spare_pairs_and_lose_none():
+    """Names of the same few words in other orders, whose signs alone say little: the two best are those of scoring all."""
+    import random
+
+    import numpy as np
+
+    from scoreframe.operators import matching as M
+
+    rng = random.Random(2)
+    words = ["amber", "lemon", "metallic", "navy", "olive", "plum", "rose", "salmon", "steel", "violet"]
+    names = sorted({" ".join(rng.choices(words, k=rng.choice([2, 4, 5]))) for _ in range(2500)} | {"", "a", "aa", "ab" * 130})
+    held, called = M.PairScores(names), []
+    place = np.array(rng.sample(range(len(names)), len(names)))
+    for name in ["ammber lemon navy", "x", "aa", "", "rose steel rose steel", *rng.sample(names, 12)]:
+        alike = held.jaccard({w for w in name.split(" ") if w})
+        bounds = held.bounds(name, alike)
+        true = np.array([name_score(name, n) for n in names])
+        assert (bounds >= true - 1e-12).all()
+        found = M.two_best(bounds, place, lambda k: called.append(k) or held.score(name, k, alike[k]))
+        want = np.lexsort((place, -true))[:2]
+        assert [k for _, k in found] == want.tolist() and [s for s, _ in found] == true[want].tolist()
+    assert len(called) < 0.1 * 17 * len(names)
+    assert M.two_best(np.zeros(0), np.zeros(0, int), None) == []
