@@ -12,9 +12,8 @@ pairs are lost, unless another path links them. Other similarities get bands and
 
 Groups of equal sets are collapsed before banding (with map-side combining), so a large group of copies is one row. Of a
 band's members each is first paired with the group's smallest and largest id only. Once those links have merged, the
-rows outside a group's largest component are paired with those of other components: with all of them if at most ``FEW``
-are outside, else first with their likeliest partner, and at last with all that remain apart, in blocks. So groups of
-near copies stay linear.
+rows outside a group's largest component are paired with those of other components: at once if at most ``FEW`` are
+outside, else in blocks, with one link per row and component. So groups of near copies stay linear.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a text with fewer than n words has
 its whole sequence as one shingle; rows that repeat a doc_id are one document, which is linked through each of its texts,
@@ -344,17 +343,6 @@ def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray
                 yield x, rest[hit], likely[hit]
 
 
-def _likeliest(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each asking row's likeliest partner in each block."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        pairs = [(ids[x], ids[rest[np.argmax(likely)]]) for x, rest, likely in _candidates(table, percent)]
-        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
-
-    return blocks.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
-
-
 def _confirm_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across components among all candidates of the blocks. Candidates stay packed, one list per asking
     row; the sets of a block's rows come to it once, and it gives one link per asking row and component."""
@@ -452,28 +440,14 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
             discard(top)
         discard(across)
 
-    def checked(candidates: DataFrame) -> DataFrame:
-        likely = stored(_plausible(candidates, regs, percent), "pairs")
-        new = stored(_confirm(likely, sets, percent), "links")
-        discard(likely)
-        return new
-
-    # pairs across what the stars left apart: where few rows of a group are apart, all of theirs; else first each row's
-    # likeliest partner, and then all that are still apart
-    for last in (False, True):
-        apart = stored(_apart(big, label), "apart")
-        pairs = stored(_alike_in_size(_few(apart).join(star, ["a", "b"], "left_anti"), members.select("doc_id", "n"), percent), "few")
-        done += [apart, pairs]
-        fresh = [checked(pairs)]
-        many = apart.filter(F.col("askers") > FEW)
-        settled = many.isEmpty()
-        if not settled:
-            blocks = _blocks(apart, regs)
-            fresh.append(_confirm_blocks(blocks, sets, percent) if last else checked(_likeliest(blocks, percent).join(star, ["a", "b"], "left_anti")))
-        linked(fresh)
-        if settled:
-            break
-        star, big = star.union(pairs), big.join(many.select("key").distinct(), "key", "left_semi")
+    # pairs across what the stars left apart: where few rows of a group are apart, all of theirs; else all in blocks
+    apart = stored(_apart(big, label), "apart")
+    done.append(apart)
+    few = _alike_in_size(_few(apart).join(star, ["a", "b"], "left_anti"), members.select("doc_id", "n"), percent)
+    fresh = [stored(_confirm(_plausible(few, regs, percent), sets, percent), "links")]
+    if not apart.filter(F.col("askers") > FEW).isEmpty():
+        fresh.append(_confirm_blocks(_blocks(apart, regs), sets, percent))
+    linked(fresh)
     for table in done:
         discard(table)
     label = label.withColumnRenamed("doc_id", "rep")
