@@ -87,11 +87,11 @@ def compare_sources(rows: DataFrame, key: str, source: str, value: str, sources:
     return rows.groupBy(key).pivot(source, list(sources)).agg(text)
 
 
-def coverage_counts(entities: DataFrame, rows: DataFrame, key: str, counters: dict[str, Column]) -> DataFrame:
-    """Conditional counters per entity, zero for entities without rows."""
-    counted = rows.groupBy(key).agg(*[F.count_if(c).alias(n) for n, c in counters.items()])
+def coverage_counts(entities: DataFrame, rows: DataFrame, key: str, counters: dict[str, Column], unknown: int | None = 0) -> DataFrame:
+    """Conditional counters per entity; ``unknown`` for entities without rows, or whose rows leave the condition null."""
+    counted = rows.groupBy(key).agg(*[F.sum(c.cast("long")).alias(n) for n, c in counters.items()])
     out = entities.select(key).join(counted, key, "left")
-    return out.select(key, *[F.coalesce(n, F.lit(0)).alias(n) for n in counters])
+    return out.select(key, *[F.coalesce(n, F.lit(unknown).cast("long")).alias(n) for n in counters])
 
 
 def count_by(df: DataFrame, col: str, unknown: str = "unknown") -> DataFrame:
