@@ -96,9 +96,21 @@ def label_by_threshold(x: Column, cuts: Sequence[tuple[float | None, str]], miss
     return out.otherwise(cuts[-1][1])
 
 
+def round_even(x: Column, digits: int) -> Column:
+    """Ties to even, by the binary value, and -0.0 stays (bround goes by the shortest text of the double)."""
+    scaled = x.cast("double") * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.rint(scaled) / 10.0**digits).otherwise(x.cast("double"))
+
+
+def round_away(x: Column, digits: int) -> Column:
+    """Ties away from zero, by the binary value (round goes by the shortest text of the double)."""
+    scaled = x.cast("double") * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 10.0**digits).otherwise(x.cast("double"))
+
+
 def fmt(x: Column, digits: int = 2) -> Column:
     """Fixed digits, ties to even; empty for null."""
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(x, digits))).otherwise("")
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", round_even(x, digits))).otherwise("")
 
 
 def fmt_trimmed(x: Column, digits: int = 2) -> Column:

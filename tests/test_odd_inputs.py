@@ -25,3 +25,8 @@ def test_counts_without_a_known_condition(check):
     """Customer 0 has orders, 1 has none, 2 only unknown ones, 3 none that count."""
     orders = "SELECT * FROM (VALUES (0::BIGINT, 'F', 200000.0::DOUBLE), (0, NULL, 5), (2, NULL, NULL), (3, 'O', 1)) t(o_custkey, o_orderstatus, o_totalprice)"
     assert check("a10_coverage_counts", customer="SELECT range AS c_custkey FROM range(4)", orders=orders) == ""
+
+
+def test_rendered_cents(check):
+    """Every amount from -50.00 to 149.99, and a negative one that rounds to zero."""
+    assert check("p11_render", customer="SELECT range AS c_custkey, round((range - 5000) / 100.0::DOUBLE, 2) AS c_acctbal, CAST(range % 25 AS INTEGER) AS c_nationkey FROM range(20000)") == ""
