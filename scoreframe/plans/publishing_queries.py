@@ -270,7 +270,7 @@ def d3(spark, d):
 def _private(spark, d):
     projection = Q.supplier_projection(spark, d)
     profiles = projection.select("profile").distinct().withColumn("private", F.when(F.col("profile").isin("BUILDING", "MACHINERY"), "yes").otherwise("no"))
-    return I.private_rankings(projection, profiles, "profile", "private", scratch(spark, "private"), groups=Q.GROUPS, overall=Q.OVERALL, scenarios=Q.SCENARIOS)
+    return I.private_rankings(projection, profiles, "profile", "private", scratch(spark, "private"), groups=Q.GROUPS, overall=Q.OVERALL, scenarios=Q.SCENARIOS, excluded=F.col("s_acctbal") < -900)
 
 
 @query("d3_private_ranks", f"SELECT profile, s_suppkey, overall_score, overall_rank, price_first_rank FROM ({D2_SQL}) WHERE profile IN ('BUILDING', 'MACHINERY')")

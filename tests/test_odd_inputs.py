@@ -30,3 +30,13 @@ def test_counts_without_a_known_condition(check):
 def test_rendered_cents(check):
     """Every amount from -50.00 to 149.99, and a negative one that rounds to zero."""
     assert check("p11_render", customer="SELECT range AS c_custkey, round((range - 5000) / 100.0::DOUBLE, 2) AS c_acctbal, CAST(range % 25 AS INTEGER) AS c_nationkey FROM range(20000)") == ""
+
+
+def test_private_ranks_leave_excluded_suppliers_out(check):
+    """Every fifth supplier is deep in debt."""
+    n = "range AS"
+    supplier = f"SELECT {n} s_suppkey, 's' AS s_name, 1 AS s_nationkey, CASE WHEN range % 5 = 0 THEN -950.0 ELSE 100.0 + range END::DOUBLE AS s_acctbal FROM range(20)"
+    customer = f"SELECT {n} c_custkey, CASE WHEN range % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS c_mktsegment FROM range(4)"
+    orders = f"SELECT {n} o_orderkey, range % 4 AS o_custkey, 90000.0::DOUBLE + 100 * range AS o_totalprice FROM range(40)"
+    lineitem = f"SELECT {n} l_orderkey, range % 20 AS l_suppkey, 1000.0::DOUBLE * (range % 37) AS l_extendedprice, (range % 11) / 100.0::DOUBLE AS l_discount, (range % 7)::DOUBLE AS l_quantity, CASE WHEN range % 3 = 0 THEN 'R' ELSE 'N' END AS l_returnflag FROM range(400)"
+    assert check("d3_private_ranks", supplier=supplier, customer=customer, orders=orders, lineitem=lineitem) == ""
