@@ -274,8 +274,9 @@ def canonical_url(c: Column) -> Column:
 
 
 def decode_target(c: Column) -> Column:
-    """A base64 link target as text; null if it isn't one."""
-    return F.when(F.length(c) % 4 == 0, F.try_validate_utf8(F.try_to_binary(c, F.lit("base64")).cast("string")))
+    """A base64 link target as text, in one line or wrapped; null if it isn't one."""
+    whole = F.regexp_replace(c, r"[\r\n]+", "")
+    return F.when(F.length(whole) % 4 == 0, F.try_validate_utf8(F.try_to_binary(whole, F.lit("base64")).cast("string")))
 
 
 def number_in(c: Column, low: float, high: float) -> Column:

@@ -40,3 +40,8 @@ def test_private_ranks_leave_excluded_suppliers_out(check):
     orders = f"SELECT {n} o_orderkey, range % 4 AS o_custkey, 90000.0::DOUBLE + 100 * range AS o_totalprice FROM range(40)"
     lineitem = f"SELECT {n} l_orderkey, range % 20 AS l_suppkey, 1000.0::DOUBLE * (range % 37) AS l_extendedprice, (range % 11) / 100.0::DOUBLE AS l_discount, (range % 7)::DOUBLE AS l_quantity, CASE WHEN range % 3 = 0 THEN 'R' ELSE 'N' END AS l_returnflag FROM range(400)"
     assert check("d3_private_ranks", supplier=supplier, customer=customer, orders=orders, lineitem=lineitem) == ""
+
+
+def test_decoded_targets_of_any_length(check):
+    """Urls of 20 to 219 signs; base64 of more than 57 bytes comes in lines."""
+    assert check("p23_url_join", pages="SELECT range AS page_id, 'https://example.org/' || repeat('a', range::INTEGER) AS url FROM range(200)") == ""
