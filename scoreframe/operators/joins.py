@@ -144,15 +144,13 @@ def match_with_geo(src: DataFrame, master: DataFrame, src_id: str, master_id: st
 
     def scores(rows: pa.Table) -> Callable[[dict], tuple]:
         others, cities = M.Names(rows.column("_m").to_pylist()), [c or "" for c in rows.column("_city").to_pylist()]
-        own = [set(n.split(" ")) - {""} for n in others.names]
-        local = [set(c.split(" ")) for c in cities]
+        (named, at), local = M.numbered(cities), [set(c.split(" ")) for c in cities]
 
         def of(row: dict) -> tuple:
             words = {w for w in row["_s"].split(" ") if w}
             dice = 2.0 * others.shared(words) / np.maximum(others.size + len(words), 1)
-            there = {c: bool(c) and c in row["_s"] for c in set(cities)}
-            more = np.array([0.25 if there[c] else 0.0 for c in cities])
-            general = np.array([bool((words & a) - b) for a, b in zip(own, local)], bool)
+            more = np.array([0.25 if c and c in row["_s"] else 0.0 for c in named])[at] if named else np.zeros(0)
+            general = others.shared_beside(words, local) > 0
 
             def moved(ratio, k=slice(None)):
                 base = (dice[k] + ratio) / 2 + more[k]
@@ -180,13 +178,13 @@ def match_profiles(src: DataFrame, master: DataFrame, src_id: str, master_id: st
         forms = [M.PairScores(rows.column(f"_m{i}").to_pylist()) for i in range(len(master_names))]
         short = [M.Names(rows.column(f"_a{i}").to_pylist()) for i in range(len(aliases))]
         counts = [np.array([min(len(n.split(" ")), 4) for n in a.names]) for a in short]
-        states, cities = (np.array(rows.column(c).to_pylist(), object) for c in ("_ms", "_mc"))
+        states, cities = (M.numbered(rows.column(c).to_pylist()) for c in ("_ms", "_mc"))
 
         def of(row: dict) -> tuple:
             words = {w for w in row["_s"].split(" ") if w}
-            moved = lambda own, other, up, down: np.zeros(len(other)) if own is None else np.where(other == own, up, down)
+            moved = lambda own, other, up, down: np.zeros(len(other[1])) if own is None else np.where(other[1] == other[0].get(own, -1), up, down)
             place = moved(row["_ss"], states, 0.14, -0.35) + moved(row["_sc"], cities, 0.28, -0.10)
-            alias = np.zeros(len(states))
+            alias = np.zeros(rows.num_rows)
             for a, n in zip(short, counts):
                 alias = np.maximum(alias, np.where((a.size > 0) & (a.shared(words) == a.size), 0.04 + n * 0.04, 0.0))
             alike = [f.jaccard(words) for f in forms]

@@ -1,7 +1,7 @@
 """Best pairs of names under scores made of sequence ratios, without scoring every pair.
 
-Two sides meet in blocks of at most about ``BLOCK`` rows each, split by hash where a key holds more, so no task gets a whole
-key. Within a block all upper bounds of a name against the other side are a few array operations; the matcher runs in the
+Two sides meet in blocks of at most about ``BLOCK`` rows of the right and a quarter of the left, split by hash where a key
+holds more, and blocks are dealt over as many tasks, so no task gets a whole key. Within a block all upper bounds of a name against the other side are a few array operations; the matcher runs in the
 order of the bounds and stops once no bound reaches what has been found. Results are those of scoring all pairs.
 """
 
@@ -15,7 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.sources.stages import stage
+
 BLOCK = 8192
+PAIRS = 4_000_000  # pairs of names for which a task is planned
+
+
+def _held_by(held: dict[str, np.ndarray], words: Sequence[str], n: int) -> np.ndarray:
+    """How many of these distinct words each of n rows holds; held: word -> rows."""
+    out = np.zeros(n, np.int64)
+    for w in words:
+        if w in held:
+            out[held[w]] += 1
+    return out
+
+
+def numbered(values: Sequence) -> tuple[dict, np.ndarray]:
+    """Distinct values with their numbers, and the number of each value."""
+    found: dict = {}
+    return found, np.array([found.setdefault(v, len(found)) for v in values], np.int64)
 
 
 class Names:
@@ -40,15 +58,19 @@ class Names:
             for w in words:
                 held.setdefault(w, []).append(k)
         self._held = {w: np.array(ks) for w, ks in held.items()}
+        self._beside: tuple | None = None
         self._matchers: dict[int, SequenceMatcher] = {}
 
     def shared(self, words: Sequence[str]) -> np.ndarray:
         """How many of these distinct words each name holds."""
-        out = np.zeros(len(self.names), np.int64)
-        for w in words:
-            if w in self._held:
-                out[self._held[w]] += 1
-        return out
+        return _held_by(self._held, words, len(self.names))
+
+    def shared_beside(self, words: Sequence[str], apart: Sequence[set[str]]) -> np.ndarray:
+        """As ``shared``, without the words that are set apart for each name."""
+        if self._beside is None or self._beside[0] is not apart:
+            kept = {w: np.array([k for k in ks.tolist() if w not in apart[k]], np.int64) for w, ks in self._held.items()}
+            self._beside = (apart, kept)
+        return _held_by(self._beside[1], words, len(self.names))
 
     def ratio_bound(self, name: str) -> np.ndarray:
         """No less than the ratio of ``name`` with each. Of T signs in both, the M that match are no more than the signs in
@@ -122,17 +144,21 @@ def two_best(bounds: np.ndarray, place: np.ndarray, score: Callable[[int], float
 
 def paired(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: tuple[str, str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
     """``run`` over all blocks of both sides that share the keys ``on``: every row of the left meets every row of the right
-    of its keys in exactly one block. spread_by: the columns whose hashes split a key."""
+    of its keys in exactly one block. spread_by: the columns whose hashes split a key. The blocks are few rows and much
+    work, so their tasks are planned by pairs: adaptive execution, which goes by bytes, would join them in one task."""
     on = list(on)
-    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     counts = left.groupBy(*on).agg(F.count("*").alias("_nl")).join(right.groupBy(*on).agg(F.count("*").alias("_nr")), on)
-    counts = counts.select(*on, parts("_nl").alias("_kl"), parts("_nr").alias("_kr"))
+    counts = stage(counts.select(*on, parts("_nl", max(1, block // 4)).alias("_kl"), parts("_nr", block).alias("_kr"), (F.col("_nl").cast("double") * F.col("_nr")).alias("_pairs")))
+    blocks, pairs = counts.agg(F.sum(F.col("_kl").cast("double") * F.col("_kr")), F.sum("_pairs")).first()
+    tasks = max(1, int(min(blocks or 1, (pairs or 0) / PAIRS + left.sparkSession.sparkContext.defaultParallelism)))
+    counts = counts.drop("_pairs")
     own = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     a = left.join(counts, on).withColumn("_i", own(spread_by[0], "_kl")).withColumn("_j", every("_kr")).drop("_kl", "_kr")
     b = right.join(counts, on).withColumn("_j", own(spread_by[1], "_kr")).withColumn("_i", every("_kl")).drop("_kl", "_kr")
     keys = [*on, "_i", "_j"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
+    return a.repartition(tasks, *keys).groupBy(*keys).cogroup(b.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(run, schema)
 
 
 def places(idents: Sequence) -> np.ndarray:

@@ -159,3 +159,20 @@ def test_bounds_spare_pairs_and_lose_none():
         assert [k for _, k in found] == want.tolist() and [s for s, _ in found] == true[want].tolist()
     assert len(called) < 0.1 * 17 * len(names)
     assert M.two_best(np.zeros(0), np.zeros(0, int), None) == []
+
+
+def test_blocks_of_one_key_are_dealt_over_tasks(spark):
+    """Few bytes and many pairs: every pair in one block, and the blocks in several tasks."""
+    import pyarrow as pa
+
+    from scoreframe.operators import matching as M
+
+    left, right = spark.range(1024).selectExpr("0 AS k", "id AS a"), spark.range(512).selectExpr("0 AS k", "id AS b")
+
+    def run(a, b):
+        n = [len(b)] * len(a)
+        return pa.table({"a": a.column("a"), "n": pa.array(n, pa.int64())})
+
+    got = M.paired(left, right, ["k"], ("a", "b"), run, "a long, n long", 64).withColumn("task", F.spark_partition_id())
+    assert {(r["a"], r["s"]) for r in got.groupBy("a").agg(F.sum("n").alias("s")).collect()} == {(a, 512) for a in range(1024)}
+    assert got.select("task").distinct().count() > 2
