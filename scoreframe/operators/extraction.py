@@ -3,7 +3,8 @@ profiles, the program gate, and canonical rows of accepted extractions.
 
 Patterns run in Arrow batches and give one row per value found; everything after that is column expressions, one window
 per document and two groupings of the few rows found. A pattern has a bounded reach and needs a number of its kind, so it
-runs only around such numbers, as far as it reaches; years are sought only where a value may follow them.
+runs only around such numbers, as far as it reaches, and only in texts that hold the letters it can't do without; years
+are sought around numbers that may be one. A text is read once.
 """
 
 from __future__ import annotations
@@ -46,14 +47,41 @@ def merged(places: Sequence[tuple[int, int]], before: int, after: int, end: int)
     return out
 
 
+def needed(pattern: str) -> str:
+    """The longest run of letters and digits that every match holds, in lower case."""
+    runs = [""]
+
+    def walk(items) -> None:
+        for op, value in items:
+            if op is _parser.LITERAL and chr(value).isalnum() and value < 128:
+                runs[-1] += chr(value).lower()
+            elif op is _parser.SUBPATTERN:
+                walk(value[3])
+            else:
+                runs.append("")
+                if op is _parser.MAX_REPEAT and value[0] > 0:
+                    walk(value[2])
+                    runs.append("")
+
+    walk(_parser.parse(pattern, re.I))
+    return max(runs, key=len)
+
+
+#: Signs beside A-Z and a-z that stand for one of them when case is ignored.
+CASED = re.compile("[\u0130\u0131\u017f\u212a]")
+
+
 class _Finder:
     """A pattern and where it is tried: around the numbers that a match must hold, as far as the pattern reaches. No match
     crosses the end of such an interval, and what stands before it still counts for word boundaries."""
 
     def __init__(self, pattern: str, number: str, windowed: bool):
-        self.pattern, self.number, self.reach = re.compile(pattern, re.I), number, reach(pattern) if windowed else None
+        self.pattern, self.number, self.reach, self.needed = re.compile(pattern, re.I), number, reach(pattern) if windowed else None, needed(pattern)
 
-    def hits(self, text: str, numbers: dict[str, list[tuple[int, int]]] | None) -> Iterator[re.Match]:
+    def hits(self, text: str, numbers: dict[str, list[tuple[int, int]]] | None, low: str | None = None) -> Iterator[re.Match]:
+        """low: the text in lower case, if nothing else in it can stand for a letter."""
+        if low is not None and self.needed not in low:
+            return
         if numbers is None or self.reach is None:
             yield from self.pattern.finditer(text)
             return
@@ -62,8 +90,9 @@ class _Finder:
 
 
 def stat_spans(docs: DataFrame, id_col: str, text_col: str, windowed: bool = True) -> DataFrame:
-    """One row per value that a pattern finds, and one named "year" per year of a class that a value may follow: place,
-    numbers, the match, the text around it, and what stands right before and after the number. A text with runs of
+    """One row per value that a pattern finds, one named "year" per year of a class that a value may follow, and one named
+    "any" with the latest year of a class in the text: place, numbers, the match, the text around it, and what stands right
+    before and after the number. A text with runs of
     blanks or digits, which leave a pattern without a bound, is read whole, as are all without ``windowed``; the rows are
     the same, but for years before a value's reach."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -75,52 +104,71 @@ def stat_spans(docs: DataFrame, id_col: str, text_col: str, windowed: bool = Tru
     year_reach = max(filter(None, map(reach, P.YEAR_PATTERNS)))
     header, header_reach = re.compile(P.TABLE_HEADER, re.I), reach(P.TABLE_HEADER)
     farthest = max(filter(None, (reach(p[-1] if len(p) == 3 else p[1]) for p in (*P.VALUE_PATTERNS, *P.RANGE_PATTERNS, *P.PAIR_PATTERNS))))
-    number = {"mcat": re.compile(r"\b(?:47[2-9]|48\d|49\d|50\d|51\d|52[0-8])"), "graded": re.compile(r"\b[2345]\.\d")}
-    runs = re.compile(r"\s\s|\d{21}")
+    # a word boundary before the number, looked for after it: a pattern that begins with a sign is sought faster
+    number = {"mcat": re.compile(r"(?:4(?:7[2-9]|8\d|9\d)|5(?:0\d|1\d|2[0-8]))(?<!\w\d\d\d)"), "graded": re.compile(r"[2345]\.\d(?<!\w\d\.\d)")}
+    digits, dates = re.compile(r"\d{21}"), re.compile(r"20\d\d")
+    ascii_years = [re.compile(p, re.I | re.A) for p in P.YEAR_PATTERNS]  # blanks and digits as Spark's patterns have them
     gate = re.compile(r"m\s*cat|g\s*pa|science|bcpm", re.I)  # every pattern needs one of these
 
     def around(text: str, start: int, stop: int, width: int = 180) -> tuple[str, str, str]:
         return text[start:stop], text[max(0, start - width) : stop + width], text[max(0, start - 45) : stop].lower()
 
-    def found(text: str, numbers: dict | None) -> Iterator[tuple]:
+    def found(text: str, numbers: dict | None, low: str | None) -> Iterator[tuple]:
         for name, kind, finder in values:
-            for m in finder.hits(text, numbers):
+            for m in finder.hits(text, numbers, low):
                 group = next((g for g in ("after", "before", "after_short", "after_label", "after_ocr") if m.groupdict().get(g)), None)
                 if group:
                     a, b = m.span(group)
                     yield name, "value", kind, m.start(), float(m[group]), float(m[group]), *around(text, *m.span()), text[b : b + 16], text[max(0, a - 16) : a], None, None
         for name, kind, finder in ranges:
-            for m in finder.hits(text, numbers):
-                low, high = sorted((float(m["low"]), float(m["high"])))
-                yield name, "range", kind, m.start(), low, high, *around(text, *m.span()), "", "", None, None
+            for m in finder.hits(text, numbers, low):
+                least, most = sorted((float(m["low"]), float(m["high"])))
+                yield name, "range", kind, m.start(), least, most, *around(text, *m.span()), "", "", None, None
         for name, finder, wide in pairs:
             if name == "table":
                 places = [(0, len(text))] if numbers is None else merged(numbers["graded"], P.TABLE_REACH, header_reach + 2, len(text))
                 heads = [h for a, b in places for h in header.finditer(text, a, b)]
                 hits = ((h.start(), h.start() + m.end(), m) for h in heads for m in finder.pattern.finditer(text[h.start() : h.start() + P.TABLE_REACH]))
             else:
-                hits = ((m.start(), m.end(), m) for m in finder.hits(text, numbers))
+                hits = ((m.start(), m.end(), m) for m in finder.hits(text, numbers, low))
             for start, stop, m in hits:
                 got = m.groupdict()
                 for kind in _KINDS:
-                    low = got.get(kind) or got.get(f"{kind}_low")
-                    if low:
-                        yield name, "pair", kind, start, float(low), float(got.get(f"{kind}_high") or low), *around(text, start, stop, wide), "", "", got.get("metric"), got.get("year")
+                    first = got.get(kind) or got.get(f"{kind}_low")
+                    if first:
+                        yield name, "pair", kind, start, float(first), float(got.get(f"{kind}_high") or first), *around(text, start, stop, wide), "", "", got.get("metric"), got.get("year")
+
+    def years_in(text: str, patterns: Sequence[re.Pattern], a: int, b: int, whole: bool) -> Iterator[re.Match]:
+        """Matches in text[a:b], sought around numbers that may be a year; all of it if blanks may be many."""
+        places = [(a, b)] if whole else [(max(a, x), min(b, y)) for x, y in merged([m.span() for m in dates.finditer(text, a, b)], year_reach, year_reach + 2, len(text))]
+        for x, y in places:
+            for pattern in patterns:
+                yield from pattern.finditer(text, x, y)
 
     def dated(text: str, rows: list[tuple], whole: bool) -> Iterator[tuple]:
         starts = sorted((r[3], r[3]) for r in rows)
         for a, b in [(0, len(text))] * bool(rows) if whole else merged(starts, FOLLOWED_YEARS + year_reach, year_reach + 2, len(text)):
-            for pattern in years:
-                for m in pattern.finditer(text, a, b):
-                    yield "year", "year", "", m.start(), 0.0, 0.0, "", "", "", "", "", None, m[1]
+            for m in years_in(text, years, a, b, whole):
+                yield "year", "year", "", m.start(), 0.0, 0.0, "", "", "", "", "", None, m[1]
+
+    def latest(text: str, whole: bool) -> Iterator[tuple]:
+        last = max((m[1] for m in years_in(text, ascii_years, 0, len(text), whole)), default=None)
+        if last is not None:
+            yield "any", "any", "", 0, 0.0, 0.0, "", "", "", "", "", None, last
+
+    def with_runs(text: str) -> bool:
+        words = text.split()
+        return sum(map(len, words)) + len(words) - 1 != len(text.strip()) or text[:2].isspace() or text[-2:].isspace() or (max(map(len, words), default=0) > 20 and bool(digits.search(text)))
 
     def read(text: str) -> list[tuple]:
-        numbers = None if not windowed or runs.search(text) else {k: [m.span() for m in p.finditer(text)] for k, p in number.items()}
+        whole = not windowed or with_runs(text)
+        numbers = None if whole else {k: [m.span() for m in p.finditer(text)] for k, p in number.items()}
+        years_there = list(latest(text, whole))
         near = [(0, len(text))] if numbers is None else merged(sorted(n for ns in numbers.values() for n in ns), max(farthest, P.TABLE_REACH), farthest + 2, len(text))
         if not any(gate.search(text, a, b) for a, b in near):
-            return []
-        rows = list(found(text, numbers))
-        return rows + list(dated(text, rows, numbers is None))
+            return years_there
+        rows = list(found(text, numbers, None if whole or CASED.search(text) else text.lower()))
+        return years_there + rows + list(dated(text, rows, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +268,7 @@ def stat_candidates(spans: DataFrame, images: DataFrame) -> DataFrame:
     return df.select(
         "id", "kind", F.bround(F.when(F.col("corrected"), low - 2).otherwise((low + high) / 2), 3).alias("value"), metric.alias("metric"),
         F.when(spread & F.col("rejected_as").isNull(), used).otherwise(F.col("context")).alias("context"), scored.alias("points"), F.col("rejected_as").alias("reason"),
-        F.coalesce("year", F.when(held, F.col("anchor.year"))).cast("int").alias("year"), "corrected",
+        F.coalesce("year", F.when(held, F.col("anchor.year"))).cast("int").alias("year"), "corrected", F.when(form == "any", F.col("year")).cast("int").alias("any_year"),
         (F.array_position(F.array(*map(F.lit, NAMES)), F.col("name"))).alias("nth"), "start",
     )
 
@@ -233,15 +281,15 @@ def best_stats(candidates: DataFrame) -> DataFrame:
     found = F.struct("value", "metric", "context", "corrected")
     kinds = [(k, good & (F.col("kind") == k)) for k in _KINDS]
     by_year = candidates.withColumn("order", order).withColumn("found", found).groupBy("id", "year").agg(
-        *[F.max(F.when(test, F.struct("order", "found"))).alias(k) for k, test in kinds], F.collect_set("reason").alias("reasons")
+        *[F.max(F.when(test, F.struct("order", "found"))).alias(k) for k, test in kinds], F.collect_set("reason").alias("reasons"), F.max("any_year").alias("any_year")
     )
     shared = F.col("year").isNotNull() & F.col("mcat").isNotNull() & F.col("gpa").isNotNull()
     out = by_year.groupBy("id").agg(
         *[F.max(k).alias(f"any_{k}") for k in _KINDS],
-        F.max(F.when(shared, F.struct("year", "mcat", "gpa", "science_gpa"))).alias("same"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"),
+        F.max(F.when(shared, F.struct("year", "mcat", "gpa", "science_gpa"))).alias("same"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"), F.max("any_year").alias("any_year"),
     )
     pick = lambda k: F.coalesce(F.col(f"same.{k}.found"), F.col(f"any_{k}.found")).alias(k)
-    return out.select("id", *[pick(k) for k in _KINDS], F.col("same.year").alias("year"), "reasons")
+    return out.select("id", *[pick(k) for k in _KINDS], F.col("same.year").alias("year"), "reasons", "any_year")
 
 
 def extract_stats(docs: DataFrame, id_col: str, text_col: str, url_col: str, score_col: str) -> DataFrame:
@@ -252,8 +300,7 @@ def extract_stats(docs: DataFrame, id_col: str, text_col: str, url_col: str, sco
     for end in P.IMAGE_SUFFIXES:
         is_image = is_image | url.endswith(end)
     docs, text = spread(docs), S.compact_text(F.col(text_col))
-    every_year = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)) for p in P.YEAR_PATTERNS]))
-    heads = docs.select(F.col(id_col).alias("id"), F.col(score_col).cast("double").alias("official"), F.array_max(every_year).cast("int").alias("any_year"))
+    heads = docs.select(F.col(id_col).alias("id"), F.col(score_col).cast("double").alias("official"))
     spans = stat_spans(docs.select(id_col, text.alias("text")), id_col, "text")
     best = best_stats(stat_candidates(spans, docs.select(F.col(id_col).alias("id"), is_image.alias("is_image")).filter("is_image")))
     df = heads.join(best, "id", "left")

@@ -85,3 +85,18 @@ def test_windows_give_the_rows_of_whole_texts(spark, sf_dir):
     found = [E.stat_candidates(E.stat_spans(docs, "doc_id", "text", w), flags) for w in (True, False)]
     assert found[0].exceptAll(found[1]).count() == 0 and found[1].exceptAll(found[0]).count() == 0 and found[0].count() > 500
     assert all(E.reach(p) for p in (*(p for *_, p in (*P.VALUE_PATTERNS, *P.RANGE_PATTERNS)), *(p[1] for p in P.PAIR_PATTERNS)))
+
+
+def test_latest_year_without_values(spark):
+    """The latest year of a class counts, wherever it stands and with blanks of any number; other years don't."""
+    texts = ["x " * 3000 + "Class of 2024, entering class 2026. " + "y " * 3000 + "class of 2025 in 2031", "  class   of  2023 ", "class of 2022", "in 2021", None, "2020 CLAſſ PROFILE 2019 class profile"]
+    docs = spark.createDataFrame([(i, t, "u", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, url string, score double")
+    got = {r["doc_id"]: r["year"] for r in E.extract_stats(docs, "doc_id", "text", "url", "score").collect()}
+    assert got == {0: 2026, 1: 2023, 2: None, 3: None, 4: None, 5: 2019}
+
+
+def test_patterns_are_tried_only_where_their_letters_stand():
+    """Every run of letters that a pattern is said to need is in its matches, and most texts lack one."""
+    assert E.needed(r"(?:m\s*cat)(?:\s+score)?\s+between\s+\d") == "between" and E.needed(r"(?:ab|cd)e?") == "" and E.needed(r"(?:xy)+z") == "xy"
+    finder = E._Finder(r"(?:m\s*cat)\s+between\s+(?P<low>\d)", "mcat", True)
+    assert [m["low"] for m in finder.hits("MCAT Between 5", None, "mcat between 5")] == ["5"] and not list(finder.hits("MCAT 5", None, "mcat 5"))
