@@ -230,7 +230,10 @@ def stat_candidates(spans: DataFrame, images: DataFrame) -> DataFrame:
     marks rejected ones. images: (id, is_image), sources whose 5.xx may be a misread 3.xx."""
     before = Window.partitionBy("id").orderBy("start", F.col("form") != "year", "year").rowsBetween(Window.unboundedPreceding, 0)
     anchor = F.last(F.when(F.col("form") == "year", F.struct("start", "year")), ignorenulls=True).over(before)
-    df = spans.withColumn("anchor", anchor).filter("form <> 'year'").withColumn("context", S.compact_text(F.col("around")))
+    # before the window, as filters after it would else work a context out anew for each of their words
+    context = spans.withColumn("context", S.compact_text(F.col("around"))).drop("around")
+    points, reason = context_points(F.col("context"))
+    df = context.withColumn("_points", points).withColumn("_reason", reason).withColumn("anchor", anchor).filter("form <> 'year'")
     df = df.join(images, "id", "left").withColumn("is_image", F.coalesce("is_image", F.lit(False)))
     form, kind, low, high, label = (F.col(c) for c in ("form", "kind", "low", "high", "label"))
     graded = kind != "mcat"
@@ -240,13 +243,12 @@ def stat_candidates(spans: DataFrame, images: DataFrame) -> DataFrame:
     in_range = F.col("follow").rlike(r"^\s*(?:-|–|—|to)\s*\d") | F.coalesce(F.when(graded, part_low.between(0, 4) & low.between(0, 4)).otherwise(part_low.between(472, 528) & low.between(472, 528)), F.lit(False))
     percent = F.ltrim(F.substring("follow", 1, 3)).startswith("%")
     df = df.filter((sound | F.col("corrected")) & ~((form == "value") & (in_range | percent)))
-    points, reason = context_points(F.col("context"))
     allowed = F.greatest(*[_last_place(label, w) for w in P.OVERALL_WORDS])
     barred = F.greatest(*[_last_place(label, w) for w in P.SCIENCE_WORDS], *[_last_word(label, w) for w in P.GRADUATE_WORDS])
     match = F.lower("whole")
     of_science = _any(match, P.SCIENCE_WORDS) | match.rlike(r"(?<!under)graduate\s+g\s*pa") | (barred > allowed)
     science = (kind == "gpa") & F.when(form == "value", of_science).otherwise(_any(label, P.SCIENCE_WORDS))
-    df = df.withColumn("_points", points).withColumn("_reason", reason).withColumn("science", science).withColumn("allowed", allowed)
+    df = df.withColumn("science", science).withColumn("allowed", allowed)
     extra = {n: b for n, _, _, b, _, _ in P.PAIR_PATTERNS}
     fixed = {n: f for n, _, _, _, f, _ in P.PAIR_PATTERNS if f}
     metrics = {n: m for n, _, m, _, _, _ in P.PAIR_PATTERNS if m and m != "row"}
