@@ -176,3 +176,10 @@ def test_blocks_of_one_key_are_dealt_over_tasks(spark):
     got = M.paired(left, right, ["k"], ("a", "b"), run, "a long, n long", 64).withColumn("task", F.spark_partition_id())
     assert {(r["a"], r["s"]) for r in got.groupBy("a").agg(F.sum("n").alias("s")).collect()} == {(a, 512) for a in range(1024)}
     assert got.select("task").distinct().count() > 2
+
+
+def test_places_as_numbers():
+    from scoreframe.operators import matching as M
+
+    found, at = M.numbered(["NY", None, "CA", "NY"])
+    assert at.tolist() == [0, 1, 2, 0] and found == {"NY": 0, None: 1, "CA": 2} and (at == found.get("WY", -1)).sum() == 0
