@@ -4,11 +4,12 @@ A text's words get lead columns: each word with the up to three that follow it i
 Only these longest windows are counted; Spark's ROLLUP then sums their successively shorter prefixes, so counts of all
 lengths, and each language's number of words, come from one grouping and no other n-grams are exploded.
 
-A floor keeps the windows few, without changing a count that is reported: a phrase that is frequent holds frequent words
-and word pairs only. Words and pairs are counted by 64-bit hashes first, and those that reach the floor set bits of a
-bitmap of fixed size (``BITS``), which goes to the tasks. A window is padded from its first pair whose bit is not set, and
-a word whose bit is not set is counted for its language only. Unlike hashes that share a bit only keep a window longer
-than needed, so a crowded bitmap costs shuffled bytes and never a count.
+A floor keeps the windows few, without changing a count that is reported: a phrase that is frequent holds frequent words,
+pairs and triples only. Words and pairs are counted by hashes of 40 bits first, then the triples of frequent pairs, and
+those that reach the floor set bits of a bitmap of fixed size (``BITS``), which goes to the tasks. A window is padded from
+its first pair or triple whose bit is not set, and a word whose bit is not set is counted for its language only. Unlike
+hashes that share a bit only keep a window longer than needed, so a crowded bitmap costs shuffled bytes and never a count.
+Padded windows are mostly frequent phrases, so they are added up in each task, by numbers that it gives to their words.
 
 Windows are dealt by their first two words, so that the prefixes which ROLLUP sums combine in one task before they are
 shuffled. A pair with more than one in ``HOT`` of the counts is dealt by its third word as well. Cuts, containment and
@@ -35,7 +36,8 @@ from scoreframe.llm.common import discard, spread, stored, text_of
 BITS = 27  # the bitmap has 2**BITS bits, 16 MB
 HOT = 1024
 CHUNK = 2 << 20  # bytes of texts that are cut into windows at once
-ROWS = 1 << 19  # counted windows that wait in a task to be added up
+ROWS = 1 << 21  # counted windows that wait in a task to be added up
+WORDS = 1 << 20  # words that a task numbers before it starts anew
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -44,6 +46,7 @@ _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t")] = True
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_COUNTED = np.uint64((1 << 40) - 1)  # the bits of a hash by which it is counted
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -92,6 +95,13 @@ class _Words:
         return own, one, np.where(self.follows, two, np.uint64(0))
 
 
+def _triples(own: np.ndarray, two: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Of each word, the hash of the triple that it begins, where that is of two marked pairs; else 0."""
+    with np.errstate(over="ignore"):
+        three = _mix(two * _PRIME + np.concatenate((own[2:], np.zeros(min(2, len(own)), np.uint64))))
+    return np.where(pair & np.append(pair[1:], False), three, np.uint64(0)) if len(own) else two
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
     """Chunks of about CHUNK bytes, across batches; a longer text is a chunk of its own."""
     texts, langs, size = [], [], 0
@@ -107,25 +117,50 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
         yield _Words(texts, langs)
 
 
-def _frequent(texts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bitmap of the hashes of words and pairs that occur ``least`` times, and the sorted hashes of hot ones. The driver
-    gets at most 2**BITS / 64 numbers and HOT hashes."""
+def _reached(texts: DataFrame, hashes, least: int) -> DataFrame:
+    """(h, c): the hashes of chunks, by their counted bits, that occur ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            _, one, two = chunk.hashes()
-            h, c = np.unique(np.concatenate((one, two[two != 0])), return_counts=True)
+            h, c = np.unique(hashes(chunk) & _COUNTED, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    counted = stored(texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least), "frequent")
-    total = counted.agg(F.sum("c")).first()[0] or 0
-    hot = counted.filter(F.col("c") > total / HOT).select("h").toArrow().column("h").to_numpy().view(np.uint64)
-    bit = F.expr(f"h & {(1 << BITS) - 1}")
-    slots = counted.groupBy(F.shiftright(bit, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & {(1 << BITS) - 1} & 63 as int))")).alias("bits")).toArrow()
+    return stored(texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least), "frequent")
+
+
+def _bits(counted: DataFrame) -> np.ndarray:
+    """The bitmap of hashes. The driver gets at most 2**BITS / 64 numbers."""
+    slots = counted.groupBy(F.shiftright(F.expr(f"h & {(1 << BITS) - 1}"), 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & {(1 << BITS) - 1} & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _frequent(texts: DataFrame, least: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of the hashes of words, pairs and triples that occur ``least`` times, and the sorted hashes of hot pairs,
+    at most HOT."""
+
+    def words_and_pairs(chunk: _Words) -> np.ndarray:
+        _, one, two = chunk.hashes()
+        return np.concatenate((one, two[two != 0]))
+
+    counted = _reached(texts, words_and_pairs, least)
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    hot = counted.filter(F.col("c") > total / HOT).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    bitmap = _bits(counted)
     discard(counted)
-    return out, np.sort(hot)
+    if longest > 2:
+        sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+        def triples(chunk: _Words) -> np.ndarray:
+            own, _, two = chunk.hashes()
+            three = _triples(own, two, _held(sent.value, two) & (two != 0))
+            return three[three != 0]
+
+        counted = _reached(texts, triples, least)
+        bitmap = bitmap | _bits(counted)
+        discard(counted)
+    return bitmap, np.sort(hot)
 
 
 def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -134,8 +169,9 @@ def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def windows(texts: DataFrame, least: int, longest: int) -> DataFrame:
-    """(deal, lang, w1 .. w{longest}, c): the padded longest windows, counted within each task as far as ``ROWS`` allow."""
-    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, least))
+    """(deal, lang, w1 .. w{longest}, c): the padded longest windows, counted within each task as far as ``ROWS`` and ``WORDS``
+    allow."""
+    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, least, longest))
     names = [f"w{k + 1}" for k in range(longest)]
 
     def counted(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,19 +185,34 @@ def windows(texts: DataFrame, least: int, longest: int) -> DataFrame:
         return at, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, keys = [], 0, ["deal", "lang", *names]
-        for batch in found(batches):
+        numbers: dict[bytes, int] = {b"": 0}  # the padding is 0
+        tongues: dict[bytes, int] = {}
+        held, rows, keys = [], 0, ["lang", *names]
+
+        def added() -> pa.Table:
+            return pa.Table.from_batches(held).group_by(keys).aggregate([("deal", "min"), ("c", "sum")]).rename_columns([*keys, "deal", "c"])
+
+        def named(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            words, langs = pa.array(list(numbers), pa.binary()).cast(pa.string()), pa.array(list(tongues), pa.binary()).cast(pa.string())
+            for batch in table.to_batches(max_chunksize=20_000):
+                yield pa.RecordBatch.from_arrays([batch["deal"], langs.take(batch["lang"]), *(words.take(batch[name]) for name in names), batch["c"]], ["deal", "lang", *names, "c"])
+
+        for batch in found(batches, numbers, tongues):
             held, rows = [*held, batch], rows + batch.num_rows
-            if rows >= ROWS:
-                table = pa.Table.from_batches(held).group_by(keys).aggregate([("c", "sum")]).rename_columns([*keys, "c"])
-                if table.num_rows > ROWS // 2:
-                    yield from table.to_batches(max_chunksize=20_000)
+            if rows >= ROWS or len(numbers) >= WORDS:
+                table = added()
+                if table.num_rows > ROWS // 2 or len(numbers) >= WORDS:
+                    yield from named(table)
                     table = table.slice(0, 0)
+                    numbers.clear()
+                    numbers[b""] = 0
+                    tongues.clear()
                 held, rows = table.combine_chunks().to_batches(), table.num_rows
-        for batch in held:
-            yield batch
+        if held:
+            yield from named(added())
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch], numbers: dict[bytes, int], tongues: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        """Windows of each chunk: words and languages are places in the two tables, which grow with what a window holds."""
         bitmap, hot = sent.value
         for chunk in _chunks(batches):
             own, one, two = chunk.hashes()
@@ -169,14 +220,19 @@ def windows(texts: DataFrame, least: int, longest: int) -> DataFrame:
                 continue
             n, size = np.int32(len(chunk.words)), len(one)  # n: the id of the padding
             pair = _held(bitmap, two) & (two != 0)
-            padded = pa.concat_arrays([chunk.words, pa.array([b""], pa.binary())])
-            langs = pa.array([x.decode() for x in chunk.langs], pa.string())
+            triple = _triples(own, two, pair)
+            triple = _held(bitmap, triple) & (triple != 0)
 
             def batch(where: np.ndarray, lead: list[np.ndarray], deal: np.ndarray) -> pa.RecordBatch:
                 at, c = counted([chunk.lang[where], *lead], int(n) + 1)
-                words = [padded.take(pa.array(x[at])).cast(pa.string()) for x in lead]
-                words += [pa.array([""] * len(at), pa.string())] * (longest - len(words))
-                return pa.RecordBatch.from_arrays([pa.array((deal[at] >> np.uint64(48)).astype(np.int32)), langs.take(pa.array(chunk.lang[where][at])), *words, pa.array(c.astype(np.int64))], ["deal", "lang", *names, "c"])
+                lang, lead = chunk.lang[where][at], [x[at] for x in lead]
+                number = np.zeros(int(n) + 1, np.int32)
+                used = np.unique(np.concatenate(lead))
+                used = used[used != n]
+                number[used] = [numbers.setdefault(w, len(numbers)) for w in chunk.words.take(pa.array(used)).to_pylist()]
+                tongue = np.array([tongues.setdefault(x, len(tongues)) for x in chunk.langs], np.int32)
+                words = [number[x] for x in lead] + [np.zeros(len(at), np.int32)] * (longest - len(lead))
+                return pa.RecordBatch.from_arrays([pa.array(tongue[lang]), *map(pa.array, words), pa.array((deal[at] >> np.uint64(48)).astype(np.int32)), pa.array(c.astype(np.int64))], ["lang", *names, "deal", "c"])
 
             alone = np.flatnonzero(~pair)
             if len(alone):
@@ -185,12 +241,13 @@ def windows(texts: DataFrame, least: int, longest: int) -> DataFrame:
             if not len(begin):
                 continue
             pad = np.zeros(longest, np.int32)
-            ids, joined, hashes = np.append(chunk.ids, pad), np.append(pair, pad.astype(bool)), np.append(own, pad.astype(np.uint64))
+            ids, joined, hashes = np.append(chunk.ids, pad), np.append(triple, pad.astype(bool)), np.append(own, pad.astype(np.uint64))
             lead, on = [chunk.ids[begin]], np.ones(len(begin), bool)
             for k in range(1, longest):
-                on &= joined[begin + k - 1]
+                if k > 1:
+                    on &= joined[begin + k - 2]
                 lead.append(np.where(on, ids[begin + k], n))
-            third = np.isin(two[begin], hot) & joined[begin + 1] & (longest > 2)
+            third = np.isin(two[begin] & _COUNTED, hot) & joined[begin] & (longest > 2)
             yield batch(begin, lead, _mix(two[begin] ^ np.where(third, hashes[begin + 2], np.uint64(0))))
 
     return texts.mapInArrow(run, f"deal int, lang string, {', '.join(f'{n} string' for n in names)}, c long")

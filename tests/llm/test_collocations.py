@@ -70,3 +70,24 @@ def test_query(spark, sf_dir):
     df = QUERIES["op13_collocations"](spark, sf_dir)
     assert sorted(tuple(r) for r in df.collect()) == plain(rows, 30)
     assert compare.difference(df, compare.duck(sf_dir), C.SQL) == ""
+
+
+def test_windows_end_where_no_phrase_is_frequent(spark):
+    rng = random.Random(11)
+    rows = [(" ".join(rng.choice("abcdefghijkl") for _ in range(1500)), "en") for _ in range(4)]
+    df = spark.createDataFrame([(t.encode(), g.encode()) for t, g in rows], "t binary, lang binary").coalesce(1)
+    kept, C.CHUNK = C.CHUNK, 1000  # many chunks in the one task
+    try:
+        held = [tuple(r) for r in C.windows(df, 22, 4).collect()]
+    finally:
+        C.CHUNK = kept
+    assert held and all(r[4] == "" for r in held)  # pairs reach the floor, triples don't
+    assert len(held) == len({r[:-1] for r in held}) <= 12 * 12 + 12 + 1  # each once
+    assert sum(r[-1] for r in held) == 6000
+    for n in ("ROWS", "WORDS"):  # tasks that start anew change nothing
+        kept = getattr(C, n)
+        setattr(C, n, 8)
+        try:
+            assert found(spark, rows, least=4) == plain(rows, 4)
+        finally:
+            setattr(C, n, kept)
