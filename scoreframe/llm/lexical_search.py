@@ -11,8 +11,8 @@ k-th score; then every document whose bound reaches the floor is scored exactly
 not provably below, so the result is that of scoring everything.
 
 Queries are taken in blocks of at most ``TERMS`` terms (a longer query is a block of its own), each sent to all tasks;
-per task and query k rows at most are kept before any shuffle. Document frequencies are counted with map-side combining
-before they meet the queries' terms.
+per task and query k rows at most are kept before any shuffle. Document frequencies are counted of the queries' terms only,
+if those are at most ``TERMS``; else of all, with map-side combining, before they meet the queries' terms.
 
 Defined cases: null and empty texts have no terms and score nothing; repeated rows of a doc_id are documents of their own,
 counted and ranked as often as they stand; a null doc_id comes last among equal scores; a query without terms, or whose
@@ -115,15 +115,21 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _tokens(text_col: str):
-    """The terms of a text, on the JVM side; ``translate`` lower-cases A-Z only."""
-    return F.regexp_extract_all(F.translate(text_of(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({TERM})"), F.lit(1))
+    """The distinct terms of a text, on the JVM side. Case is folded once per distinct term: ``lower`` where all is ASCII, else
+    ``translate``, which is slow and lower-cases A-Z only."""
+    found = F.array_distinct(F.regexp_extract_all(text_of(text_col), F.lit(TERM), F.lit(0)))
+    fold = lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.array_distinct(F.transform(found, fold))
 
 
 def weighted_queries(docs: DataFrame, blocks: DataFrame, queries: DataFrame, query_id: str, query_text: str, text_col: str = "text") -> tuple[DataFrame, int, int]:
     """(item, terms: array of (term, w)), and the documents with terms and all their terms. Document frequencies are exact."""
     total = blocks.agg(F.sum(F.size("ids")).alias("N"), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("L")).first()
     asked = queries.select(F.col(query_id).alias("item"), F.explode(_tokens(query_text)).alias("term")).distinct()
-    df = docs.select(F.explode(F.array_distinct(_tokens(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    held, wanted = docs.select(F.explode(_tokens(text_col)).alias("term")), asked.select("term").distinct()
+    if wanted.limit(TERMS + 1).count() <= TERMS:  # other terms are left out before they are counted
+        held = held.join(F.broadcast(wanted), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     known = asked.join(df, "term")
     w = F.floor(1000 * F.log(F.lit(2.0 * (total.N or 0) + 2) / (2 * F.col("df") + 1)))
     out = known.groupBy("item").agg(F.collect_list(F.struct("term", w.cast("long").alias("w"))).alias("terms"))

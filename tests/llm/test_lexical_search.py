@@ -92,6 +92,25 @@ def test_bounds_are_never_too_low(spark):
     assert loose < 1.3 * exact
 
 
+def test_only_asked_terms_are_counted(spark):
+    docs = spark.createDataFrame([(1, "A a É é İ \u212a K x"), (2, "k É y"), (3, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([("p", "a K é \u212a"), ("q", "İ É none")], "item_id string, text string")
+    blocks = L.index(docs)
+    few = L.weighted_queries(docs, blocks, queries, "item_id", "text")
+    kept, L.TERMS = L.TERMS, 3
+    try:
+        many = L.weighted_queries(docs, blocks, queries, "item_id", "text")
+    finally:
+        L.TERMS = kept
+    plans = [x[0]._jdf.queryExecution().toString() for x in (few, many)]
+    assert "LeftSemi" in plans[0] and "LeftSemi" not in plans[1]
+    w = {1: math.floor(1000 * math.log(6 / 3)), 2: math.floor(1000 * math.log(6 / 5))}
+    for out, n_docs, total in (few, many):
+        assert (n_docs, total) == (2, 11)
+        got = {(r["item"], t["term"]): t["w"] for r in out.collect() for t in r["terms"]}
+        assert got == {("p", "a"): w[1], ("p", "k"): w[2], ("p", "é"): w[1], ("p", "\u212a"): w[1], ("q", "İ"): w[1], ("q", "É"): w[2]}
+
+
 def test_query(spark, sf_dir):
     import compare
 
