@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from scoreframe.functions import scalar as S
 from scoreframe.operators import matching as M
@@ -120,20 +121,29 @@ def match_entities(src: DataFrame, master: DataFrame, src_id: str, master_id: st
 
 
 def _best_rows(src: DataFrame, master: DataFrame, on: Sequence[str], src_id: str, master_id: str, scores: Callable[[pa.Table], Callable[[dict], tuple]], block: int) -> DataFrame:
-    """(src_id, master_id, score): the two best master rows of each block for each source row. scores takes a block of the
-    master and gives, for a source row, the bounds of all scores and the score of one."""
-    types = {c: to_arrow_type(df.schema[c].dataType) for df, c in ((src, src_id), (master, master_id))} | {"score": pa.float64()}
+    """(src_id, master_id, score): the two best master rows for each source row. scores takes a block of the master and
+    gives, for a source row, the bounds of all scores and the score of one. Rows that differ in their identifier alone are
+    paired once, however many there are: of equal rows of the master two can be best and second."""
+    said = lambda df, ident: df.withColumn("_text", F.struct(*[c for c in df.columns if c != ident]))
+    s, m = said(src, src_id), said(master, master_id)
+    first = Window.partitionBy(*on, "_text").orderBy(master_id)
+    named = m.withColumn("_rn", F.row_number().over(first)).filter("_rn <= 2").groupBy(*on, "_text").agg(F.array_sort(F.collect_list(F.struct(master_id))).alias("_ids"))
+    text = StructType([StructField(f.name, f.dataType) for f in s.schema["_text"].dataType])  # every field may be null
+    types = {"_text": to_arrow_type(text), master_id: to_arrow_type(master.schema[master_id].dataType), "score": pa.float64()}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of, idents, rows = scores(right), right.column(master_id).to_pylist(), []
-        place = M.places(idents)
-        for row in left.to_pylist():
+        of, lists, rows = scores(pa.Table.from_struct_array(right.column("_text"))), right.column("_ids").to_pylist(), []
+        place = M.places([x[0][master_id] for x in lists])
+        for row in left.column("_text").to_pylist():
             bounds, score = of(row)
-            rows += [(row[src_id], idents[k], s) for s, k in M.two_best(bounds, place, score)]
+            rows += [(row, x[master_id], found) for found, k in M.two_best(bounds, place, score) for x in lists[k]]
         return M.table_of(rows, types)
 
-    schema = f"{src_id} {src.schema[src_id].dataType.simpleString()}, {master_id} {master.schema[master_id].dataType.simpleString()}, score double"
-    return M.paired(src, master, on, (src_id, master_id), run, schema, block)
+    schema = f"_text {text.simpleString()}, {master_id} {master.schema[master_id].dataType.simpleString()}, score double"
+    scored = M.paired(s.select(*on, "_text").distinct(), named, on, ("_text", "_text"), run, schema, block)
+    best = Window.partitionBy("_text").orderBy(F.col("score").desc_nulls_last(), master_id)
+    two = scored.withColumn("_rn", F.row_number().over(best)).filter("_rn <= 2").drop("_rn")
+    return s.select(src_id, "_text").join(two, "_text").select(src_id, master_id, "score")
 
 
 def match_with_geo(src: DataFrame, master: DataFrame, src_id: str, master_id: str, name: str, state: str, city: str, high: float = 0.88, low: float = 0.72, block: int = M.BLOCK) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scoreframe.functions import scalar as S
 from scoreframe.operators import joins as J
 from scoreframe.plans.registry import query, table
+from scoreframe.sources.stages import spread
 
 
 @query("j1_lookup_first", "SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) ON o_orderkey = l_orderkey AND rn = 1")
@@ -70,7 +71,7 @@ def j7m(spark, d):
 @query("j8_match_with_geo")
 def j8(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.initcap("n_name").alias("city"))
-    sup = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey").join(n, "s_nationkey").withColumn("state", F.col("s_nationkey").cast("string"))
+    sup = spread(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")).join(n, "s_nationkey").withColumn("state", F.col("s_nationkey").cast("string"))
     src = sup.select(F.col("s_suppkey").alias("source_id"), F.concat_ws(" ", "s_name", "city").alias("s_name"), "state")
     return J.match_with_geo(src, sup, "source_id", "s_suppkey", "s_name", "state", "city")
 
@@ -78,7 +79,7 @@ def j8(spark, d):
 @query("j9_match_profiles")
 def j9(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    names = table(spark, d, "supplier").join(n, "s_nationkey").select("s_suppkey", F.concat_ws(" ", "n_name", "s_name").alias("name"), F.col("s_name").alias("alias"), F.col("s_nationkey").cast("string").alias("state"), F.lower("n_name").alias("city"))
+    names = spread(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")).join(n, "s_nationkey").select("s_suppkey", F.concat_ws(" ", "n_name", "s_name").alias("name"), F.col("s_name").alias("alias"), F.col("s_nationkey").cast("string").alias("state"), F.lower("n_name").alias("city"))
     src = names.select(F.col("s_suppkey").alias("source_id"), F.col("alias").alias("name"), "state", "city")
     return J.match_profiles(src, names, "source_id", "s_suppkey", "name", ["name", "alias"], "state", "city", ["alias"])
 

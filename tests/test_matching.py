@@ -183,3 +183,37 @@ def test_places_as_numbers():
 
     found, at = M.numbered(["NY", None, "CA", "NY"])
     assert at.tolist() == [0, 1, 2, 0] and found == {"NY": 0, None: 1, "CA": 2} and (at == found.get("WY", -1)).sum() == 0
+
+
+def test_rows_alike_but_for_their_ids_are_paired_once(spark, monkeypatch):
+    """Many rows of few names and places, some of them null: blocks hold each once, and every source row gets its best two."""
+    from scoreframe.operators import matching as M
+
+    names, states = ["hofstra", "hoffstra", "touro", None], ["NY", "CA", None]
+    rows = [(i, names[i % 4], states[i // 4 % 3], "x" if i % 2 else None) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, name string, state string, city string")
+    s, m = df.withColumnRenamed("id", "source_id"), df.withColumnRenamed("id", "master_id")
+    sides, paired = [], M.paired
+    monkeypatch.setattr(M, "paired", lambda left, right, *more: sides.append((left.count(), right.count())) or paired(left, right, *more))
+    profiles = J.match_profiles(s, m, "source_id", "master_id", "name", ["name"], "state", "city").collect()
+    geo = J.match_with_geo(s, m, "source_id", "master_id", "name", "state", "city").collect()
+    assert len(sides) == 3 and max(n for side in sides for n in side) <= 24
+    by_profile, by_geo = {}, {}
+    for i, name, state, city in rows:
+        scored = []
+        for j, other, at, town in rows:
+            place = (0.0 if state is None else 0.14 if at == state else -0.35) + (0.0 if city is None else 0.28 if town == city else -0.10)
+            if state is None or at == state:
+                scored.append((-max(0.0, name_score(name or "", other or "") + place), j))
+        (a, best), (b, second) = sorted(scored)[:2]
+        by_profile[i] = (best, pytest.approx(-a), second, pytest.approx(-b))
+        scored = []
+        for j, other, at, town in rows:
+            if state is not None and at == state:
+                x, y = set((name or "").split()), set((other or "").split())
+                base = (2 * len(x & y) / max(len(x) + len(y), 1) + ratio(name or "", other or "")) / 2 + (0.25 if town and town in (name or "") else 0.0)
+                scored.append((-min(1.0, base if x & y - {town} else min(0.87, base)), j))
+        found = sorted(scored)[:2]
+        by_geo[i] = (found[0][1], pytest.approx(-found[0][0]), found[1][1]) if found else (None, None, None)
+    assert {r["source_id"]: (r["best"], r["best_score"], r["second"], r["second_score"]) for r in profiles} == by_profile
+    assert {r["source_id"]: (r["best"], r["best_score"], r["second"]) for r in geo} == by_geo
