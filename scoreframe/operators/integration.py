@@ -171,10 +171,11 @@ def _stats_row(df: DataFrame, grid: DataFrame) -> DataFrame:
     return df.withColumn("rate_band", S.label_by_threshold(F.col("rate"), RATE_CUTS))
 
 
-def integrate_stats(clusters: DataFrame, rows: DataFrame, cluster_matches: DataFrame, row_matches: DataFrame, grid: DataFrame, crowd: str) -> dict[str, DataFrame]:
+def integrate_stats(clusters: DataFrame, rows: DataFrame, cluster_matches: DataFrame, row_matches: DataFrame | None, grid: DataFrame, crowd: str) -> dict[str, DataFrame]:
     """Canonical statistics, candidates, conflicts and review rows. clusters: (cluster, n_sources, mcat, gpa, mcat_spread,
     gpa_spread, agreement) with consensus values; rows: (row, cluster, source, mcat, gpa) of single sources; matches:
-    (cluster or row, entity, score, second, label). A cluster with a safe match and a published source is canonical. The
+    (cluster or row, entity, score, second, label); without row matches, each row carries the columns of its own, which
+    spares a join of all rows. A cluster with a safe match and a published source is canonical. The
     best candidate row of an entity (both values, not only of the crowd's source, sources, grade) takes the place of a
     missing row, or of one without both values."""
     matched = clusters.join(cluster_matches, "cluster", "left").withColumn("safe", is_safe(F.col("label"), F.col("score"), F.col("second")))
@@ -184,7 +185,8 @@ def integrate_stats(clusters: DataFrame, rows: DataFrame, cluster_matches: DataF
     no_source = matched.filter(~published).select(F.col("cluster").cast("string").alias("source_row"), F.lit("crowd_only_context").alias("reason"))
     unsafe = matched.filter(published & ~F.col("safe")).select(F.col("cluster").cast("string").alias("source_row"), F.coalesce("label", F.lit("unsafe_stats_match")).alias("reason"))
     summary = clusters.select("cluster", "n_sources", F.col("mcat").alias("_mcat"), F.col("gpa").alias("_gpa"), "mcat_spread", "gpa_spread", "agreement")
-    own = rows.join(summary, "cluster", "left").join(row_matches, "row", "left").withColumn("safe", is_safe(F.col("label"), F.col("score"), F.col("second")))
+    own = rows.join(summary, "cluster", "left")
+    own = (own if row_matches is None else own.join(row_matches, "row", "left")).withColumn("safe", is_safe(F.col("label"), F.col("score"), F.col("second")))
     alone = F.col("_mcat").isNull() & F.col("_gpa").isNull()
     kind = F.when(~alone, "candidate_published_average").when(F.col("source") == crowd, "candidate_crowd_median").otherwise("candidate_single_source")
     own = own.withColumn("n_sources", F.coalesce("n_sources", F.lit(0))).withColumn("crowd_only", (F.col("source") == crowd) & (F.col("n_sources") == 0))
@@ -197,8 +199,11 @@ def integrate_stats(clusters: DataFrame, rows: DataFrame, cluster_matches: DataF
     grade = -A.quality_grade(F.col("n_sources"), F.col("mcat_spread"), F.col("gpa_spread"))["rank"]
     rank = F.struct(both.alias("both"), (~F.col("crowd_only")).cast("int").alias("own"), "n_sources", grade.alias("grade"))
     found = F.struct("n_sources", "mcat", "gpa", "mcat_spread", "gpa_spread", "metric_type")
-    # strictly better replaces: the first row wins among equals
-    best = candidates.filter(F.col("entity").isNotNull() & valued).groupBy("entity").agg(F.max_by(F.struct(rank.alias("rank"), found.alias("found")), F.struct(rank, -F.col("row"))).alias("best"))
+    # strictly better replaces: the first row wins among equals. The first row of each rank comes first, as aggregates of
+    # plain numbers need no sort of all candidates
+    ranked = candidates.filter(F.col("entity").isNotNull() & valued).withColumn("rank", rank).withColumn("_blank", F.col("row").isNull()).withColumn("_row", F.coalesce("row", F.lit(0)))
+    firsts = ranked.groupBy("entity", "rank", "n_sources", "metric_type", "_blank").agg(F.min("_row").alias("_first"), *[F.min_by(c, "_row").alias(c) for c in ("mcat", "gpa", "mcat_spread", "gpa_spread")])
+    best = firsts.groupBy("entity").agg(F.max_by(F.struct("rank", found.alias("found")), F.struct("rank", F.when(~F.col("_blank"), -F.col("_first")))).alias("best"))
     held = canonical.withColumn("_rank", F.struct(both.alias("both"), F.lit(1).alias("own"), "n_sources", grade.alias("grade")))
     held = held.groupBy("entity").agg(F.max_by(F.struct("_rank", found.alias("found")), F.struct("_rank", "mcat", "gpa")).alias("held"))
     merged = held.join(best, "entity", "full")

@@ -15,6 +15,7 @@ from scoreframe.plans import integration_queries as Q
 from scoreframe.plans.job_queries import _mean
 from scoreframe.plans.publishing_queries import scratch
 from scoreframe.plans.registry import SQL, query, table
+from scoreframe.sources.stages import spread
 
 SCENARIOS = [K.scenario_name(n) for n in dict.fromkeys(n for n, _, _ in SCENARIO_WEIGHTS)]
 #: Columns that the projection of these tables has; the others are absent, which adds nothing to a mean.
@@ -73,7 +74,7 @@ def steps(spark, d, at: str) -> list[B.Step]:
         return {"projection": I.score_projection(own["profiles"], own["entities"], t["stats"], paid, t["policies"], own["partners"], "profile", "s_suppkey")}
 
     def ranking(t):
-        return {"rankings": K.rank_configured(t["projection"], ["profile"], F.col("excluded"))}
+        return {"rankings": K.rank_configured(spread(t["projection"]), ["profile"], F.col("excluded"))}
 
     def final_list(t):
         rows = t["rankings"].select(F.concat_ws("|", "profile", "s_suppkey").alias("row_id"), F.expr(STATUS).alias("status"), F.lit("visible").alias("visibility"), "overall_rank")

@@ -146,3 +146,32 @@ def test_a_run_takes_up_after_its_last_good_step(spark, tmp_path):
     B.run_all({"x": spark.range(3)}, none, steps(False), at=at, stamp="2")
     B.run_all({"x": spark.range(3).withColumn("y", F.lit(1))}, none, steps(False), at=at, stamp="2")
     assert ran[4:] == ["a", "b", "c"] * 2
+
+
+def test_first_candidate_of_a_rank_wins_and_rows_may_carry_their_match(spark):
+    """The best candidate of an entity against a plain search, for matches beside the rows and in them, in any order."""
+    import random
+
+    rng = random.Random(5)
+    clusters = spark.createDataFrame([(k, k % 3, None, None, None, None, "close_agreement") for k in range(6)], "cluster long, n_sources int, mcat double, gpa double, mcat_spread double, gpa_spread double, agreement string")
+    plain = [(i, rng.choice([*range(6), None]), rng.choice(["crowd", "table", None]), rng.choice([500.0, 510.0, None]), rng.choice([3.1, 3.9, None]), i % 4 if i % 9 else None) for i in range(120)]
+    rng.shuffle(plain)
+    whole = spark.createDataFrame([(*r, 0.9, 0.5, "review") for r in plain], "row long, cluster long, source string, mcat double, gpa double, entity long, score double, second double, label string").repartition(7)
+    of_clusters = spark.createDataFrame([], "cluster long, entity long, score double, second double, label string")
+    grid = spark.createDataFrame([], "score_band string, grade_band string, rate double")
+    want = {}
+    for row, cluster, source, mcat, gpa, entity in plain:
+        if entity is None or (mcat is None and gpa is None):
+            continue
+        n = 0 if cluster is None else cluster % 3
+        crowd_only = False if n else None if source is None else source == "crowd"
+        own = -1 if crowd_only is None else int(not crowd_only)
+        # one row's spreads are 0 where it has a value
+        grade = 1 if n >= 2 else 3 if n else 4
+        rank = (int(mcat is not None and gpa is not None), own, n, -grade, -row)
+        if entity not in want or rank > want[entity][0]:
+            want[entity] = (rank, (n, mcat, gpa, "candidate_crowd_median" if source == "crowd" else "candidate_single_source"))
+    beside = whole.select("row", "entity", "score", "second", "label")
+    for rows, matches in ((whole, None), (whole.drop("entity", "score", "second", "label"), beside)):
+        found = I.integrate_stats(clusters, rows, of_clusters, matches, grid, "crowd")["canonical"]
+        assert {r["entity"]: (r["n_sources"], r["mcat"], r["gpa"], r["metric_type"]) for r in found.collect()} == {k: v[1] for k, v in want.items()}

@@ -4,8 +4,11 @@ import re
 from html import unescape
 
 import compare
+from pyspark.sql import functions as F
 
 from scoreframe.plans import catalog
+from scoreframe.plans import chain_queries as C
+from scoreframe.plans import integration_queries as Q
 
 
 def planted(spark, path, rows, columns, name):
@@ -56,3 +59,15 @@ def test_lines_of_whole_pages(spark, sf_dir):
     got = {r["page_id"]: list(r["lines"]) for r in catalog.QUERIES["p21_html_all_lines"](spark, sf_dir).collect()}
     assert got == {k: lines_by_brute_force(v) for k, v in pages.items()}
     assert max(map(len, got.values())) > 8
+
+
+def test_ranking_step_is_shared_by_all_cores(spark, tmp_path):
+    """A projection of few bytes lies in one file, but ranking it is much work."""
+    d = "/root/testdata/sf0.001"
+    path = str(tmp_path / "projection")
+    Q.d1(spark, d).withColumn("debt_burden_score", F.col("attendance_cost_score")).coalesce(1).write.parquet(path)
+    ranking = dict((name, step) for name, step, _ in C.steps(spark, d, str(tmp_path)))["ranking"]
+    ranked = ranking({"projection": spark.read.parquet(path)})["rankings"]
+    assert ranked.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 2
+    plan = Q._stats(spark, d)["candidates"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1  # with the clusters; a row's match is its own
